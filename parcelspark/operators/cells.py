@@ -11,7 +11,7 @@ a county boundary with many vertices is cut up rather than copied into every cel
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as G
@@ -20,64 +20,54 @@ LEVELS = (10, 6, 2)  # cell side is 2**-level degrees
 SPAN = 16
 
 
-def _side(level: Column) -> Column:
-    return F.pow(F.lit(2.0), -level.cast("double"))
-
-
-def cell_key(level: Column, cx: Column, cy: Column) -> Column:
+def cell_key(level: str | int, cx: str, cy: str) -> str:
     """One long per cell: level, column, row."""
     half = 1 << 27
-    return (level.cast("long") * (1 << 56)) + ((cx.cast("long") + half) * (1 << 28)) + (cy.cast("long") + half)
+    return f"(CAST({level} AS long) * {1 << 56} + (CAST({cx} AS long) + {half}) * {1 << 28} + (CAST({cy} AS long) + {half}))"
 
 
-def level_of(bbox: Column, pad: float = 0.0, levels: tuple[int, ...] = LEVELS) -> Column:
+def level_of(bbox: str, pad: float = 0.0) -> str:
     """Finest level at which the box spans at most ``SPAN`` cells per axis."""
-    width = F.greatest(bbox["xmax"] - bbox["xmin"], bbox["ymax"] - bbox["ymin"]) + 2 * pad
-    out = F.lit(levels[-1])
-    for lv in reversed(levels[:-1]):
-        out = F.when(width <= SPAN * 2.0**-lv, lv).otherwise(out)
-    return out
+    width = f"greatest({bbox}.xmax - {bbox}.xmin, {bbox}.ymax - {bbox}.ymin) + {G.num(2 * pad)}"
+    whens = " ".join(f"WHEN {width} <= {G.num(SPAN * 2.0**-lv)} THEN {lv}" for lv in LEVELS[:-1])
+    return f"CASE {whens} ELSE {LEVELS[-1]} END"
 
 
-def point_cells(df: DataFrame, x: str = "lon", y: str = "lat", levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def point_cells(df: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """One row per level, with the ``cell`` the point lies in."""
-    at = lambda lv: cell_key(F.lit(lv), F.floor(F.col(x) * 2.0**lv), F.floor(F.col(y) * 2.0**lv))
-    return df.withColumn("cell", F.explode(F.array(*[at(lv) for lv in levels])))
+    keys = ", ".join(cell_key(lv, f"floor({x} * {G.num(2.0**lv)})", f"floor({y} * {G.num(2.0**lv)})") for lv in LEVELS)
+    return df.selectExpr("*", f"explode(array({keys})) AS cell")
 
 
-def _spread(df: DataFrame, level: Column, pad_x: float, pad_y: float) -> DataFrame:
+def _spread(df: DataFrame, level: str, pad_x: float, pad_y: float) -> DataFrame:
     """Rows of (feature, cell column, cell row) for the cells under the padded box."""
-    b, s = F.col("bbox"), _side(F.col("_level"))
-    lo = lambda k, pad: F.floor((b[k] - pad) / s)
-    hi = lambda k, pad: F.floor((b[k] + pad) / s)
-    return (
-        df.withColumn("_level", level)
-        .withColumn("_cx", F.explode(F.sequence(lo("xmin", pad_x), hi("xmax", pad_x))))
-        .withColumn("_cy", F.explode(F.sequence(lo("ymin", pad_y), hi("ymax", pad_y))))
-        .withColumn("cell", cell_key(F.col("_level"), F.col("_cx"), F.col("_cy")))
-        .withColumn("_x0", F.col("_cx") * s)
-        .withColumn("_y0", F.col("_cy") * s)
-        .withColumn("_s", s)
-    )
+    reach = lambda k, sign, pad: f"floor((bbox.{k} {sign} {G.num(pad)}) / _s)"
+    cols = df.selectExpr("*", f"{level} AS _level", f"pow(2D, -{level}) AS _s")
+    cols = cols.selectExpr("*", f"explode(sequence({reach('xmin', '-', pad_x)}, {reach('xmax', '+', pad_x)})) AS _cx")
+    cols = cols.selectExpr("*", f"explode(sequence({reach('ymin', '-', pad_y)}, {reach('ymax', '+', pad_y)})) AS _cy")
+    return cols.selectExpr("*", f"{cell_key('_level', '_cx', '_cy')} AS cell", "_cx * _s AS _x0", "_cy * _s AS _y0")
 
 
 _WORK = ["_level", "_cx", "_cy", "_x0", "_y0", "_s"]
 
 
+def _local_edges(pad_x: float, pad_y: float) -> str:
+    """Edges that can decide a test inside the cell: at its height, not ending left of it."""
+    near = lambda e: (
+        f"greatest({e}.y1, {e}.y2) >= _y0 - {G.num(pad_y)} AND least({e}.y1, {e}.y2) <= _y0 + _s + {G.num(pad_y)} "
+        f"AND greatest({e}.x1, {e}.x2) >= _x0 - {G.num(pad_x)}"
+    )
+    return f"filter(edges, {G.fn(near)})"
+
+
 def file_for_points(df: DataFrame, pad_x: float = 0.0, pad_y: float = 0.0) -> DataFrame:
     """File polygons for point tests: needs ``edges`` and ``bbox``; ``edges`` becomes local.
 
     A ray towards +x from inside the cell can only meet edges at the cell's height that do not
     end left of it, and no other edge is within the padding of a point in the cell.
     """
-    spread = _spread(df, level_of(F.col("bbox"), max(pad_x, pad_y)), pad_x, pad_y)
-    local = F.filter(
-        F.col("edges"),
-        lambda e: (F.greatest(e["y1"], e["y2"]) >= F.col("_y0") - pad_y)
-        & (F.least(e["y1"], e["y2"]) <= F.col("_y0") + F.col("_s") + pad_y)
-        & (F.greatest(e["x1"], e["x2"]) >= F.col("_x0") - pad_x),
-    )
-    return spread.withColumn("edges", local).where(F.size("edges") > 0).drop(*_WORK)
+    spread = _spread(df, level_of("bbox", max(pad_x, pad_y)), pad_x, pad_y)
+    return spread.withColumn("edges", F.expr(_local_edges(pad_x, pad_y))).drop(*_WORK)
 
 
 def _spread_up(df: DataFrame) -> DataFrame:
@@ -86,9 +76,8 @@ def _spread_up(df: DataFrame) -> DataFrame:
     A pair of polygons meets at the coarser of its two own levels (``pair_level``), so neither
     side ever covers more than ``SPAN`` cells per axis.
     """
-    own = df.withColumn("own_level", level_of(F.col("bbox")))
-    steps = own.withColumn("_lv", F.explode(F.array(*[F.lit(lv) for lv in LEVELS]))).where("_lv <= own_level")
-    return _spread(steps, F.col("_lv"), 0.0, 0.0).withColumnRenamed("_lv", "pair_level")
+    steps = df.selectExpr("*", f"{level_of('bbox')} AS own_level", f"explode(array{LEVELS}) AS pair_level").where("pair_level <= own_level")
+    return _spread(steps, "pair_level", 0.0, 0.0)
 
 
 def file_for_polygons(df: DataFrame) -> DataFrame:
@@ -97,21 +86,10 @@ def file_for_polygons(df: DataFrame) -> DataFrame:
     ``edges`` becomes the local edges as for points; ``piece`` holds the signed rings cut to the
     cell, so overlap areas add up over cells.
     """
-    spread = _spread_up(df)
-    x0, y0, s = F.col("_x0"), F.col("_y0"), F.col("_s")
-    local = F.filter(
-        F.col("edges"),
-        lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y0 + s) & (F.greatest(e["x1"], e["x2"]) >= x0),
-    )
-    cut = F.transform(
-        G.rings(F.col("geom")),
-        lambda r: F.struct(r["sign"].alias("sign"), G.clip_to_box(r["pts"], x0, y0, x0 + s, y0 + s).alias("pts")),
-    )
-    piece = F.filter(cut, lambda r: F.size(r["pts"]) > 3)
-    return (
-        spread.withColumn("piece", piece).withColumn("edges", local).where(F.size("edges") > 0)
-        .select("*", F.col("own_level").alias("filed_level")).drop("geom", "own_level", "pair_level", *_WORK)
-    )
+    cut = lambda r: G.struct(sign=f"{r}.sign", pts=G.clip_to_box(f"{r}.pts", "_x0", "_y0", "(_x0 + _s)", "(_y0 + _s)"))
+    piece = f"filter(transform({G.rings('geom')}, {G.fn(cut)}), {G.fn(lambda r: f'size({r}.pts) > 3')})"
+    filed = _spread_up(df).withColumns({"piece": F.expr(piece), "edges": F.expr(_local_edges(0.0, 0.0))})
+    return filed.withColumnRenamed("own_level", "filed_level").drop("geom", "pair_level", *_WORK)
 
 
 def probe_polygons(df: DataFrame) -> DataFrame:
@@ -119,26 +97,23 @@ def probe_polygons(df: DataFrame) -> DataFrame:
     return _spread_up(df).withColumnsRenamed({"_x0": "cell_x", "_y0": "cell_y", "_s": "cell_side"}).drop("_level", "_cx", "_cy")
 
 
-def same_pair_cell(probe: str = "p", filed: str = "f") -> Column:
+def same_pair_cell(p: str = "p", f: str = "f") -> str:
     """Join condition of a probe and a filed polygon."""
-    p, f = (lambda c: F.col(f"{probe}.{c}")), (lambda c: F.col(f"{filed}.{c}"))
-    near = G.bbox_overlaps(p("bbox"), f("bbox"))
-    return (p("cell") == f("cell")) & (p("pair_level") == F.least(p("own_level"), f("filed_level"))) & near
+    near = G.bbox_overlaps(f"{p}.bbox", f"{f}.bbox")
+    return f"{p}.cell = {f}.cell AND {p}.pair_level = least({p}.own_level, {f}.filed_level) AND {near}"
 
 
-def meet_in_cell(probe: str = "p", filed: str = "f") -> Column:
+def meet_in_cell(p: str = "p", f: str = "f") -> str:
     """Exact polygon intersection seen from one shared cell.
 
     Crossing edges are found in the cell of the crossing, a probe vertex inside the filed polygon
     in the cell of that vertex, and a filed vertex inside the probe wherever it is filed.
     """
-    p, f = (lambda c: F.col(f"{probe}.{c}")), (lambda c: F.col(f"{filed}.{c}"))
     in_cell = lambda s: (
-        (s["x1"] >= p("cell_x")) & (s["x1"] < p("cell_x") + p("cell_side"))
-        & (s["y1"] >= p("cell_y")) & (s["y1"] < p("cell_y") + p("cell_side"))
+        f"{s}.x1 >= {p}.cell_x AND {s}.x1 < {p}.cell_x + {p}.cell_side AND {s}.y1 >= {p}.cell_y AND {s}.y1 < {p}.cell_y + {p}.cell_side"
     )
+    within = lambda s: f"{in_cell(s)} AND {G.covers(f'{f}.edges', f'{s}.x1', f'{s}.y1')}"
+    around = lambda s: G.covers(f"{p}.edges", f"{s}.x1", f"{s}.y1")
     return (
-        G.edges_touch(p("edges"), f("edges"))
-        | F.exists(p("edges"), lambda s: in_cell(s) & G.covers(f("edges"), s["x1"], s["y1"]))
-        | F.exists(f("edges"), lambda s: G.covers(p("edges"), s["x1"], s["y1"]))
+        f"({G.edges_touch(f'{p}.edges', f'{f}.edges')} OR exists({p}.edges, {G.fn(within)}) OR exists({f}.edges, {G.fn(around)}))"
     )

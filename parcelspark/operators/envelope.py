@@ -84,20 +84,18 @@ def inset_areas(parcels: DataFrame, inset_m: Column, all_convex: bool = False) -
     Convex parcels are exact column expressions; only the others pass their edges to the Arrow
     function (nulls cross for the rest). ``all_convex`` leaves that function out of the plan.
     """
-    flat = parcels.withColumn("_p", G.project(F.col("geom"))).withColumn("_convex", G.is_convex_polygon(F.col("_p")))
-    d = F.abs(inset_m)
-    exact = G.convex_inset_area(F.get(F.get(F.col("_p"), F.lit(0)), F.lit(0)), d)
+    flat = parcels.withColumn("_d", F.abs(inset_m)).withColumn("_p", F.expr(G.project("geom"))).withColumn("_convex", F.expr(G.is_convex_polygon("_p")))
+    exact = F.expr(G.convex_inset_area("get(get(_p, 0), 0)", "_d"))
     if all_convex:
         area = F.when(F.col("_convex"), exact)
     else:
-        flat = flat.withColumn(
-            "_e", F.when(~F.col("_convex"), F.transform(G.edges(F.col("_p")), lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
-        ).withColumn("_scan", _eroded(F.col("_e"), d))
+        coords = f"IF(_convex, NULL, transform({G.edges('_p')}, e -> array(e.x1, e.y1, e.x2, e.y2)))"
+        flat = flat.withColumn("_e", F.expr(coords)).withColumn("_scan", _eroded(F.col("_e"), F.col("_d")))
         area = F.when(F.col("_convex"), exact).otherwise(F.col("_scan"))
     return (
         flat.withColumn("inset_area_m2", F.nullif(F.greatest(area, F.lit(0.0)), F.lit(0.0)))
         .withColumn("inset_method", F.when(F.col("_convex"), "exact_convex").otherwise("scan_line"))
-        .drop("_p", "_convex", "_e", "_scan")
+        .drop("_p", "_convex", "_d", "_e", "_scan")
     )
 
 

@@ -20,7 +20,7 @@ TOLERANCE_M = 25.0  # fixed value: nearest-parcel radius
 
 def with_edges(df: DataFrame) -> DataFrame:
     """Add the ``edges`` and ``bbox`` every spatial lookup works on; rows without area go."""
-    return df.where(F.size("geom") > 0).withColumn("edges", G.edges(F.col("geom"))).withColumn("bbox", G.bbox(F.col("edges")))
+    return df.where(F.size("geom") > 0).withColumn("edges", F.expr(G.edges("geom"))).withColumn("bbox", F.expr(G.bbox("edges")))
 
 
 def in_envelope(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
@@ -41,11 +41,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, keep: list[str])
     it; ``keep`` names the polygon columns wanted."""
     filed = cells.file_for_points(with_edges(polygons).select("edges", "bbox", *keep))
     hit = cells.point_cells(points).join(filed, "cell")
-    b = F.col("bbox")
-    boxed = hit.where(
-        F.col("lon").between(b["xmin"], b["xmax"]) & F.col("lat").between(b["ymin"], b["ymax"])
-    )
-    return boxed.where(G.contains(F.col("edges"), F.col("lon"), F.col("lat"))).drop("edges", "bbox", "cell")
+    boxed = "lon BETWEEN bbox.xmin AND bbox.xmax AND lat BETWEEN bbox.ymin AND bbox.ymax"
+    return hit.where(f"{boxed} AND {G.contains('edges', 'lon', 'lat')}").drop("edges", "bbox", "cell")
 
 
 def match_jurisdiction(points: DataFrame, jurisdictions: DataFrame) -> DataFrame:
@@ -69,12 +66,12 @@ def match_parcel(points: DataFrame, parcels: DataFrame, tolerance_m: float = TOL
     pad_y = tolerance_m / 110000.0
     pad_x = pad_y / max(0.01, math.cos(math.radians(72.0)))
     filed = cells.file_for_points(shapes, pad_x, pad_y)
-    x, y, e, b = F.col("lon"), F.col("lat"), F.col("edges"), F.col("bbox")
     pairs = cells.point_cells(points.select("jurisdiction_id", "lon", "lat")).join(filed, ["jurisdiction_id", "cell"])
     close = pairs.where(
-        x.between(b["xmin"] - pad_x, b["xmax"] + pad_x) & y.between(b["ymin"] - pad_y, b["ymax"] + pad_y)
+        f"lon BETWEEN bbox.xmin - {pad_x!r} AND bbox.xmax + {pad_x!r} AND lat BETWEEN bbox.ymin - {pad_y!r} AND bbox.ymax + {pad_y!r}"
     )
-    measured = close.withColumn("_d", F.when(G.contains(e, x, y), -1.0).otherwise(G.boundary_distance_m(e, x, y)))
+    gap = f"CASE WHEN {G.contains('edges', 'lon', 'lat')} THEN -1D ELSE {G.boundary_distance_m('edges', 'lon', 'lat')} END"
+    measured = close.withColumn("_d", F.expr(gap))
     # the tolerance is applied inside the aggregate: as a filter it would be pushed below the
     # measurement and evaluate it twice
     row = F.struct((F.col("_d") >= 0).alias("out"), F.greatest("_d", F.lit(0.0)).alias("d"), F.col("first").alias("p"))
@@ -97,16 +94,13 @@ def polygon_pairs(probes: DataFrame, filed: DataFrame, on: list[str], probe_key:
     """
     p = with_edges(probes.select(probe_key, "geom", *on))
     if area:
-        p = p.withColumn("parts", G.convex_parts(F.col("geom")))
+        p = p.withColumn("parts", F.expr(G.convex_parts("geom")))
     p = cells.probe_polygons(p.drop("geom")).alias("p")
     f = cells.file_for_polygons(with_edges(filed).select("geom", "edges", "bbox", *on, *[k for k in keep if k not in on])).alias("f")
-    cond = cells.same_pair_cell()
-    for c in on:
-        cond = cond & (F.col(f"p.{c}") == F.col(f"f.{c}"))
-    both = p.join(f, cond)
-    shared = G.overlap_area(F.col("p.parts"), F.col("f.piece")) if area else F.lit(0.0)
-    seen = both.select(
-        F.col(f"p.{probe_key}"), *[F.col(f"f.{k}") for k in keep], shared.alias("_a"), cells.meet_in_cell().alias("_hit")
+    cond = " AND ".join([cells.same_pair_cell(), *[f"p.{c} = f.{c}" for c in on]])
+    shared = G.overlap_area("p.parts", "f.piece") if area else "0D"
+    seen = p.join(f, F.expr(cond)).selectExpr(
+        f"p.{probe_key}", *[f"f.{k}" for k in keep], f"{shared} AS _a", f"{cells.meet_in_cell()} AS _hit"
     )
     return seen.groupBy(probe_key, *keep).agg(F.sum("_a").alias("overlap_area"), F.max("_hit").alias("_h")).where("_h").drop("_h")
 
@@ -145,7 +139,7 @@ def overlays_at_points(points: DataFrame, overlays: DataFrame) -> DataFrame:
     """Features covering a point, boundary included."""
     filed = cells.file_for_points(with_edges(overlays).select("edges", "bbox", "overlay_id", "overlay_type"))
     hit = cells.point_cells(points).join(filed, "cell")
-    return hit.where(G.covers(F.col("edges"), F.col("lon"), F.col("lat"))).drop("edges", "bbox", "cell")
+    return hit.where(G.covers("edges", "lon", "lat")).drop("edges", "bbox", "cell")
 
 
 def complete_overlays(keys: DataFrame, hits: DataFrame, overlays: DataFrame, key: list[str], expected: list[str] = C.EXPECTED_OVERLAYS) -> DataFrame:

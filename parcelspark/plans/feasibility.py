@@ -72,7 +72,7 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
         spatial.overlays_at_points(bare.select("lon", "lat", "place"), refs.overlays).select("place", "overlay_id", "overlay_type")
     )
     over = overlay_lists(placed.select("place").distinct(), hits, refs.overlays)
-    lot_info = lots.select("place", "apn", "area_sqft", G.centroid(F.col("geom")).alias("centroid"), "parcel_source")
+    lot_info = lots.select("place", "apn", "area_sqft", F.expr(G.centroid("geom")).alias("centroid"), "parcel_source")
     detail = placed.join(lot_info, "place", "left").join(zoned, "place", "left").join(over, "place", "left")
     return located.join(detail.drop("jurisdiction_id", "place"), ["lon", "lat"], "left")
 

@@ -50,8 +50,12 @@ def lat(v: Column) -> Column:
     return v / 1024.0 + 32.5
 
 
-def grid_box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return G.box(lon(x1), lat(y1), lon(x2), lat(y2))
+def grid_point(u: str, v: str) -> str:
+    return G.point(f"({u}) / 1024D - 124D", f"({v}) / 1024D + 32.5D")
+
+
+def grid_box(x1: str, y1: str, x2: str, y2: str) -> str:
+    return G.polygon(grid_point(x1, y1), grid_point(x2, y1), grid_point(x2, y2), grid_point(x1, y2), grid_point(x1, y1))
 
 
 def parcels(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,17 +63,14 @@ def parcels(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_partkey").alias("parcel_id"), (F.col("p_partkey") % 64).alias("gx"),
         F.floor(F.col("p_partkey") / 64).alias("gy"), "p_size",
     )
-    x, y = F.col("gx").cast("double"), F.col("gy").cast("double")
-    top = F.when(F.col("parcel_id") % 5 == 0, 0.75).otherwise(0.875)
-    pt = lambda u, v: G.point(lon(u), lat(v))
-    ring = [pt(x, y), pt(x + 0.875, y), pt(x + top, y + 0.875), pt(x, y + 0.875), pt(x, y)]
-    return p.select(
-        "parcel_id", F.col("parcel_id").cast("string").alias("apn"), F.floor(F.col("gx") / 8).alias("jurisdiction_id"),
-        "gx", "gy", G.polygon(*ring).alias("geom"),
-        F.lit("urn:gis:parcels").alias("source_url"), F.concat(F.lit("parcels/"), F.floor(F.col("gx") / 8).cast("string")).alias("source_layer"),
-        F.when(F.col("p_size") <= 2, "low").otherwise("high").alias("confidence"),
-        F.timestamp_micros(F.unix_micros(F.lit("2023-12-01").cast("timestamp")) + F.col("p_size") * F.lit(86400000000)).alias("last_verified_at"),
-    ).withColumn("area_sqft", G.area_m2(F.col("geom")) * V.SQFT_PER_SQM_BULK)
+    top = "gx + IF(parcel_id % 5 = 0, 0.75D, 0.875D)"
+    ring = [("gx", "gy"), ("gx + 0.875D", "gy"), (top, "gy + 0.875D"), ("gx", "gy + 0.875D"), ("gx", "gy")]
+    return p.selectExpr(
+        "parcel_id", "CAST(parcel_id AS string) AS apn", "gx div 8 AS jurisdiction_id", "gx", "gy",
+        f"{G.polygon(*[grid_point(u, v) for u, v in ring])} AS geom", "'urn:gis:parcels' AS source_url",
+        "concat('parcels/', gx div 8) AS source_layer", "IF(p_size <= 2, 'low', 'high') AS confidence",
+        "TIMESTAMP'2023-12-01' + make_interval(0, 0, 0, p_size) AS last_verified_at",
+    ).withColumn("area_sqft", F.expr(G.area_m2("geom")) * V.SQFT_PER_SQM_BULK)
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,15 +108,15 @@ def located(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jurisdictions(spark: SparkSession, sf: str) -> DataFrame:
-    k, n = F.col("n_nationkey"), rows_of_grid(spark, sf).cast("double")
-    x = k.cast("double") * 8
-    geom = F.when(k <= 7, grid_box(x, F.lit(0.0), x + 8, n)).when(k == 8, grid_box(F.lit(-1.0), F.lit(-1.0), F.lit(65.0), n + 2))
-    return table(spark, sf, "nation").select(
+    k = F.col("n_nationkey")
+    city, county = grid_box("n_nationkey * 8", "0", "n_nationkey * 8 + 8", "n"), grid_box("-1", "-1", "65", "n + 2")
+    return table(spark, sf, "nation").withColumn("n", rows_of_grid(spark, sf)).select(
         k.cast("long").alias("jurisdiction_id"), F.lower("n_name").alias("slug"), F.col("n_name").alias("name"),
         F.when(k == 8, "county").otherwise("city").alias("jurisdiction_type"),
         F.when(k == 8, "planned").otherwise(choose(COVER, k % 4)).alias("coverage_status"),
-        F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + k * F.lit(86400000000)).alias("last_source_refresh_at"),
-        geom.alias("geom"), F.col("n_regionkey").cast("long").alias("region"),
+        F.expr("TIMESTAMP'2024-01-01' + make_interval(0, 0, 0, n_nationkey)").alias("last_source_refresh_at"),
+        F.expr(f"CASE WHEN n_nationkey <= 7 THEN {city} WHEN n_nationkey = 8 THEN {county} END").alias("geom"),
+        F.col("n_regionkey").cast("long").alias("region"),
     )
 
 
@@ -124,26 +125,25 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "part").groupBy(
         F.floor(F.col("p_partkey") % 64 / 4).alias("tx"), F.floor(F.col("p_partkey") / 256).alias("ty")
     ).agg(F.count("*").alias("n_parcels"))
-    x, y = F.col("tx").cast("double") * 4, F.col("ty").cast("double") * 4
     code = choose(ZONE_CODES, (F.col("tx") + F.col("ty") * 3) % 8)
     zid = F.col("tx") + F.col("ty") * 16
     return t.select(
         zid.alias("zone_id"), F.floor(F.col("tx") / 2).alias("jurisdiction_id"), code.alias("zone_code"),
         F.concat(F.lit("Block "), zid.cast("string")).alias("zone_name"), F.substring(code, 1, 1).alias("zone_category"),
-        grid_box(x - 0.5, y, x + 3.5, y + 4).alias("geom"), "n_parcels", F.lit("urn:gis:zoning").alias("source_url"), F.lit("zoning/0").alias("source_layer"),
+        F.expr(grid_box("tx * 4 - 0.5D", "ty * 4", "tx * 4 + 3.5D", "ty * 4 + 4")).alias("geom"), "n_parcels", F.lit("urn:gis:zoning").alias("source_url"), F.lit("zoning/0").alias("source_layer"),
         F.lit("high").alias("confidence"), F.lit("2024-01-15").cast("timestamp").alias("last_verified_at"),
     )
 
 
 def overlays(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("s_suppkey")
-    a, b = (s * 37 % 64).cast("double"), (s * 53 % rows_of_grid(spark, sf)).cast("double")
+    square = grid_box("s_suppkey * 37 % 64", "s_suppkey * 53 % n", "s_suppkey * 37 % 64 + 3", "s_suppkey * 53 % n + 3")
     kind, fifth = choose(TYPES, s % 5), F.floor(s / 5)
     des = F.when(s % 5 == 0, choose(FLOOD, fifth % 8)).when(s % 5 == 1, choose(FIRE, fifth % 4)).otherwise(F.concat(F.lit("H"), (s % 7).cast("string")))
     raw = F.when((s % 5 == 0) & (fifth % 2 == 0) & des.isNotNull(), F.create_map(F.lit("FLD_ZONE"), des))
-    return table(spark, sf, "supplier").select(
+    return table(spark, sf, "supplier").withColumn("n", rows_of_grid(spark, sf)).select(
         s.alias("overlay_id"), kind.alias("overlay_type"), F.concat(kind, F.lit(" "), s.cast("string")).alias("name"), des.alias("designation"),
-        s.cast("string").alias("raw_feature_id"), raw.alias("raw_value"), grid_box(a, b, a + 3, b + 3).alias("geom"),
+        s.cast("string").alias("raw_feature_id"), raw.alias("raw_value"), F.expr(square).alias("geom"),
         F.lit("urn:gis:overlays").alias("source_url"), F.concat(F.lit("overlays/"), kind).alias("source_layer"), F.lit("high").alias("confidence"),
     )
 

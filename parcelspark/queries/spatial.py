@@ -26,25 +26,24 @@ _EXTRA = {"vx": _VX, "alb": _ALBERS, "xy": _XY}
 def geojson_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     # an unclosed ring with a repeated point is repaired on the way in
     p = D.parcels(spark, sf)
-    open_ring = F.transform("geom", lambda poly: F.transform(poly, lambda r: F.concat(F.slice(r, 1, 1), F.slice(r, 1, 4))))
-    g = p.select("parcel_id", G.from_geojson(G.to_geojson(open_ring)).alias("g"))
-    ring = F.get(F.get(F.col("g"), F.lit(0)), F.lit(0))
-    b = G.bbox(G.edges(F.col("g")))
-    return g.select("parcel_id", F.size("g").alias("polygons"), F.size(ring).alias("points"), G.is_valid(F.col("g")).alias("valid"), b["xmin"].alias("xmin"), b["ymin"].alias("ymin"))
+    open_ring = "transform(geom, p -> transform(p, r -> concat(slice(r, 1, 1), slice(r, 1, 4))))"
+    g = p.selectExpr("parcel_id", f"{G.to_geojson(open_ring)} AS j").selectExpr("parcel_id", f"{G.from_geojson('j')} AS g")
+    return g.selectExpr(
+        "parcel_id", "size(g) AS polygons", "size(g[0][0]) AS points", f"{G.is_valid('g')} AS valid", f"{G.bbox(G.edges('g'))} AS b"
+    ).selectExpr("parcel_id", "polygons", "points", "valid", "b.xmin", "b.ymin")
 
 
 @query("g02_centroid", with_tables("""SELECT parcel_id, round((gx + CASE WHEN wt = 0.875 THEN 0.4375e0
     ELSE (0.875 * 0.875 + 0.875 * wt + wt * wt) / (3 * (0.875 + wt)) END) / 1024 - 124, 9) AS cx,
   round((gy + CASE WHEN wt = 0.875 THEN 0.4375e0 ELSE 0.875 / 3 * (0.875 + 2 * wt) / (0.875 + wt) END) / 1024 + 32.5, 9) AS cy FROM pc"""))
 def centroid(spark: SparkSession, sf: str) -> DataFrame:
-    c = G.centroid(F.col("geom"))
-    return D.parcels(spark, sf).select("parcel_id", F.round(c["x"], 9).alias("cx"), F.round(c["y"], 9).alias("cy"))
+    return D.parcels(spark, sf).selectExpr("parcel_id", f"{G.centroid('geom')} AS c").selectExpr("parcel_id", "round(c.x, 9) AS cx", "round(c.y, 9) AS cy")
 
 
 @query("g03_area_equal_area", with_tables("""SELECT a.parcel_id, round(abs(sum((a.px - o.px) * (b.py - o.py) - (b.px - o.px) * (a.py - o.py))) / 2, 2) AS area_m2
   FROM xy a JOIN xy b ON a.parcel_id = b.parcel_id AND b.i = a.i % 4 + 1 JOIN xy o ON o.parcel_id = a.parcel_id AND o.i = 1 GROUP BY 1""", **_EXTRA))
 def area_equal_area(spark: SparkSession, sf: str) -> DataFrame:
-    return D.parcels(spark, sf).select("parcel_id", F.round(G.area_m2(F.col("geom")), 2).alias("area_m2"))
+    return D.parcels(spark, sf).selectExpr("parcel_id", f"round({G.area_m2('geom')}, 2) AS area_m2")
 
 
 @query("g04_bbox", with_tables("""SELECT zone_id, x1 / 1024 - 124 AS xmin, y1 / 1024 + 32.5 AS ymin, x2 / 1024 - 124 AS xmax, y2 / 1024 + 32.5 AS ymax FROM zn"""))
@@ -68,8 +67,8 @@ def distance_m(spark: SparkSession, sf: str) -> DataFrame:
     pad = 0.0012
     filed = cells.file_for_points(spatial.with_edges(D.parcels(spark, sf)).select("jurisdiction_id", "parcel_id", "edges", "bbox"), pad, pad)
     pairs = cells.point_cells(req).join(filed, ["jurisdiction_id", "cell"])
-    d = G.distance_m(F.col("edges"), F.col("lon"), F.col("lat"))
-    return pairs.select("request_id", "parcel_id", d.alias("d")).where("d <= 60").select("request_id", "parcel_id", F.round("d", 4).alias("distance_m"))
+    d = G.distance_m("edges", "lon", "lat")
+    return pairs.selectExpr("request_id", "parcel_id", f"{d} AS d").where("d <= 60").select("request_id", "parcel_id", F.round("d", 4).alias("distance_m"))
 
 
 @query("g07_polygon_intersects", with_tables("SELECT parcel_id, overlay_id FROM po"))
