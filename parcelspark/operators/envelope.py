@@ -123,7 +123,7 @@ LIMITS = [
 
 def compact_number(c: Column) -> Column:
     """Shortest decimal text of a setback, without a trailing ``.0``."""
-    return F.regexp_replace(F.regexp_replace(F.format_number(c, "0.######"), ",", ""), r"\.$", "")
+    return F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", "")
 
 
 def envelope_block(area_m2: Column, inset_ft: Column) -> Column:

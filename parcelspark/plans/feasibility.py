@@ -13,6 +13,7 @@ from parcelspark.functions import text as T
 from parcelspark.functions import values as V
 from parcelspark.operators import envelope as E
 from parcelspark.operators import geocode, rules, spatial
+from parcelspark.session import cut
 
 SOURCE_T = (
     "struct<source_url:string,source_title:string,source_section:string,source_layer:string,"
@@ -52,29 +53,30 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
         ).cast(SOURCE_T).alias("jurisdiction_source"),
     )
     located = spatial.match_jurisdiction(points, refs.jurisdictions).join(jur, "jurisdiction_id")
-    live = located.where("coverage_status = 'production'").select("jurisdiction_id", "lon", "lat")
-    matched = spatial.match_parcel(live, refs.parcels)
-    placed = live.join(matched, ["jurisdiction_id", "lon", "lat"], "left").withColumn("place", place)
+    matched = spatial.match_parcel(located.where("coverage_status = 'production'"), refs.parcels)
+    placed = located.join(matched, ["jurisdiction_id", "lon", "lat"], "left").withColumn("place", place)
+    placed = cut(placed)
+    live = placed.where("coverage_status = 'production'")
 
-    used = placed.where("parcel_id IS NOT NULL").select("parcel_id", "place").distinct()
+    used = live.where("parcel_id IS NOT NULL").select("parcel_id", "place").distinct()
     lots = refs.parcels.select(
         "jurisdiction_id", "parcel_id", "apn", "area_sqft", "geom", rules.source("Parcel GIS layer", have=set(refs.parcels.columns)).cast(SOURCE_T).alias("parcel_source")
     ).join(used, "parcel_id")
-    bare = placed.where("parcel_id IS NULL").select("jurisdiction_id", "lon", "lat", "place")
+    bare = live.where("parcel_id IS NULL").select("jurisdiction_id", "lon", "lat", "place")
 
-    zone_pairs = spatial.match_zones(lots, refs.zones).join(used, "parcel_id").select("place", "zone_id", "zone_code", "overlap_area").unionByName(
+    named = lambda pairs: pairs.withColumn("place", F.concat(F.lit("p:"), F.col("parcel_id").cast("string")))
+    zone_pairs = named(spatial.match_zones(lots, refs.zones)).select("place", "zone_id", "zone_code", "overlap_area").unionByName(
         spatial.zones_at_points(bare, refs.zones).select("place", "zone_id", "zone_code", "overlap_area")
     )
     zone_info = refs.zones.select("zone_id", "zone_name", rules.source("Zoning districts GIS layer", have=set(refs.zones.columns)).cast(SOURCE_T).alias("zone_source"))
     zoned = spatial.zone_choice(zone_pairs, ["place"]).join(zone_info, "zone_id")
 
-    hits = spatial.match_overlays(lots, refs.overlays).join(used, "parcel_id").select("place", "overlay_id", "overlay_type").unionByName(
+    hits = named(spatial.match_overlays(lots, refs.overlays)).select("place", "overlay_id", "overlay_type").unionByName(
         spatial.overlays_at_points(bare.select("lon", "lat", "place"), refs.overlays).select("place", "overlay_id", "overlay_type")
     )
-    over = overlay_lists(placed.select("place").distinct(), hits, refs.overlays)
+    over = overlay_lists(live.select("place").distinct(), hits, refs.overlays)
     lot_info = lots.select("place", "apn", "area_sqft", F.expr(G.centroid("geom")).alias("centroid"), "parcel_source")
-    detail = placed.join(lot_info, "place", "left").join(zoned, "place", "left").join(over, "place", "left")
-    return located.join(detail.drop("jurisdiction_id", "place"), ["lon", "lat"], "left")
+    return cut(placed.join(lot_info, "place", "left").join(zoned, "place", "left").join(over, "place", "left").drop("place"))
 
 
 def overlay_lists(keys: DataFrame, hits: DataFrame, overlays: DataFrame) -> DataFrame:

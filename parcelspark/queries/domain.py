@@ -296,7 +296,7 @@ CTE: dict[str, str] = {
     "at0": f"""SELECT *, l_partkey % {len(C.FIELD_CATALOG)} + 1 AS idx FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey,
         l_partkey % {len(C.FIELD_CATALOG)} ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC,
         l_returnflag DESC, l_shipdate DESC) = 1""",
-    "at": f"""SELECT l_suppkey AS rule_id, {_NAMES}[idx] AS field_name, CASE WHEN {_DTYPES}[idx] = 'numeric' THEN
+    "atr": f"""SELECT l_suppkey AS rule_id, {_NAMES}[idx] AS field_name, CASE WHEN {_DTYPES}[idx] = 'numeric' THEN
         CASE {_UNITS}[idx] WHEN 'sqft' THEN round(l_extendedprice / 50) WHEN 'ratio' THEN l_discount * 10 ELSE l_quantity END END AS num,
         CASE WHEN {_DTYPES}[idx] = 'boolean' THEN l_returnflag = 'R' END AS bool,
         CASE WHEN l_linenumber < 7 AND {_KINDS}[idx] <> 'informational' THEN CASE {_KINDS}[idx] WHEN 'conditional' THEN 'eq' ELSE {_KINDS}[idx] END END AS operator,

@@ -1 +1,267 @@
+"""The whole feasibility job and the parts that need its joins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parcelspark import catalogs as C
+from parcelspark.functions import values as V
+from parcelspark.operators import envelope, rules
+from parcelspark.plans import feasibility as P
+from parcelspark.queries import domain as D
+from parcelspark.queries.domain import CTE, with_tables
+from parcelspark.queries.registry import query
+
+_FLAG = f"""CASE WHEN l_field IS NULL OR b_field IS NULL THEN 'not_applicable'
+  WHEN (l_num IS NULL AND l_bool IS NULL) OR b_json IS NOT NULL THEN 'needs_review'
+  WHEN op IN ('floor', 'gte') THEN CASE WHEN l_num IS NULL OR b_num IS NULL THEN 'needs_review' WHEN l_num >= b_num THEN '{C.MATCHES}' ELSE '{C.RESTRICTIVE}' END
+  WHEN op IN ('ceiling', 'lte') THEN CASE WHEN l_num IS NULL OR b_num IS NULL THEN 'needs_review' WHEN l_num <= b_num THEN '{C.MATCHES}' ELSE '{C.RESTRICTIVE}' END
+  WHEN op IN ('must_equal', 'eq') THEN CASE WHEN coalesce(l_num, CAST(l_bool AS INT)) = coalesce(b_num, CAST(b_bool AS INT)) THEN '{C.MATCHES}' WHEN op = 'eq' THEN 'needs_review' ELSE '{C.RESTRICTIVE}' END
+  ELSE 'needs_review' END"""
+_FOUND = f"""SELECT *, {_FLAG} AS flag FROM (SELECT coalesce(l.jurisdiction_id, b.jurisdiction_id) AS jurisdiction_id, coalesce(l.zone_code, b.zone_code) AS zone_code,
+    coalesce(l.project_type, b.project_type) AS project_type, coalesce(l.field_name, b.field_name) AS field_name, l.field_name AS l_field, b.field_name AS b_field,
+    l.num AS l_num, l.bool AS l_bool, b.num AS b_num, b.bool AS b_bool, b.json AS b_json, coalesce(l.operator, b.operator) AS op, b.unit, b.citation,
+    l.l_linenumber, l.last_verified_at, l.rule_id
+  FROM (SELECT ctx.*, atr.* FROM ctx JOIN cr ON cr.jurisdiction_id = ctx.jurisdiction_id AND upper(cr.zone_code) = upper(ctx.zone_code) AND cr.project_type = ctx.project_type JOIN atr USING (rule_id)) l
+  FULL JOIN (SELECT ctx.*, bl.* FROM ctx JOIN bl ON list_contains(bl.applies_to, ctx.project_type)) b
+  ON l.jurisdiction_id = b.jurisdiction_id AND coalesce(l.zone_code, '~') = coalesce(b.zone_code, '~') AND l.project_type = b.project_type AND l.field_name = b.field_name)"""
+# every request with its place, zone and hazards
+_PLACE = """SELECT rj.*, c_acctbal >= -800 AS geo, c_acctbal >= -800 AND rj.jurisdiction_id IS NOT NULL AS placed,
+    c_acctbal >= -800 AND coalesce(coverage_status = 'production', false) AS live, pm.parcel_id AS pid, pm.inside FROM rj LEFT JOIN pm USING (request_id)"""
+_PZ1 = """SELECT parcel_id, first(zone_code ORDER BY units DESC, zone_code, zone_id) AS zone_code, count(DISTINCT zone_code) > 1 AS amb,
+    string_agg(DISTINCT zone_code, ', ' ORDER BY zone_code) AS codes FROM pz GROUP BY 1"""
+_PO1 = "SELECT parcel_id, count(*) AS hits, bool_or(overlay_type IN ('flood','fire','coastal','hillside') AND severity <> 'info') AS hazard, bool_or(overlay_type = 'flood') AS fl, bool_or(overlay_type = 'fire') AS fi FROM po GROUP BY 1"
+_XO1 = """SELECT request_id, count(*) AS hits, bool_or(overlay_type IN ('flood','fire','coastal','hillside') AND severity <> 'info') AS hazard, bool_or(overlay_type = 'flood') AS fl, bool_or(overlay_type = 'fire') AS fi
+  FROM place JOIN ovs ON u >= x1 AND u <= x2 AND v >= y1 AND v <= y2 WHERE live AND pid IS NULL GROUP BY 1"""
+_XZ1 = """SELECT request_id, first(zn.zone_code ORDER BY zn.zone_code, zone_id) AS zone_code, count(DISTINCT zn.zone_code) > 1 AS amb, string_agg(DISTINCT zn.zone_code, ', ' ORDER BY zn.zone_code) AS codes
+  FROM place JOIN zn ON place.jurisdiction_id = zn.jurisdiction_id AND u > x1 AND u < x2 AND v > y1 AND v < y2 WHERE live AND pid IS NULL GROUP BY 1"""
+_AT = """SELECT place.request_id, project_type, bedrooms, near_transit, include_envelope, geo, placed, live, slug, coverage_status, pid, inside, place.jurisdiction_id, u, v, c_nationkey, consumer_id,
+    CASE WHEN live THEN coalesce(pz1.zone_code, xz1.zone_code) END AS zone_code, live AND coalesce(pz1.amb, xz1.amb, false) AS amb, coalesce(pz1.codes, xz1.codes) AS codes,
+    live AND coalesce(po1.hazard, xo1.hazard, false) AS hazard, coalesce(po1.hits, xo1.hits, 0) AS hits, coalesce(po1.fl, xo1.fl, false) AS fl, coalesce(po1.fi, xo1.fi, false) AS fi,
+    coalesce(pc.confidence = 'low', false) AS low
+  FROM place LEFT JOIN pc ON pc.parcel_id = pid AND live LEFT JOIN pz1 ON pz1.parcel_id = pid AND live LEFT JOIN po1 ON po1.parcel_id = pid AND live
+  LEFT JOIN xz1 ON xz1.request_id = place.request_id LEFT JOIN xo1 ON xo1.request_id = place.request_id"""
+_CTX = "SELECT DISTINCT jurisdiction_id, zone_code, project_type FROM site WHERE live"
+_SUM = """SELECT jurisdiction_id, zone_code, project_type, count(*) AS n, count(l_field) AS n_local,
+    bool_or(flag IN ('needs_review', 'possibly_more_restrictive_than_state_baseline')) AS conflict FROM found GROUP BY 1, 2, 3"""
+_FLAT = """SELECT site.*, coalesce(cr.review_status = 'verified', false) AS has_local, coalesce(n, 0) AS n, coalesce(n_local, 0) AS n_local, coalesce(conflict, false) AS conflict,
+    CASE WHEN site.zone_code IS NULL THEN NULL WHEN regexp_matches(site.zone_code, '^(R1|RS|RE|RA|RW1|RD)') THEN true WHEN regexp_matches(site.zone_code, '^(C|M|R2|R3|R4|R5|RAS)') THEN false END AS single
+  FROM site LEFT JOIN sums ON site.live AND site.jurisdiction_id = sums.jurisdiction_id AND coalesce(site.zone_code, '~') = coalesce(sums.zone_code, '~') AND site.project_type = sums.project_type
+  LEFT JOIN cr ON site.live AND cr.jurisdiction_id = site.jurisdiction_id AND upper(cr.zone_code) = upper(site.zone_code) AND cr.project_type = site.project_type"""
+_PATHED = """SELECT *, CASE WHEN zone_code IS NULL THEN 'insufficient_data' WHEN project_type LIKE 'sb9%' THEN
+      CASE WHEN single IS NULL THEN 'needs_professional_review' WHEN single THEN 'conditional' ELSE 'likely_ineligible' END
+    WHEN has_local THEN 'likely_eligible' ELSE 'conditional' END AS path FROM flat"""
+# every parcel of the grid keeps some area after any setback of at most 50 ft
+_DONE = """SELECT *, CASE WHEN NOT placed THEN 'insufficient_data' WHEN NOT live THEN NULL WHEN pid IS NULL OR zone_code IS NULL OR low THEN 'insufficient_data'
+    WHEN amb OR conflict OR include_envelope OR path = 'needs_professional_review' THEN 'needs_professional_review'
+    WHEN hazard OR path IN ('conditional', 'likely_ineligible') THEN 'likely_constrained' ELSE 'likely_feasible' END AS status FROM pathed"""
+TABLES = {
+    "place": _PLACE, "pz1": _PZ1, "po1": _PO1, "xo1": _XO1, "xz1": _XZ1, "site": _AT, "ctx": _CTX, "found": _FOUND, "sums": _SUM,
+    "flat": _FLAT, "pathed": _PATHED, "done": _DONE,
+}
+
+
+def results(spark: SparkSession, sf: str) -> DataFrame:
+    return P.feasibility(D.ask(spark, sf), D.refs(spark, sf), D.AS_OF)
+
+
+@query("r17_feasibility", with_tables("""SELECT request_id, CASE WHEN placed AND NOT live THEN 'unsupported_coverage' ELSE 'completed' END AS kind, status AS feasibility_status,
+    coalesce(status <> 'insufficient_data', false) AS billable, CASE WHEN placed THEN slug ELSE 'unknown' END AS jurisdiction_slug, CASE WHEN live THEN pid END AS parcel_id,
+    CASE WHEN live AND pid IS NOT NULL THEN CASE WHEN inside THEN 'st_contains' ELSE 'st_intersects' END END AS match_method, zone_code, amb AS cross_zone_ambiguity,
+    hazard AS hazard_hit, live AND has_local AS has_local_rules, path AS path_status, CASE WHEN live THEN n END AS findings,
+    CASE WHEN live THEN hits + CASE WHEN fl THEN 0 ELSE 1 END + CASE WHEN fi THEN 0 ELSE 1 END END AS overlays FROM done""", **TABLES))
+def feasibility(spark: SparkSession, sf: str) -> DataFrame:
+    return results(spark, sf).select(
+        "request_id", "kind", "feasibility_status", "billable", "jurisdiction_slug", "parcel_id", "match_method", "zone_code", "cross_zone_ambiguity",
+        "hazard_hit", "has_local_rules", "path_status", F.size("findings").alias("findings"), F.size("overlays").alias("overlays"),
+    )
+
+
+@query("r17_status_counts", with_tables("""SELECT coalesce(status, 'unsupported_coverage') AS outcome, project_type, count(*) AS requests,
+    count(*) FILTER (WHERE status <> 'insufficient_data') AS billable FROM done GROUP BY 1, 2""", **TABLES))
+def status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    r = results(spark, sf)
+    return r.groupBy(F.coalesce("feasibility_status", "kind").alias("outcome"), "project_type").agg(
+        F.count("*").alias("requests"), F.count_if("billable").alias("billable")
+    )
+
+
+@query("r05_status_precedence", with_tables("SELECT request_id, status FROM done WHERE live", **TABLES))
+def status_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    return results(spark, sf).where("kind = 'completed' AND jurisdiction_slug <> 'unknown'").select("request_id", F.col("feasibility_status").alias("status"))
+
+
+@query("r04_path_reason", with_tables("""SELECT request_id, path AS status, CASE WHEN zone_code IS NULL THEN 'Zoning could not be resolved for this parcel.'
+    WHEN path = 'likely_ineligible' THEN 'SB 9 applies in single-family residential zones; this parcel''s zone (' || zone_code || ') does not appear to be single-family. Verify.'
+    WHEN path = 'needs_professional_review' THEN 'SB 9 eligibility depends on single-family zoning and several site conditions that could not be confirmed automatically.'
+    WHEN project_type LIKE 'sb9%' THEN 'Parcel appears to be single-family zoned. SB 9 has additional ministerial conditions (lot history, tenancy, environmental) that require verification.'
+    WHEN has_local THEN 'State ADU law and the local ordinance both permit this project type in this zone, subject to the constraints listed.'
+    ELSE 'California state ADU law permits this project type statewide; the local ordinance detail for ' || zone_code || ' has not yet been ingested, so specific limits are shown from the state baseline.' END AS reason
+    FROM pathed WHERE live""", **TABLES))
+def path_reason(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.get(F.col("result.eligible_paths"), F.lit(0))
+    return results(spark, sf).where("kind = 'completed' AND jurisdiction_slug <> 'unknown'").select("request_id", path["status"].alias("status"), path["reason"].alias("reason"))
+
+
+@query("r07_low_confidence", with_tables("SELECT request_id, low OR NOT geo AS low_confidence FROM site", **TABLES))
+def low_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    low = (F.col("geocode_confidence") == "low") | F.coalesce(F.col("result.parcel.provenance.confidence") == "low", F.lit(False))
+    return results(spark, sf).select("request_id", low.alias("low_confidence"))
+
+
+@query("r12_limitations", with_tables("""SELECT request_id, concat_ws(',', CASE WHEN NOT geo THEN 'geocode_failed' END, CASE WHEN geo AND NOT placed THEN 'jurisdiction_unresolved' END,
+    CASE WHEN live AND pid IS NULL THEN 'parcel_unmatched' END, CASE WHEN amb THEN 'cross_zone_ambiguity' END, CASE WHEN live AND zone_code IS NULL THEN 'zoning_unresolved' END,
+    CASE WHEN live AND include_envelope AND pid IS NOT NULL THEN 'envelope_orientation_unknown' END, CASE WHEN live AND include_envelope AND pid IS NULL THEN 'envelope_unavailable_no_parcel' END) AS codes,
+    coalesce(CASE WHEN amb THEN 'The parcel intersects more than one zoning district (' || codes || '); the primary zone was used. Verify.' END, '') AS zone_text,
+    CASE WHEN live THEN CAST(near_transit AS INT) + CAST(NOT has_local AS INT) ELSE 0 END AS assumptions FROM done WHERE NOT placed OR live""", **TABLES))
+def limitations(spark: SparkSession, sf: str) -> DataFrame:
+    amb = F.get(F.filter("limitations", lambda x: x["code"] == "cross_zone_ambiguity"), F.lit(0))["text"]
+    return results(spark, sf).where("kind = 'completed'").select(
+        "request_id", F.array_join(F.transform("limitations", lambda x: x["code"]), ",").alias("codes"), F.coalesce(amb, F.lit("")).alias("zone_text"),
+        F.size("result.assumptions").alias("assumptions"),
+    )
+
+
+@query("r06_constraints", with_tables(f"""SELECT request_id,
+    max(CASE WHEN field_name = hf THEN coalesce(l_num, CASE WHEN l_field IS NULL THEN b_num END) END) AS max_height_ft, max(CASE WHEN field_name = hf THEN b_num END) AS height_baseline,
+    max(CASE WHEN field_name = hf THEN CASE flag WHEN '{C.MATCHES}' THEN 'compliant' WHEN 'not_applicable' THEN NULL ELSE flag END END) AS height_flag,
+    max(CASE WHEN field_name = sf THEN coalesce(l_num, CASE WHEN l_field IS NULL THEN b_num END) END) AS max_size_sqft,
+    max(CASE WHEN field_name = 'side_rear_setback_min_ft' THEN coalesce(l_num, CASE WHEN l_field IS NULL THEN b_num END) END) AS setback_ft,
+    max(CASE WHEN field_name = 'parking_required' THEN coalesce(l_bool, CASE WHEN l_field IS NULL THEN b_bool END) END) AS parking,
+    bool_or(field_name = 'front_setback_restriction') AS has_front, bool_or(field_name = CASE WHEN project_type = 'jadu' THEN 'owner_occupancy_required_jadu' ELSE 'owner_occupancy_required_adu' END) AS has_occupancy
+    FROM (SELECT done.request_id, found.*, CASE WHEN found.project_type = 'attached_adu' THEN 'max_height_attached_ft' WHEN near_transit THEN 'max_height_near_transit_ft' ELSE 'max_height_detached_standard_ft' END AS hf,
+      CASE WHEN bedrooms >= 2 THEN 'max_size_sqft_2br' ELSE 'max_size_sqft_1br' END AS sf FROM done JOIN found ON done.live AND done.jurisdiction_id = found.jurisdiction_id
+      AND coalesce(done.zone_code, '~') = coalesce(found.zone_code, '~') AND done.project_type = found.project_type) GROUP BY request_id""", **TABLES))
+def constraints(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("result.development_constraints")
+    return results(spark, sf).where("kind = 'completed' AND jurisdiction_slug <> 'unknown'").select(
+        "request_id", d["max_height_ft"]["value"].alias("max_height_ft"), d["max_height_ft"]["state_baseline"].alias("height_baseline"),
+        d["max_height_ft"]["compliance_flag"].alias("height_flag"), d["max_size_sqft"]["value"].alias("max_size_sqft"), d["rear_setback_ft"]["value"].alias("setback_ft"),
+        d["parking_required"]["value"].alias("parking"), d["front_setback_ft"].isNotNull().alias("has_front"), d["owner_occupancy_required"].isNotNull().alias("has_occupancy"),
+    )
+
+
+@query("r11_envelope", with_tables("""SELECT request_id, true AS available, coalesce(max(CASE WHEN field_name = 'side_rear_setback_min_ft' THEN coalesce(l_num, CASE WHEN l_field IS NULL THEN b_num END) END), 4) AS inset_ft
+    FROM done JOIN found ON done.live AND done.jurisdiction_id = found.jurisdiction_id AND coalesce(done.zone_code, '~') = coalesce(found.zone_code, '~') AND done.project_type = found.project_type
+    WHERE include_envelope AND pid IS NOT NULL GROUP BY 1""", **TABLES))
+def envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("result.approximate_envelope")
+    ft = F.regexp_extract(e["method"], r"\(([0-9.]+) ft\)", 1).cast("double")
+    return results(spark, sf).where(e.isNotNull()).select("request_id", e["available"].alias("available"), ft.alias("inset_ft"))
+
+
+@query("io12_findings", with_tables("""SELECT request_id, 'constraint' AS finding_type, found.field_name, flag AS compliance_flag,
+    CAST(row_number() OVER (PARTITION BY request_id ORDER BY l_field IS NULL, found.field_name) - 1 AS INTEGER) AS sort_order,
+    CASE WHEN l_field IS NULL THEN 'High' ELSE 'Local' END AS origin
+    FROM done JOIN found ON done.live AND done.jurisdiction_id = found.jurisdiction_id AND coalesce(done.zone_code, '~') = coalesce(found.zone_code, '~') AND done.project_type = found.project_type""", **TABLES))
+def findings(spark: SparkSession, sf: str) -> DataFrame:
+    f = P.analysis_findings(results(spark, sf)).where("finding_type = 'constraint'")
+    return f.select("request_id", "finding_type", "field_name", "compliance_flag", "sort_order", F.when(F.startswith("source_url", F.lit("urn:code")), "Local").otherwise("High").alias("origin"))
+
+
+@query("io12_overlay_findings", with_tables("""SELECT request_id, CAST(hits + CASE WHEN fl THEN 0 ELSE 1 END + CASE WHEN fi THEN 0 ELSE 1 END AS BIGINT) AS overlay_findings FROM done WHERE live""", **TABLES))
+def overlay_findings(spark: SparkSession, sf: str) -> DataFrame:
+    f = P.analysis_findings(results(spark, sf)).where("finding_type = 'overlay'")
+    return f.groupBy("request_id").agg(F.count("*").alias("overlay_findings"))
+
+
+@query("io12_analyses", with_tables("""SELECT request_id, status AS feasibility_status, coalesce(status <> 'insufficient_data', false) AS billed, CASE WHEN placed THEN coverage_status END AS coverage_status,
+    CASE WHEN live THEN pid END AS parcel_id FROM done WHERE NOT placed OR live""", **TABLES))
+def analyses(spark: SparkSession, sf: str) -> DataFrame:
+    return P.analyses(results(spark, sf), D.AS_OF).select("request_id", "feasibility_status", "billed", "coverage_status", "parcel_id")
+
+
+@query("a05_distinct_sources", with_tables("""SELECT done.request_id, 2 + CASE WHEN pid IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN done.zone_code IS NOT NULL THEN 1 ELSE 0 END + coalesce(ot.n, 0) + coalesce(fs.n, 0) AS sources,
+    coalesce(strftime(greatest(TIMESTAMP '2024-01-01' + to_days(CAST(done.jurisdiction_id AS INTEGER)), CASE WHEN pid IS NOT NULL THEN TIMESTAMP '2023-12-01' + to_days(p_size) END,
+      CASE WHEN done.zone_code IS NOT NULL THEN TIMESTAMP '2024-01-15' END, fs.last), '%Y-%m-%dT%H:%M:%S+00:00'), '') AS data_as_of FROM done
+    LEFT JOIN pc ON pc.parcel_id = pid
+    LEFT JOIN (SELECT request_id, count(DISTINCT overlay_type) AS n FROM (SELECT request_id, overlay_type FROM done JOIN po ON po.parcel_id = pid UNION ALL SELECT request_id, overlay_type FROM done JOIN ovs ON pid IS NULL AND u >= x1 AND u <= x2 AND v >= y1 AND v <= y2) GROUP BY 1) ot ON ot.request_id = done.request_id
+    LEFT JOIN (SELECT request_id, count(DISTINCT CASE WHEN l_field IS NOT NULL THEN rule_id || '/' || l_linenumber ELSE citation END) AS n, max(last_verified_at) AS last FROM done JOIN found
+      ON done.jurisdiction_id = found.jurisdiction_id AND coalesce(done.zone_code, '~') = coalesce(found.zone_code, '~') AND done.project_type = found.project_type GROUP BY 1) fs ON fs.request_id = done.request_id
+    WHERE live""", **TABLES))
+def distinct_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return results(spark, sf).where("kind = 'completed' AND jurisdiction_slug <> 'unknown'").select(
+        "request_id", F.size("result.sources").cast("long").alias("sources"), F.coalesce("result.freshness.data_as_of", F.lit("")).alias("data_as_of")
+    )
+
+
+@query("a06_data_as_of", with_tables("""SELECT count(*) AS results, count(*) FILTER (WHERE live) AS dated FROM done WHERE NOT placed OR live""", **TABLES))
+def data_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    r = results(spark, sf).where("kind = 'completed'")
+    return r.agg(F.count("*").alias("results"), F.count("result.freshness.data_as_of").alias("dated"))
+
+
+@query("w09_path_sources", with_tables("""SELECT done.request_id, least(6, count(*) FILTER (WHERE regexp_matches(found.field_name, '^(max_|parking|owner|sb9|jadu)'))) AS path_sources
+    FROM done JOIN found ON live AND done.jurisdiction_id = found.jurisdiction_id AND coalesce(done.zone_code, '~') = coalesce(found.zone_code, '~') AND done.project_type = found.project_type GROUP BY 1""", **TABLES))
+def path_sources(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.get(F.col("result.eligible_paths"), F.lit(0))
+    return results(spark, sf).where("kind = 'completed' AND jurisdiction_slug <> 'unknown'").select("request_id", F.size(path["sources"]).cast("long").alias("path_sources"))
+
+
+@query("q05_version_stamps", with_tables(f"""SELECT '{C.ANALYSIS_VERSION}' AS analysis_version, '{C.RULES_VERSION}' AS rules_version, '{C.STATE_BASELINE_VERSION}' AS baseline_version,
+    sha256('{C.DISCLAIMER}') AS disclaimer_hash, '2024-01-31T00:00:00+00:00' AS generated_at, count(*) AS results FROM done WHERE NOT placed OR live""", **TABLES))
+def version_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    f = F.col("result.freshness")
+    return results(spark, sf).where("kind = 'completed'").groupBy(
+        f["analysis_version"].alias("analysis_version"), f["rules_version"].alias("rules_version"), f["state_baseline_version"].alias("baseline_version"),
+        F.sha2("result.disclaimer", 256).alias("disclaimer_hash"), f["generated_at"].alias("generated_at"),
+    ).agg(F.count("*").alias("results"))
+
+
+@query("q04_missing_provenance", with_tables("""SELECT count(*) AS findings, 0 AS incomplete FROM done JOIN found ON done.live AND done.jurisdiction_id = found.jurisdiction_id
+    AND coalesce(done.zone_code, '~') = coalesce(found.zone_code, '~') AND done.project_type = found.project_type""", **TABLES))
+def missing_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    f = P.analysis_findings(results(spark, sf)).where("finding_type = 'constraint'")
+    bad = F.col("source_url").isNull() | F.col("source_title").isNull() | F.col("confidence").isNull() | F.col("data_status").isNull()
+    return f.agg(F.count("*").alias("findings"), F.count_if(bad).cast("int").alias("incomplete"))
+
+
+def contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every zone under every project type, as the rule joins see them."""
+    types = F.array(*[F.lit(t) for t in C.PROJECT_TYPES])
+    return D.zones(spark, sf).select("jurisdiction_id", "zone_code").distinct().withColumn("project_type", F.explode(types))
+
+
+_ALL = {"ctx": f"SELECT jurisdiction_id, zone_code, project_type FROM (SELECT DISTINCT jurisdiction_id, zone_code FROM zn) z CROSS JOIN (SELECT unnest({D._list(C.PROJECT_TYPES)}) AS project_type) t", "found": _FOUND}
+
+
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    r = D.refs(spark, sf)
+    return rules.merge_rules(contexts(spark, sf), r.rules, r.attributes, r.baselines, F.lit(D.AS_OF).cast("timestamp"))
+
+
+@query("j09_merge_rules", with_tables("""SELECT jurisdiction_id, zone_code, project_type, field_name, CASE WHEN l_field IS NULL THEN 'state_baseline' ELSE 'local' END AS origin, flag AS compliance_flag FROM found""", **_ALL))
+def merge_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return merged(spark, sf).select("jurisdiction_id", "zone_code", "project_type", "field_name", "origin", "compliance_flag")
+
+
+@query("r01_compliance_flags", with_tables("""SELECT field_name, op AS operator, flag AS compliance_flag, count(*) AS n FROM found WHERE l_field IS NOT NULL AND b_field IS NOT NULL GROUP BY 1, 2, 3""", **_ALL))
+def compliance_flags(spark: SparkSession, sf: str) -> DataFrame:
+    m = merged(spark, sf).where("origin = 'local' AND state_baseline IS NOT NULL")
+    return m.groupBy("field_name", "operator", "compliance_flag").agg(F.count("*").alias("n"))
+
+
+@query("r02_merged_values", with_tables(f"""SELECT jurisdiction_id, zone_code, project_type, field_name, l_num AS num, l_bool AS bool, b_num AS baseline_num, unit,
+    CASE WHEN b_field IS NULL THEN 'No matching California state baseline for this field.' WHEN flag = '{C.RESTRICTIVE}' THEN 'Local value appears more restrictive than the current California state baseline (' || citation || '). Local source is preserved; verify against state law with a professional.' END AS note
+    FROM found WHERE l_field IS NOT NULL""", **_ALL))
+def merged_values(spark: SparkSession, sf: str) -> DataFrame:
+    return merged(spark, sf).where("origin = 'local'").select(
+        "jurisdiction_id", "zone_code", "project_type", "field_name", F.col("value.num").alias("num"), F.col("value.bool").alias("bool"),
+        F.col("state_baseline.num").alias("baseline_num"), "unit", "note",
+    )
+
+
+@query("r03_baseline_findings", with_tables(f"""SELECT jurisdiction_id, zone_code, project_type, field_name, b_num AS num, b_bool AS bool, citation AS source_section, '{C.BASELINE_URL}' AS source_url, op AS operator FROM found WHERE l_field IS NULL""", **_ALL))
+def baseline_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return merged(spark, sf).where("origin = 'state_baseline'").select(
+        "jurisdiction_id", "zone_code", "project_type", "field_name", F.col("value.num").alias("num"), F.col("value.bool").alias("bool"),
+        F.col("source.source_section").alias("source_section"), F.col("source.source_url").alias("source_url"), "operator",
+    )
+
+
+@query("u01_finding_union", with_tables("""SELECT finding_type, count(*) AS n FROM (
+    SELECT 'constraint' AS finding_type FROM done JOIN found ON done.live AND done.jurisdiction_id = found.jurisdiction_id AND coalesce(done.zone_code, '~') = coalesce(found.zone_code, '~') AND done.project_type = found.project_type
+    UNION ALL SELECT 'overlay' FROM done, range(0, CAST(CASE WHEN live THEN hits + CASE WHEN fl THEN 0 ELSE 1 END + CASE WHEN fi THEN 0 ELSE 1 END ELSE 0 END AS BIGINT)) r(i)) GROUP BY 1""", **TABLES))
+def finding_union(spark: SparkSession, sf: str) -> DataFrame:
+    return P.analysis_findings(results(spark, sf)).groupBy("finding_type").agg(F.count("*").alias("n"))

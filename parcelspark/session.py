@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the size checks: a join side is broadcast only when its
 # measured size is under the threshold, and skewed partitions are split at run time.
@@ -43,3 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a stage's narrow result to the shared folder and go on from there.
+
+    Used where several later joins read the same stage: it is computed once, later plans stay
+    small, and lost executors re-read files instead of recomputing.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

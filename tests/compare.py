@@ -36,11 +36,11 @@ def rows(cols: list[str], data: list) -> list[tuple[str, ...]]:
 
 def compare(spark, con, sf: str, fn, sql: str) -> str | None:
     """None when equal, else a short account of the difference."""
-    df = fn(spark, sf)
-    got = rows(df.columns, df.collect())
     rel = con.execute(sql)
     cols = [d[0] for d in rel.description]
     want = rows(cols, rel.fetchall())
+    df = fn(spark, sf)
+    got = rows(df.columns, df.collect())
     if sorted(df.columns) != sorted(cols):
         return f"columns {sorted(df.columns)} != {sorted(cols)}"
     if got == want:
