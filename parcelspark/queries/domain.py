@@ -193,7 +193,7 @@ def usage_events(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kind, user = F.col("event_type"), F.col("user_id")
     return table(spark, sf, "events").select(
-        "event_id", "ts", user.alias("consumer_id"), (user * 5 + k % 5).alias("fingerprint"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), user.alias("consumer_id"), (user * 5 + k % 5).alias("fingerprint"),
         F.when(k < 20, k.cast("string")).alias("idempotency_key"), choose(["basic", "PRO", "ultra", "mega", "trial"], user % 5).alias("slug"),
         F.when(kind == "error", "error").when(kind == "view", "unsupported").when(kind == "click", "insufficient").otherwise("ok").alias("outcome"),
         F.when(kind == "error", 500).when(kind == "view", 422).otherwise(200).alias("status_code"), kind.alias("endpoint"),
@@ -348,7 +348,6 @@ CTE: dict[str, str] = {
     "po": "SELECT parcel_id, overlay_id, overlay_type, severity FROM pc JOIN ovs ON gx <= x2 AND gx + 0.875 >= x1 AND gy <= y2 AND gy + 0.875 >= y1",
     "cr": "SELECT * FROM rl WHERE is_current QUALIFY row_number() OVER (PARTITION BY jurisdiction_id, upper(zone_code), project_type ORDER BY version DESC, rule_id DESC) = 1",
 }
-_WORD = re.compile(r"\b(" + "|".join(sorted(CTE, key=len, reverse=True)) + r")\b")
 
 
 def with_tables(body: str, recursive: bool = False, **extra: str) -> str:
@@ -356,13 +355,14 @@ def with_tables(body: str, recursive: bool = False, **extra: str) -> str:
     known = {**CTE, **extra}
     word = re.compile(r"(?:\b(?:FROM|JOIN)|,)\s+(" + "|".join(sorted(known, key=len, reverse=True)) + r")\b", re.I)
     order: list[str] = []
+    open_: list[str] = []
 
     def visit(text: str) -> None:
         for name in word.findall(text):
-            if name in known and name not in order:
-                visit(known[name]) if f"FROM {name} " not in known[name] + " " else None
-                if name not in order:
-                    order.append(name)
+            if name in known and name not in order and name not in open_:
+                open_.append(name)
+                visit(known[name])
+                order.append(name)
 
     visit(body)
     if not order:
