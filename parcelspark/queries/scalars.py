@@ -55,7 +55,7 @@ def consumer_hash(spark: SparkSession, sf: str) -> DataFrame:
     return D.table(spark, sf, "customer").select("c_custkey", T.consumer_hash(n).alias("gateway_id"), T.direct_consumer_hash(n).alias("direct_id"))
 
 
-@query("s06_units", f"""SELECT p_partkey, round(p_size * 0.3048e0, 9) AS m, round(p_size * {V.FEET_PER_METER!r}, 9) AS ft, round(p_retailprice * {V.SQFT_PER_SQM!r}, 6) AS sqft, round(p_retailprice * {V.SQM_PER_SQFT!r}, 6) AS sqm FROM part""")
+@query("s06_units", f"""SELECT p_partkey, round(p_size * 0.3048e0, 9) AS m, round(p_size * CAST({V.FEET_PER_METER!r} AS DOUBLE), 9) AS ft, round(p_retailprice * CAST({V.SQFT_PER_SQM!r} AS DOUBLE), 6) AS sqft, round(p_retailprice * CAST({V.SQM_PER_SQFT!r} AS DOUBLE), 6) AS sqm FROM part""")
 def units(spark: SparkSession, sf: str) -> DataFrame:
     a, s = F.col("p_retailprice"), F.col("p_size")
     return D.table(spark, sf, "part").select(
@@ -160,7 +160,7 @@ def numbering(spark: SparkSession, sf: str) -> DataFrame:
     return headings(spark, sf).select("page_id", "nums.*")
 
 
-_NODE = f"""SELECT page_id, coalesce({_T}, CAST(page_id % 9 + 1 AS VARCHAR)) AS title_number, coalesce({_C}, (page_id % 30) || '.5') AS chapter_number,
+_NODE = f"""SELECT page_id, coalesce({_T}, (page_id % 9 + 1) || 'Z') AS title_number, coalesce({_C}, (page_id % 30) || '.5') AS chapter_number,
     coalesce({_S}, (page_id % 30) || '.5.10') AS section_number FROM pages"""
 
 

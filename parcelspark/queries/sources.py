@@ -1 +1,251 @@
+"""Feature and section sources, field mapping, layer loads and sinks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parcelspark import catalogs as C
+from parcelspark.functions import geometry as G
+from parcelspark.functions import text as T
+from parcelspark.operators import spatial
+from parcelspark.queries import domain as D
+from parcelspark.queries.domain import with_tables
+from parcelspark.queries.registry import query
+from parcelspark.session import shared_dir
+from parcelspark.sources import features as S
+from parcelspark.sources import sections, sinks
+
+PAGE = 500
+
+
+def raw_parcels(spark: SparkSession, sf: str) -> DataFrame:
+    """Parcels as service features: attribute names vary from row to row."""
+    p = D.parcels(spark, sf)
+    props = F.expr("""CASE parcel_id % 4 WHEN 0 THEN map('OBJECTID', CAST(parcel_id AS string), 'AIN', concat('A', apn), 'SitusAddress', concat(apn, ' main st'))
+        WHEN 1 THEN map('OBJECTID', CAST(parcel_id AS string), 'apn', concat('B', apn), 'SITUS_ADDR', '  ', 'address', concat(apn, ' Oak'))
+        WHEN 2 THEN map('OBJECTID', CAST(parcel_id AS string), 'APN', '', 'pin', concat('C', apn)) ELSE map('OBJECTID', CAST(parcel_id AS string), 'OWNER', 'x') END""")
+    return p.select("parcel_id", "jurisdiction_id", "geom", F.expr(G.to_geojson("geom")).alias("geometry"), props.alias("props"))
+
+
+_APN = "CASE p_partkey % 4 WHEN 0 THEN 'A' || p_partkey WHEN 1 THEN 'B' || p_partkey WHEN 2 THEN 'C' || p_partkey END"
+_SITUS = "CASE p_partkey % 4 WHEN 0 THEN p_partkey || ' main st' WHEN 1 THEN p_partkey || ' Oak' END"
+
+
+@query("io01_read_features", with_tables(f"""SELECT p_partkey AS parcel_id, {_APN} AS apn, gx / 1024 - 124 AS xmin, gy / 1024 + 32.5 AS ymin FROM part JOIN pc ON parcel_id = p_partkey"""))
+def read_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Land pages of features in the shared folder, then read them back."""
+    path = f"{shared_dir(spark)}/features-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '_')}"
+    feature = F.struct(F.col("geometry"), F.col("props").alias("properties"))
+    pages = raw_parcels(spark, sf).groupBy(F.floor(F.col("parcel_id") / PAGE).alias("page")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value"))
+    pages.select("value").write.mode("overwrite").text(path)
+    f = S.read_features(spark, path, multi_line=False)
+    b = F.expr(G.bbox(G.edges("geom")))
+    return f.select(S.pick(F.col("props"), ["objectid"]).cast("long").alias("parcel_id"), S.pick(F.col("props"), C.BULK_FIELDS["apn"]).alias("apn"), b["xmin"].alias("xmin"), b["ymin"].alias("ymin"))
+
+
+@query("io02_pick_fields", f"SELECT p_partkey AS parcel_id, {_APN} AS apn, {_SITUS} AS situs, CASE WHEN p_partkey % 4 = 1 THEN '  ' WHEN p_partkey % 4 = 0 THEN p_partkey || ' main st' END AS situs_raw FROM part")
+def pick_fields(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("props")
+    return raw_parcels(spark, sf).select(
+        "parcel_id", S.pick(p, C.BULK_FIELDS["apn"]).alias("apn"), S.pick(p, C.BULK_FIELDS["situs"]).alias("situs"), S.pick(p, C.BULK_FIELDS["situs"], strip=False).alias("situs_raw")
+    )
+
+
+@query("io03_city_mapping", """SELECT p_partkey AS parcel_id, CASE p_partkey % 3 WHEN 0 THEN 'a' || p_partkey WHEN 1 THEN 'blk' || p_partkey ELSE 'dash' || p_partkey END AS apn,
+    CASE p_partkey % 3 WHEN 0 THEN 'situs' || p_partkey WHEN 1 THEN 'st' || p_partkey ELSE 'override' || p_partkey END AS situs FROM part""")
+def city_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    f = D.table(spark, sf, "part").selectExpr(
+        "p_partkey AS parcel_id", "'parcel' AS kind", "CASE p_partkey % 3 WHEN 0 THEN 'long_beach' WHEN 1 THEN 'san_francisco' ELSE 'sacramento' END AS slug",
+        """CASE p_partkey % 3 WHEN 0 THEN map('Ain', concat('a', p_partkey), 'situsaddress', concat('situs', p_partkey)) WHEN 1 THEN map('BLKLOT', concat('blk', p_partkey), 'STREET', concat('st', p_partkey))
+        ELSE map('apn10', concat('ten', p_partkey), 'APN_dash', concat('dash', p_partkey), 'street_name', 's', 'FULL', concat('override', p_partkey)) END AS props""",
+    )
+    override = C.literal_table(spark, [("sacramento", "parcel", "PARCELS/8", "situs", ["FULL"])], C.LAYER_FIELDS_DDL)
+    mapping = S.override_mapping(C.layer_fields(spark), override)
+    return S.map_fields(f, mapping, ["apn", "situs"]).select("parcel_id", "apn", "situs")
+
+
+@query("io04_choose_layer", """SELECT s_nationkey AS service, first(s_suppkey ORDER BY CASE WHEN s_suppkey = 7 THEN 0 WHEN s_suppkey = 3 THEN 1 ELSE 2 END, s_name, s_suppkey) AS layer_id
+    FROM supplier WHERE s_suppkey % 3 <> 1 AND s_suppkey % 4 <> 3 GROUP BY 1""")
+def choose_layer(spark: SparkSession, sf: str) -> DataFrame:
+    layers = D.table(spark, sf, "supplier").selectExpr(
+        "s_nationkey AS service", "s_suppkey AS layer_id", "s_name AS position", "concat('Zoning ', s_suppkey) AS name", "IF(s_suppkey % 4 = 3, 'esriGeometryPoint', 'esriGeometryPolygon') AS geometry_type",
+        "CASE s_suppkey % 3 WHEN 0 THEN array('ObjectId', 'Zone_Class') WHEN 1 THEN array('OBJECTID') ELSE array('OBJECTID', 'ZONE') END AS fields",
+    )
+    return S.choose_layer(layers, ["OBJECTID"], ["zone", "ZONE_CLASS"], ["esrigeometrypolygon"], ["zoning"], [7, 3])
+
+
+@query("io05_envelope_filter", with_tables("""SELECT parcel_id FROM pc WHERE gx / 1024 - 124 <= -123.98 AND (gx + 0.875) / 1024 - 124 >= -123.99 AND gy / 1024 + 32.5 <= 32.6 AND (gy + 0.875) / 1024 + 32.5 >= 32.502"""))
+def envelope_filter(spark: SparkSession, sf: str) -> DataFrame:
+    p = spatial.with_edges(D.parcels(spark, sf).select("parcel_id", "geom")).select("parcel_id", "bbox.*")
+    return spatial.in_envelope(p, -123.99, 32.502, -123.98, 32.6).select("parcel_id")
+
+
+@query("io05_request_envelopes", with_tables("""SELECT request_id, round(lon - 60 / (111320 * greatest(0.01, abs(cos(radians(lat))))), 9) AS xmin, round(lat + 60 / 111320e0, 9) AS ymax FROM pt"""))
+def request_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    return D.located(spark, sf).selectExpr("request_id", f"{G.bbox_envelope('lon', 'lat', '60D')} AS b").selectExpr("request_id", "round(b.xmin, 9) AS xmin", "round(b.ymax, 9) AS ymax")
+
+
+@query("io06_first_features", "SELECT p_partkey AS parcel_id FROM part ORDER BY p_partkey LIMIT 100")
+def first_features(spark: SparkSession, sf: str) -> DataFrame:
+    key = S.pick(F.col("props"), ["OBJECTID"]).cast("long")
+    return S.limit_features(raw_parcels(spark, sf).select("parcel_id", "props"), [key], 100).select("parcel_id")
+
+
+@query("io07_section_captures", "SELECT page_id, url AS section_url, sha256(html) AS payload_hash, octet_length(encode(html)) AS byte_size FROM pages")
+def section_captures(spark: SparkSession, sf: str) -> DataFrame:
+    return D.table(spark, sf, "pages").select("page_id", F.col("url").alias("section_url"), T.bytes_hash(F.col("html")).alias("payload_hash"), F.octet_length("html").cast("long").alias("byte_size"))
+
+
+@query("io08_section_urls", with_tables("""SELECT jurisdiction_id, section_url, position FROM (SELECT * FROM (SELECT * FROM sec QUALIFY row_number() OVER (PARTITION BY jurisdiction_id, section_url ORDER BY position) = 1)
+    QUALIFY row_number() OVER (PARTITION BY jurisdiction_id ORDER BY position) <= 25)"""))
+def section_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.select_urls(D.section_pages(spark, sf)).select("jurisdiction_id", "section_url", "position")
+
+
+@query("io08_sections")
+def read_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.read_sections(D.section_pages(spark, sf), cap=None)
+
+
+def _target(spark: SparkSession, sf: str) -> DataFrame:
+    return D.table(spark, sf, "part").selectExpr("p_partkey % 8 AS jurisdiction_id", "CAST(p_partkey AS string) AS apn", "p_size AS area")
+
+
+def _batch(spark: SparkSession, sf: str) -> DataFrame:
+    return D.table(spark, sf, "lineitem").selectExpr("(l_partkey * 2) % 8 AS jurisdiction_id", "CAST(l_partkey * 2 AS string) AS apn", "CAST(l_quantity AS int) AS area", "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+_T = "t AS (SELECT p_partkey % 8 AS jurisdiction_id, CAST(p_partkey AS VARCHAR) AS apn, p_size AS area FROM part)"
+_B = "b AS (SELECT (l_partkey * 2) % 8 AS jurisdiction_id, CAST(l_partkey * 2 AS VARCHAR) AS apn, {pick}(CAST(l_quantity AS INT) ORDER BY l_orderkey, l_linenumber, l_quantity, l_suppkey) AS area FROM lineitem GROUP BY 1, 2)"
+
+
+@query("io09_upsert_update", f"WITH {_T}, {_B.format(pick='last')} SELECT jurisdiction_id, apn, coalesce(b.area, t.area) AS area, CASE WHEN t.area IS NULL THEN 'inserted' WHEN b.area IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM t FULL JOIN b USING (jurisdiction_id, apn)")
+def upsert_update(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.upsert(_target(spark, sf), _batch(spark, sf), ["jurisdiction_id", "apn"], ["l_orderkey", "l_linenumber", "area", "l_suppkey"])
+
+
+@query("io09_upsert_ignore", f"WITH {_T}, {_B.format(pick='first')} SELECT jurisdiction_id, apn, coalesce(t.area, b.area) AS area, CASE WHEN t.area IS NULL THEN 'inserted' ELSE 'kept' END AS outcome FROM t FULL JOIN b USING (jurisdiction_id, apn)")
+def upsert_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.upsert(_target(spark, sf), _batch(spark, sf), ["jurisdiction_id", "apn"], ["l_orderkey", "l_linenumber", "area", "l_suppkey"], mode="ignore")
+
+
+@query("io10_replace_scope", "SELECT source, doc_id, n_chars FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) UNION ALL SELECT source, doc_id, -n_chars FROM documents JOIN labels USING (doc_id) WHERE toxic = 1")
+def replace_scope(spark: SparkSession, sf: str) -> DataFrame:
+    d = D.table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    fresh = d.join(D.table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("source", "doc_id", (-F.col("n_chars")).alias("n_chars"))
+    return sinks.scope_replacement(d, fresh, "source")
+
+
+@query("io11_append_if_absent", """WITH b AS (SELECT l_suppkey, l_partkey, substr(sha1('{"g":"' || l_partkey || '","x":["' || l_suppkey || '"]}'), 1, 24) AS k FROM lineitem)
+    SELECT k AS feature_key, min(l_partkey) AS l_partkey FROM b WHERE k NOT IN (SELECT k FROM b WHERE l_suppkey % 2 = 0) GROUP BY 1""")
+def append_if_absent(spark: SparkSession, sf: str) -> DataFrame:
+    key = S.feature_key(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    b = D.table(spark, sf, "lineitem").select(key.alias("feature_key"), "l_partkey", "l_suppkey")
+    return sinks.append_if_absent(b.where("l_suppkey % 2 = 0"), b, ["feature_key"], ["l_partkey"]).select("feature_key", "l_partkey")
+
+
+@query("io13_append_only", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'deleted' ELSE 'updated' END AS change FROM documents WHERE source = 'src1' OR lang = 'de'")
+def append_only(spark: SparkSession, sf: str) -> DataFrame:
+    d = D.table(spark, sf, "documents").select("doc_id", "n_chars", "source", "lang")
+    after = d.where("source <> 'src1'").withColumn("n_chars", F.when(F.col("lang") == "de", F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    return sinks.append_only_violations(d, after, ["doc_id"])
+
+
+@query("io14_public_view", with_tables("SELECT jurisdiction_id, slug, coverage_status FROM jr"))
+def public_view(spark: SparkSession, sf: str) -> DataFrame:
+    j = D.jurisdictions(spark, sf).withColumn("consumer_id", F.col("slug")).select("jurisdiction_id", "slug", "coverage_status", "consumer_id")
+    return sinks.public_view(j, "jurisdictions")
+
+
+def raw_overlays(spark: SparkSession, sf: str) -> DataFrame:
+    o = D.overlays(spark, sf)
+    props = F.expr("""map_filter(map('FLD_ZONE', IF(overlay_type = 'flood', designation, NULL), 'ZONE_SUBTY', IF(overlay_id % 2 = 0, 'FLOODWAY', NULL), 'HAZ_CLASS', IF(overlay_type = 'fire', designation, NULL),
+        'SRA', IF(overlay_id % 4 = 1, 'LRA', ' '), 'GFID', raw_feature_id, 'OBJECTID', concat('o', raw_feature_id)), (k, v) -> v IS NOT NULL)""")
+    return o.select("overlay_id", "overlay_type", F.concat(F.lit("L"), (F.col("overlay_id") % 3).cast("string")).alias("layer"), "geom", props.alias("props"), F.expr(G.to_geojson("geom")).alias("geometry"))
+
+
+@query("l01_load_zoning", with_tables("""SELECT CASE WHEN zone_id % 7 = 0 THEN 'failed' ELSE 'inserted' END AS outcome, CASE WHEN zone_id % 7 <> 0 THEN zone_code END AS zone_code, 'Z' || zone_id AS zone_name, CASE WHEN zone_id % 7 <> 0 THEN zone_code END AS zone_category FROM zn"""))
+def load_zoning(spark: SparkSession, sf: str) -> DataFrame:
+    f = D.zones(spark, sf).selectExpr("geom", "map_filter(map('zone_cmplt', IF(zone_id % 7 = 0, NULL, zone_code), 'ZONE_DESC', concat('Z', zone_id)), (k, v) -> v IS NOT NULL) AS props")
+    return S.load_zoning(f).select("outcome", "zone_code", "zone_name", "zone_category")
+
+
+@query("l02_load_parcels", f"SELECT p_partkey AS parcel_id, CASE WHEN p_partkey % 4 = 3 THEN 'failed' ELSE 'ok' END AS outcome, {_APN} AS apn, upper({_SITUS}) AS normalized_address FROM part")
+def load_parcels(spark: SparkSession, sf: str) -> DataFrame:
+    out = S.load_parcels(raw_parcels(spark, sf))
+    return out.select(F.element_at("raw_attributes", "OBJECTID").cast("long").alias("parcel_id"), "outcome", "apn", "normalized_address")
+
+
+@query("l03_load_flood", with_tables("""SELECT CAST(overlay_id AS VARCHAR) AS raw_feature_id, CASE WHEN designation IS NULL THEN NULL WHEN overlay_id % 2 = 0 THEN designation || ' (FLOODWAY)' ELSE designation END AS designation FROM ov WHERE overlay_type = 'flood'"""))
+def load_flood(spark: SparkSession, sf: str) -> DataFrame:
+    return S.load_flood(raw_overlays(spark, sf).where("overlay_type = 'flood'")).select("raw_feature_id", "designation")
+
+
+@query("l04_load_fire", with_tables("""SELECT 'o' || overlay_id AS raw_feature_id, 'CAL FIRE FHSZ - L' || overlay_id % 3 AS name, CASE WHEN designation IS NOT NULL AND overlay_id % 4 = 1 THEN designation || ' (LRA)' ELSE designation END AS designation FROM ov WHERE overlay_type = 'fire'"""))
+def load_fire(spark: SparkSession, sf: str) -> DataFrame:
+    return S.load_fire(raw_overlays(spark, sf).where("overlay_type = 'fire'")).select("raw_feature_id", "name", "designation")
+
+
+@query("a13_layer_counts", with_tables("SELECT 'L' || overlay_id % 3 AS layer, count(*) AS inserted FROM ov WHERE overlay_type = 'fire' GROUP BY 1"))
+def layer_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from parcelspark.operators.reports import layer_counts as count_layers
+
+    return count_layers(S.load_fire(raw_overlays(spark, sf).where("overlay_type = 'fire'")))
+
+
+@query("l05_bootstrap_zoning", with_tables("""SELECT zn.jurisdiction_id, zone_id, zone_code, 'low' AS confidence, '5' AS rank FROM zn JOIN jr USING (jurisdiction_id) WHERE coverage_status <> 'production'"""))
+def bootstrap_zoning(spark: SparkSession, sf: str) -> DataFrame:
+    f = D.zones(spark, sf).selectExpr("jurisdiction_id", "geom", "map('GEN_CLASS', zone_code, 'id', CAST(zone_id AS string)) AS props")
+    out = S.load_bootstrap_zoning(f, D.jurisdictions(spark, sf))
+    a = F.col("raw_attributes")
+    return out.select("jurisdiction_id", F.element_at(a, "id").cast("long").alias("zone_id"), "zone_code", "confidence", F.element_at(a, "_authority_rank").alias("rank"))
+
+
+@query("l06_ondemand_overlays", with_tables("SELECT overlay_type, designation, 'o' || overlay_id AS raw_feature_id, true AS keyed FROM ov WHERE overlay_type IN ('flood', 'fire')"))
+def ondemand_overlays(spark: SparkSession, sf: str) -> DataFrame:
+    f = raw_overlays(spark, sf).where(F.col("overlay_type").isin("flood", "fire")).withColumn(
+        "designation_fields", F.when(F.col("overlay_type") == "flood", F.array(F.lit("FLD_ZONE"))).otherwise(F.array(F.lit("FHSZ"), F.lit("HAZ_CLASS")))
+    )
+    return S.ondemand_overlays(f).select("overlay_type", "designation", "raw_feature_id", (F.length("ondemand_key") == 24).alias("keyed"))
+
+
+@query("r18_bootstrap_precedence", with_tables("SELECT zone_id, CASE WHEN zone_id % 3 = 0 THEN 'local' ELSE 'bootstrap' END AS origin FROM zn"))
+def bootstrap_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    z = D.zones(spark, sf).select("zone_id")
+    both = z.where("zone_id % 3 = 0").select("zone_id", F.lit(2).alias("authority_rank"), F.lit("local").alias("origin")).unionByName(
+        z.select("zone_id", F.lit(5).alias("authority_rank"), F.lit("bootstrap").alias("origin"))
+    )
+    return S.prefer_authority(both, ["zone_id"]).select("zone_id", "origin")
+
+
+@query("r19_source_authority", with_tables("SELECT jurisdiction_id, first(source_id ORDER BY CASE kind WHEN 'state_law' THEN 1 WHEN 'gis_overlay' THEN 3 WHEN 'state_guidance' THEN 4 WHEN 'gis_zoning_bootstrap' THEN 5 ELSE 2 END, source_id) AS source_id FROM sr GROUP BY 1"))
+def source_authority(spark: SparkSession, sf: str) -> DataFrame:
+    r = D.source_registry(spark, sf).withColumn("authority_rank", T.lookup(F.col("kind"), C.AUTHORITY_RANK))
+    return S.prefer_authority(r, ["jurisdiction_id"], tie=["source_id"]).select("jurisdiction_id", "source_id")
+
+
+@query("u02_search_terms", with_tables(f"""SELECT s_suppkey, array_to_string(CASE WHEN s_suppkey % 2 = 0 THEN ['12.22', 'ADU', '12.22'] ELSE [] END, ',') || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE '' END AS raw,
+    CASE WHEN s_suppkey % 2 = 0 THEN '12.22|ADU|accessory dwelling unit|JADU' ELSE 'accessory dwelling unit|ADU|JADU' END AS terms FROM supplier"""))
+def search_terms(spark: SparkSession, sf: str) -> DataFrame:
+    own = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("12.22"), F.lit("ADU"), F.lit("12.22")))
+    h = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("slug"), own.alias("search_terms"))
+    raw = F.array_join(F.coalesce("search_terms", F.array().cast("array<string>")), ",")
+    return sections.search_terms(h).join(h.select("slug", raw.alias("raw")), "slug").select(F.col("slug").alias("s_suppkey"), "raw", F.array_join("terms", "|").alias("terms"))
+
+
+@query("u03_override_merge", "SELECT s_nationkey AS slug, last(s_name ORDER BY s_suppkey) AS layer FROM supplier GROUP BY 1")
+def override_merge(spark: SparkSession, sf: str) -> DataFrame:
+    s = D.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("slug"), F.lit("zoning").alias("kind"), F.lit("zone_code").alias("field"), F.col("s_name").alias("layer"), F.array("s_name").alias("candidates"), "s_suppkey")
+    from parcelspark.operators.skew import latest_by
+
+    last = latest_by(s, ["slug", "kind", "field"], ["s_suppkey"]).drop("s_suppkey")
+    first = s.groupBy("slug", "kind", "field").agg(F.min_by(F.struct("layer", "candidates"), "s_suppkey").alias("x")).select("slug", "kind", "field", "x.*")
+    return S.override_mapping(first, last).select("slug", "layer")
+
+
+@query("j15_feature_exists", "SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS present, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS absent FROM documents d")
+def feature_exists(spark: SparkSession, sf: str) -> DataFrame:
+    d, l = D.table(spark, sf, "documents").select("doc_id"), D.table(spark, sf, "labels").select("doc_id")
+    seen = d.join(l, "doc_id", "left_semi").withColumn("there", F.lit(True)).unionByName(d.join(l, "doc_id", "left_anti").withColumn("there", F.lit(False)))
+    return seen.agg(F.count_if("there").alias("present"), F.count_if(~F.col("there")).alias("absent"))
