@@ -115,9 +115,11 @@ def run_status(results: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def section_run_status(counters: DataFrame) -> DataFrame:
-    """Status of a section run: failed with nothing discovered and errors, partial with failures."""
-    ok = F.col("failed") == 0
-    return counters.withColumn("status", F.when(~ok & (F.col("processed") == 0), "failed").when(~ok, "partial").otherwise("success"))
+    """Status of a section run: success once any section was stored or found unchanged, failed
+    when none was discovered, partial when all that were discovered failed."""
+    stored = F.col("inserted") + F.col("updated") + F.col("unchanged") > 0
+    status = F.when(stored, "success").when(F.col("processed") == 0, "failed").when(F.col("failed") > 0, "partial").otherwise("success")
+    return counters.withColumn("status", status)
 
 
 def layer_counts(rows: DataFrame) -> DataFrame:

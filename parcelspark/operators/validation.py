@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelspark import catalogs as C
 from parcelspark.functions import values as V
+from parcelspark.functions.text import lookup
 
 FLAG_RANK = {C.RESTRICTIVE: 0, C.REVIEW: 1, C.MATCHES: 2, C.NOT_APPLICABLE: 3}
 
@@ -23,62 +24,91 @@ def _py(c: Column) -> Column:
     return F.when(c, "True").otherwise("False")
 
 
-def verdict(kind: Column, law: Column, has_baseline: Column, citation: Column, baseline: Column, observed: Column, restrictive: Column, field: Column) -> Column:
-    """``struct<flag, issue_type, severity, expected, observed, note>`` of one value."""
-    num, want = V.lenient_number(observed), V.lenient_number(baseline)
-    got, must = V.lenient_bool(observed), V.lenient_bool(baseline)
-    missing = V.value_is_null(observed)
-    cite = F.coalesce(F.nullif(citation, F.lit("")), law)
-
-    def out(flag: str, issue: str | None, severity: str, expected: Column | None, seen: Column | None, *note: Column | str) -> Column:
-        text = F.concat(*[F.lit(n) if isinstance(n, str) else n.cast("string") for n in note])
-        return F.struct(
-            F.lit(flag).alias("flag"), F.lit(issue).cast("string").alias("issue_type"), F.lit(severity).alias("severity"),
-            (F.lit(None) if expected is None else expected).cast("string").alias("expected"),
-            (V.value_text(observed) if seen is None else seen.cast("string")).alias("observed"), text.alias("note"),
-        )
-
-    absent = "value not extracted; cannot verify against state baseline"
-    limit = lambda word: F.when(missing, out(C.REVIEW, "value_missing", "info", want, None, absent)).when(
-        num.isNull() | want.isNull(), out(C.REVIEW, "value_not_numeric", "info", want, None, "value or baseline not numeric; cannot verify")
-    )
-    restrict = "more_restrictive_than_state_baseline"
-    tail = "); local rule is more restrictive than the state baseline"
-    floor = limit("floor").when(num >= want, out(C.MATCHES, None, "info", want, num, num, " meets or exceeds state floor of ", want)).otherwise(
-        out(C.RESTRICTIVE, restrict, "warning", want, num, num, " is below the state floor of ", want, " (", cite, tail)
-    )
-    ceiling = limit("ceiling").when(num <= want, out(C.MATCHES, None, "info", want, num, num, " is within the state ceiling of ", want)).otherwise(
-        out(C.RESTRICTIVE, restrict, "warning", want, num, num, " exceeds the state ceiling of ", want, " (", cite, tail)
-    )
-    must_equal = (
-        F.when(missing, out(C.REVIEW, "value_missing", "info", must, None, absent))
-        .when(got.isNull() | must.isNull(), out(C.REVIEW, "value_not_boolean", "info", must, None, "value or baseline not boolean; cannot verify"))
-        .when(got == must, out(C.MATCHES, None, "info", must, got, "matches the required state value ", _py(must)))
-        .when(got == restrictive, out(C.RESTRICTIVE, restrict, "warning", must, got, "state requires ", _py(must), " (", cite, "); local value ", _py(got), " is more restrictive than state law allows"))
-        .otherwise(out(C.REVIEW, "over_permissive_anomaly", "critical", must, got, "state contemplates ", _py(must), " (", cite, "); local value ", _py(got), " is more permissive than state law and needs review"))
-    )
-    conditional = (
-        F.when(missing, out(C.REVIEW, "value_missing", "info", must, None, absent))
-        .when(got.isNull(), out(C.REVIEW, "value_not_boolean", "info", must, None, "value not boolean; cannot verify"))
-        .when(got == must, out(C.MATCHES, None, "info", must, got, "value ", _py(got), " is the compliant default; lawful without further facts"))
-        .otherwise(out(C.REVIEW, "conditional_needs_facts", "warning", must, got, "value ", _py(got), " is lawful only under specific conditions (", cite, "); needs review to confirm those conditions apply"))
-    )
+# case -> flag, issue type, severity
+OUTCOMES: dict[str, tuple[str, str | None, str]] = {
+    "informational": (C.NOT_APPLICABLE, None, "info"),
+    "no_baseline": (C.REVIEW, "no_state_baseline", "info"),
+    "missing": (C.REVIEW, "value_missing", "info"),
+    "not_numeric": (C.REVIEW, "value_not_numeric", "info"),
+    "not_boolean": (C.REVIEW, "value_not_boolean", "info"),
+    "value_not_boolean": (C.REVIEW, "value_not_boolean", "info"),
+    "floor_met": (C.MATCHES, None, "info"),
+    "floor_missed": (C.RESTRICTIVE, "more_restrictive_than_state_baseline", "warning"),
+    "ceiling_met": (C.MATCHES, None, "info"),
+    "ceiling_missed": (C.RESTRICTIVE, "more_restrictive_than_state_baseline", "warning"),
+    "equal": (C.MATCHES, None, "info"),
+    "stricter": (C.RESTRICTIVE, "more_restrictive_than_state_baseline", "warning"),
+    "looser": (C.REVIEW, "over_permissive_anomaly", "critical"),
+    "default": (C.MATCHES, None, "info"),
+    "depends": (C.REVIEW, "conditional_needs_facts", "warning"),
+    "unknown": (C.REVIEW, "unknown_kind", "info"),
+}
+# Note per case; {n} {w} numbers, {g} {m} booleans, {c} citation, {l} law, {f} field.
+NOTES: dict[str, str] = {
+    "informational": "informational / optional local opt-in ({l}); not flagged",
+    "no_baseline": "no state_rule_baselines row for '{f}'; cannot validate automatically - needs human review",
+    "missing": "value not extracted; cannot verify against state baseline",
+    "not_numeric": "value or baseline not numeric; cannot verify",
+    "not_boolean": "value or baseline not boolean; cannot verify",
+    "value_not_boolean": "value not boolean; cannot verify",
+    "floor_met": "{n} meets or exceeds state floor of {w}",
+    "floor_missed": "{n} is below the state floor of {w} ({c}); local rule is more restrictive than the state baseline",
+    "ceiling_met": "{n} is within the state ceiling of {w}",
+    "ceiling_missed": "{n} exceeds the state ceiling of {w} ({c}); local rule is more restrictive than the state baseline",
+    "equal": "matches the required state value {m}",
+    "stricter": "state requires {m} ({c}); local value {g} is more restrictive than state law allows",
+    "looser": "state contemplates {m} ({c}); local value {g} is more permissive than state law and needs review",
+    "default": "value {g} is the compliant default; lawful without further facts",
+    "depends": "value {g} is lawful only under specific conditions ({c}); needs review to confirm those conditions apply",
+    "unknown": "unhandled comparison kind for {f}",
+}
+
+
+def _case() -> Column:
+    """Which case a row with ``kind``, ``baseline`` and the coerced values falls in."""
+    kind, num, want, got, must = (F.col(c) for c in ("kind", "_num", "_want", "_got", "_must"))
+    missing = V.value_is_null(F.col("value"))
+    numeric = kind.isin("floor", "ceiling")
     return (
-        F.when(kind == "informational", out(C.NOT_APPLICABLE, None, "info", None, None, "informational / optional local opt-in (", law, "); not flagged"))
-        .when(~has_baseline, out(C.REVIEW, "no_state_baseline", "info", None, None, "no state_rule_baselines row for '", field, "'; cannot validate automatically - needs human review"))
-        .when(kind == "floor", floor).when(kind == "ceiling", ceiling).when(kind == "must_equal", must_equal).when(kind == "conditional", conditional)
-        .otherwise(out(C.REVIEW, "unknown_kind", "info", None, None, "unhandled comparison kind for ", field))
+        F.when(kind == "informational", "informational").when(F.col("baseline").isNull(), "no_baseline")
+        .when(~kind.isin("floor", "ceiling", "must_equal", "conditional"), "unknown").when(missing, "missing")
+        .when(numeric & (num.isNull() | want.isNull()), "not_numeric")
+        .when(kind == "floor", F.when(num >= want, "floor_met").otherwise("floor_missed"))
+        .when(kind == "ceiling", F.when(num <= want, "ceiling_met").otherwise("ceiling_missed"))
+        .when((kind == "must_equal") & (got.isNull() | must.isNull()), "not_boolean").when(got.isNull(), "value_not_boolean")
+        .when(kind == "must_equal", F.when(got == must, "equal").when(got == F.col("restrictive"), "stricter").otherwise("looser"))
+        .otherwise(F.when(F.coalesce(got == must, F.lit(False)), "default").otherwise("depends"))
     )
 
 
 def validate_rules(attrs: DataFrame, catalog: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Attributes of known fields with their verdict. ``attrs``: rule_id, field_name, value."""
+    """Attributes of known fields with ``flag, issue_type, severity, expected, observed, note``.
+
+    ``attrs``: rule_id, field_name, value. Each value is coerced once, classified into a case,
+    and everything else is looked up by case.
+    """
     cat = catalog.select("field_name", "kind", "law", "restrictive")
     j = attrs.join(cat, "field_name").join(current_baselines(baselines), "field_name", "left")
-    v = verdict(
-        F.col("kind"), F.col("law"), F.col("baseline").isNotNull(), F.col("legal_citation"), F.col("baseline"), F.col("value"), F.col("restrictive"), F.col("field_name")
-    )
-    return j.withColumn("_v", v).select("*", "_v.*").drop("_v")
+    v, b = F.col("value"), F.col("baseline")
+    j = j.withColumns({"_num": V.lenient_number(v), "_want": V.lenient_number(b), "_got": V.lenient_bool(v), "_must": V.lenient_bool(b)})
+    j = j.withColumn("_case", _case())
+    by_case = lambda i: lookup(F.col("_case"), {k: o[i] for k, o in OUTCOMES.items() if o[i] is not None})
+    boolean = lambda c: F.when(F.col(c), "True").when(~F.col(c), "False")
+    numeric = F.col("kind").isin("floor", "ceiling")
+    none = F.col("_case").isin("informational", "no_baseline", "unknown")
+    plain = F.col("_case").isin("informational", "no_baseline", "unknown", "missing", "not_numeric", "not_boolean", "value_not_boolean")
+    expected = F.when(~none, F.when(numeric, F.col("_want").cast("string")).otherwise(F.col("_must").cast("string")))
+    observed = F.when(plain, V.value_text(v)).when(numeric, F.col("_num").cast("string")).otherwise(F.col("_got").cast("string"))
+    note = lookup(F.col("_case"), NOTES)
+    words = {
+        "{n}": F.col("_num").cast("string"), "{w}": F.col("_want").cast("string"), "{g}": boolean("_got"), "{m}": boolean("_must"),
+        "{c}": F.coalesce(F.nullif("legal_citation", F.lit("")), F.col("law")), "{l}": F.col("law"), "{f}": F.col("field_name"),
+    }
+    for mark, text in words.items():
+        note = F.replace(note, F.lit(mark), F.coalesce(text, F.lit("None")))
+    return j.withColumns(
+        {"flag": by_case(0), "issue_type": by_case(1), "severity": by_case(2), "expected": expected, "observed": observed, "note": note}
+    ).drop("_num", "_want", "_got", "_must", "_case")
 
 
 def roll_up(verdicts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from parcelspark.operators import spatial
 from parcelspark.queries import domain as D
 from parcelspark.queries.domain import with_tables
 from parcelspark.queries.registry import query
+from parcelspark.queries.scalars import _CLEAN, _SPACE
 from parcelspark.session import shared_dir
 from parcelspark.sources import features as S
 from parcelspark.sources import sections, sinks
@@ -103,9 +104,11 @@ def section_urls(spark: SparkSession, sf: str) -> DataFrame:
     return sections.select_urls(D.section_pages(spark, sf)).select("jurisdiction_id", "section_url", "position")
 
 
-@query("io08_sections")
+@query("io08_sections", with_tables(f"""SELECT page_id % 8 AS jurisdiction_id, p.url AS section_url, sha256(trim(regexp_replace(body, '{_SPACE}', ' ', 'g'))) AS content_hash
+    FROM cleaned JOIN (SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 8, url ORDER BY page_id) = 1) p USING (page_id) WHERE length(trim(body)) >= 50""", cleaned=_CLEAN))
 def read_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.read_sections(D.section_pages(spark, sf), cap=None)
+    # every page: the per-run cap is lifted
+    return sections.read_sections(D.section_pages(spark, sf), cap=None).select("jurisdiction_id", "section_url", "content_hash")
 
 
 def _target(spark: SparkSession, sf: str) -> DataFrame:
