@@ -14,9 +14,9 @@ from parcelspark.queries.domain import with_tables
 from parcelspark.queries.registry import query
 
 
-@query("j06_current_rule", with_tables("SELECT zone_id, rule_id FROM zn JOIN cr ON zn.jurisdiction_id = cr.jurisdiction_id AND upper(zn.zone_code) = upper(cr.zone_code) AND cr.project_type = 'detached_adu'"))
+@query("j06_current_rule", with_tables("SELECT zone_id, rule_id FROM zn JOIN cr ON zn.jurisdiction_id = cr.jurisdiction_id AND upper(zn.zone_code) = upper(cr.zone_code)"))
 def current_rule(spark: SparkSession, sf: str) -> DataFrame:
-    r = rules.current_rules(D.zoning_rules(spark, sf)).where("project_type = 'detached_adu'").select("jurisdiction_id", "zone_key", "rule_id")
+    r = rules.current_rules(D.zoning_rules(spark, sf)).select("jurisdiction_id", "zone_key", "rule_id")
     z = D.zones(spark, sf).select("zone_id", "jurisdiction_id", F.upper("zone_code").alias("zone_key"))
     return z.join(r, ["jurisdiction_id", "zone_key"]).select("zone_id", "rule_id")
 

@@ -73,9 +73,9 @@ def parcels(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("area_sqft", F.expr(G.area_m2("geom")) * V.SQFT_PER_SQM_BULK)
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
+def requests(spark: SparkSession, sf: str, customers: DataFrame | None = None) -> DataFrame:
     """Requests with the coordinates their address geocodes to in ``u, v, lon, lat``."""
-    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    c, k = table(spark, sf, "customer") if customers is None else customers, F.col("c_custkey")
     u = (k * 7919 % 65536) / 1024.0
     v = (k * 104729 % ((rows_of_grid(spark, sf) + 1) * 1024)) / 1024.0
     nation = F.col("c_nationkey")
@@ -98,9 +98,9 @@ def geocodes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ask(spark: SparkSession, sf: str) -> DataFrame:
+def ask(spark: SparkSession, sf: str, customers: DataFrame | None = None) -> DataFrame:
     """Requests as a caller sends them, without coordinates."""
-    return requests(spark, sf).drop("u", "v", "lon", "lat", "c_acctbal")
+    return requests(spark, sf, customers).drop("u", "v", "lon", "lat", "c_acctbal")
 
 
 def located(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,10 +189,10 @@ def refs(spark: SparkSession, sf: str) -> Refs:
     )
 
 
-def usage_events(spark: SparkSession, sf: str) -> DataFrame:
+def usage_events(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kind, user = F.col("event_type"), F.col("user_id")
-    return table(spark, sf, "events").select(
+    return (table(spark, sf, "events") if events is None else events).select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), user.alias("consumer_id"), (user * 5 + k % 5).alias("fingerprint"),
         F.when(k < 20, k.cast("string")).alias("idempotency_key"), choose(["basic", "PRO", "ultra", "mega", "trial"], user % 5).alias("slug"),
         F.when(kind == "error", "error").when(kind == "view", "unsupported").when(kind == "click", "insufficient").otherwise("ok").alias("outcome"),

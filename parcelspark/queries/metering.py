@@ -15,8 +15,8 @@ MAX_QUOTA = max(p[2] for p in C.PLANS)
 MAX_RATE = max(p[3] for p in C.PLANS)
 
 
-def planned(spark: SparkSession, sf: str) -> DataFrame:
-    return M.resolve_plan(D.usage_events(spark, sf), C.plans(spark))
+def planned(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    return M.resolve_plan(D.usage_events(spark, sf, events), C.plans(spark))
 
 
 _DEC = """SELECT *, CASE WHEN status_code <> 200 THEN 'non_200_status:' || status_code WHEN cache_hit THEN 'cache_hit_within_dedupe_window'
