@@ -18,6 +18,7 @@ from parcelspark.functions import geometry as G
 
 LEVELS = (10, 6, 2)  # cell side is 2**-level degrees
 SPAN = 16
+WHOLE_EDGES = 64
 
 
 def cell_key(level: str | int, cx: str, cy: str) -> str:
@@ -26,9 +27,9 @@ def cell_key(level: str | int, cx: str, cy: str) -> str:
     return f"(CAST({level} AS long) * {1 << 56} + (CAST({cx} AS long) + {half}) * {1 << 28} + (CAST({cy} AS long) + {half}))"
 
 
-def level_of(bbox: str, pad: float = 0.0) -> str:
+def level_of(bbox: str, pad: str = "0D") -> str:
     """Finest level at which the box spans at most ``SPAN`` cells per axis."""
-    width = f"greatest({bbox}.xmax - {bbox}.xmin, {bbox}.ymax - {bbox}.ymin) + {G.num(2 * pad)}"
+    width = f"greatest({bbox}.xmax - {bbox}.xmin, {bbox}.ymax - {bbox}.ymin) + 2 * {pad}"
     whens = " ".join(f"WHEN {width} <= {G.num(SPAN * 2.0**-lv)} THEN {lv}" for lv in LEVELS[:-1])
     return f"CASE {whens} ELSE {LEVELS[-1]} END"
 
@@ -39,9 +40,9 @@ def point_cells(df: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     return df.selectExpr("*", f"explode(array({keys})) AS cell")
 
 
-def _spread(df: DataFrame, level: str, pad_x: float, pad_y: float) -> DataFrame:
+def _spread(df: DataFrame, level: str, pad_x: str = "0D", pad_y: str = "0D") -> DataFrame:
     """Rows of (feature, cell column, cell row) for the cells under the padded box."""
-    reach = lambda k, sign, pad: f"floor((bbox.{k} {sign} {G.num(pad)}) / _s)"
+    reach = lambda k, sign, pad: f"floor((bbox.{k} {sign} {pad}) / _s)"
     cols = df.selectExpr("*", f"{level} AS _level", f"pow(2D, -{level}) AS _s")
     cols = cols.selectExpr("*", f"explode(sequence({reach('xmin', '-', pad_x)}, {reach('xmax', '+', pad_x)})) AS _cx")
     cols = cols.selectExpr("*", f"explode(sequence({reach('ymin', '-', pad_y)}, {reach('ymax', '+', pad_y)})) AS _cy")
@@ -51,22 +52,22 @@ def _spread(df: DataFrame, level: str, pad_x: float, pad_y: float) -> DataFrame:
 _WORK = ["_level", "_cx", "_cy", "_x0", "_y0", "_s"]
 
 
-def _local_edges(pad_x: float, pad_y: float) -> str:
+def _local_edges(pad_x: str = "0D", pad_y: str = "0D") -> str:
     """Edges that can decide a test inside the cell: at its height, not ending left of it."""
     near = lambda e: (
-        f"greatest({e}.y1, {e}.y2) >= _y0 - {G.num(pad_y)} AND least({e}.y1, {e}.y2) <= _y0 + _s + {G.num(pad_y)} "
-        f"AND greatest({e}.x1, {e}.x2) >= _x0 - {G.num(pad_x)}"
+        f"greatest({e}.y1, {e}.y2) >= _y0 - {pad_y} AND least({e}.y1, {e}.y2) <= _y0 + _s + {pad_y} "
+        f"AND greatest({e}.x1, {e}.x2) >= _x0 - {pad_x}"
     )
     return f"filter(edges, {G.fn(near)})"
 
 
-def file_for_points(df: DataFrame, pad_x: float = 0.0, pad_y: float = 0.0) -> DataFrame:
+def file_for_points(df: DataFrame, pad_x: str = "0D", pad_y: str = "0D") -> DataFrame:
     """File polygons for point tests: needs ``edges`` and ``bbox``; ``edges`` becomes local.
 
     A ray towards +x from inside the cell can only meet edges at the cell's height that do not
     end left of it, and no other edge is within the padding of a point in the cell.
     """
-    spread = _spread(df, level_of("bbox", max(pad_x, pad_y)), pad_x, pad_y)
+    spread = _spread(df, level_of("bbox", f"greatest({pad_x}, {pad_y})"), pad_x, pad_y)
     return spread.withColumn("edges", F.expr(_local_edges(pad_x, pad_y))).drop(*_WORK)
 
 
@@ -77,21 +78,35 @@ def _spread_up(df: DataFrame) -> DataFrame:
     side ever covers more than ``SPAN`` cells per axis.
     """
     steps = df.selectExpr("*", f"{level_of('bbox')} AS own_level", f"explode(array{LEVELS}) AS pair_level").where("pair_level <= own_level")
-    return _spread(steps, "pair_level", 0.0, 0.0)
+    return _spread(steps, "pair_level")
 
 
 def file_for_polygons(df: DataFrame) -> DataFrame:
     """File the larger polygons of a polygon pair test: needs ``geom``, ``edges``, ``bbox``.
 
-    ``edges`` becomes the local edges as for points; ``piece`` holds the signed rings cut to the
-    cell, so overlap areas add up over cells.
+    ``edges`` becomes the local edges as for points. ``piece`` serves overlap areas: a polygon of
+    few edges travels ``whole``; of a larger one each cell holds the signed rings cut to the
+    cell, whose areas add up over cells.
     """
     cut = lambda r: G.struct(sign=f"{r}.sign", pts=G.clip_to_box(f"{r}.pts", "_x0", "_y0", "(_x0 + _s)", "(_y0 + _s)"))
-    piece = f"filter(transform({G.rings('geom')}, {G.fn(cut)}), {G.fn(lambda r: f'size({r}.pts) > 3')})"
-    filed = _spread_up(df).withColumns({"piece": F.expr(piece), "edges": F.expr(_local_edges(0.0, 0.0))})
+    cut_rings = f"filter(transform({G.rings('geom')}, {G.fn(cut)}), {G.fn(lambda r: f'size({r}.pts) > 3')})"
+    filed = _spread_up(df).withColumn("whole", F.size("edges") <= WHOLE_EDGES)
+    filed = filed.withColumns({"piece": F.expr(f"IF(whole, {G.rings('geom')}, {cut_rings})"), "edges": F.expr(_local_edges())})
     return filed.withColumnRenamed("own_level", "filed_level").drop("geom", "pair_level", *_WORK)
 
 
+def overlap_in_cell(p: str = "p", f: str = "f") -> str:
+    """A pair's overlap area seen from one shared cell, to be summed over cells.
+
+    Whole polygons are measured once, in the cell holding the lower left corner of the common
+    part of both boxes.
+    """
+    corner = lambda k: f"greatest({p}.bbox.{k}min, {f}.bbox.{k}min)"
+    here = " AND ".join(f"{corner(k)} >= {p}.cell_{k} AND {corner(k)} < {p}.cell_{k} + {p}.cell_side" for k in "xy")
+    area = G.overlap_area(f"{p}.parts", f"{f}.piece")
+    return f"IF({f}.whole AND NOT ({here}), 0D, {area})"
+
+
 def probe_polygons(df: DataFrame) -> DataFrame:
     """List small polygons (parcels) under the cells where a filed polygon may meet them."""
     return _spread_up(df).withColumnsRenamed({"_x0": "cell_x", "_y0": "cell_y", "_s": "cell_side"}).drop("_level", "_cx", "_cy")

@@ -6,8 +6,6 @@ columns named. None carries a geometry out.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +61,12 @@ def match_parcel(points: DataFrame, parcels: DataFrame, tolerance_m: float = TOL
         F.min(F.struct("apn", "parcel_id")).alias("first")
     )
     # degrees that surely span the tolerance anywhere the tangent scale is used
-    pad_y = tolerance_m / 110000.0
-    pad_x = pad_y / max(0.01, math.cos(math.radians(72.0)))
+    pad_y = f"{tolerance_m / 110000.0!r}D"
+    pad_x = f"({pad_y} / greatest(0.01D, cos(radians(greatest(abs(bbox.ymin), abs(bbox.ymax)) + {pad_y}))))"
     filed = cells.file_for_points(shapes, pad_x, pad_y)
     pairs = cells.point_cells(points.select("jurisdiction_id", "lon", "lat")).join(filed, ["jurisdiction_id", "cell"])
     close = pairs.where(
-        f"lon BETWEEN bbox.xmin - {pad_x!r} AND bbox.xmax + {pad_x!r} AND lat BETWEEN bbox.ymin - {pad_y!r} AND bbox.ymax + {pad_y!r}"
+        f"lon BETWEEN bbox.xmin - {pad_x} AND bbox.xmax + {pad_x} AND lat BETWEEN bbox.ymin - {pad_y} AND bbox.ymax + {pad_y}"
     )
     gap = f"CASE WHEN {G.contains('edges', 'lon', 'lat')} THEN -1D ELSE {G.boundary_distance_m('edges', 'lon', 'lat')} END"
     measured = close.withColumn("_d", F.expr(gap))
@@ -98,7 +96,7 @@ def polygon_pairs(probes: DataFrame, filed: DataFrame, on: list[str], probe_key:
     p = cells.probe_polygons(p.drop("geom")).alias("p")
     f = cells.file_for_polygons(with_edges(filed).select("geom", "edges", "bbox", *on, *[k for k in keep if k not in on])).alias("f")
     cond = " AND ".join([cells.same_pair_cell(), *[f"p.{c} = f.{c}" for c in on]])
-    shared = G.overlap_area("p.parts", "f.piece") if area else "0D"
+    shared = cells.overlap_in_cell() if area else "0D"
     seen = p.join(f, F.expr(cond)).selectExpr(
         f"p.{probe_key}", *[f"f.{k}" for k in keep], f"{shared} AS _a", f"{cells.meet_in_cell()} AS _hit"
     )

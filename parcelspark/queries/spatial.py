@@ -64,7 +64,7 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
 def distance_m(spark: SparkSession, sf: str) -> DataFrame:
     pts = spatial.match_jurisdiction(D.located(spark, sf).select("lon", "lat").distinct(), D.jurisdictions(spark, sf))
     req = D.located(spark, sf).join(pts, ["lon", "lat"])
-    pad = 0.0012
+    pad = "0.0012D"
     filed = cells.file_for_points(spatial.with_edges(D.parcels(spark, sf)).select("jurisdiction_id", "parcel_id", "edges", "bbox"), pad, pad)
     pairs = cells.point_cells(req).join(filed, ["jurisdiction_id", "cell"])
     d = G.distance_m("edges", "lon", "lat")
