@@ -69,12 +69,12 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
         spatial.zones_at_points(bare, refs.zones).select("place", "zone_id", "zone_code", "overlap_area")
     )
     zone_info = refs.zones.select("zone_id", "zone_name", rules.source("Zoning districts GIS layer", have=set(refs.zones.columns)).cast(SOURCE_T).alias("zone_source"))
-    zoned = spatial.zone_choice(zone_pairs, ["place"]).join(zone_info, "zone_id")
+    zoned = cut(spatial.zone_choice(zone_pairs, ["place"])).join(zone_info, "zone_id")
 
     hits = named(spatial.match_overlays(lots, refs.overlays)).select("place", "overlay_id", "overlay_type").unionByName(
         spatial.overlays_at_points(bare.select("lon", "lat", "place"), refs.overlays).select("place", "overlay_id", "overlay_type")
     )
-    over = overlay_lists(live.select("place").distinct(), hits, refs.overlays)
+    over = overlay_lists(live.select("place").distinct(), cut(hits), refs.overlays)
     lot_info = lots.select("place", "apn", "area_sqft", F.expr(G.centroid("geom")).alias("centroid"), "parcel_source")
     return cut(placed.join(lot_info, "place", "left").join(zoned, "place", "left").join(over, "place", "left").drop("place"))
 
@@ -153,7 +153,8 @@ def feasibility(requests: DataFrame, refs: Refs, as_of: str) -> DataFrame:
     )
     ctx = found.join(
         verified, (F.col("jurisdiction_id") == F.col("_j")) & (F.upper("zone_code") == F.col("zone_key")) & (F.col("project_type") == F.col("_p")), "left"
-    ).drop("_j", "_p", "zone_key").alias("c")
+    ).drop("_j", "_p", "zone_key")
+    ctx = cut(ctx).alias("c")
     r = both.alias("r")
     cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ctx_keys]
     full = r.join(ctx, [F.col("r._live"), *cond], "left").select("r.*", "c.findings", F.coalesce("c.has_local_rules", F.lit(False)).alias("has_local_rules"))
@@ -165,7 +166,7 @@ def feasibility(requests: DataFrame, refs: Refs, as_of: str) -> DataFrame:
     areas = E.inset_areas(
         refs.parcels.select("parcel_id", "geom").join(asked, "parcel_id"), V.feet_to_meters(F.col("inset_ft"))
     ).select("parcel_id", "inset_ft", "inset_area_m2")
-    full = full.join(areas, ["parcel_id", "inset_ft"], "left")
+    full = full.join(cut(areas), ["parcel_id", "inset_ft"], "left")
     return _assemble(full, now)
 
 

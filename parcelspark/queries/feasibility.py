@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark import catalogs as C
-from parcelspark.functions import values as V
-from parcelspark.operators import envelope, rules
+from parcelspark.operators import rules
 from parcelspark.plans import feasibility as P
 from parcelspark.queries import domain as D
-from parcelspark.queries.domain import CTE, with_tables
+from parcelspark.queries.domain import with_tables
 from parcelspark.queries.registry import query
+from parcelspark.session import shared_dir
 
 _FLAG = f"""CASE WHEN l_field IS NULL OR b_field IS NULL THEN 'not_applicable'
   WHEN (l_num IS NULL AND l_bool IS NULL) OR b_json IS NOT NULL THEN 'needs_review'
@@ -62,17 +64,31 @@ TABLES = {
 }
 
 
-def results(spark: SparkSession, sf: str) -> DataFrame:
+def run(spark: SparkSession, sf: str) -> DataFrame:
+    """The job itself, over every request."""
     return P.feasibility(D.ask(spark, sf), D.refs(spark, sf), D.AS_OF)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def results(spark: SparkSession, sf: str) -> DataFrame:
+    """The job's results as a stored table, written once per session; reports read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+        run(spark, sf).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 @query("r17_feasibility", with_tables("""SELECT request_id, CASE WHEN placed AND NOT live THEN 'unsupported_coverage' ELSE 'completed' END AS kind, status AS feasibility_status,
     coalesce(status <> 'insufficient_data', false) AS billable, CASE WHEN placed THEN slug ELSE 'unknown' END AS jurisdiction_slug, CASE WHEN live THEN pid END AS parcel_id,
     CASE WHEN live AND pid IS NOT NULL THEN CASE WHEN inside THEN 'st_contains' ELSE 'st_intersects' END END AS match_method, zone_code, amb AS cross_zone_ambiguity,
     hazard AS hazard_hit, live AND has_local AS has_local_rules, path AS path_status, CASE WHEN live THEN n END AS findings,
     CASE WHEN live THEN hits + CASE WHEN fl THEN 0 ELSE 1 END + CASE WHEN fi THEN 0 ELSE 1 END END AS overlays FROM done""", **TABLES))
 def feasibility(spark: SparkSession, sf: str) -> DataFrame:
-    return results(spark, sf).select(
+    return run(spark, sf).select(
         "request_id", "kind", "feasibility_status", "billable", "jurisdiction_slug", "parcel_id", "match_method", "zone_code", "cross_zone_ambiguity",
         "hazard_hit", "has_local_rules", "path_status", F.size("findings").alias("findings"), F.size("overlays").alias("overlays"),
     )
@@ -81,7 +97,7 @@ def feasibility(spark: SparkSession, sf: str) -> DataFrame:
 @query("r17_status_counts", with_tables("""SELECT coalesce(status, 'unsupported_coverage') AS outcome, project_type, count(*) AS requests,
     count(*) FILTER (WHERE status <> 'insufficient_data') AS billable FROM done GROUP BY 1, 2""", **TABLES))
 def status_counts(spark: SparkSession, sf: str) -> DataFrame:
-    r = results(spark, sf)
+    r = run(spark, sf)
     return r.groupBy(F.coalesce("feasibility_status", "kind").alias("outcome"), "project_type").agg(
         F.count("*").alias("requests"), F.count_if("billable").alias("billable")
     )

@@ -11,11 +11,12 @@ from parcelspark.session import local_session  # noqa: E402
 
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    want = tuple(sys.argv[2:])
+    want = tuple(a for a in sys.argv[2:] if not a.startswith("-"))
+    skip = tuple(a[1:] for a in sys.argv[2:] if a.startswith("-"))
     spark, con, sql = local_session(cores="8"), duck(sf), entry.oracle_sql()
     bad = []
     for name, fn in entry.queries().items():
-        if want and not name.startswith(want):
+        if (want and not name.startswith(want)) or (skip and name.startswith(skip)):
             continue
         t = time.time()
         try:
