@@ -86,7 +86,8 @@ def strict_bool(v: Column) -> Column:
 
 def lenient_number(v: Column) -> Column:
     """First numeric token of a number or text such as ``1,200 sq ft``."""
-    text = F.replace(F.trim(F.trim(v["json"]), F.lit('"')), F.lit(","), F.lit(""))
+    plain = F.when(~F.ltrim(v["json"]).rlike(r"^[\[{]"), v["json"])  # objects and lists are not text
+    text = F.replace(F.trim(F.trim(plain), F.lit('"')), F.lit(","), F.lit(""))
     token = F.regexp_extract(text, r"(?U)[\d.\-]+", 0)
     return F.coalesce(v["num"], F.nullif(token, F.lit("")).try_cast("double"))
 
