@@ -136,12 +136,6 @@ def field_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # a heading in one of several styles, from the page number
-_HEAD = """SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'Sec. ' || (page_id % 30 + 1) || '.' || (page_id % 90 + 10) || ' A.33 Units' WHEN 1 THEN 'Title ' || (page_id % 20) || 'A Chapter ' || (page_id % 40) || '.'
-    WHEN 2 THEN 'Section 17' WHEN 3 THEN 'chapter 9.2B of 20.30.460' ELSE 'General' END AS h,
-    'https://x.test/c?nodeId=TIT' || (page_id % 9 + 1) || 'ZO_CH' || (page_id % 30) || '.5_' || (page_id % 30) || '.5.10' AS nurl FROM pages"""
-_NUM = """SELECT page_id, page_id % 5 AS k, CAST(page_id % 30 + 1 AS VARCHAR) AS a, CAST(page_id % 90 + 10 AS VARCHAR) AS b, page_id FROM pages"""
-
-
 def headings(spark: SparkSession, sf: str) -> DataFrame:
     h = F.expr("""CASE page_id % 5 WHEN 0 THEN concat('Sec. ', page_id % 30 + 1, '.', page_id % 90 + 10, ' A.33 Units') WHEN 1 THEN concat('Title ', page_id % 20, 'A Chapter ', page_id % 40, '.')
         WHEN 2 THEN 'Section 17' WHEN 3 THEN 'chapter 9.2B of 20.30.460' ELSE 'General' END""")
