@@ -53,3 +53,27 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+OP7_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+sh as (
+  select distinct doc_id, hash(array_to_string(w[i:i + least(len(w), 5) - 1], ' ')) g
+  from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from sh group by doc_id),
+shared as (select a.doc_id x, b.doc_id y, count(*) c from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select x, y from shared join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach(a, b) as (select x, x from edges union select r.a, e.y from reach r join edges e on e.x = r.b),
+comp as (select a, min(b) c from reach group by a)
+select w.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, coalesce(c, w.doc_id) component_id
+from w left join n using (doc_id) left join comp on comp.a = w.doc_id
+"""
+
+
+@query("op7_sigtree", OP7_SQL)
+def op7_sigtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm.sigtree import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
