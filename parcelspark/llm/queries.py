@@ -77,3 +77,24 @@ def op7_sigtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelspark.llm.sigtree import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_langid")
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import langid
+
+    documents = table(spark, sf_dir, "documents")
+    machines = langid.fit(documents, ~langid.held_out())
+    out = langid.predict(documents.select("doc_id", F.col("text").cast("string").alias("text")), machines)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_wfst")
+def op10_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from parcelspark.llm import wfst
+
+    model = wfst.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    out = wfst.encode(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text")), model)
+    return out.select("doc_id", "n_ids", "ids", "round_trip", "decoded_sha256")

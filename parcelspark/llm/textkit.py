@@ -50,13 +50,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch, each of one text or of texts of about ``size`` bytes together."""
+def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch, each of one text or of texts of about ``size`` bytes together, ``rows`` at most."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(lengths) // size
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    cuts = sorted({0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), *range(0, batch.num_rows, rows), batch.num_rows})
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
 
