@@ -98,3 +98,12 @@ def op10_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = wfst.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
     out = wfst.encode(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text")), model)
     return out.select("doc_id", "n_ids", "ids", "round_trip", "decoded_sha256")
+
+
+@query("op1_secrets")
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
