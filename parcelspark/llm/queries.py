@@ -107,3 +107,22 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query("op8_tokenfile")
+def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from parcelspark.llm import tokenfile
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    manifest = tokenfile.write(table(spark, sf_dir, "documents"), definition, end_id=2)
+    return tokenfile.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op9_ctph")
+def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import ctph
+
+    return ctph.with_next(table(spark, sf_dir, "documents"))
