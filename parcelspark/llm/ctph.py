@@ -4,7 +4,8 @@ A rolling hash over seven bytes ends a chunk wherever it is one less than a mult
 one character. The block size doubles from a least size until a text has about ``SPAN`` chunks at most, and a fingerprint
 has the chunk strings at that size and at twice it, so texts of nearby lengths share a block size. Two fingerprints are
 compared at the block sizes both have: one minus the edit distance of the chunk strings over their joint length. Runs
-of more than three equal characters count as three, and strings without a common run of three are unlike.
+of more than three equal characters count as three, and strings of eight or more without a common run of three are
+unlike.
 
 Defined cases: null and empty texts have the fingerprint ``3::``, and are like one another only. Equal texts have
 equal fingerprints and likeness 1. ``with_next`` orders rows by (doc_id, text's hash), null ids first; in a table of
@@ -93,7 +94,7 @@ def _string_likeness(a: str, b: str) -> float:
     a, b = (re.sub(r"(.)\1{3,}", r"\1\1\1", x) for x in (a, b))
     if a == b:
         return 1.0 if a else 0.0
-    if len(a) >= 3 and len(b) >= 3:
+    if len(a) >= 8 and len(b) >= 8:
         runs = {a[i : i + 3] for i in range(len(a) - 2)}
         if not any(b[i : i + 3] in runs for i in range(len(b) - 2)):
             return 0.0

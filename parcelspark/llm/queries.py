@@ -126,3 +126,21 @@ def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelspark.llm import ctph
 
     return ctph.with_next(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') html from pages),
+d as (select page_id, strlen(html) payload_bytes, sha1(html) h, min(page_id) over (partition by html) first from p)
+select page_id, cast(payload_bytes as bigint) payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast((cast('0x' || substr(h, 1 + 5 * cast(i // 4 as int), 5) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31 as int), 1)), '') payload_digest,
+  case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to
+from d
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import warc
+
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("payload")

@@ -67,7 +67,7 @@ def published(folder: str, name: str) -> Iterator:
     fs.create_dir(path, recursive=True)
     temporary = f"{path}/.{name}.{os.getpid()}-{uuid.uuid4().hex}"
     try:
-        with fs.open_output_stream(temporary) as out:
+        with fs.open_output_stream(temporary, compression=None) as out:
             yield out
         fs.move(temporary, f"{path}/{name}")
     except BaseException:
