@@ -144,3 +144,41 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelspark.llm import warc
 
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("payload")
+
+
+OP5_SQL = """
+with m as (select distinct conv_id, turn, role, coalesce(text, '') text from conversations),
+p as (select distinct conv_id, role speaker from m where role is not null and role <> 'system'),
+r as (
+  select m.conv_id, speaker, turn, m.role, text, floor(turn / 64) part,
+    case when m.role is null then '<|user|>' || chr(10) when m.role = 'system' then '<|system|>' || chr(10) when m.role = speaker then '<|assistant|>' || chr(10)
+      else '<|user name=' || m.role || '|>' || chr(10) end head
+  from m join p using (conv_id)),
+s as (
+  select *, head || text || '<|end|>' || chr(10) piece,
+    coalesce(sum(length(head) + length(text) + 8) over (partition by conv_id, speaker order by turn, role nulls first, text rows between unbounded preceding and 1 preceding), 0) start
+  from r)
+select conv_id, speaker, cast(dense_rank() over (partition by conv_id, speaker order by part) - 1 as bigint) part, cast(count(*) as bigint) n_messages, cast(min(start) as bigint) start,
+  string_agg(piece, '' order by turn, role nulls first, text) rendered,
+  coalesce(string_agg(case when role = speaker then (start + length(head)) || ':' || (start + length(piece)) end, ',' order by turn, role nulls first, text), '') masks
+from s group by conv_id, speaker, s.part
+"""
+
+
+@query("op5_rotation", OP5_SQL)
+def op5_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import chat
+
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    masks = F.concat_ws(",", F.transform("masks", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
+    return out.withColumn("masks", masks)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    index = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    out = toxicity.score(documents.select("doc_id", F.col("text").cast("string").alias("text")), index)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
