@@ -34,7 +34,8 @@ from parcelspark.llm.textkit import chunks
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in the model file
-KEPT = 200_000  # segments and pairs remembered by a worker; what is forgotten is worked out again
+_ONE = (1,)
+KEPT = 350_000  # segments and pairs that a worker remembers, twice; what is forgotten is worked out again
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -95,11 +96,24 @@ class Transducer:
         self.unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
         self.longest = max(map(len, self.id), default=1)
         self.side_by_side = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        known = "".join(re.escape(c) for c in sorted({c for p in self.id for c in p} - {MARK}))
-        inner = any(MARK in p.lstrip(MARK) for p in self.id)  # a piece with the mark after other characters
-        self.rough = re.compile(f"[{known}{MARK}]+|[^{known}{MARK}]" if inner else f"{MARK}*[{known}]+|{MARK}+|[^{known}{MARK}]")
+        known = {c for p in self.id for c in p} - {MARK}
+        joined = any(MARK in p.lstrip(MARK) for p in self.id)  # a piece with the mark after other characters
+        mixed = any(p[0].isalpha() and not p[1].isalpha() for p in self.side_by_side)
+        letters, others = ("".join(re.escape(c) for c in sorted(known) if c.isalpha() == kind) for kind in (True, False))
+        every = letters + others
+        # segments that no piece crosses: cut at marks and, where the pieces allow it, behind letters
+        inside = f"[{every}{MARK}]+" if joined else f"{MARK}*[{every}]+|{MARK}+" if mixed else f"{MARK}*[{others}]*[{letters}]+|{MARK}*[{others}]+|{MARK}+"
+        self.rough = re.compile(f"{inside}|[^{every}{MARK}]")
+        # lengths of the pieces that end with the same two characters, the longest first
+        tails: dict[str, set[int]] = {}
+        for p in self.id:
+            tails.setdefault(p[-2:], {1}).add(len(p))
+        self.sizes = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
+        self.made: dict[str, list[tuple[float, str, str]] | None] = {}
         self.pairs: dict[tuple[str | None, str], bool] = {}
-        self.segments: dict[str, list[int]] = {}
+        self.old_pairs: dict[tuple[str | None, str], bool] = {}
+        self.segments: dict[str, tuple[int, ...]] = {}
+        self.old_segments: dict[str, tuple[int, ...]] = {}
 
     # compile: normaliser
     def normalised(self, text: str) -> str:
@@ -110,31 +124,60 @@ class Transducer:
         return text.replace(" ", MARK)
 
     # compile: arcs between piece states of a merge model
-    def merged(self, text: str) -> list[str]:
-        """Greedy merging: the best-scored neighbouring pair first, of equal ones the leftmost."""
-        parts = list(text)
-        score = self.score
-        while len(parts) > 1:
-            best, at = None, -1
+    def merging(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """Greedy merging (the best-scored neighbouring pair first, of equal ones the leftmost) of a text alone.
+
+        Returns its pieces, and for each merge its score and the first and last symbol before it; the last entry, of
+        score minus infinity, has them at the end.
+        """
+        parts, steps, score = list(text), [], self.score
+        while True:
+            best, at = -np.inf, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
+                if s is not None and (at < 0 or s > best):
                     best, at = s, i
+            steps.append((best, parts[0], parts[-1]))
             if at < 0:
-                break
+                return parts, steps
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+
+    def steps(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """Merges that make the piece, None if merging does not give it."""
+        if piece not in self.made:
+            parts, steps = self.merging(piece)
+            self.made[piece] = steps if len(parts) == 1 else None
+        return self.made[piece]
 
     def stable(self, before: str | None, piece: str) -> bool:
-        """Whether the arc from the state of ``before`` over ``piece`` has a finite weight."""
+        """Whether the arc from the state of ``before`` over ``piece`` has a finite weight.
+
+        Side by side the two go through their own merges, the better one first, until a merge across their border is
+        better than both (or as good as the right one's, being further left).
+        """
         found = self.pairs.get((before, piece))
         if found is None:
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            found = self.merged((before or "") + piece) == ([before, piece] if before else [piece])
+            found = self.old_pairs.get((before, piece))
+            if found is None:
+                found = self.steps(piece) is not None and (before is None or self._apart(self.steps(before), self.steps(piece)))
             self.pairs[before, piece] = found
         return found
 
+    def _apart(self, left: list[tuple[float, str, str]], right: list[tuple[float, str, str]]) -> bool:
+        i = j = 0
+        score = self.score
+        while True:
+            (a, _, last), (b, first, _) = left[i], right[j]
+            across = score.get(last + first)
+            if across is not None and across > a and across >= b:
+                return False
+            if a == b == -np.inf:
+                return True
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+
     def shortest(self, segment: str) -> list[str]:
         """Pieces (or single characters that are in none) on the path of least weight."""
         n, longest, ids = len(segment), self.longest, self.id
@@ -142,14 +185,14 @@ class Transducer:
             if segment in ids and self.stable(None, segment):
                 return [segment]
             last: list[str | None] = [None] * (n + 1)
-            pairs, stable = self.pairs, self.stable
+            pairs, stable, sizes = self.pairs, self.stable, self.sizes
             for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = segment[start:end]
-                    if piece in ids or end - start == 1:
-                        before = last[start]
-                        if start and before is None:
-                            continue
+                for size in sizes.get(segment[end - 2 : end] if end > 1 else segment[0], _ONE):
+                    if size > end:
+                        continue
+                    piece = segment[end - size : end]
+                    if size == 1 or piece in ids:
+                        before = last[end - size]
                         ok = pairs.get((before, piece))
                         if ok or ok is None and stable(before, piece):
                             last[end] = piece
@@ -173,33 +216,34 @@ class Transducer:
             at = back[at]
         return path[::-1]
 
-    def ids_of(self, rough: str) -> list[int]:
-        """Ids of one rough segment, through the finer segments that no piece crosses."""
-        found = self.segments.get(rough)
+    def ids_of(self, segment: str) -> tuple[int, ...]:
+        found = self.old_segments.get(segment)
         if found is None:
-            found, begin = [], 0
-            cuts = [i for i in range(1, len(rough)) if rough[i - 1 : i + 1] not in self.side_by_side]
-            for end in (*cuts, len(rough)):
-                for piece in self.shortest(rough[begin:end]):
-                    i = self.id.get(piece)
+            ids, out = self.id, []
+            cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.side_by_side]
+            for begin, end in zip([0, *cuts], [*cuts, len(segment)], strict=True):
+                for piece in self.shortest(segment[begin:end]):
+                    i = ids.get(piece)
                     if i is not None:
-                        found.append(i)
+                        out.append(i)
                     elif self.byte_of:
-                        found += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+                        out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
                     else:
-                        found.append(self.unknown)
-                begin = end
-            if len(self.segments) >= KEPT:
-                self.segments.clear()
-            if len(rough) <= 64:
-                self.segments[rough] = found
+                        out.append(self.unknown)
+            found = tuple(out)
+        if len(segment) <= 64:
+            self.segments[segment] = found
         return found
 
     def encode(self, text: str) -> list[int]:
+        if len(self.segments) >= KEPT:
+            self.old_segments, self.segments = self.segments, {}
+        if len(self.pairs) >= KEPT:
+            self.old_pairs, self.pairs = self.pairs, {}
         out: list[int] = []
         get, slow = self.segments.get, self.ids_of
-        for rough in self.rough.findall(self.normalised(text)):
-            out += get(rough) or slow(rough)
+        for segment in self.rough.findall(self.normalised(text)):
+            out += get(segment) or slow(segment)
         return out
 
     def decode(self, ids: list[int]) -> str:
