@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.llm.bitmap import hash_bits, may_have
 from parcelspark.llm.textkit import ALNUM, Words, chunks
 from parcelspark.session import cut
 
 WINDOW = 13
-SLOTS_LOG2 = 17  # 64-bit slots of the bitmap of test fingerprints: 1 MB, whatever the tables' sizes
 
 
 def gram_length(length: int) -> int:
@@ -73,8 +73,7 @@ def _document_windows(batches: Iterator[pa.RecordBatch], lengths: list[int], bit
             rows: dict[tuple, list[int]] = {}
             for length in lengths:
                 fp, first = fingerprints(words, length)
-                hit = (slots[fp >> np.uint64(64 - SLOTS_LOG2)] >> ((fp >> np.uint64(58 - SLOTS_LOG2)) & np.uint64(63))) & np.uint64(1)
-                for at in np.flatnonzero(hit).tolist():
+                for at in np.flatnonzero(may_have(slots, fp)).tolist():
                     i = int(first[at])
                     text = int(words.text_of[i])
                     rows.setdefault((text, length, int(fp[at].astype(np.int64)), words.joined(i, length)), []).append(i - int(words.offsets[text]))
@@ -114,12 +113,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     found = items.mapInArrow(lambda it: _item_windows(it, window), "length int, fp bigint, window binary, item_id string")
     tests = cut(found.groupBy("length", "fp", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
     lengths = sorted(r.length for r in tests.select("length").distinct().collect())  # at most `window` numbers
-    shift = lambda n: F.shiftrightunsigned("fp", n)
-    slot_rows = tests.groupBy(shift(64 - SLOTS_LOG2).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {58 - SLOTS_LOG2}) & 63 as int))")).alias("bits"))
-    slots = np.zeros(1 << SLOTS_LOG2, dtype=np.int64)
-    for r in slot_rows.collect():  # at most 2**SLOTS_LOG2 rows
-        slots[r.slot] = r.bits
-    bits = spark.sparkContext.broadcast(slots.view(np.uint64))
+    bits = spark.sparkContext.broadcast(hash_bits(tests, "fp"))
 
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     kind = dict(documents.dtypes)["doc_id"]
