@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from parcelspark import catalogs as C
 from parcelspark.functions.text import lookup
-from parcelspark.operators.skew import top_per_key
 from parcelspark.session import cut
 
 DAY_US = 86_400_000_000
@@ -47,22 +46,29 @@ def error_status(code: Column) -> Column:
     return lookup(code, C.ERROR_STATUS)
 
 
-def _limit_rank(events: DataFrame, keys: Sequence[str | Column], most: int) -> DataFrame:
-    """``event_id, rn`` of the first ``most`` events per key; at most that many rows per key
-    leave the salted first round, so a hot key stays small."""
-    named = events.select("event_id", "ts", *[(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    return top_per_key(named, [f"_k{i}" for i in range(len(keys))], ["ts", "event_id"], most).select("event_id", "rn")
+def _limit_rank(events: DataFrame, keys: Sequence[str | Column], limit: str, salts: int = 64) -> DataFrame:
+    """``event_id, rn`` of the first events per key, as many as the row's own ``limit`` says.
+
+    Sub-groups by a salt are ranked first and cut to the limit, so a hot key's last rank sees at most ``salts`` times
+    its limit.
+    """
+    named = events.select("event_id", "ts", F.col(limit).alias("_most"), F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("_salt"), *[(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    names = [f"_k{i}" for i in range(len(keys))]
+    first = Window.partitionBy(*names, "_salt").orderBy("ts", "event_id")
+    last = Window.partitionBy(*names).orderBy("ts", "event_id")
+    cut_down = named.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= F.col("_most"))
+    return cut_down.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= F.col("_most")).select("event_id", "rn")
 
 
-def monthly_quota(events: DataFrame, largest_quota: int) -> DataFrame:
+def monthly_quota(events: DataFrame) -> DataFrame:
     """Add ``allowed`` and ``used`` to would-be billed requests (``candidate``).
 
     A request is allowed while fewer billed ones precede it in the UTC month than the plan's
     quota; denied ones do not count, so exactly the first ``monthly_quota`` candidates pass.
-    ``largest_quota`` bounds the plans' quotas; a null quota is unlimited.
+    A null quota is unlimited.
     """
     month = F.date_trunc("month", "ts")
-    first = _limit_rank(events.where("candidate AND monthly_quota IS NOT NULL"), ["consumer_id", month], largest_quota)
+    first = _limit_rank(events.where("candidate AND monthly_quota IS NOT NULL"), ["consumer_id", month], "monthly_quota")
     ranked = events.join(first, "event_id", "left")
     within = F.col("rn") <= F.col("monthly_quota")
     return ranked.withColumn(
@@ -72,72 +78,82 @@ def monthly_quota(events: DataFrame, largest_quota: int) -> DataFrame:
     ).drop("rn")
 
 
-def burst_limit(events: DataFrame, largest_limit: int) -> DataFrame:
+def burst_limit(events: DataFrame) -> DataFrame:
     """Add ``allowed``: the first ``rate_limit`` requests of a consumer in a clock minute. A limit
     of zero or less means unlimited."""
     minute = F.floor(F.unix_micros("ts") / 60_000_000)
-    first = _limit_rank(events.where("rate_limit > 0"), ["consumer_id", minute], largest_limit)
+    first = _limit_rank(events.where("rate_limit > 0"), ["consumer_id", minute], "rate_limit")
     ranked = events.join(first, "event_id", "left")
     return ranked.withColumn("allowed", (F.col("rate_limit") <= 0) | F.coalesce(F.col("rn") <= F.col("rate_limit"), F.lit(False))).drop("rn")
 
 
-def greedy_anchors(events: DataFrame, keys: Sequence[str], window_us: int, max_group: int = 200_000) -> DataFrame:
+def greedy_anchors(events: DataFrame, keys: Sequence[str], window_us: int) -> DataFrame:
     """``keys, anchor_us``: times at which a key is computed afresh.
 
     The first event is an anchor; the next anchor is the first event at least ``window_us`` after
     the previous one. Events in between do not extend the window, so this is a recurrence.
 
-    Keys with at most ``max_group`` distinct times are folded in one pass over a sorted array of
-    proven size. Larger keys are advanced together: each round takes, per key, the earliest event
-    past the last anchor's window. That is a plain minimum, combined before the shuffle, and a
-    round is needed per window length of history, not per event.
+    Each distinct time is linked to the first time at least a window later: that lies in the next
+    window-long bucket, behind the time's place in it, or else is the first time of a later bucket.
+    Following links from the first time is then done by doubling them: the known anchors reach as
+    many again in each round, so rounds grow with the logarithm of a key's history in windows.
+    A key of any size is spread over its buckets.
     """
-    t = events.select(*keys, F.unix_micros("ts").alias("us"))
-    sizes = t.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > max_group).select(*keys)
-    small, big = t, None
-    if not hot.isEmpty():
-        small, big = t.join(hot, list(keys), "left_anti"), cut(t.join(hot, list(keys), "left_semi"))
-    fold = f"""aggregate(array_sort(collect_set(us)), CAST(array() AS array<bigint>),
-        (a, x) -> IF(size(a) = 0 OR x - element_at(a, -1) >= {window_us}, concat(a, array(x)), a))"""
-    out = small.groupBy(*keys).agg(F.expr(fold).alias("_a")).select(*keys, F.explode("_a").alias("anchor_us"))
-    if big is None:
-        return out
-    last = cut(big.groupBy(*keys).agg(F.min("us").alias("anchor_us")))
-    rounds = [out, last]
+    keys = list(keys)
+    bucket = F.floor(F.col("us") / window_us)
+    times = cut(events.select(*keys, F.unix_micros("ts").alias("us")).distinct().withColumn("_b", bucket))
+    lows = times.groupBy(*keys, "_b").agg(F.min("us").alias("_low"))
+    later = Window.partitionBy(*keys).orderBy("_b")
+    # a time's bucket ahead holds its place (us + window) among the real times there
+    places = times.select(*keys, (F.col("_b") + 1).alias("_b"), (F.col("us") + window_us).alias("_at"), F.col("us").alias("_from"))
+    real = times.select(*keys, "_b", F.col("us").alias("_at"), F.lit(None).cast("bigint").alias("_from"))
+    ahead = Window.partitionBy(*keys, "_b").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    both = places.unionByName(real).withColumn("_to", F.min(F.when(F.col("_from").isNull(), F.col("_at"))).over(ahead))
+    inside = both.where("_from IS NOT NULL").select(*keys, "_b", F.col("_from").alias("us"), "_to")
+    # where the bucket ahead has none, the first time of the bucket after it
+    own = lows.withColumn("_next", F.lead("_b").over(later)).withColumn("_next_low", F.lead("_low").over(later))
+    over = own.select(*keys, (F.col("_b") + 1).alias("_b"), F.when(F.col("_next") > F.col("_b") + 1, F.col("_next_low")).alias("_gap"))
+    after = own.select(*keys, "_b", F.col("_next_low").alias("_after"))
+    same = lambda a, c: [F.col(f"a.{k}").eqNullSafe(F.col(f"{c}.{k}")) for k in keys] + [F.col("a._b") == F.col(f"{c}._b")]
+    linked = inside.alias("a").join(over.alias("o"), same("a", "o"), "left").join(after.alias("f"), same("a", "f"), "left")
+    jump = cut(linked.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.us").alias("us"), F.coalesce("_to", "_after", "_gap").alias("to")).where("to IS NOT NULL"))
+    reached = cut(times.groupBy(*keys).agg(F.min("us").alias("anchor_us")))
+    match = lambda a, c, x, y: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{c}.{k}")) for k in keys] + [F.col(f"{a}.{x}") == F.col(f"{c}.{y}")]
     while True:
-        later = big.join(last, list(keys)).where(F.col("us") >= F.col("anchor_us") + window_us)
-        last = cut(later.groupBy(*keys).agg(F.min("us").alias("anchor_us")))
-        if last.isEmpty():
-            break
-        rounds.append(last)
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+        new = cut(reached.alias("r").join(jump.alias("j"), match("r", "j", "anchor_us", "us")).select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("j.to").alias("anchor_us")))
+        if new.isEmpty():
+            return reached
+        reached = reached.unionByName(new)
+        jump = cut(jump.alias("x").join(jump.alias("y"), match("x", "y", "to", "us")).select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.us").alias("us"), F.col("y.to").alias("to")))
 
 
-def dedupe_replay(events: DataFrame, hours: float = C.DEDUPE_HOURS, key: str = "fingerprint", max_group: int = 200_000) -> DataFrame:
+def dedupe_replay(events: DataFrame, hours: float = C.DEDUPE_HOURS, key: str = "fingerprint") -> DataFrame:
     """Add ``hit``: the request repeats a computed one less than ``hours`` old.
 
     The anchor of a time is the earliest event at it, so only that event is computed.
     """
-    anchors = greedy_anchors(events, [key], int(hours * 3_600_000_000), max_group)
+    anchors = greedy_anchors(events, [key], int(hours * 3_600_000_000)).select(F.col(key).alias("_k"), "anchor_us")
     at = events.withColumn("_us", F.unix_micros("ts"))
-    first = at.join(anchors, (at[key] == anchors[key]) & (F.col("_us") == F.col("anchor_us")), "left_semi")
+    first = at.join(anchors, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_us") == F.col("anchor_us")), "left_semi")
     computed = first.groupBy(key, "_us").agg(F.min("event_id").alias("event_id")).select("event_id", F.lit(False).alias("_h"))
     return events.join(computed, "event_id", "left").withColumn("hit", F.coalesce("_h", F.lit(True))).drop("_h")
 
 
-def idempotency(events: DataFrame) -> DataFrame:
-    """Add ``idempotency_outcome``: ``no_key``, ``fresh``, ``replay`` or ``conflict`` against the first use of
-    (consumer, key), which never expires."""
-    keyed = events.where("idempotency_key IS NOT NULL")
-    first = keyed.groupBy("consumer_id", "idempotency_key").agg(
-        F.min_by(F.struct("event_id", "fingerprint"), F.struct("ts", "event_id")).alias("_f")
+def idempotency(events: DataFrame, stored: str = "stored") -> DataFrame:
+    """Add ``idempotency_outcome``: ``no_key``, ``fresh``, ``replay`` or ``conflict`` against the first request of
+    (consumer, key) that stored its answer, which never expires.
+
+    ``stored`` is a boolean column: whether the request, if computed, keeps an answer. Requests before
+    the first such one are fresh, as nothing is there to replay. An empty key is no key.
+    """
+    keyed = events.where("idempotency_key <> ''")
+    first = keyed.where(F.col(stored)).groupBy("consumer_id", "idempotency_key").agg(
+        F.min(F.struct("ts", "event_id", "fingerprint")).alias("_f")
     )
-    named = keyed.join(first, ["consumer_id", "idempotency_key"]).select(
+    earlier = F.struct("ts", "event_id") <= F.struct("_f.ts", "_f.event_id")
+    named = keyed.join(first, ["consumer_id", "idempotency_key"], "left").select(
         "event_id",
-        F.when(F.col("event_id") == F.col("_f.event_id"), "fresh").when(F.col("fingerprint") == F.col("_f.fingerprint"), "replay").otherwise("conflict").alias("_o"),
+        F.when(F.col("_f").isNull() | earlier, "fresh").when(F.col("fingerprint") == F.col("_f.fingerprint"), "replay").otherwise("conflict").alias("_o"),
     )
     return events.join(named, "event_id", "left").withColumn("idempotency_outcome", F.coalesce("_o", F.lit("no_key"))).drop("_o")
 
@@ -156,7 +172,7 @@ class GateState:
         self.billed = 0
 
     def decide(self, us: int, month: int, key: str | None, fp: int, quota: int | None, outcome: str) -> tuple[str, bool]:
-        if key is not None and key in self.keys:
+        if key and key in self.keys:
             return ("replay", False) if self.keys[key] == fp else ("conflict", False)
         anchor = self.anchors.get(fp)
         if anchor is not None and us - anchor < self.window_us:
@@ -170,7 +186,7 @@ class GateState:
         if outcome == "unsupported":
             return "unsupported_coverage", False
         self.anchors[fp] = us
-        if key is not None:
+        if key:
             self.keys[key] = fp
         if outcome == "insufficient":
             return "computed", False
@@ -182,7 +198,7 @@ def _opt(v: object) -> object | None:
     return None if v is None or v != v else v
 
 
-def gate(events: DataFrame, largest_limit: int, hours: float = C.DEDUPE_HOURS) -> DataFrame:
+def gate(events: DataFrame, hours: float = C.DEDUPE_HOURS) -> DataFrame:
     """``event_id, decision, billed``: burst limit, idempotency, deduplication, quota, compute.
 
     Needs ``rate_limit``, ``monthly_quota``, ``fingerprint``, ``idempotency_key`` and ``outcome``
@@ -191,7 +207,7 @@ def gate(events: DataFrame, largest_limit: int, hours: float = C.DEDUPE_HOURS) -
     minute however many were sent. Only those run through the per-consumer state, streamed in
     order batch by batch; the state holds one entry per key and fingerprint.
     """
-    limited = burst_limit(events, largest_limit)
+    limited = burst_limit(events)
     denied = limited.where("NOT allowed").select("event_id", F.lit("rate_limited").alias("decision"), F.lit(False).alias("billed"))
     month = (F.year("ts") * 12 + F.month("ts")).alias("month")
     passed = limited.where("allowed").select(
@@ -242,7 +258,7 @@ def requests_in_last_minute(usage: DataFrame, as_of: Column) -> DataFrame:
 
 
 def usage_report(usage: DataFrame) -> DataFrame:
-    """Counts and latency per consumer, endpoint and day."""
+    """Counts and latency per consumer, endpoint and day; ``median_ms`` is an approximate median (rank error 1 in 10,000)."""
     return usage.groupBy("consumer_id", "endpoint", F.to_date("ts").alias("day")).agg(
         F.count("*").alias("requests"), F.count_if("billable").alias("billed"), F.count_if("cache_hit").alias("cache_hits"),
         F.max("response_time_ms").alias("max_ms"), F.percentile_approx("response_time_ms", 0.5, 10000).alias("median_ms"),

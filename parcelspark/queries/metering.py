@@ -11,9 +11,6 @@ from parcelspark.queries import domain as D
 from parcelspark.queries.domain import with_tables
 from parcelspark.queries.registry import query
 
-MAX_QUOTA = max(p[2] for p in C.PLANS)
-MAX_RATE = max(p[3] for p in C.PLANS)
-
 
 def planned(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     return M.resolve_plan(D.usage_events(spark, sf, events), C.plans(spark))
@@ -38,7 +35,7 @@ def billing_decision(spark: SparkSession, sf: str) -> DataFrame:
     row_number() OVER (PARTITION BY consumer_id, date_trunc('month', ts) ORDER BY ts, event_id) AS n FROM bill WHERE billable)""", **_BILL))
 def monthly_quota(spark: SparkSession, sf: str) -> DataFrame:
     e = billed(spark, sf).withColumnRenamed("billable", "candidate")
-    return M.monthly_quota(e, MAX_QUOTA).where("candidate").select("event_id", "allowed", F.col("used").cast("long").alias("used"))
+    return M.monthly_quota(e).where("candidate").select("event_id", "allowed", F.col("used").cast("long").alias("used"))
 
 
 # one day of traffic is compressed into one minute so that the limit is reached
@@ -52,7 +49,7 @@ def fast(df: DataFrame) -> DataFrame:
 @query("m03_burst_limit", with_tables("""SELECT event_id, row_number() OVER (PARTITION BY consumer_id, epoch_us(ts) // 60000000 ORDER BY ts, event_id) <= least(rate, 3) AS allowed FROM fst""", fst=_FAST))
 def burst_limit(spark: SparkSession, sf: str) -> DataFrame:
     e = fast(planned(spark, sf)).withColumn("rate_limit", F.least("rate_limit", F.lit(3)))
-    return M.burst_limit(e, 3).select("event_id", "allowed")
+    return M.burst_limit(e).select("event_id", "allowed")
 
 
 @query("m04_dedupe_replay", with_tables("""SELECT event_id, NOT (event_id IN (SELECT e.event_id FROM chain JOIN ev e ON e.fingerprint = chain.fingerprint AND e.ts = chain.ts QUALIFY row_number() OVER (PARTITION BY e.fingerprint, e.ts ORDER BY e.event_id) = 1)) AS hit FROM ev""",
@@ -62,10 +59,13 @@ def dedupe_replay(spark: SparkSession, sf: str) -> DataFrame:
     return M.dedupe_replay(D.usage_events(spark, sf)).select("event_id", "hit")
 
 
-@query("m05_idempotency", with_tables("""SELECT event_id, CASE WHEN idempotency_key IS NULL THEN 'no_key' WHEN event_id = first(event_id) OVER w THEN 'fresh'
-    WHEN fingerprint = first(fingerprint) OVER w THEN 'replay' ELSE 'conflict' END AS outcome FROM ev WINDOW w AS (PARTITION BY consumer_id, idempotency_key ORDER BY ts, event_id)"""))
+@query("m05_idempotency", with_tables("""SELECT event_id, CASE WHEN coalesce(idempotency_key, '') = '' THEN 'no_key' WHEN f.f IS NULL OR (ts, event_id) <= (f.f.ts, f.f.event_id) THEN 'fresh'
+    WHEN fingerprint = f.f.fingerprint THEN 'replay' ELSE 'conflict' END AS outcome FROM ev LEFT JOIN (SELECT consumer_id AS c, idempotency_key AS k,
+      min({'ts': ts, 'event_id': event_id, 'fingerprint': fingerprint}) AS f FROM ev WHERE idempotency_key <> '' AND outcome IN ('ok', 'insufficient') GROUP BY 1, 2) f
+    ON consumer_id = f.c AND idempotency_key = f.k"""))
 def idempotency(spark: SparkSession, sf: str) -> DataFrame:
-    return M.idempotency(D.usage_events(spark, sf)).select("event_id", F.col("idempotency_outcome").alias("outcome"))
+    e = D.usage_events(spark, sf).withColumn("stored", F.col("outcome").isin("ok", "insufficient"))
+    return M.idempotency(e).select("event_id", F.col("idempotency_outcome").alias("outcome"))
 
 
 # one row of state per consumer, advanced event by event
@@ -88,7 +88,7 @@ _STEP = """SELECT consumer_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS e
 @query("m06_request_gate", with_tables("""SELECT event_id, decision, decision = 'billed' AS billed FROM step WHERE event_id IS NOT NULL
     UNION ALL SELECT event_id, 'rate_limited', false FROM evp WHERE event_id NOT IN (SELECT event_id FROM nums)""", recursive=True, nums=_NUM, step=_STEP))
 def request_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return M.gate(planned(spark, sf), MAX_RATE)
+    return M.gate(planned(spark, sf))
 
 
 @query("m07_plan_resolution", with_tables("SELECT event_id, plan, quota AS monthly_quota, rate AS rate_limit FROM evp"))

@@ -33,18 +33,39 @@ def by_time(rows):
     return sorted(rows, key=lambda r: (r[1], r[0]))
 
 
-@pytest.mark.parametrize("max_group", [100000, 40])
-def test_dedupe_folds_and_rounds_agree(events, rows, max_group):
+def test_dedupe(events, rows):
     anchor, want = {}, {}
     for r in by_time(rows):
         a = anchor.get(r[3])
         want[r[0]] = a is not None and r[1] - a < dt.timedelta(hours=24)
         if not want[r[0]]:
             anchor[r[3]] = r[1]
-    got = {r["event_id"]: r["hit"] for r in M.dedupe_replay(events, max_group=max_group).collect()}
+    got = {r["event_id"]: r["hit"] for r in M.dedupe_replay(events).collect()}
     assert got == want and any(want.values())
 
 
+def test_short_window_over_a_month_of_one_key(spark):
+    rng = random.Random(9)
+    times = sorted({rng.randrange(30 * 86400) for _ in range(4000)} | {5, 65, 125, 185, 245})
+    df = spark.createDataFrame([("k", T0 + dt.timedelta(seconds=t)) for t in times] + [(None, T0)], "k string, ts timestamp")
+    want, last = [], None
+    for t in times:
+        if last is None or t - last >= 60:
+            want.append(t)
+            last = t
+    base = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
+    got = M.greedy_anchors(df, ["k"], 60_000_000).collect()
+    assert sorted(r.anchor_us // 1_000_000 - base for r in got if r.k) == want
+    assert sum(r.k is None for r in got) == 1
+
+
+def test_first_stored_request_owns_its_key(spark):
+    rows = [(1, 0, "k", 7, False), (2, 1, "k", 7, True), (3, 2, "k", 7, True), (4, 3, "k", 8, False), (5, 4, "", 7, True), (6, 5, None, 7, True)]
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=s), 1, k, f, st) for i, s, k, f, st in rows], "event_id int, ts timestamp, consumer_id int, idempotency_key string, fingerprint int, stored boolean")
+    got = {r.event_id: r.idempotency_outcome for r in M.idempotency(df).collect()}
+    assert got == {1: "fresh", 2: "fresh", 3: "replay", 4: "conflict", 5: "no_key", 6: "no_key"}
+
+
 def test_gate(events, rows):
     minute, state, want = {}, {}, {}
     for r in by_time(rows):
@@ -72,7 +93,7 @@ def test_gate(events, rows):
             want[i] = "computed" if outcome == "insufficient" else "billed"
             if outcome == "ok":
                 s["billed"][month] = s["billed"].get(month, 0) + 1
-    got = {r["event_id"]: r["decision"] for r in M.gate(events, 4).collect()}
+    got = {r["event_id"]: r["decision"] for r in M.gate(events).collect()}
     assert got == want
     assert {"rate_limited", "replay", "conflict", "dedupe_hit", "quota_exceeded", "billed"} <= set(want.values())
 
@@ -87,7 +108,7 @@ def test_quota_of_a_hot_consumer(events, rows):
         n = used.get(k, 0)
         want[r[0]] = (n < r[5], n)
         used[k] = min(n + 1, r[5])
-    out = M.monthly_quota(events.withColumn("candidate", F.lit(True)), 5).collect()
+    out = M.monthly_quota(events.withColumn("candidate", F.lit(True))).collect()
     assert {r["event_id"]: (r["allowed"], r["used"]) for r in out} == want
 
 
