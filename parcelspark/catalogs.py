@@ -202,7 +202,7 @@ SECTION_KEYWORDS = [
     "jadu", "in-law unit", "second unit", "residential zoning district", "residential zone",
     "urban lot split", "two-unit",
 ]
-SEARCH_PHRASES = ["accessory dwelling unit", "ADU", "JADU"]
+SEARCH_PHRASES = ["accessory dwelling unit", "junior accessory dwelling unit", "ADU", "JADU"]
 # slug, search terms, chapter fragments
 JURISDICTION_HINTS = [
     ("los_angeles", ["12.22", "accessory dwelling unit", "SB 9", "urban lot split"], ["12.22", "12.24", "12.03"]),

@@ -120,12 +120,13 @@ def _notes(*items: tuple[Column, str, Column]) -> Column:
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
-def feasibility(requests: DataFrame, refs: Refs, as_of: str) -> DataFrame:
+def feasibility(requests: DataFrame, refs: Refs, as_of: str, path_sources: int | None = None) -> DataFrame:
     """One row per request with status, billing and the nested ``result`` document.
 
     ``requests``: request_id, consumer_id, address, project_type, target_sqft, bedrooms,
     proposed_height_ft, existing_structure_type, near_transit, include_envelope. ``as_of`` is the
     instant of the run (``yyyy-MM-dd HH:mm:ss``, UTC), used wherever a clock would be read.
+    ``path_sources`` limits how many sources a path lists; by default it lists all.
     """
     now = F.lit(as_of).cast("timestamp")
     opts = F.struct("include_envelope", "near_transit")
@@ -138,11 +139,12 @@ def feasibility(requests: DataFrame, refs: Refs, as_of: str) -> DataFrame:
     )
     req = geocode.geocode(req, refs.geocodes)
     good = F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col("geocode_confidence").isin("high", "medium")
-    req = req.withColumn("_geo", good)
+    req = req.withColumn("_geo", F.coalesce(good, F.lit(False)))
     pts = spatial.distinct_points(req.where("_geo"))
     at = sites(pts, refs).withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
-    # a failed geocode has no site: its key is null and the row stays unmatched
-    both = req.join(at, (F.when(F.col("_geo"), F.col("lon")) == F.col("_lon")) & (F.col("lat") == F.col("_lat")), "left").drop("_lon", "_lat")
+    # a failed geocode has no site: such rows pass beside the join, or all would meet at its null key
+    sited = req.where("_geo").join(at, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")), "left").drop("_lon", "_lat")
+    both = sited.unionByName(req.where("NOT _geo"), allowMissingColumns=True)
     both = both.withColumn("_live", F.coalesce(F.col("coverage_status") == "production", F.lit(False)))
 
     ctx_keys = ["jurisdiction_id", "zone_code", "project_type"]
@@ -166,11 +168,12 @@ def feasibility(requests: DataFrame, refs: Refs, as_of: str) -> DataFrame:
     areas = E.inset_areas(
         refs.parcels.select("parcel_id", "geom").join(asked, "parcel_id"), V.feet_to_meters(F.col("inset_ft"))
     ).select("parcel_id", "inset_ft", "inset_area_m2")
-    full = full.join(cut(areas), ["parcel_id", "inset_ft"], "left")
-    return _assemble(full, now)
+    # likewise requests without an envelope
+    full = full.where("inset_ft IS NOT NULL").join(cut(areas), ["parcel_id", "inset_ft"], "left").unionByName(full.where("inset_ft IS NULL"), allowMissingColumns=True)
+    return _assemble(full, now, path_sources)
 
 
-def _assemble(df: DataFrame, now: Column) -> DataFrame:
+def _assemble(df: DataFrame, now: Column, path_sources: int | None) -> DataFrame:
     """Row-local part: statuses, notes and the result document."""
     c = F.col
     matched, resolved = c("parcel_id").isNotNull(), c("zone_code").isNotNull()
@@ -244,7 +247,7 @@ def _assemble(df: DataFrame, now: Column) -> DataFrame:
         F.when(early, F.array().cast("array<struct<path_type:string,status:string,reason:string,sources:array<" + SOURCE_T + ">>>")).otherwise(
             F.array(F.struct(
                 c("project_type").alias("path_type"), c("_path.status").alias("status"), c("_path.reason").alias("reason"),
-                F.transform(F.slice(keep, 1, 6), lambda f: f["source"].cast(SOURCE_T)).alias("sources"),
+                F.transform(keep if path_sources is None else F.slice(keep, 1, path_sources), lambda f: f["source"].cast(SOURCE_T)).alias("sources"),
             ))
         ).alias("eligible_paths"),
         on(~early, rules.constraints(c("findings"), c("project_type"), c("near_transit"), c("bedrooms"))).alias("development_constraints"),

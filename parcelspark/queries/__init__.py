@@ -6,7 +6,7 @@ import importlib
 
 from parcelspark.queries.registry import ORACLES, QUERIES, QueryFn
 
-FAMILIES = ["spatial", "scalars", "rules", "feasibility", "sources", "versions", "candidates", "metering", "quality", "reports", "streams"]
+FAMILIES = ["spatial", "scalars", "feasibility", "sources", "versions", "candidates", "metering", "quality", "reports", "streams"]
 
 
 def _load() -> None:

@@ -33,15 +33,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share rows over all cores where a file layout gives fewer scan tasks than cores.
-
-    A large table has many files and passes unchanged; the geometry built next is what costs.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if not df.isStreaming and df.rdd.getNumPartitions() < n else df
-
-
 def choose(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -68,7 +59,7 @@ def grid_box(x1: str, y1: str, x2: str, y2: str) -> str:
 
 
 def parcels(spark: SparkSession, sf: str) -> DataFrame:
-    p = spread(table(spark, sf, "part").select("p_partkey", "p_size")).select(
+    p = table(spark, sf, "part").select("p_partkey", "p_size").select(
         F.col("p_partkey").alias("parcel_id"), (F.col("p_partkey") % 64).alias("gx"),
         F.floor(F.col("p_partkey") / 64).alias("gy"), "p_size",
     )
@@ -88,7 +79,7 @@ def requests(spark: SparkSession, sf: str, customers: DataFrame | None = None) -
     u = (k * 7919 % 65536) / 1024.0
     v = (k * 104729 % ((rows_of_grid(spark, sf) + 1) * 1024)) / 1024.0
     nation = F.col("c_nationkey")
-    return spread(c).select(
+    return c.select(
         k.alias("request_id"), F.concat(F.lit("cust-"), nation.cast("string")).alias("consumer_id"),
         F.concat((k + 1).cast("string"), F.lit(" North "), F.initcap("c_mktsegment"), F.lit(" Street., Unit  "), nation.cast("string")).alias("address"),
         choose(C.PROJECT_TYPES, k % 6).alias("project_type"), F.round(F.abs("c_acctbal")).alias("target_sqft"),

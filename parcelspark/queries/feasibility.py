@@ -66,7 +66,7 @@ TABLES = {
 
 def run(spark: SparkSession, sf: str) -> DataFrame:
     """The job itself, over every request."""
-    return P.feasibility(D.ask(spark, sf), D.refs(spark, sf), D.AS_OF)
+    return P.feasibility(D.ask(spark, sf), D.refs(spark, sf), D.AS_OF, path_sources=6)
 
 
 _STORED: dict[tuple[str, str], str] = {}

@@ -101,14 +101,13 @@ def section_captures(spark: SparkSession, sf: str) -> DataFrame:
 @query("io08_section_urls", with_tables("""SELECT jurisdiction_id, section_url, position FROM (SELECT * FROM (SELECT * FROM sec QUALIFY row_number() OVER (PARTITION BY jurisdiction_id, section_url ORDER BY position) = 1)
     QUALIFY row_number() OVER (PARTITION BY jurisdiction_id ORDER BY position) <= 25)"""))
 def section_urls(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.select_urls(D.section_pages(spark, sf)).select("jurisdiction_id", "section_url", "position")
+    return sections.select_urls(D.section_pages(spark, sf), cap=C.SECTION_CAP).select("jurisdiction_id", "section_url", "position")
 
 
 @query("io08_sections", with_tables(f"""SELECT page_id % 8 AS jurisdiction_id, p.url AS section_url, sha256(trim(regexp_replace(body, '{_SPACE}', ' ', 'g'))) AS content_hash
     FROM cleaned JOIN (SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 8, url ORDER BY page_id) = 1) p USING (page_id) WHERE length(trim(body)) >= 50""", cleaned=_CLEAN))
 def read_sections(spark: SparkSession, sf: str) -> DataFrame:
-    # every page: the per-run cap is lifted
-    return sections.read_sections(D.section_pages(spark, sf), cap=None).select("jurisdiction_id", "section_url", "content_hash")
+    return sections.read_sections(D.section_pages(spark, sf), min_chars=C.MIN_SECTION_CHARS).select("jurisdiction_id", "section_url", "content_hash")
 
 
 def _target(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +181,7 @@ def load_parcels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("l03_load_flood", with_tables("""SELECT CAST(overlay_id AS VARCHAR) AS raw_feature_id, CASE WHEN designation IS NULL THEN NULL WHEN overlay_id % 2 = 0 THEN designation || ' (FLOODWAY)' ELSE designation END AS designation FROM ov WHERE overlay_type = 'flood'"""))
 def load_flood(spark: SparkSession, sf: str) -> DataFrame:
-    return S.load_flood(raw_overlays(spark, sf).where("overlay_type = 'flood'")).select("raw_feature_id", "designation")
+    return S.load_flood(raw_overlays(spark, sf).where("overlay_type = 'flood'"), C.CALIFORNIA_BBOX).select("raw_feature_id", "designation")
 
 
 @query("l04_load_fire", with_tables("""SELECT 'o' || overlay_id AS raw_feature_id, 'CAL FIRE FHSZ - L' || overlay_id % 3 AS name, CASE WHEN designation IS NOT NULL AND overlay_id % 4 = 1 THEN designation || ' (LRA)' ELSE designation END AS designation FROM ov WHERE overlay_type = 'fire'"""))
@@ -229,7 +228,7 @@ def source_authority(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("u02_search_terms", with_tables(f"""SELECT s_suppkey, array_to_string(CASE WHEN s_suppkey % 2 = 0 THEN ['12.22', 'ADU', '12.22'] ELSE [] END, ',') || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE '' END AS raw,
-    CASE WHEN s_suppkey % 2 = 0 THEN '12.22|ADU|accessory dwelling unit|JADU' ELSE 'accessory dwelling unit|ADU|JADU' END AS terms FROM supplier"""))
+    CASE WHEN s_suppkey % 2 = 0 THEN '12.22|ADU|{"|".join(p for p in C.SEARCH_PHRASES if p != "ADU")}' ELSE '{"|".join(C.SEARCH_PHRASES)}' END AS terms FROM supplier"""))
 def search_terms(spark: SparkSession, sf: str) -> DataFrame:
     own = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("12.22"), F.lit("ADU"), F.lit("12.22")))
     h = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("slug"), own.alias("search_terms"))

@@ -109,16 +109,22 @@ def feature_key(geometry: Column, *extra: Column) -> Column:
     return F.substring(F.sha1(blob), 1, 24)
 
 
+def canonical_geometry(geometry: Column) -> Column:
+    """GeoJSON text with its members in one order and without white space, so equal geometries have equal keys."""
+    parts = [F.get_json_object(geometry, f"$.{name}").alias(name) for name in ("bbox", "coordinates", "crs", "geometries", "type")]
+    return F.when(geometry.isNotNull(), F.to_json(F.struct(*parts)))
+
+
 def with_designation(main: Column, detail: Column) -> Column:
     """``MAIN (DETAIL)``, or just the main part."""
     return F.when(F.nullif(main, F.lit("")).isNotNull() & F.nullif(detail, F.lit("")).isNotNull(), F.concat(main, F.lit(" ("), detail, F.lit(")"))).otherwise(main)
 
 
-def load_flood(features: DataFrame, bbox: tuple[float, float, float, float] = C.CALIFORNIA_BBOX) -> DataFrame:
-    """Flood overlays inside an envelope, designation ``ZONE (SUBTYPE)``."""
+def load_flood(features: DataFrame, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Flood overlays, where given those that meet an envelope, designation ``ZONE (SUBTYPE)``."""
     p, b = F.col("props"), F.col("_b")
     boxed = features.withColumn("_b", F.expr(G.bbox(G.edges("geom"))))
-    inside = boxed.where((b["xmax"] >= bbox[0]) & (b["xmin"] <= bbox[2]) & (b["ymax"] >= bbox[1]) & (b["ymin"] <= bbox[3]))
+    inside = features if bbox is None else boxed.where((b["xmax"] >= bbox[0]) & (b["xmin"] <= bbox[2]) & (b["ymax"] >= bbox[1]) & (b["ymin"] <= bbox[3]))
     return inside.select(
         F.lit("flood").alias("overlay_type"), F.lit("FEMA Flood Hazard Zone").alias("name"),
         with_designation(pick(p, C.BULK_FIELDS["flood_zone"]), pick(p, C.BULK_FIELDS["flood_subtype"])).alias("designation"),
@@ -189,5 +195,5 @@ def ondemand_overlays(features: DataFrame) -> DataFrame:
     return features.select(
         F.lit(None).cast("long").alias("jurisdiction_id"), F.col("overlay_type"), des.alias("name"), des.alias("designation"),
         pick(p, ["OBJECTID", "FLD_AR_ID"], strip=False).alias("raw_feature_id"),
-        feature_key(F.col("geometry"), F.col("overlay_type"), des).alias("ondemand_key"), p.alias("raw_value"), "geometry",
+        feature_key(canonical_geometry(F.col("geometry")), F.col("overlay_type"), des).alias("ondemand_key"), p.alias("raw_value"), "geometry",
     )

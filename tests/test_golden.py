@@ -97,6 +97,28 @@ def test_numbering(spark):
     assert tuple(one(spark, T.numbering(F.lit(None).cast("string"), F.lit(None).cast("string")))) == (None, None, None)
 
 
+def test_numbering_beyond_an_empty_heading_and_a_long_start(spark):
+    n = one(spark, T.numbering(F.lit(""), F.lit("Sec. 12.22 A")))
+    assert tuple(n) == ("12", "12.22", "12.22")
+    far = F.lit("x " * 300 + "Sec. 9.5 B")
+    assert one(spark, T.numbering(F.lit(None).cast("string"), far))["section_number"] == "9.5"
+    assert one(spark, T.numbering(F.lit(None).cast("string"), far, 400))["section_number"] is None
+
+
+def test_feature_key_does_not_depend_on_member_order(spark):
+    from parcelspark.sources import features as S
+
+    a, b = '{"type": "Point", "coordinates": [1.5, 2]}', '{"coordinates":[1.5,2],"type":"Point"}'
+    key = lambda g: one(spark, S.feature_key(S.canonical_geometry(F.lit(g)), F.lit("x")))
+    assert key(a) == key(b) != key(a.replace("1.5", "1.6"))
+
+
+def test_search_phrases():
+    from parcelspark import catalogs as C
+
+    assert C.SEARCH_PHRASES == ["accessory dwelling unit", "junior accessory dwelling unit", "ADU", "JADU"]
+
+
 def test_hash_ignores_white_space(spark):
     assert one(spark, T.content_hash(F.lit("a b"))) == one(spark, T.content_hash(F.lit(" a  \n b\n")))
 
