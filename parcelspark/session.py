@@ -35,11 +35,13 @@ def local_session(app: str = "parcelspark", cores: str = "*", **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, for checkpoints and written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a temporary folder chosen.
+    A cluster names it in ``spark.checkpoint.dir``; only on one machine (a ``local`` master) is a
+    temporary folder chosen where that is unset. Anywhere else that would be a folder per executor.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
