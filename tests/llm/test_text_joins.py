@@ -43,6 +43,7 @@ def test_words_and_shingles():
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_of_near_copies(spark, seed, monkeypatch):
     monkeypatch.setattr(sigtree, "LEAF", 4)
+    monkeypatch.setattr(sigtree, "NEAR", 2)
     texts = near_copies(random.Random(seed), 40, 12)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.jaccard_components(df).collect()}
@@ -50,7 +51,7 @@ def test_components_of_near_copies(spark, seed, monkeypatch):
     assert got == dict(enumerate(want))
 
 
-def test_trees_alone_find_every_link():
+def test_trees_alone_find_every_link(monkeypatch):
     """Without star comparisons: all pairs that the traversal leaves hold every link between components."""
     rng = random.Random(5)
     sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randint(20, 90))], dtype=np.uint64)) for _ in range(12)]
@@ -63,14 +64,12 @@ def test_trees_alone_find_every_link():
             members.append(np.unique(own))
     members.sort(key=len)
     leaves = [sigtree.Leaf(list(range(a, min(a + 4, len(members)))), list(range(a, min(a + 4, len(members)))), [len(m) for m in members[a : a + 4]], [sigtree.signature(m).tobytes() for m in members[a : a + 4]]) for a in range(0, len(members), 4)]
-    parts = [sigtree.Nodes.of(x) for x in leaves]
-    cols = [np.array([p[k] for p in parts]) for k in range(7)]
-    n_words = int(cols[6].min())
-    nodes = sigtree.Nodes(np.stack([sigtree.fold(b[:w], n_words) for b, w in zip(cols[0], cols[6], strict=True)]), cols[1], cols[2], np.where(cols[6] > n_words, cols[2], cols[3]), cols[4], cols[5])
-    found = {tuple(p) for x in leaves for p in sigtree.leaf_pairs(x, x, (75, 100), False).tolist()}
+    monkeypatch.setattr(sigtree, "NEAR", 0)
+    nodes = sigtree._nodes([sigtree.Nodes.of(x) for x in leaves])
+    found = {tuple(p) for x in leaves for p in sigtree.leaf_pairs(x, x, (75, 100)).tolist()}
     for i, j in sigtree.traverse(nodes, (75, 100), block=16):
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            found |= {tuple(p) for p in sigtree.leaf_pairs(leaves[a], leaves[b], (75, 100), False).tolist()}
+            found |= {tuple(p) for p in sigtree.leaf_pairs(leaves[a], leaves[b], (75, 100)).tolist()}
     links = {(a, b) for b in range(len(members)) for a in range(b) if sigtree.linked(members[a], members[b], (75, 100))}
     assert links and links <= found
 
