@@ -3,8 +3,8 @@
 Terms are byte 5-grams of the lower-cased text (all but letters is one blank), hashed to a fixed number of bins; those
 toxic examples have significantly more often, by chi-squared, are kept. Labelled examples, at most ``per_label`` of each label in
 order of a hash of the id, form the index: postings by block of ``BLOCK`` examples, and the largest weight of each term
-in each block. A text's blocks are taken in order of the largest cosine they can hold, until the k-th best found is at
-least that; so the k nearest are exact. Their labels vote with weights that fall with distance; a logistic curve,
+in each block. A text's blocks are put in order of the largest cosine they can hold; the first few are scored, then all
+others that can hold more than the k-th best so far; so the k nearest are exact. Their labels vote with weights that fall with distance; a logistic curve,
 fit on the examples' own votes without themselves and weighted back to the labels' shares, makes the vote a probability.
 
 Every text is read whole. Labels are only read from rows where ``learn`` holds; language, source and id are not used.
@@ -27,10 +27,11 @@ from parcelspark.llm.textkit import LOWER, chunks, flat, mix
 
 GRAM = 5
 BINS_LOG2 = 20
-TERMS = 4096
+TERMS = 2048
 LEAST_CHI = 15.0  # about one chance in ten thousand for a term that tells nothing
-PER_LABEL = 2000
+PER_LABEL = 1000
 BLOCK = 64
+FIRST_BLOCKS = 4
 NEIGHBOURS = 15
 _FOLDED = LOWER.copy()
 for _b in range(128):
@@ -100,7 +101,7 @@ class Index:
         self.ids, self.toxic = [ids[i] for i in order], toxic[order]
         self.n_blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((n_terms, self.n_blocks), dtype=np.float32)
-        self.postings = []
+        parts, self.begin = [], np.zeros((self.n_blocks, n_terms + 1), dtype=np.int64)  # where a block's postings of a term begin
         for b in range(self.n_blocks):
             rows = order[b * BLOCK : (b + 1) * BLOCK]
             t = np.concatenate([terms[i] for i in rows]).astype(np.int64)
@@ -109,7 +110,9 @@ class Index:
             by = np.lexsort((d, t))
             t, d, w = t[by], d[by], w[by]
             np.maximum.at(self.most[:, b], t, w.astype(np.float32) * np.float32(1 + 1e-6))
-            self.postings.append((np.searchsorted(t, np.arange(n_terms + 1)), d, w))
+            self.begin[b] = np.searchsorted(t, np.arange(n_terms + 1)) + sum(len(p[0]) for p in parts)
+            parts.append((d + b * BLOCK, w))
+        self.places, self.weights = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for k in (0, 1))
         self.none = share
         self.curve = (0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
         self._fit([terms[i] for i in order], [vectors[i] for i in order], share)
@@ -121,23 +124,32 @@ class Index:
     def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples (cosine above 0; ties: the lower place), and only theirs."""
         bound = vector @ self.most[terms]
-        best_at, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1]:
-                break
-            start, d, w = self.postings[b]
-            size = start[terms + 1] - start[terms]
-            take = np.repeat(start[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            cosine = np.bincount(d[take], weights=w[take] * np.repeat(vector, size), minlength=BLOCK)
-            own = np.flatnonzero(cosine > 0)
-            at = np.concatenate((best_at, own + b * BLOCK))
-            value = np.concatenate((best, cosine[own]))
-            if without >= 0:
-                keep = at != without
-                at, value = at[keep], value[keep]
-            order = np.lexsort((at, -value))[:k]
-            best_at, best = at[order], value[order]
-        return best_at, best
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at, value = self._scored(order[:FIRST_BLOCKS], terms, vector, without)
+        best = np.lexsort((at, -value))[:k]
+        at, value = at[best], value[best]
+        rest = order[FIRST_BLOCKS:]
+        if len(at) == k:
+            rest = rest[bound[rest] >= value[-1]]
+        if len(rest):
+            more_at, more = self._scored(rest, terms, vector, without)
+            at, value = np.concatenate((at, more_at)), np.concatenate((value, more))
+            best = np.lexsort((at, -value))[:k]
+            at, value = at[best], value[best]
+        return at, value
+
+    def _scored(self, blocks: np.ndarray, terms: np.ndarray, vector: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines, above 0, of the examples of some blocks."""
+        start = self.begin[blocks[:, None], terms[None, :]].ravel()
+        size = self.begin[blocks[:, None], terms[None, :] + 1].ravel() - start
+        take = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        weight = np.repeat(np.tile(vector, len(blocks)), size)
+        cosine = np.bincount(self.places[take], weights=self.weights[take] * weight, minlength=1)
+        if 0 <= without < len(cosine):
+            cosine[without] = 0
+        at = np.flatnonzero(cosine > 0)
+        return at, cosine[at]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1 / (1.05 - np.minimum(cosine, 1.0))
