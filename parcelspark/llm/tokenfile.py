@@ -13,8 +13,10 @@ text's hash; null ids come first. An empty table gives no shards. Extra columns
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,29 +32,77 @@ from parcelspark.session import cut
 
 SHARD_BYTES = 64 << 20  # of text
 FRAME_BYTES = 256 << 10
-KEPT = 200_000  # words whose ids a worker remembers
+KEPT = 300_000  # words whose ids a worker remembers, twice
 # fixed values of the seekable format
 SKIP_INDEX, SKIP_TABLE, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 
+# fixed value: the splitting pattern under which letters, marks and blanks never share a token
+_LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+
+
+def _byte_symbols() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that never joins words across a blank: each word is encoded once."""
+    """Ids of whole texts from a tokenizer that never joins words across a blank: each word is encoded once.
+
+    Where the tokenizer lower-cases and splits letters from marks, a word of Latin letters and marks behind it is encoded
+    as these two parts, straight by the tokenizer's model. Words are remembered in two generations of ``KEPT``.
+    """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.ids = tokenizer, {}
+        self.tokenizer, self.ids, self.old, self.parts, self.old_parts = tokenizer, {}, {}, {}, {}
+        own = json.loads(tokenizer.to_str())
+        kinds = [n["type"] for n in (own["normalizer"] or {}).get("normalizers", [])]
+        split = (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.apart = kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _LETTERS_APART}
+        self.symbols = _byte_symbols()
+
+    def part(self, word: str) -> bytes:
+        """Ids of lower-cased letters alone, or of marks alone."""
+        found = self.parts.get(word)
+        if found is None:
+            found = self.old_parts.get(word)
+            if found is None:
+                symbols = self.symbols
+                found = array("I", [t.id for t in self.tokenizer.model.tokenize("".join([symbols[b] for b in word.encode()]))]).tobytes()
+            if len(self.parts) >= KEPT:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[word] = found
+        return found
+
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of new words among those remembered."""
+        ids, old, rest = self.ids, self.old, []
+        for w in words:
+            found = old.get(w)
+            if found is None and self.apart and (m := _LATIN.fullmatch(w)):
+                letters, marks = m.groups()
+                found = self.part(letters.lower()) + self.part(marks) if marks else self.part(letters.lower())
+            if found is None:
+                rest.append(w)
+            else:
+                ids[w] = found
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            ids[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.ids})
-        if len(self.ids) + len(new) > KEPT:
-            self.ids = {}
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.ids.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = []
+        for text in texts:
+            if len(self.ids) >= KEPT:
+                self.old, self.ids = self.ids, {}
+            words, ids = text.replace("\n", " ").split(" "), self.ids
+            new = {w for w in words if w not in ids}
+            if new:
+                self.learn(new)
+            out.append(b"".join(map(ids.__getitem__, words)))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
