@@ -1,14 +1,16 @@
 """Winnowing and the Jaccard join against brute force, and their defined cases."""
 
+import itertools
 import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parcelspark.llm import sigtree, winnowing
 from parcelspark.llm.graph import components
-from parcelspark.llm.textkit import ALNUM, NOT_SPACE, Words
+from parcelspark.llm.textkit import ALNUM, NOT_SPACE, Words, mix
 
 
 def near_copies(rng, n_groups, size):
@@ -74,6 +76,23 @@ def test_trees_alone_find_every_link(monkeypatch):
     assert links and links <= found
 
 
+@pytest.mark.parametrize("order", list(itertools.permutations(range(3))))
+def test_buckets_with_untested_links_stay(order):
+    """Two tight sub-groups and a weaker link between them: the bucket of all four stays wherever it stands in its task."""
+    shared, left, right = (np.arange(a, b, dtype=np.uint64) for a, b in ((0, 88), (100, 112), (200, 212)))
+    scattered = lambda *parts: np.sort(mix(np.concatenate(parts) + np.uint64(1)))
+    one = lambda k: np.array([k], dtype=np.uint64)
+    sets = [scattered(shared, left, one(300)), scattered(shared, left, one(301)), scattered(shared, right, one(302)), scattered(shared, right, one(303))]
+    assert all(sigtree.linked(a, b, sigtree.SHARE) for a, b in itertools.combinations(sets, 2))
+    buckets = [(0, 1), (2, 3), (0, 1, 2, 3)]
+    members = [(token, i, i, len(sets[i]), sigtree.signature(sets[i]).tobytes()) for token, k in enumerate(order) for i in buckets[k]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*members, strict=True)], names=["token", "cls", "comp", "n", "sig"])
+    rows = [r for b in sigtree._leaves(iter([batch]), sigtree.SHARE, False) for r in b.to_pylist()]
+    assert {r["token"] for r in rows} == {0, 1, 2}
+    pairs = [(r["a"], r["b"]) for r in rows if r["kind"] == 0]
+    assert len(pairs) == len(set(pairs))  # repeats still go within a task
+
+
 def test_join_cases(spark, awkward, none):
     rows = sigtree.jaccard_components(awkward).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str)
