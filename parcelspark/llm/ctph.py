@@ -9,7 +9,8 @@ unlike.
 
 Defined cases: null and empty texts have the fingerprint ``3::``, and are like one another only. Equal texts have
 equal fingerprints and likeness 1. ``with_next`` orders rows by (doc_id, text's hash), null ids first; in a table of
-one row that row is its own next. Extra columns are not read.
+one row that row is its own next. Rows that repeat id and text are each followed by the next of them, the last by the
+next other row; they are dealt and worked out once with their number. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from parcelspark.llm.textkit import chunks, mix, powers
 LEAST_BLOCK = 3
 SPAN = 64
 SHARD_BYTES = 16 << 20
+COPIES = 10_000  # repeats that one row stands for
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 _ROLL = mix(np.arange(256, dtype=np.uint64) + np.uint64(1000))
 _CHUNK = mix(np.arange(256, dtype=np.uint64) + np.uint64(5000))
@@ -121,12 +123,21 @@ def likeness(a: str, b: str) -> float:
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], starts) -> Iterator[pa.RecordBatch]:
-    """Rows with their shard; a shard's first row also goes, as a look ahead, to the end of the shard before (the first to the last)."""
+    """Rows with their shard; a shard's first row also goes, as a look ahead, to the end of the shard before (the first to the last).
+
+    Rows of a batch that repeat id and text are one with their number.
+    """
     begin = starts.value
     number = {s: i for i, s in enumerate(begin)}
     press = zstandard.ZstdCompressor(3)
     for whole in batches:
-        for batch in chunks(whole, "text"):
+        first: dict[tuple, int] = {}
+        copies = [0] * whole.num_rows
+        for i, row in enumerate(zip(*(whole.column(c).to_pylist() for c in ("key", "tie", "text")), strict=True)):
+            copies[first.setdefault(row, i)] += 1
+        once = whole.take(pa.array(first.values(), pa.int64()))
+        once = once.append_column("copies", pa.array([n for n in copies if n], pa.int64()))
+        for batch in chunks(once, "text"):
             shard, ahead, take, packed = [], [], [], []
             texts = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
             for i, (k, t) in enumerate(zip(batch.column("key").to_pylist(), batch.column("tie").to_pylist(), strict=True)):
@@ -141,46 +152,64 @@ def _dealt(batches: Iterator[pa.RecordBatch], starts) -> Iterator[pa.RecordBatch
                     packed.append(texts[i])
             take = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array(ahead, pa.bool_()), batch.column("key").take(take), batch.column("tie").take(take), pa.array(packed, pa.binary())],
-                names=["shard", "ahead", "key", "tie", "packed"],
+                [pa.array(shard, pa.int32()), pa.array(ahead, pa.bool_()), batch.column("key").take(take), batch.column("tie").take(take), pa.array(packed, pa.binary()), batch.column("copies").take(take)],
+                names=["shard", "ahead", "key", "tie", "packed", "copies"],
             )
 
 
 _RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_COPIED = [*_RESULT, "copies"]
 
 
 def _compared(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (shard, ahead, key, tie): each row against the one behind it."""
+    """From rows sorted by (shard, ahead, key, tie, packed): each row against the one behind it, and the number of its copies."""
     opened = zstandard.ZstdDecompressor()
-    out: list[list] = [[] for _ in _RESULT]
-    before = None
-
-    def result(key: object, text: str, own: str, following: str, next_fp: str) -> None:
+    out: list[list] = [[] for _ in _COPIED]
+    before, last = None, None
+
+    def result(key: object, text: str, own: str, copies: int, following: str, next_fp: str) -> None:
+        if copies > 1:
+            again(key, text, own, copies - 1)
+        add(key, text, own, following, next_fp, 1)
+
+    def again(key: object, text: str, own: str, copies: int) -> None:
+        """Rows that their own repeat follows."""
+        add(key, text, own, text, own, min(copies, COPIES))
+        row = [c[-1] for c in out[:-1]]
+        for left in range(copies - COPIES, 0, -COPIES):
+            for column, v in zip(out, [*row, min(left, COPIES)], strict=True):
+                column.append(v)
+
+    def add(key: object, text: str, own: str, following: str, next_fp: str, copies: int) -> None:
         n = len(text) // 4
         edited = ((text[: len(text) - n] + following[:n]) if n else text).encode("utf-8", "surrogatepass")
         edited_fp = fingerprint(edited)
-        row = (key, len(text), hashlib.sha256(edited).hexdigest(), own, edited_fp, likeness(own, edited_fp), likeness(own, next_fp))
+        row = (key, len(text), hashlib.sha256(edited).hexdigest(), own, edited_fp, likeness(own, edited_fp), likeness(own, next_fp), copies)
         for column, v in zip(out, row, strict=True):
             column.append(v)
 
     def done() -> pa.RecordBatch:
-        types = [kind, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=_RESULT)
+        types = [kind, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int64()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=_COPIED)
         for c in out:
             c.clear()
         return batch
 
     seen_ahead = None
     for batch in batches:
-        for shard, ahead, key, packed in zip(*(batch.column(c) for c in ("shard", "ahead", "key", "packed")), strict=True):
-            shard, ahead = shard.as_py(), ahead.as_py()
+        for shard, ahead, key, packed, copies in zip(*(batch.column(c) for c in ("shard", "ahead", "key", "packed", "copies")), strict=True):
+            shard, ahead, copies = shard.as_py(), ahead.as_py(), copies.as_py()
             if ahead and seen_ahead == shard:
                 continue  # the first row of a shard that has exact repeats
+            if not ahead and last == (shard, key, packed):
+                before = (*before[:-1], before[-1] + copies)  # repeats from another batch
+                continue
             text = opened.decompress(packed.as_py()).decode("utf-8", "surrogatepass")
             own = fingerprint(text.encode("utf-8", "surrogatepass"))
             if before is not None and before[0] == shard:
                 result(*before[1:], text, own)
-            before = None if ahead else (shard, key.as_py(), text, own)
+            before = None if ahead else (shard, key.as_py(), text, own, copies)
+            last = None if ahead else (shard, key, packed)
             seen_ahead = shard if ahead else None
         yield done()
 
@@ -189,10 +218,12 @@ def with_next(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     """Each document's fingerprint, that of its edited text, and their and the next document's likeness."""
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    starts = spark.sparkContext.broadcast(bounds(texts, F.coalesce(F.octet_length("text"), F.lit(0)) + 8, shard_bytes))
+    distinct = texts.groupBy("key", "tie").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("size"))
+    starts = spark.sparkContext.broadcast(bounds(distinct, F.col("size"), shard_bytes))
     kind = dict(documents.dtypes)["doc_id"]
-    dealt = texts.mapInArrow(lambda it: _dealt(it, starts), f"shard int, ahead boolean, key {kind}, tie bigint, packed binary")
-    placed = dealt.repartition(max(1, len(starts.value)), "shard").sortWithinPartitions("shard", "ahead", "key", "tie")
+    dealt = texts.mapInArrow(lambda it: _dealt(it, starts), f"shard int, ahead boolean, key {kind}, tie bigint, packed binary, copies bigint")
+    placed = dealt.repartition(max(1, len(starts.value)), "shard").sortWithinPartitions("shard", "ahead", "key", "tie", "packed")
     arrow = pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return placed.mapInArrow(lambda it: _compared(it, arrow), schema)
+    compared = placed.mapInArrow(lambda it: _compared(it, arrow), f"{schema}, copies bigint")
+    return compared.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*_RESULT)

@@ -29,7 +29,8 @@ def place(key: object, tie: int) -> tuple:
 def bounds(rows: DataFrame, size: Column, target: int) -> list[tuple]:
     """Place of the first row of each shard of ``rows`` (key, tie), when shards are of ``target`` in sum of ``size``.
 
-    A shard ends with the row that reaches its target, so a row larger than the target ends its shard.
+    A shard ends with the row that reaches its target, so a row larger than the target ends its shard. Places are
+    distinct: rows that repeat both key and tie are in one shard, however large they are together.
     """
     narrow = rows.select("key", "tie", size.cast("bigint").alias("size"))
     ranged = cut(narrow.repartitionByRange("key", "tie").withColumn("part", F.spark_partition_id()))
@@ -39,7 +40,7 @@ def bounds(rows: DataFrame, size: Column, target: int) -> list[tuple]:
     placed = ranged.withColumn("b", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, "part")
     shard = F.floor((F.col("b") + F.col("offset")) / F.lit(target))
     first = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct("key", "tie")).alias("first"))
-    return sorted(place(r.first.key, r.first.tie) for r in first.select("first").collect())
+    return sorted({place(r.first.key, r.first.tie) for r in first.select("first").collect()})
 
 
 def shard_of(starts: list[tuple], key: object, tie: int) -> int:

@@ -139,6 +139,25 @@ def test_fingerprints(spark, docs):
         assert tuple(got[key])[1:] == want
 
 
+@pytest.mark.parametrize("copies", [10_000, 2])
+def test_repeats_larger_than_shards(spark, copies, monkeypatch):
+    """Repeats of one row that fill several shards: every row has its result, a repeat's next is the repeat."""
+    monkeypatch.setattr(ctph, "COPIES", copies, raising=False)
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [(k, f"text number {k} " * 20) for k in range(5)] + [(5, long)] * 7 + [(k, f"text number {k} " * 20) for k in range(6, 12)]
+    df = spark.createDataFrame(random.Random(2).sample(rows, len(rows)), "doc_id bigint, text string").repartition(3)
+    texts = df.selectExpr("doc_id key", "xxhash64(text) tie", "length(text) size")
+    starts = bounds(texts, texts["size"], 1000)
+    assert len(starts) == len(set(starts)) > 2
+    want = []
+    for i, (key, text) in enumerate(rows):
+        following, own = rows[(i + 1) % len(rows)][1], ctph.fingerprint(text.encode())
+        n = len(text) // 4
+        edited = (text[: len(text) - n] + following[:n]).encode()
+        want.append((key, len(text), hashlib.sha256(edited).hexdigest(), own, ctph.fingerprint(edited), ctph.likeness(own, ctph.fingerprint(edited)), ctph.likeness(own, ctph.fingerprint(following.encode()))))
+    assert sorted(tuple(r) for r in ctph.with_next(df, shard_bytes=1000).collect()) == sorted(want)
+
+
 def test_edit_distance():
     rng = random.Random(4)
     for _ in range(200):
