@@ -9,7 +9,11 @@ excess). A random string has a small D whatever its length.
 
 A string is held against the hypothesis that it is text. What D text has is worked out for each alphabet and class of
 length by drawing strings from the corpus' own character pairs, counted over all texts. A candidate's p is the share of
-them with as small a D. Benjamini-Hochberg bounds the false discoveries inside every class of encoding and length.
+them with as small a D. The draws end at one in some thousands, so where that share is within the rate, p has a second
+and analytic bound: text gives a string's likelihood under the pairs, over that under a uniform source, a value of x or
+less with chance x at most (Markov's inequality). Both are joined by a weighted Bonferroni bound, ``SPLIT`` of it for the
+second, so p has no floor however many candidates there are. Benjamini-Hochberg bounds the false discoveries inside
+every class of encoding and length.
 
 Defined cases: null and empty texts have no spans. Repeated rows give repeated results. Extra columns are not read.
 Spans are in code points. A random span that overlaps a pattern's is not added. No pairs at all (an empty table): no
@@ -49,6 +53,8 @@ ALPHABETS = {
 LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128)  # classes of length begin here
 DRAWS = 4000
 RATE = 0.01
+SPLIT = 0.01  # share of the level that the likelihood ratio has; the rest is for the draws
+TENTHS = 3000  # the finest step of p is 10 ** -(TENTHS / 10)
 
 _SETS = {name: frozenset(a) for name, a in ALPHABETS.items()}
 _INDEX = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
@@ -94,9 +100,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], names: list[str], models) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("at", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
-    maybe = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("d", pa.float64())]))
+    maybe = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("d", pa.float64()), ("tail", pa.int32())]))
     for whole in batches:
         for batch in chunks(whole, "text"):
             bases, others = [], []
@@ -106,7 +112,7 @@ def _scan(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Re
                 for m in RUN.finditer(text or ""):
                     name = encoding(m[0])
                     if name and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                        other.append({"start": m.start(), "end": m.end(), "stratum": f"{name}:{length_class(len(m[0]))}", "d": d_of(m[0], name)})
+                        other.append({"start": m.start(), "end": m.end(), "stratum": f"{name}:{length_class(len(m[0]))}", "d": d_of(m[0], name), "tail": tail_of(m[0], name, models.value[name])})
                 bases.append([{"start": a, "at": KINDS.index(k), "kind": k, "end": b} for a, b, k in base])
                 others.append(other)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bases, span), pa.array(others, maybe)], names=[*names, "base", "maybe"])
@@ -126,12 +132,26 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
 
 
-def text_deviations(counts: np.ndarray, name: str, length: int, draws: int = DRAWS) -> np.ndarray:
-    """Sorted D of strings drawn from character pairs (128 x 128 counts), kept to an alphabet."""
+def pair_model(counts: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of an alphabet's symbols at the start and after each symbol, from character pairs (128 x 128 counts)."""
     symbols = [ord(c) for c in ALPHABETS[name]]
     own = counts[np.ix_(symbols, symbols)] + 1e-3 * counts.sum() / counts.size**2 + 1e-9
-    step = np.cumsum(own / own.sum(axis=1, keepdims=True), axis=1)
-    begin = np.cumsum(own.sum(axis=1) / own.sum())
+    return own.sum(axis=1) / own.sum(), own / own.sum(axis=1, keepdims=True)
+
+
+def tail_of(run: str, name: str, model: tuple[np.ndarray, np.ndarray]) -> int:
+    """Tenths of a power of ten, rounded down, that the likelihood ratio's bound on p lies below 1 (0: it says nothing)."""
+    begin, step = model
+    at = np.array([_INDEX[name][c] for c in run])
+    ratio = np.log10(begin[at[0]]) + np.log10(step[at[:-1], at[1:]]).sum() + len(at) * np.log10(len(begin))
+    return int(np.clip(np.floor(-10 * (ratio - np.log10(SPLIT))), 0, TENTHS))
+
+
+def text_deviations(counts: np.ndarray, name: str, length: int, draws: int = DRAWS) -> np.ndarray:
+    """Sorted D of strings drawn from character pairs (128 x 128 counts), kept to an alphabet."""
+    symbols = ALPHABETS[name]
+    begin, step = pair_model(counts, name)
+    begin, step = np.cumsum(begin), np.cumsum(step, axis=1)
     rng = np.random.default_rng(length * 31 + len(name))
     rows = np.zeros((draws, length), dtype=np.int64)
     rows[:, 0] = np.minimum(np.searchsorted(begin, rng.random(draws)), len(symbols) - 1)
@@ -140,18 +160,42 @@ def text_deviations(counts: np.ndarray, name: str, length: int, draws: int = DRA
     return np.sort(deviation(rows, len(symbols)))
 
 
+def p_of(rank: np.ndarray | int, draws: int = DRAWS) -> np.ndarray | float:
+    """p of a rank among the draws, or, below 0, of so many tenths of a power of ten."""
+    return np.where(rank < 0, 10.0 ** (np.minimum(rank, 0) / 10), np.minimum(1, (np.maximum(rank, 0) + 1) / (draws + 1) / (1 - SPLIT)))
+
+
+def ranked(d: np.ndarray, tail: np.ndarray, null: np.ndarray, rate: float) -> np.ndarray:
+    """The rank of each candidate among the draws, or minus its tail where that gives the smaller p."""
+    rank = np.searchsorted(null, d, side="right")
+    p = p_of(rank, len(null))
+    return np.where((p <= rate) & (p_of(-tail, len(null)) < p) & (tail > 0), -tail, rank)
+
+
+def largest_p(ranks: dict[int, int], rate: float = RATE, draws: int = DRAWS) -> float:
+    """Benjamini-Hochberg: the largest p that is reported, from the number of candidates at each rank; 0: none is."""
+    rank, n = np.array(list(ranks), dtype=np.int64), np.array(list(ranks.values()), dtype=np.int64)
+    p = p_of(rank, draws)
+    order = np.argsort(p, kind="stable")
+    p, k = p[order], np.cumsum(n[order])
+    ok = np.flatnonzero(p * k[-1] <= rate * k)
+    return float(p[ok[-1]]) if len(ok) else 0.0
+
+
+def d_limit(null: np.ndarray, p: float) -> float:
+    """D below this has at most ``p`` by the draws; negative: none has."""
+    rank = int(np.floor(p * (1 - SPLIT) * (len(null) + 1) * (1 + 1e-12))) - 1
+    return -1.0 if rank < 0 else float(null[rank]) if rank < len(null) else float("inf")
+
+
 def limits(counts: np.ndarray, found: dict[str, np.ndarray], rate: float = RATE, draws: int = DRAWS) -> dict[str, float]:
-    """Largest D that is reported, for each stratum; ``found`` has how many candidates lie at each rank of the draws."""
+    """Largest D that is reported by the draws alone, for each stratum; ``found`` has how many candidates lie at each rank of the draws."""
     out = {}
     for stratum, at_rank in found.items():
+        p = largest_p({int(i): int(at_rank[i]) for i in np.flatnonzero(at_rank)}, rate, draws)
         name, length = stratum.rsplit(":", 1)
-        null = text_deviations(counts, name, int(length), draws)
-        k = np.cumsum(at_rank)
-        p = (np.arange(draws + 1) + 1) / (draws + 1)
-        ok = np.flatnonzero((p * k[-1] <= rate * k) & (at_rank > 0))
-        if len(ok):
-            rank = int(ok[-1])
-            out[stratum] = float(null[rank]) if rank < draws else float("inf")
+        if p > 0:
+            out[stratum] = d_limit(text_deviations(counts, name, int(length), draws), p)
     return out
 
 
@@ -161,23 +205,29 @@ def scan(documents: DataFrame, rate: float = RATE) -> DataFrame:
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     kind = dict(documents.dtypes)["doc_id"]
     base = "array<struct<start:bigint,at:int,kind:string,end:bigint>>"
-    scanned = cut(texts.mapInArrow(lambda it: _scan(it, ["doc_id", "text_key"]), f"doc_id {kind}, text_key bigint, base {base}, maybe array<struct<start:bigint,end:bigint,stratum:string,d:double>>"))
     counts = np.zeros(1 << 14)
     for r in texts.mapInArrow(_pairs, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 2**14 rows at most
         counts[r.pair] = r.n
     counts = counts.reshape(128, 128)
+    models = spark.sparkContext.broadcast({name: pair_model(counts, name) for name in ALPHABETS})
+    scanned = cut(texts.mapInArrow(lambda it: _scan(it, ["doc_id", "text_key"], models), f"doc_id {kind}, text_key bigint, base {base}, maybe array<struct<start:bigint,end:bigint,stratum:string,d:double,tail:int>>"))
 
-    tried = scanned.select(F.explode("maybe").alias("m")).select("m.stratum", "m.d")
+    tried = scanned.select(F.explode("maybe").alias("m")).select("m.stratum", "m.d", "m.tail")
     strata = sorted(r.stratum for r in tried.select("stratum").distinct().collect())  # alphabets times classes of length at most
-    found = {}
+    found: dict[str, dict[int, int]] = {s: {} for s in strata}
+    drawn = {s: text_deviations(counts, s.rsplit(":", 1)[0], int(s.rsplit(":", 1)[1])) for s in strata}
     if strata:
-        nulls = spark.sparkContext.broadcast({s: text_deviations(counts, s.rsplit(":", 1)[0], int(s.rsplit(":", 1)[1])) for s in strata})
-        ranks = tried.mapInArrow(lambda it: _ranks(it, nulls), "stratum string, rank int, n bigint").groupBy("stratum", "rank").agg(F.sum("n").alias("n"))
-        for r in ranks.collect():  # a row for each stratum and draw at most
-            found.setdefault(r.stratum, np.zeros(DRAWS + 1, dtype=np.int64))[r.rank] = r.n
-    limit = limits(counts, found, rate)
-    allowed = F.create_map(*[F.lit(v) for s, d in sorted(limit.items()) for v in (s, d)]) if limit else None
-    extra = F.array().cast(base) if allowed is None else F.transform(F.filter("maybe", lambda m: m["d"] < allowed[m["stratum"]]), _as_span)
+        nulls = spark.sparkContext.broadcast(drawn)
+        ranks = tried.mapInArrow(lambda it: _ranks(it, nulls, rate), "stratum string, rank int, n bigint").groupBy("stratum", "rank").agg(F.sum("n").alias("n"))
+        for r in ranks.collect():  # a row for each stratum and draw or step of p at most
+            found[r.stratum][r.rank] = r.n
+    allowed = {s: p for s in strata if (p := largest_p(found[s], rate)) > 0}
+    as_map = lambda of: F.create_map(*[F.lit(v) for s, p in sorted(allowed.items()) for v in (s, of(s, p))])
+    extra = F.array().cast(base)
+    if allowed:
+        by_d, by_tail = as_map(lambda s, p: d_limit(drawn[s], p)), as_map(lambda s, p: int(np.ceil(-10 * np.log10(p) * (1 - 1e-12))))
+        gate = as_map(lambda s, p: d_limit(drawn[s], rate))
+        extra = F.transform(F.filter("maybe", lambda m: (m["d"] < by_d[m["stratum"]]) | (m["d"] < gate[m["stratum"]]) & (m["tail"] >= by_tail[m["stratum"]])), _as_span)
     return scanned.select("doc_id", "text_key", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
@@ -185,11 +235,12 @@ def _as_span(m: Column) -> Column:
     return F.struct(m["start"].alias("start"), F.lit(KINDS.index("random")).alias("at"), F.lit("random").alias("kind"), m["end"].alias("end"))
 
 
-def _ranks(batches: Iterator[pa.RecordBatch], nulls) -> Iterator[pa.RecordBatch]:
+def _ranks(batches: Iterator[pa.RecordBatch], nulls, rate: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         strata, d = np.array(batch.column("stratum").to_pylist(), dtype=object), batch.column("d").to_numpy()
+        tail = batch.column("tail").to_numpy()
         for s in sorted(set(strata.tolist())):
-            rank, n = np.unique(np.searchsorted(nulls.value[s], d[strata == s], side="right"), return_counts=True)
+            rank, n = np.unique(ranked(d[strata == s], tail[strata == s], nulls.value[s], rate), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([s] * len(rank)), pa.array(rank.astype(np.int32)), pa.array(n)], names=["stratum", "rank", "n"])
 
 

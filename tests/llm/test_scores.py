@@ -64,6 +64,39 @@ def test_secret_cases(spark, docs, awkward, none):
     assert secrets.redact(awkward).count() == awkward.count()
 
 
+def test_one_key_among_identifiers(spark):
+    """A single random key is found among thousands of identifiers of its class, whose p the draws alone cannot tell apart."""
+    rng = np.random.default_rng(8)
+    words = "get set user account parcel zoning overlay request response handler factory builder index value stream buffer total count region district".split()
+    word = lambda: rng.choice(words).title()
+    names = []
+    while len(names) < 4000:
+        name = f"{rng.choice(words)}{word()}{word()}{word()}{word()}{rng.integers(10)}"[:39]
+        if 32 <= len(name) and not name.isalpha():
+            names.append(name)
+    key = "".join(rng.choice(list(secrets.ALPHABETS["base62"]), 36))
+    rows = [(i, f"call {n} now") for i, n in enumerate(names)] + [(9999, f"call {key} now")]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[9999] == [("random", 5, 41)]
+    assert sum(bool(s) for k, s in found.items() if k != 9999) == 0
+
+
+def test_likelihood_bound_holds():
+    """Text gives a bound of x or less with chance x / SPLIT at most; p joins both bounds."""
+    counts = np.ones((128, 128))
+    counts[97:123, 97:123] = 500
+    begin, step = secrets.pair_model(counts, "base62")
+    rng = np.random.default_rng(4)
+    tails = []
+    for _ in range(3000):
+        at = [rng.choice(62, p=begin)]
+        while len(at) < 20:
+            at.append(rng.choice(62, p=step[at[-1]]))
+        tails.append(secrets.tail_of("".join(secrets.ALPHABETS["base62"][i] for i in at), "base62", (begin, step)))
+    assert all(np.mean(np.array(tails) >= t) <= secrets.SPLIT * 10 ** (-t / 10) + 0.003 for t in (1, 10, 20))
+    assert secrets.largest_p({4000: 10_000, -80: 1}) > 0 and secrets.largest_p({4000: 10_000, 0: 1}) == 0
+
+
 def test_nearest_are_exact():
     rng = np.random.default_rng(2)
     n_terms = 60
