@@ -1,8 +1,9 @@
 """Secret scans: plain patterns, and a battery of randomness tests over strings that look encoded.
 
 Patterns (``assign``, ``access``, ``hex``) are taken as they are. Other runs of 16 or more base64-like characters are
-candidates (``random``): their encoding is inferred (the smallest alphabet that holds them; runs of letters of one case
-and of digits only are words and numbers, not encodings), and three statistics are taken over the alphabet: chi-squared
+candidates (``random``), and so is each part of 16 or more that is left when a run is split at any of ``+/-_``, so a key
+in a path or beside a dash is tested by itself too. Their encoding is inferred (the smallest alphabet that holds them,
+the 26 letters for letters of one case; digits alone are numbers and not tested), and three statistics are taken over the alphabet: chi-squared
 uniformity, runs above and below its middle, and serial correlation. Each is brought to a standard deviate with the
 mean and variance that a random string of that length has; D is the sum of their squares (for chi-squared only the
 excess). A random string has a small D whatever its length.
@@ -16,7 +17,7 @@ second, so p has no floor however many candidates there are. Benjamini-Hochberg
 every class of encoding and length.
 
 Defined cases: null and empty texts have no spans. Repeated rows give repeated results. Extra columns are not read.
-Spans are in code points. A random span that overlaps a pattern's is not added. No pairs at all (an empty table): no
+Spans are in code points. A random span that overlaps a pattern's, or lies in a longer random one, is not added. No pairs at all (an empty table): no
 random spans.
 """
 
@@ -38,6 +39,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+PARTS = tuple(re.compile(f"[A-Za-z0-9{joints}]{{16,}}") for joints in ("+/", "+", "/", "_-", "_", "-", ""))  # what one alphabet can hold
 KINDS = ("assign", "access", "hex", "random")
 _UP, _LOW, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = {
@@ -49,6 +51,8 @@ ALPHABETS = {
     "base62": _UP + _LOW + _DIGITS,
     "base64": _UP + _LOW + _DIGITS + "+/",
     "base64url": _UP + _LOW + _DIGITS + "-_",
+    "lower": _LOW,
+    "UPPER": _UP,
 }
 LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128)  # classes of length begin here
 DRAWS = 4000
@@ -68,6 +72,23 @@ def encoding(run: str) -> str | None:
     return next((name for name, a in _SETS.items() if seen <= a), None)
 
 
+def alphabet(run: str) -> str | None:
+    """Name of the alphabet that a run is tested in: its encoding, or for letters only those of its case or cases."""
+    if run.isalpha():
+        return "lower" if run.islower() else "UPPER" if run.isupper() else "base62"
+    return encoding(run)
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """Runs that fit an alphabet, and their parts that do; (start, end, alphabet), longer ones first at one start."""
+    found = set()
+    for m in RUN.finditer(text):
+        found.add(m.span())
+        if not m[0].isalnum():
+            found.update(part.span() for parts in PARTS for part in parts.finditer(text, *m.span()))
+    return [(a, b, name) for a, b in sorted(found, key=lambda s: (s[0], -s[1])) if (name := alphabet(text[a:b]))]
+
+
 def length_class(n: int) -> int:
     return max(x for x in LENGTHS if x <= n)
 
@@ -109,10 +130,10 @@ def _scan(batches: Iterator[pa.RecordBatch], names: list[str], models) -> Iterat
             for text in batch.column("text").to_pylist():
                 base = base_spans(text) if text else []
                 other = []
-                for m in RUN.finditer(text or ""):
-                    name = encoding(m[0])
-                    if name and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                        other.append({"start": m.start(), "end": m.end(), "stratum": f"{name}:{length_class(len(m[0]))}", "d": d_of(m[0], name), "tail": tail_of(m[0], name, models.value[name])})
+                for start, end, name in candidates(text or ""):
+                    if not any(a < end and start < b for a, b, _ in base):
+                        run = text[start:end]
+                        other.append({"start": start, "end": end, "stratum": f"{name}:{length_class(len(run))}", "d": d_of(run, name), "tail": tail_of(run, name, models.value[name])})
                 bases.append([{"start": a, "at": KINDS.index(k), "kind": k, "end": b} for a, b, k in base])
                 others.append(other)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bases, span), pa.array(others, maybe)], names=[*names, "base", "maybe"])
@@ -221,18 +242,25 @@ def scan(documents: DataFrame, rate: float = RATE) -> DataFrame:
         ranks = tried.mapInArrow(lambda it: _ranks(it, nulls, rate), "stratum string, rank int, n bigint").groupBy("stratum", "rank").agg(F.sum("n").alias("n"))
         for r in ranks.collect():  # a row for each stratum and draw or step of p at most
             found[r.stratum][r.rank] = r.n
-    allowed = {s: p for s in strata if (p := largest_p(found[s], rate)) > 0}
-    as_map = lambda of: F.create_map(*[F.lit(v) for s, p in sorted(allowed.items()) for v in (s, of(s, p))])
-    extra = F.array().cast(base)
-    if allowed:
-        by_d, by_tail = as_map(lambda s, p: d_limit(drawn[s], p)), as_map(lambda s, p: int(np.ceil(-10 * np.log10(p) * (1 - 1e-12))))
-        gate = as_map(lambda s, p: d_limit(drawn[s], rate))
-        extra = F.transform(F.filter("maybe", lambda m: (m["d"] < by_d[m["stratum"]]) | (m["d"] < gate[m["stratum"]]) & (m["tail"] >= by_tail[m["stratum"]])), _as_span)
-    return scanned.select("doc_id", "text_key", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", extra)).alias("spans"))
-
-
-def _as_span(m: Column) -> Column:
-    return F.struct(m["start"].alias("start"), F.lit(KINDS.index("random")).alias("at"), F.lit("random").alias("kind"), m["end"].alias("end"))
+    allowed = {s: (d_limit(drawn[s], p), d_limit(drawn[s], rate), int(np.ceil(-10 * np.log10(p) * (1 - 1e-12)))) for s in strata if (p := largest_p(found[s], rate)) > 0}
+    out = scanned.mapInArrow(lambda it: _reported(it, allowed), f"doc_id {kind}, text_key bigint, base {base}, extra {base}")
+    return out.select("doc_id", "text_key", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "extra")).alias("spans"))
+
+
+def _reported(batches: Iterator[pa.RecordBatch], allowed: dict[str, tuple[float, float, int]]) -> Iterator[pa.RecordBatch]:
+    """The candidates within their stratum's limits (D; or D within the rate, and tail), without those inside a longer one."""
+    for batch in batches:
+        extra = []
+        for maybe in batch.column("maybe").to_pylist():
+            spans, reach = [], 0
+            for m in maybe:  # in order of start, longer ones first
+                by_d, gate, by_tail = allowed.get(m["stratum"], (-1.0, -1.0, 0))
+                if (m["d"] < by_d or (m["d"] < gate and m["tail"] >= by_tail)) and m["end"] > reach:
+                    spans.append({"start": m["start"], "at": KINDS.index("random"), "kind": "random", "end": m["end"]})
+                    reach = m["end"]
+            extra.append(spans)
+        base = batch.column("base")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), base, pa.array(extra, base.type)], names=["doc_id", "text_key", "base", "extra"])
 
 
 def _ranks(batches: Iterator[pa.RecordBatch], nulls, rate: float) -> Iterator[pa.RecordBatch]:

@@ -81,6 +81,23 @@ def test_one_key_among_identifiers(spark):
     assert sum(bool(s) for k, s in found.items() if k != 9999) == 0
 
 
+def test_keys_inside_runs_and_of_one_case(spark, docs):
+    """Keys in paths, beside dashes and of one case are found, and the words around them are not."""
+    rng = np.random.default_rng(6)
+    draw = lambda name, n: "".join(rng.choice(list(secrets.ALPHABETS[name]), n))
+    prose = [r.text for r in docs.orderBy("doc_id").collect() if r.text and not secrets.base_spans(r.text)][:60]
+    keys = [draw("base62", 32), draw("base62", 32), draw("base62", 40), "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 40)), "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 40))]
+    shapes = ["/my-app/{}/index", "other-service_{}-old/path", "/parcel/zoning/{}", "{}", "{}"]
+    rows = [(i, f"{p} see {shape.format(k)} end internationalization of counterrevolutionaries") for i, (p, k, shape) in enumerate(zip(prose, keys, shapes, strict=False))] + [(i + 100, p) for i, p in enumerate(prose[5:])]
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, k in enumerate(keys):
+        at = rows[i][1].index(k)
+        assert any(a <= at and at + len(k) <= b for a, b in found[i]), shapes[i]
+        assert not any(b > rows[i][1].index(" end ") + 1 for a, b in found[i])
+    assert all(not found[i] for i in range(100, 100 + len(prose) - 5))
+    assert (8, 41, "base62") in secrets.candidates("/my-app/" + "aB3" * 11)
+
+
 def test_likelihood_bound_holds():
     """Text gives a bound of x or less with chance x / SPLIT at most; p joins both bounds."""
     counts = np.ones((128, 128))
