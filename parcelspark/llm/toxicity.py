@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are byte 5-grams of the lower-cased text (all but letters is one blank), hashed to a fixed number of bins; those
-toxic examples have significantly more often, by chi-squared, are kept. Labelled examples, at most ``per_label`` of each label in
+toxic examples have significantly more often, by chi-squared, are kept, all of them. Their document frequencies are
+counted over all documents. Labelled examples, at most ``per_label`` of each label in
 order of a hash of the id, form the index: postings by block of ``BLOCK`` examples, and the largest weight of each term
 in each block. A text's blocks are put in order of the largest cosine they can hold; the first few are scored, then all
 others that can hold more than the k-th best so far; so the k nearest are exact. Their labels vote with weights that fall with distance; a logistic curve,
@@ -27,9 +28,8 @@ from parcelspark.llm.textkit import LOWER, chunks, flat, mix
 
 GRAM = 5
 BINS_LOG2 = 20
-TERMS = 2048
 LEAST_CHI = 15.0  # about one chance in ten thousand for a term that tells nothing
-PER_LABEL = 1000
+PER_LABEL = 2000
 BLOCK = 64
 FIRST_BLOCKS = 4
 NEIGHBOURS = 15
@@ -86,14 +86,25 @@ def _examples(batches: Iterator[pa.RecordBatch], term_of) -> Iterator[pa.RecordB
             )
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch], term_of) -> Iterator[pa.RecordBatch]:
+    """How many texts of a task have each kept term, and, as term -1, how many texts there are."""
+    total, n = np.zeros(int(term_of.value.max(initial=-1)) + 1, dtype=np.int64), 0
+    for whole in batches:
+        n += whole.num_rows
+        for batch in chunks(whole, "text"):
+            total += np.bincount(term_counts(batch.column("text"), term_of.value)[1], minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], names=["term", "n"])
+
+
 class Index:
     """Block-max inverted index of the examples, with the fitted curve."""
 
-    def __init__(self, term_of: np.ndarray, ids: list, toxic: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], share: float):
+    def __init__(self, term_of: np.ndarray, ids: list, toxic: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], share: float, frequencies: tuple[np.ndarray, int] | None = None):
         self.term_of, self.ids, self.toxic = term_of, ids, toxic
         n_terms = int(term_of.max()) + 1 if len(term_of) else 0
-        df = np.bincount(np.concatenate([*terms, np.zeros(0, dtype=np.int64)]).astype(np.int64), minlength=n_terms)
-        self.idf = np.log((1 + len(ids)) / (1 + df)) + 1
+        df, n_texts = frequencies or (np.bincount(np.concatenate([*terms, np.zeros(0, dtype=np.int64)]).astype(np.int64), minlength=n_terms), len(ids))
+        self.idf = np.log((1 + n_texts) / (1 + df)) + 1
         vectors = [self.vector(t, c) for t, c in zip(terms, counts, strict=True)]
         # near examples share a block: order by label, then by strongest term, so that a block's largest weights say something
         strongest = [int(t[np.argmax(v)]) if len(t) else -1 for t, v in zip(terms, vectors, strict=True)]
@@ -101,7 +112,7 @@ class Index:
         self.ids, self.toxic = [ids[i] for i in order], toxic[order]
         self.n_blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((n_terms, self.n_blocks), dtype=np.float32)
-        parts, self.begin = [], np.zeros((self.n_blocks, n_terms + 1), dtype=np.int64)  # where a block's postings of a term begin
+        parts, self.begin = [], np.zeros((self.n_blocks, n_terms + 1), dtype=np.int32)  # where a block's postings of a term begin
         for b in range(self.n_blocks):
             rows = order[b * BLOCK : (b + 1) * BLOCK]
             t = np.concatenate([terms[i] for i in rows]).astype(np.int64)
@@ -193,8 +204,8 @@ class Index:
         return float(1 / (1 + np.exp(-(self.curve[0] * self.vote(at, cosine) + self.curve[1])))), at, cosine
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_label: int = PER_LABEL, terms: int = TERMS) -> Index:
-    """Index of at most ``per_label`` examples of each label; examples and kept terms are all that reaches the driver."""
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_label: int = PER_LABEL) -> Index:
+    """Index of at most ``per_label`` examples of each label; examples and kept terms, of 2**BINS_LOG2 bins, are all that reaches the driver."""
     spark = documents.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(learn)
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -211,15 +222,19 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_label: int =
     seen = F.col("a") + F.col("b")
     chi = gap.cast("double") * gap / (seen * F.greatest(F.lit(1), F.lit(n1 + n0) - seen))
     telling = (seen >= 5) & (gap > 0) & (chi * F.lit(n1 + n0) / max(1, n1 * n0) >= LEAST_CHI)
-    kept = sorted(r.bin for r in bins.where(telling).orderBy(chi.desc(), "bin").limit(terms).select("bin").collect())
-    term_of = np.full(1 << BINS_LOG2, -1, dtype=np.int16)
+    kept = sorted(r.bin for r in bins.where(telling).select("bin").collect())
+    term_of = np.full(1 << BINS_LOG2, -1, dtype=np.int32)
     term_of[kept] = np.arange(len(kept))
     shared = spark.sparkContext.broadcast(term_of)
     kind = dict(documents.dtypes)["doc_id"]
     rows = texts.select("doc_id", "toxic", "text").mapInArrow(lambda it: _examples(it, shared), f"doc_id {kind}, toxic int, terms array<int>, counts array<int>").toArrow().to_pylist()
+    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _frequencies(it, shared), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(len(kept) + 1, dtype=np.int64)  # the last: all texts
+    for r in counted:
+        df[r.term] = r.n
     rows.sort(key=lambda r: (str(r["doc_id"]), r["terms"], r["counts"]))  # whatever order tasks end in
     as_array = lambda x: np.array(x, dtype=np.int64)
-    return Index(term_of, [r["doc_id"] for r in rows], as_array([r["toxic"] for r in rows]), [as_array(r["terms"]) for r in rows], [as_array(r["counts"]) for r in rows], share)
+    return Index(term_of, [r["doc_id"] for r in rows], as_array([r["toxic"] for r in rows]), [as_array(r["terms"]) for r in rows], [as_array(r["counts"]) for r in rows], share, (df[:-1], int(df[-1])))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared, kind: pa.DataType) -> Iterator[pa.RecordBatch]:

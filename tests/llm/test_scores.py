@@ -135,6 +135,25 @@ def test_nearest_are_exact():
         assert np.allclose([every[index.ids[i]] for i in at], cosine)
 
 
+def test_every_significant_term_is_kept(spark):
+    """Toxic examples in many languages: no wording is left out, and idf follows all documents, not the examples."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, 9))
+    insults, plain = [[word() for _ in range(20)] for _ in range(60)], [word() for _ in range(400)]
+    mild = lambda: list(rng.choice(plain, 30))
+    rows = [(20 * i + j, " ".join(mild() + insults[i]), 1) for i in range(60) for j in range(18)] + [(2000 + i, " ".join(mild()), 0) for i in range(1080)]
+    asked = [(5000 + i, " ".join(mild() + insults[i][:10]), None) for i in range(60)]
+    df = spark.createDataFrame(rows + asked, "doc_id bigint, text string, toxic int")
+    index = toxicity.fit(df, df.where("toxic is not null").select("doc_id", "toxic"), F.lit(True))
+    assert int(index.term_of.max()) + 1 > 5000
+    got = {r.doc_id: r.score for r in toxicity.score(df.where("toxic is null").select("doc_id", "text"), index).collect()}
+    assert len(got) == 60 and min(got.values()) >= 0.7
+    n, text = len(rows) + len(asked), pa.array([t for _, t, _ in rows + asked])
+    df_all = np.bincount(toxicity.term_counts(text, index.term_of)[1], minlength=len(index.idf))
+    assert np.allclose(index.idf, np.log((1 + n) / (1 + df_all)) + 1)
+
+
 def test_toxicity_held_out(spark):
     from conftest import SF
 
