@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelspark.session import cut
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +184,74 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~toxicity.held_out())
     out = toxicity.score(documents.select("doc_id", F.col("text").cast("string").alias("text")), index)
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    squared = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    ctes = [
+        """kept as materialized (
+  select row_number() over () r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+        f"""c0 as materialized (
+  select row_number() over (order by sha256('3:' || coalesce(cast(vec_id as varchar), '')), v) - 1 j, v c from kept qualify j < {k})""",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} as materialized (
+  select r, any_value(vec_id) vec_id, any_value(v) v, min(struct_pack(d := d, j := j)) near from (select r, vec_id, v, j, {squared} d from kept, c{i}) group by r)""")
+        if i < rounds:
+            ctes.append(f"""c{i + 1} as materialized (
+  select j, coalesce(m, c) c from c{i} left join (
+    select j, list((s - ((s % n) + n) % n) // n order by p) m
+    from (select near.j j, p, sum(v[p]) s, count(*) n from a{i}, range(1, 65) t(p) group by near.j, p) group by j) using (j))""")
+    return f"""with {", ".join(ctes)}
+select vec_id, cast(near.j as int) as "cluster", cast(near.d as bigint) distance, cast(sum(near.d) over (partition by near.j) as bigint) cluster_inertia,
+  cast(sum(near.d) over () as bigint) inertia, sha256(array_to_string(c, ',')) centroid_sha256
+from a{rounds} join c{rounds} on c{rounds}.j = near.j
+"""
+
+
+@query("op11_centroids", _op11_sql())
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import centroids
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out, places = centroids.cluster(vectors)
+    digests = F.transform(F.array(*[F.lit(",".join(map(str, c))) for c in places] or [F.lit("")]), lambda c: F.sha2(c, 256))
+    return out.withColumnRenamed("id", "vec_id").withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
+
+
+OP12_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) s,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') t from documents),
+h as (
+  select *, cast(len(t) as bigint) n, cast('0x' || substr(s, 1, 8) as bigint) h1, cast('0x' || substr(s, 9, 8) as bigint) h2,
+    cast('0x' || substr(s, 17, 8) as bigint) h3, cast('0x' || substr(s, 25, 8) as bigint) h4 from d),
+f as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+    case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end form from h),
+p as (select *, array_to_string(t[1:a], '') prefix, array_to_string(t[a + 1:b], '') middle, array_to_string(t[b + 1:], '') suffix from f)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end prefix_chars, case when form <> 'plain' then length(middle) end middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) output_sha256,
+  sha256(text) restored_sha256
+from p
+"""
+
+
+@query("op12_fim", OP12_SQL)
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelspark.llm import fim
+
+    return fim.forms(fim.plan(cut(fim.store(table(spark, sf_dir, "documents")))))
+
+
+@query("op13_bpe")
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from parcelspark.llm import bpe
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), definition), definition)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
