@@ -11,22 +11,17 @@ from pyspark.sql import functions as F
 
 from parcelspark import catalogs as C
 from parcelspark.functions import geometry as G
-from parcelspark.operators import cells
+from parcelspark.operators import quadtree as Q
+from parcelspark.operators.layers import Layer, in_envelope, with_edges
 
 TOLERANCE_M = 25.0  # fixed value: nearest-parcel radius
 
+PARCEL_KEEP = ["jurisdiction_id", "first"]
+ZONE_KEEP = ["jurisdiction_id", "zone_id", "zone_code"]
+OVERLAY_KEEP = ["overlay_id", "overlay_type"]
+JURISDICTION_KEEP = ["jurisdiction_id", "jurisdiction_type", "slug"]
 
-def with_edges(df: DataFrame) -> DataFrame:
-    """Add the ``edges`` and ``bbox`` every spatial lookup works on; rows without area go."""
-    return df.where(F.size("geom") > 0).withColumn("edges", F.expr(G.edges("geom"))).withColumn("bbox", F.expr(G.bbox("edges")))
-
-
-def in_envelope(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
-    """Features whose stored box meets an envelope. With ``xmin..ymax`` as plain columns the
-    range predicates reach the Parquet scan and skip row groups."""
-    return df.where(
-        (F.col("xmax") >= xmin) & (F.col("xmin") <= xmax) & (F.col("ymax") >= ymin) & (F.col("ymin") <= ymax)
-    )
+__all__ = ["in_envelope", "with_edges"]
 
 
 def distinct_points(requests: DataFrame) -> DataFrame:
@@ -34,42 +29,48 @@ def distinct_points(requests: DataFrame) -> DataFrame:
     return requests.where("lon IS NOT NULL AND lat IS NOT NULL").select("lon", "lat").distinct()
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, keep: list[str]) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame | Layer, keep: list[str]) -> DataFrame:
     """Pairs of a point (``lon``, ``lat`` and its other columns) and a polygon strictly around
     it; ``keep`` names the polygon columns wanted."""
-    filed = cells.file_for_points(with_edges(polygons).select("edges", "bbox", *keep))
-    hit = cells.point_cells(points).join(filed, "cell")
-    boxed = "lon BETWEEN bbox.xmin AND bbox.xmax AND lat BETWEEN bbox.ymin AND bbox.ymax"
-    return hit.where(f"{boxed} AND {G.contains('edges', 'lon', 'lat')}").drop("edges", "bbox", "cell")
+    layer = polygons if isinstance(polygons, Layer) else Layer.of(polygons, keep)
+    return layer.points(points).where(Q.contains_point()).select(*points.columns, *keep)
 
 
-def match_jurisdiction(points: DataFrame, jurisdictions: DataFrame) -> DataFrame:
+def match_jurisdiction(points: DataFrame, jurisdictions: DataFrame | Layer) -> DataFrame:
     """``lon, lat, jurisdiction_id``: the containing boundary, cities before others, then slug."""
-    pairs = points_in_polygons(points, jurisdictions, ["jurisdiction_id", "jurisdiction_type", "slug"])
+    pairs = points_in_polygons(points, jurisdictions, JURISDICTION_KEEP)
     rank = F.struct((F.col("jurisdiction_type") != "city").alias("r"), F.col("slug").alias("s"))
     return pairs.groupBy("lon", "lat").agg(F.min_by("jurisdiction_id", rank).alias("jurisdiction_id"))
 
 
-def match_parcel(points: DataFrame, parcels: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame:
+def parcel_shapes(parcels: DataFrame) -> DataFrame:
+    """One row for each distinct shape of a jurisdiction, with its lowest APN in ``first``.
+
+    Parcels of identical shape (condominiums) are told apart by a digest of the geometry, so only digests are shuffled
+    for shapes that occur once in a task.
+    """
+    digest = F.sha2(F.to_json("geom"), 256)
+    named = parcels.where(F.size("geom") > 0).select("jurisdiction_id", digest.alias("_d"), F.struct("apn", "parcel_id").alias("first"), "geom")
+    return named.groupBy("jurisdiction_id", "_d").agg(F.min("first").alias("first"), F.any_value("geom").alias("geom")).drop("_d")
+
+
+def parcel_layer(parcels: DataFrame, tolerance_m: float = TOLERANCE_M) -> Layer:
+    return Layer.of(parcel_shapes(parcels), PARCEL_KEEP, tolerance_m=tolerance_m)
+
+
+def match_parcel(points: DataFrame, parcels: DataFrame | Layer, tolerance_m: float = TOLERANCE_M) -> DataFrame:
     """``jurisdiction_id, lon, lat, parcel_id, match_method, match_tolerance_m, distance_m``.
 
     The containing parcel of the same jurisdiction, else the nearest one within the tolerance;
-    ties go to the lowest APN. Parcels of identical shape (condominiums) are reduced to that
-    lowest APN before the join, so a stack of copies costs one test per point.
+    ties go to the lowest APN, also among parcels of one shape. A layer must have been filed
+    with this tolerance at least.
     """
-    shapes = with_edges(parcels).groupBy("jurisdiction_id", "edges", "bbox").agg(
-        F.min(F.struct("apn", "parcel_id")).alias("first")
-    )
-    # degrees that surely span the tolerance anywhere the tangent scale is used
-    pad_y = f"{tolerance_m / 110000.0!r}D"
-    pad_x = f"({pad_y} / greatest(0.01D, cos(radians(greatest(abs(bbox.ymin), abs(bbox.ymax)) + {pad_y}))))"
-    filed = cells.file_for_points(shapes, pad_x, pad_y)
-    pairs = cells.point_cells(points.select("jurisdiction_id", "lon", "lat")).join(filed, ["jurisdiction_id", "cell"])
-    close = pairs.where(
-        f"lon BETWEEN bbox.xmin - {pad_x} AND bbox.xmax + {pad_x} AND lat BETWEEN bbox.ymin - {pad_y} AND bbox.ymax + {pad_y}"
-    )
-    gap = f"CASE WHEN {G.contains('edges', 'lon', 'lat')} THEN -1D ELSE {G.boundary_distance_m('edges', 'lon', 'lat')} END"
-    measured = close.withColumn("_d", F.expr(gap))
+    layer = parcels if isinstance(parcels, Layer) else parcel_layer(parcels, tolerance_m)
+    if layer.tolerance_m < tolerance_m:
+        raise ValueError(f"the layer is filed for {layer.tolerance_m} m")
+    pairs = layer.points(points.select("jurisdiction_id", "lon", "lat"), ["jurisdiction_id"])
+    gap = f"CASE WHEN {Q.contains_point()} THEN -1D ELSE {G.boundary_distance_m('edges', 'lon', 'lat')} END"
+    measured = pairs.withColumn("_d", F.expr(gap))
     # the tolerance is applied inside the aggregate: as a filter it would be pushed below the
     # measurement and evaluate it twice
     row = F.struct((F.col("_d") >= 0).alias("out"), F.greatest("_d", F.lit(0.0)).alias("d"), F.col("first").alias("p"))
@@ -85,28 +86,30 @@ def match_parcel(points: DataFrame, parcels: DataFrame, tolerance_m: float = TOL
     )
 
 
-def polygon_pairs(probes: DataFrame, filed: DataFrame, on: list[str], probe_key: str, keep: list[str], area: bool) -> DataFrame:
+def polygon_pairs(probes: DataFrame, layer: Layer, on: list[str], probe_key: str, keep: list[str], area: bool) -> DataFrame:
     """Intersecting (probe, feature) pairs, one row each, with ``overlap_area`` when asked.
 
-    ``probes`` are the smaller polygons; ``keep`` must identify a feature.
+    ``keep`` must identify a feature. Areas of the probe's parts in each piece's cell add up.
     """
     p = with_edges(probes.select(probe_key, "geom", *on))
     if area:
         p = p.withColumn("parts", F.expr(G.convex_parts("geom")))
-    p = cells.probe_polygons(p.drop("geom")).alias("p")
-    f = cells.file_for_polygons(with_edges(filed).select("geom", "edges", "bbox", *on, *[k for k in keep if k not in on])).alias("f")
-    cond = " AND ".join([cells.same_pair_cell(), *[f"p.{c} = f.{c}" for c in on]])
-    shared = cells.overlap_in_cell() if area else "0D"
-    seen = p.join(f, F.expr(cond)).selectExpr(
-        f"p.{probe_key}", *[f"f.{k}" for k in keep], f"{shared} AS _a", f"{cells.meet_in_cell()} AS _hit"
-    )
+    p, f = layer.polygons(p.drop("geom"))
+    cond = " AND ".join(["p.cell = f.cell", "p.tile = f.tile", *[f"p.{c} = f.{c}" for c in on], Q.near_piece()])
+    shared = G.overlap_area("p.parts", "f.rings") if area else "0D"
+    seen = p.join(f, F.expr(cond)).selectExpr(f"p.{probe_key}", *[f"f.{k}" for k in keep], f"{shared} AS _a", f"{Q.meets_piece()} AS _hit")
     return seen.groupBy(probe_key, *keep).agg(F.sum("_a").alias("overlap_area"), F.max("_hit").alias("_h")).where("_h").drop("_h")
 
 
-def match_zones(parcels: DataFrame, zones: DataFrame) -> DataFrame:
+def zone_layer(zones: DataFrame) -> Layer:
+    return Layer.of(zones, ZONE_KEEP, areas=True)
+
+
+def match_zones(parcels: DataFrame, zones: DataFrame | Layer) -> DataFrame:
     """``parcel_id, zone_id, zone_code, overlap_area``: districts of the parcel's jurisdiction
     that share a point with it. ``parcels`` needs jurisdiction_id, parcel_id, geom."""
-    return polygon_pairs(parcels, zones, ["jurisdiction_id"], "parcel_id", ["zone_id", "zone_code"], area=True)
+    layer = zones if isinstance(zones, Layer) else zone_layer(zones)
+    return polygon_pairs(parcels, layer, ["jurisdiction_id"], "parcel_id", ["zone_id", "zone_code"], area=True)
 
 
 def zone_choice(pairs: DataFrame, key: list[str]) -> DataFrame:
@@ -120,24 +123,23 @@ def zone_choice(pairs: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def zones_at_points(points: DataFrame, zones: DataFrame) -> DataFrame:
+def zones_at_points(points: DataFrame, zones: DataFrame | Layer) -> DataFrame:
     """Zones strictly containing a point of the same jurisdiction, where no parcel matched."""
-    pairs = points_in_polygons(
-        points.withColumnRenamed("jurisdiction_id", "_jid"), zones, ["jurisdiction_id", "zone_id", "zone_code"]
-    ).where("_jid = jurisdiction_id")
-    return pairs.withColumn("overlap_area", F.lit(0.0)).drop("_jid")
+    layer = zones if isinstance(zones, Layer) else Layer.of(zones, ZONE_KEEP)
+    pairs = layer.points(points, ["jurisdiction_id"]).where(Q.contains_point())
+    return pairs.select(*points.columns, "zone_id", "zone_code", F.lit(0.0).alias("overlap_area"))
 
 
-def match_overlays(parcels: DataFrame, overlays: DataFrame) -> DataFrame:
+def match_overlays(parcels: DataFrame, overlays: DataFrame | Layer) -> DataFrame:
     """``parcel_id, overlay_id, overlay_type``: features of any jurisdiction touching a parcel."""
-    return polygon_pairs(parcels, overlays, [], "parcel_id", ["overlay_id", "overlay_type"], area=False).drop("overlap_area")
+    layer = overlays if isinstance(overlays, Layer) else Layer.of(overlays, OVERLAY_KEEP)
+    return polygon_pairs(parcels, layer, [], "parcel_id", OVERLAY_KEEP, area=False).drop("overlap_area")
 
 
-def overlays_at_points(points: DataFrame, overlays: DataFrame) -> DataFrame:
+def overlays_at_points(points: DataFrame, overlays: DataFrame | Layer) -> DataFrame:
     """Features covering a point, boundary included."""
-    filed = cells.file_for_points(with_edges(overlays).select("edges", "bbox", "overlay_id", "overlay_type"))
-    hit = cells.point_cells(points).join(filed, "cell")
-    return hit.where(G.covers("edges", "lon", "lat")).drop("edges", "bbox", "cell")
+    layer = overlays if isinstance(overlays, Layer) else Layer.of(overlays, OVERLAY_KEEP)
+    return layer.points(points).where(Q.covers_point()).select(*points.columns, *OVERLAY_KEEP)
 
 
 def complete_overlays(keys: DataFrame, hits: DataFrame, overlays: DataFrame, key: list[str], expected: list[str] = C.EXPECTED_OVERLAYS) -> DataFrame:

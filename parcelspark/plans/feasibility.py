@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from parcelspark.functions import text as T
 from parcelspark.functions import values as V
 from parcelspark.operators import envelope as E
 from parcelspark.operators import geocode, rules, spatial
+from parcelspark.operators.layers import Layer
 from parcelspark.session import cut
 
 SOURCE_T = (
@@ -33,6 +34,10 @@ class Refs:
     attributes: DataFrame
     baselines: DataFrame
     geocodes: DataFrame  # normalized_address, lon, lat, confidence
+    layers: dict[str, Layer] = field(default_factory=dict)  # stored layers by the names above; a table without one is filed for the call
+
+    def layer(self, name: str) -> DataFrame | Layer:
+        return self.layers.get(name, getattr(self, name))
 
 
 def sites(points: DataFrame, refs: Refs) -> DataFrame:
@@ -52,8 +57,8 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
             F.lit("high").alias("confidence"), F.lit("current").alias("data_status"), F.lit(None).cast("string").alias("snapshot_hash"),
         ).cast(SOURCE_T).alias("jurisdiction_source"),
     )
-    located = spatial.match_jurisdiction(points, refs.jurisdictions).join(jur, "jurisdiction_id")
-    matched = spatial.match_parcel(located.where("coverage_status = 'production'"), refs.parcels)
+    located = spatial.match_jurisdiction(points, refs.layer("jurisdictions")).join(jur, "jurisdiction_id")
+    matched = spatial.match_parcel(located.where("coverage_status = 'production'"), refs.layer("parcels"))
     placed = located.join(matched, ["jurisdiction_id", "lon", "lat"], "left").withColumn("place", place)
     placed = cut(placed)
     live = placed.where("coverage_status = 'production'")
@@ -65,14 +70,14 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
     bare = live.where("parcel_id IS NULL").select("jurisdiction_id", "lon", "lat", "place")
 
     named = lambda pairs: pairs.withColumn("place", F.concat(F.lit("p:"), F.col("parcel_id").cast("string")))
-    zone_pairs = named(spatial.match_zones(lots, refs.zones)).select("place", "zone_id", "zone_code", "overlap_area").unionByName(
-        spatial.zones_at_points(bare, refs.zones).select("place", "zone_id", "zone_code", "overlap_area")
+    zone_pairs = named(spatial.match_zones(lots, refs.layer("zones"))).select("place", "zone_id", "zone_code", "overlap_area").unionByName(
+        spatial.zones_at_points(bare, refs.layer("zones")).select("place", "zone_id", "zone_code", "overlap_area")
     )
     zone_info = refs.zones.select("zone_id", "zone_name", rules.source("Zoning districts GIS layer", have=set(refs.zones.columns)).cast(SOURCE_T).alias("zone_source"))
     zoned = cut(spatial.zone_choice(zone_pairs, ["place"])).join(zone_info, "zone_id")
 
-    hits = named(spatial.match_overlays(lots, refs.overlays)).select("place", "overlay_id", "overlay_type").unionByName(
-        spatial.overlays_at_points(bare.select("lon", "lat", "place"), refs.overlays).select("place", "overlay_id", "overlay_type")
+    hits = named(spatial.match_overlays(lots, refs.layer("overlays"))).select("place", "overlay_id", "overlay_type").unionByName(
+        spatial.overlays_at_points(bare.select("lon", "lat", "place"), refs.layer("overlays")).select("place", "overlay_id", "overlay_type")
     )
     over = overlay_lists(live.select("place").distinct(), cut(hits), refs.overlays)
     lot_info = lots.select("place", "apn", "area_sqft", F.expr(G.centroid("geom")).alias("centroid"), "parcel_source")

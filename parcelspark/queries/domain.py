@@ -15,6 +15,7 @@ from parcelspark import catalogs as C
 from parcelspark.functions import geometry as G
 from parcelspark.functions import values as V
 from parcelspark.functions.text import normalize_address
+from parcelspark.operators import layers, spatial
 from parcelspark.operators.skew import latest_by
 from parcelspark.plans.feasibility import Refs
 
@@ -182,10 +183,30 @@ def rule_attributes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+TILE_LEVEL = 4  # tiles of 64 parcels a side
+
+
+def _build(spark: SparkSession, sf: str, name: str, folder: str) -> None:
+    keep = {"jurisdictions": spatial.JURISDICTION_KEEP, "parcels": spatial.PARCEL_KEEP, "zones": spatial.ZONE_KEEP, "overlays": spatial.OVERLAY_KEEP}[name]
+    features = {"jurisdictions": jurisdictions, "parcels": parcels, "zones": zones, "overlays": overlays}[name](spark, sf)
+    if name == "parcels":
+        layers.store(folder, features, keep, filed=spatial.parcel_shapes(features), tolerance_m=spatial.TOLERANCE_M, tile_level=TILE_LEVEL)
+    else:
+        layers.store(folder, features, keep, areas=name == "zones", tile_level=TILE_LEVEL)
+
+
+def layer(spark: SparkSession, sf: str, name: str) -> layers.Layer:
+    """A reference layer as stored; built where its input files have none yet."""
+    inputs = {"jurisdictions": ["nation", "part"], "parcels": ["part"], "zones": ["part"], "overlays": ["supplier", "part"]}[name]
+    key = layers.fingerprint(spark, *[f"{sf}/{t}.parquet" for t in inputs])
+    return layers.open_layer(spark, layers.current(spark, f"layer-{name}-{key}", lambda folder: _build(spark, sf, name, folder)))
+
+
 def refs(spark: SparkSession, sf: str) -> Refs:
+    """Reference tables, with the four spatial ones as stored layers."""
+    stored = {n: layer(spark, sf, n) for n in ("jurisdictions", "parcels", "zones", "overlays")}
     return Refs(
-        jurisdictions(spark, sf), parcels(spark, sf), zones(spark, sf), overlays(spark, sf), zoning_rules(spark, sf),
-        rule_attributes(spark, sf), C.state_baselines(spark), geocodes(spark, sf),
+        *[stored[n].features for n in stored], zoning_rules(spark, sf), rule_attributes(spark, sf), C.state_baselines(spark), geocodes(spark, sf), stored,
     )
 
 

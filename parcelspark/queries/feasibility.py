@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark import catalogs as C
-from parcelspark.operators import rules
+from parcelspark.operators import layers, rules
 from parcelspark.plans import feasibility as P
 from parcelspark.queries import domain as D
 from parcelspark.queries.domain import with_tables
 from parcelspark.queries.registry import query
-from parcelspark.session import shared_dir
 
 _FLAG = f"""CASE WHEN l_field IS NULL OR b_field IS NULL THEN 'not_applicable'
   WHEN (l_num IS NULL AND l_bool IS NULL) OR b_json IS NOT NULL THEN 'needs_review'
@@ -69,17 +66,13 @@ def run(spark: SparkSession, sf: str) -> DataFrame:
     return P.feasibility(D.ask(spark, sf), D.refs(spark, sf), D.AS_OF, path_sources=6)
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_INPUTS = ["customer", "part", "nation", "supplier", "lineitem"]
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    """The job's results as a stored table, written once per session; reports read it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
-        run(spark, sf).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    """The job's results as a stored table, written once for given input files; reports read it."""
+    key = layers.fingerprint(spark, *[f"{sf}/{t}.parquet" for t in _INPUTS])
+    return spark.read.parquet(layers.current(spark, f"results-{key}", lambda folder: run(spark, sf).write.parquet(folder)))
 
 
 @query("r17_feasibility", with_tables("""SELECT request_id, CASE WHEN placed AND NOT live THEN 'unsupported_coverage' ELSE 'completed' END AS kind, status AS feasibility_status,

@@ -78,8 +78,7 @@ def choose_layer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("io05_envelope_filter", with_tables("""SELECT parcel_id FROM pc WHERE gx / 1024 - 124 <= -123.98 AND (gx + 0.875) / 1024 - 124 >= -123.99 AND gy / 1024 + 32.5 <= 32.6 AND (gy + 0.875) / 1024 + 32.5 >= 32.502"""))
 def envelope_filter(spark: SparkSession, sf: str) -> DataFrame:
-    p = spatial.with_edges(D.parcels(spark, sf).select("parcel_id", "geom")).select("parcel_id", "bbox.*")
-    return spatial.in_envelope(p, -123.99, 32.502, -123.98, 32.6).select("parcel_id")
+    return D.layer(spark, sf, "parcels").within(-123.99, 32.502, -123.98, 32.6).select("parcel_id")
 
 
 @query("io05_request_envelopes", with_tables("""SELECT request_id, round(lon - 60 / (111320 * greatest(0.01, abs(cos(radians(lat))))), 9) AS xmin, round(lat + 60 / 111320e0, 9) AS ymax FROM pt"""))

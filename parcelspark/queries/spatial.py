@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as G
-from parcelspark.operators import cells, envelope, spatial
+from parcelspark.operators import envelope, layers, quadtree, spatial
 from parcelspark.queries import domain as D
 from parcelspark.queries.domain import with_tables
 from parcelspark.queries.registry import query
@@ -64,10 +64,9 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
 def distance_m(spark: SparkSession, sf: str) -> DataFrame:
     pts = spatial.match_jurisdiction(D.located(spark, sf).select("lon", "lat").distinct(), D.jurisdictions(spark, sf))
     req = D.located(spark, sf).join(pts, ["lon", "lat"])
-    pad = "0.0012D"
-    filed = cells.file_for_points(spatial.with_edges(D.parcels(spark, sf)).select("jurisdiction_id", "parcel_id", "edges", "bbox"), pad, pad)
-    pairs = cells.point_cells(req).join(filed, ["jurisdiction_id", "cell"])
-    d = G.distance_m("edges", "lon", "lat")
+    filed = layers.Layer.of(D.parcels(spark, sf), ["jurisdiction_id", "parcel_id"], tolerance_m=60.0)
+    pairs = filed.points(req, ["jurisdiction_id"])
+    d = f"CASE WHEN {quadtree.covers_point()} THEN 0D ELSE {G.boundary_distance_m('edges', 'lon', 'lat')} END"
     return pairs.selectExpr("request_id", "parcel_id", f"{d} AS d").where("d <= 60").select("request_id", "parcel_id", F.round("d", 4).alias("distance_m"))
 
 
@@ -100,13 +99,13 @@ def inward_buffer_area(spark: SparkSession, sf: str) -> DataFrame:
 @query("g10_cell_join_counts", with_tables("""SELECT zone_id, count(*) AS requests FROM pt JOIN zn ON u > x1 AND u < x2 AND v > y1 AND v < y2 GROUP BY 1"""))
 def cell_join_counts(spark: SparkSession, sf: str) -> DataFrame:
     pts = D.located(spark, sf).select("request_id", "lon", "lat")
-    return spatial.points_in_polygons(pts, D.zones(spark, sf), ["zone_id"]).groupBy("zone_id").agg(F.count("*").alias("requests"))
+    return spatial.points_in_polygons(pts, D.layer(spark, sf, "zones"), ["zone_id"]).groupBy("zone_id").agg(F.count("*").alias("requests"))
 
 
 @query("j01_jurisdiction_of_point", with_tables("SELECT request_id, jurisdiction_id FROM rj"))
 def jurisdiction_of_point(spark: SparkSession, sf: str) -> DataFrame:
     req = D.located(spark, sf)
-    hit = spatial.match_jurisdiction(spatial.distinct_points(req), D.jurisdictions(spark, sf))
+    hit = spatial.match_jurisdiction(spatial.distinct_points(req), D.layer(spark, sf, "jurisdictions"))
     return req.join(hit, ["lon", "lat"], "left").select("request_id", "jurisdiction_id")
 
 
@@ -114,36 +113,36 @@ def jurisdiction_of_point(spark: SparkSession, sf: str) -> DataFrame:
   CASE WHEN inside THEN 0e0 WHEN NOT inside THEN 25e0 END AS match_tolerance_m, round(dist, 4) AS distance_m FROM rj LEFT JOIN pm USING (request_id)"""))
 def parcel_of_point(spark: SparkSession, sf: str) -> DataFrame:
     req = D.located(spark, sf)
-    pts = spatial.match_jurisdiction(spatial.distinct_points(req), D.jurisdictions(spark, sf))
-    hit = spatial.match_parcel(pts, D.parcels(spark, sf))
+    pts = spatial.match_jurisdiction(spatial.distinct_points(req), D.layer(spark, sf, "jurisdictions"))
+    hit = spatial.match_parcel(pts, D.layer(spark, sf, "parcels"))
     return req.join(hit, ["lon", "lat"], "left").select("request_id", "parcel_id", "match_method", "match_tolerance_m", F.round("distance_m", 4).alias("distance_m"))
 
 
 @query("j03_zones_of_parcel", with_tables("""SELECT parcel_id, first(zone_id ORDER BY units DESC, zone_code, zone_id) AS zone_id,
   string_agg(DISTINCT zone_code, ',' ORDER BY zone_code) AS codes, count(DISTINCT zone_code) > 1 AS ambiguous FROM pz GROUP BY 1"""))
 def zones_of_parcel(spark: SparkSession, sf: str) -> DataFrame:
-    z = spatial.zone_choice(spatial.match_zones(D.parcels(spark, sf), D.zones(spark, sf)), ["parcel_id"])
+    z = spatial.zone_choice(spatial.match_zones(D.layer(spark, sf, "parcels").features, D.layer(spark, sf, "zones")), ["parcel_id"])
     return z.select("parcel_id", "zone_id", F.array_join("zone_codes", ",").alias("codes"), F.col("cross_zone_ambiguity").alias("ambiguous"))
 
 
 @query("j03_zone_of_point", with_tables("SELECT request_id, zone_id FROM rj JOIN zn ON rj.jurisdiction_id = zn.jurisdiction_id AND u > x1 AND u < x2 AND v > y1 AND v < y2"))
 def zone_of_point(spark: SparkSession, sf: str) -> DataFrame:
     req = D.located(spark, sf).select("request_id", "lon", "lat")
-    pts = spatial.match_jurisdiction(spatial.distinct_points(req), D.jurisdictions(spark, sf))
-    z = spatial.zones_at_points(pts, D.zones(spark, sf))
+    pts = spatial.match_jurisdiction(spatial.distinct_points(req), D.layer(spark, sf, "jurisdictions"))
+    z = spatial.zones_at_points(pts, D.layer(spark, sf, "zones"))
     return req.join(z, ["lon", "lat"]).select("request_id", "zone_id")
 
 
 @query("j04_overlays_of_parcel", with_tables("SELECT parcel_id, overlay_type, count(*) AS features, min(overlay_id) AS first_id FROM po GROUP BY 1, 2"))
 def overlays_of_parcel(spark: SparkSession, sf: str) -> DataFrame:
-    o = spatial.match_overlays(D.parcels(spark, sf), D.overlays(spark, sf))
+    o = spatial.match_overlays(D.layer(spark, sf, "parcels").features, D.layer(spark, sf, "overlays"))
     return o.groupBy("parcel_id", "overlay_type").agg(F.count("*").alias("features"), F.min("overlay_id").alias("first_id"))
 
 
 @query("j04_overlays_of_point", with_tables("SELECT request_id, overlay_id FROM pt JOIN ov ON u >= x1 AND u <= x2 AND v >= y1 AND v <= y2"))
 def overlays_of_point(spark: SparkSession, sf: str) -> DataFrame:
     pts = D.located(spark, sf).select("request_id", "lon", "lat")
-    return spatial.overlays_at_points(pts, D.overlays(spark, sf)).select("request_id", "overlay_id")
+    return spatial.overlays_at_points(pts, D.layer(spark, sf, "overlays")).select("request_id", "overlay_id")
 
 
 

@@ -15,6 +15,7 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",  # layers are bucketed by cell; joins have further keys
     "spark.sql.codegen.cache.maxEntries": "2000",  # one job has more stages than the default of 100
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
