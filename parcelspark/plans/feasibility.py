@@ -12,7 +12,7 @@ from parcelspark.functions import geometry as G
 from parcelspark.functions import text as T
 from parcelspark.functions import values as V
 from parcelspark.operators import envelope as E
-from parcelspark.operators import geocode, rules, spatial
+from parcelspark.operators import asof, geocode, metering, rules, spatial
 from parcelspark.operators.layers import Layer
 from parcelspark.session import cut
 
@@ -28,7 +28,7 @@ class Refs:
 
     jurisdictions: DataFrame  # jurisdiction_id, slug, name, jurisdiction_type, coverage_status, last_source_refresh_at, geom
     parcels: DataFrame  # jurisdiction_id, parcel_id, apn, area_sqft, geom, source columns
-    zones: DataFrame  # jurisdiction_id, zone_id, zone_code, zone_name, geom, source columns
+    zones: DataFrame  # jurisdiction_id, zone_id, zone_code, zone_name, general_plan (if known), geom, source columns
     overlays: DataFrame  # overlay_id, overlay_type, name, designation, raw_feature_id, raw_value, geom, source columns
     rules: DataFrame
     attributes: DataFrame
@@ -73,7 +73,8 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
     zone_pairs = named(spatial.match_zones(lots, refs.layer("zones"))).select("place", "zone_id", "zone_code", "overlap_area").unionByName(
         spatial.zones_at_points(bare, refs.layer("zones")).select("place", "zone_id", "zone_code", "overlap_area")
     )
-    zone_info = refs.zones.select("zone_id", "zone_name", rules.source("Zoning districts GIS layer", have=set(refs.zones.columns)).cast(SOURCE_T).alias("zone_source"))
+    plan = F.col("general_plan") if "general_plan" in refs.zones.columns else F.lit(None).cast("string")
+    zone_info = refs.zones.select("zone_id", "zone_name", plan.alias("general_plan"), rules.source("Zoning districts GIS layer", have=set(refs.zones.columns)).cast(SOURCE_T).alias("zone_source"))
     zoned = cut(spatial.zone_choice(zone_pairs, ["place"])).join(zone_info, "zone_id")
 
     hits = named(spatial.match_overlays(lots, refs.layer("overlays"))).select("place", "overlay_id", "overlay_type").unionByName(
@@ -125,24 +126,40 @@ def _notes(*items: tuple[Column, str, Column]) -> Column:
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
+OPTIONAL = {"requested_at": "timestamp", "idempotency_key": "string", "provider": "string", "plan": "string", "may_share": "boolean"}
+
+
+def fingerprinted(requests: DataFrame, as_of: str) -> DataFrame:
+    """Requests with ``normalized_address``, ``request_fingerprint`` and the columns of ``OPTIONAL`` that they lack.
+
+    A request without a time is made at ``as_of``, one without a provider directly.
+    """
+    for name, kind in OPTIONAL.items():
+        if name not in requests.columns:
+            requests = requests.withColumn(name, F.lit(None).cast(kind))
+    requests = requests.withColumns({
+        "requested_at": F.coalesce("requested_at", F.lit(as_of).cast("timestamp")), "provider": F.coalesce("provider", F.lit("direct")),
+        "normalized_address": T.normalize_address(F.col("address")),
+    })
+    opts = F.struct("include_envelope", "near_transit")
+    print_ = T.request_fingerprint(
+        F.col("consumer_id"), F.col("normalized_address"), F.col("project_type"), F.col("target_sqft"),
+        F.col("bedrooms"), F.col("proposed_height_ft"), F.col("existing_structure_type"), opts,
+    )
+    return requests.withColumn("request_fingerprint", print_)
+
+
 def feasibility(requests: DataFrame, refs: Refs, as_of: str, path_sources: int | None = None) -> DataFrame:
     """One row per request with status, billing and the nested ``result`` document.
 
     ``requests``: request_id, consumer_id, address, project_type, target_sqft, bedrooms,
-    proposed_height_ft, existing_structure_type, near_transit, include_envelope. ``as_of`` is the
-    instant of the run (``yyyy-MM-dd HH:mm:ss``, UTC), used wherever a clock would be read.
+    proposed_height_ft, existing_structure_type, near_transit, include_envelope, and any of
+    ``OPTIONAL``. ``as_of`` is the instant of the run (``yyyy-MM-dd HH:mm:ss``, UTC): baselines in
+    force then apply, and it is the time of requests that have none of their own.
     ``path_sources`` limits how many sources a path lists; by default it lists all.
     """
     now = F.lit(as_of).cast("timestamp")
-    opts = F.struct("include_envelope", "near_transit")
-    req = requests.withColumn("normalized_address", T.normalize_address(F.col("address"))).withColumn(
-        "request_fingerprint",
-        T.request_fingerprint(
-            F.col("consumer_id"), F.col("normalized_address"), F.col("project_type"), F.col("target_sqft"),
-            F.col("bedrooms"), F.col("proposed_height_ft"), F.col("existing_structure_type"), opts,
-        ),
-    )
-    req = geocode.geocode(req, refs.geocodes)
+    req = geocode.geocode(fingerprinted(requests, as_of), refs.geocodes)
     good = F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col("geocode_confidence").isin("high", "medium")
     req = req.withColumn("_geo", F.coalesce(good, F.lit(False)))
     pts = spatial.distinct_points(req.where("_geo"))
@@ -175,12 +192,24 @@ def feasibility(requests: DataFrame, refs: Refs, as_of: str, path_sources: int |
     ).select("parcel_id", "inset_ft", "inset_area_m2")
     # likewise requests without an envelope
     full = full.where("inset_ft IS NOT NULL").join(cut(areas), ["parcel_id", "inset_ft"], "left").unionByName(full.where("inset_ft IS NULL"), allowMissingColumns=True)
-    return _assemble(full, now, path_sources)
+    return _assemble(full, path_sources)
 
 
-def _assemble(df: DataFrame, now: Column, path_sources: int | None) -> DataFrame:
+def sourced(value: Column, source: Column, unit: str | None = None) -> Column:
+    """A value of the answer with its provenance; null without a value."""
+    fields = [value.alias("value"), *([F.lit(unit).alias("unit")] if unit else []), source.alias("provenance")]
+    return F.when(value.isNotNull() & source.isNotNull(), F.struct(*fields))
+
+
+def share_token(analysis_id: Column) -> Column:
+    """Public token of 22 URL-safe characters; a hash of the analysis, so a replayed job gives the same one."""
+    return F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("share:"), analysis_id), 256))), "+/", "-_"), 1, 22)
+
+
+def _assemble(df: DataFrame, path_sources: int | None) -> DataFrame:
     """Row-local part: statuses, notes and the result document."""
     c = F.col
+    now = c("requested_at")
     matched, resolved = c("parcel_id").isNotNull(), c("zone_code").isNotNull()
     placed, live, geo = c("jurisdiction_id").isNotNull(), c("_live"), c("_geo")
     early = ~geo | ~placed  # no analysis beyond the address
@@ -235,6 +264,9 @@ def _assemble(df: DataFrame, now: Column, path_sources: int | None) -> DataFrame
     as_of_data = F.array_max(F.transform("_sources", lambda s: s["last_verified_at"]))
     analysis = F.sha2(F.concat_ws("|", c("request_fingerprint"), c("request_id").cast("string"), now.cast("string")), 256)
     on = lambda cond, col: F.when(cond, col)
+    dated = lambda src: F.when(src.isNotNull(), stamped(src))
+    billable = F.coalesce(c("feasibility_status").isin(C.BILLABLE), F.lit(False))
+    shared = billable & F.coalesce(c("may_share"), F.lit(False))
     result = F.struct(
         analysis.alias("analysis_id"),
         F.struct("address", "normalized_address", "project_type", "target_sqft", "bedrooms", "proposed_height_ft").alias("request"),
@@ -244,10 +276,13 @@ def _assemble(df: DataFrame, now: Column, path_sources: int | None) -> DataFrame
             c("jurisdiction_source").alias("provenance"),
         ).alias("coverage"),
         F.struct(
-            matched.alias("matched"), "match_method", on(matched, c("match_tolerance_m")).alias("match_tolerance_m"), "apn",
-            F.bround("area_sqft", 1).alias("lot_size_sqft"), "centroid", c("parcel_source").alias("provenance"),
+            matched.alias("matched"), "match_method", on(matched, c("match_tolerance_m")).alias("match_tolerance_m"),
+            sourced(c("apn"), dated(c("parcel_source"))).alias("apn"),
+            sourced(F.bround("area_sqft", 1), dated(c("parcel_source")), "sqft").alias("lot_size_sqft"), "centroid",
         ).alias("parcel"),
-        F.struct(ambiguous.alias("cross_zone_ambiguity"), "zone_code", "zone_name", c("zone_source").alias("provenance")).alias("zoning"),
+        F.struct(
+            ambiguous.alias("cross_zone_ambiguity"), *[sourced(c(k), dated(c("zone_source"))).alias(k) for k in ("zone_code", "zone_name", "general_plan")]
+        ).alias("zoning"),
         c("feasibility_status"),
         F.when(early, F.array().cast("array<struct<path_type:string,status:string,reason:string,sources:array<" + SOURCE_T + ">>>")).otherwise(
             F.array(F.struct(
@@ -263,33 +298,86 @@ def _assemble(df: DataFrame, now: Column, path_sources: int | None) -> DataFrame
             F.lit(C.STATE_BASELINE_VERSION).alias("state_baseline_version"), T.iso_utc(now).alias("generated_at"),
             on(~early, T.iso_utc(as_of_data)).alias("data_as_of"),
         ).alias("freshness"),
-        F.lit(C.DISCLAIMER).alias("disclaimer"),
+        on(shared, share_token(analysis)).alias("share_token"), F.lit(C.DISCLAIMER).alias("disclaimer"),
         on(has_env, E.envelope_block(c("inset_area_m2"), c("inset_ft"))).alias("approximate_envelope"),
     )
-    billable = F.coalesce(c("feasibility_status").isin(C.BILLABLE), F.lit(False))
     return df.select(
         "request_id", "consumer_id", "request_fingerprint", "normalized_address", "lon", "lat", "kind", "feasibility_status",
         billable.alias("billable"), "project_type", "bedrooms", "near_transit", "geocode_confidence",
         F.coalesce("slug", on(early, F.lit("unknown"))).alias("jurisdiction_slug"), F.coalesce("coverage_status", F.lit("planned")).alias("coverage_status"),
         "parcel_id", "match_method", "zone_code", ambiguous.alias("cross_zone_ambiguity"), F.coalesce("hazard_hit", F.lit(False)).alias("hazard_hit"),
         "has_local_rules", c("_path.status").alias("path_status"), "findings", "overlays", "limitations", on(~unsupported, result).alias("result"),
+        F.lit(False).alias("cache_hit"), "jurisdiction_id", "existing_structure_type", "include_envelope", *[k for k in OPTIONAL if k != "may_share"],
     )
 
 
-def analyses(results: DataFrame, as_of: str, share_tokens: bool = False) -> DataFrame:
-    """Rows of the analyses table: completed requests only, one each."""
-    return results.where("kind = 'completed'").select(
-        F.col("result.analysis_id").alias("analysis_id"), "request_id", "request_fingerprint", "consumer_id", "project_type",
-        "normalized_address", "parcel_id", F.when(F.col("jurisdiction_slug") != "unknown", F.col("coverage_status")).alias("coverage_status"),
-        "feasibility_status", "billable", F.col("billable").alias("billed"), F.lit(False).alias("cache_hit"),
-        F.lit(C.ANALYSIS_VERSION).alias("analysis_version"), F.lit(C.DISCLAIMER).alias("disclaimer"),
-        F.lit(as_of).cast("timestamp").alias("created_at"), F.to_json("result").alias("result_json"),
+def served(requests: DataFrame, stored: DataFrame, hours: float = C.DEDUPE_HOURS) -> DataFrame:
+    """``request_id, computed, analysis_id, anchor_id``: how each request is answered.
+
+    A request repeats the newest analysis of its fingerprint that was computed less than ``hours`` before it: a stored one
+    (``analysis_id``), or that of an earlier request (``anchor_id``). Without one it is computed. Repeats compute nothing,
+    so they do not extend the time; stored rows without a status count for nothing. A request found in the stored rows
+    cannot have a newer one among the computed, since a request is computed only where no stored row reaches.
+    """
+    span = int(hours * 3_600_000_000)
+    asking = cut(requests.select("request_id", F.col("request_fingerprint").alias("fingerprint"), F.unix_micros("requested_at").alias("us"), F.col("requested_at").alias("ts")))
+    kept = stored.where("feasibility_status IS NOT NULL").select(F.col("request_fingerprint").alias("fingerprint"), F.unix_micros("created_at").alias("us"), "analysis_id")
+    old = asof.latest_within(asking.drop("ts"), kept, ["fingerprint"], span, id="request_id").select("request_id", F.col("found.analysis_id").alias("analysis_id"))
+    past = cut(asking.join(old, "request_id", "left"))
+    rest = past.where("analysis_id IS NULL").withColumnRenamed("request_id", "event_id").drop("analysis_id")
+    fresh = cut(metering.dedupe_replay(rest, hours)).withColumnRenamed("event_id", "request_id")
+    anchors = fresh.where("NOT hit").select("fingerprint", "us", F.col("request_id").alias("anchor_id"))
+    new = asof.latest_within(fresh.where("hit").select("request_id", "fingerprint", "us"), anchors, ["fingerprint"], span, id="request_id")
+    linked = fresh.join(new, "request_id", "left").select("request_id", F.col("found.anchor_id").alias("anchor_id"), (~F.col("hit")).alias("computed"))
+    text = linked.schema["request_id"].dataType
+    again = past.where("analysis_id IS NOT NULL").select("request_id", "analysis_id", F.lit(None).cast(text).alias("anchor_id"), F.lit(False).alias("computed"))
+    return again.unionByName(linked, allowMissingColumns=True)
+
+
+def answer(requests: DataFrame, refs: Refs, as_of: str, stored: DataFrame, hours: float = C.DEDUPE_HOURS, path_sources: int | None = None) -> DataFrame:
+    """``feasibility`` that computes an analysis once and repeats it for ``hours``, from ``stored`` rows (the analyses
+    table, with jurisdiction_slug) and within the batch. Repeats have ``cache_hit`` and are not billed.
+
+    An answer of unsupported coverage is kept nowhere, so requests after it are answered anew, which gives the same.
+    Request ids must be unique.
+    """
+    requests = fingerprinted(requests, as_of)
+    how = cut(served(requests, stored, hours))
+    fresh = cut(feasibility(requests.join(how.where("computed").select("request_id"), "request_id", "left_semi"), refs, as_of, path_sources))
+    own = ["request_id", "requested_at", "idempotency_key", "provider", "plan"]
+    # repeats within the batch: the earlier request's row under the later one's id
+    pairs = how.where("NOT computed AND analysis_id IS NULL").select("request_id", "anchor_id").join(requests.select(*own), "request_id")
+    told = fresh.drop("requested_at", "idempotency_key", "provider", "plan").withColumnRenamed("request_id", "anchor_id")
+    hit = F.col("feasibility_status").isNotNull()
+    within = pairs.join(told, "anchor_id").withColumn("cache_hit", hit).withColumn("billable", F.lit(False)).select(*fresh.columns)
+    # repeats of stored analyses: what was stored, as it was
+    kept = stored.select("analysis_id", "feasibility_status", "coverage_status", "jurisdiction_slug", F.from_json("result_json", fresh.schema["result"].dataType).alias("result"))
+    found = how.where("analysis_id IS NOT NULL").select("request_id", "analysis_id").join(kept, "analysis_id")
+    asked = requests.select(*own, "consumer_id", "request_fingerprint", "normalized_address", "project_type", "bedrooms", "near_transit", "existing_structure_type", "include_envelope")
+    before = found.drop("analysis_id").join(asked, "request_id").withColumns({"kind": F.lit("completed"), "billable": F.lit(False), "cache_hit": F.lit(True)})
+    return fresh.unionByName(within).unionByName(before, allowMissingColumns=True)
+
+
+def analyses(results: DataFrame) -> DataFrame:
+    """Rows of the analyses table: completed requests that were computed, one each."""
+    request = lambda k: F.col(f"result.request.{k}").alias(k)
+    structure = V.existing_structure_flag(F.col("existing_structure_type"))
+    found = F.col("jurisdiction_slug") != "unknown"
+    return results.where("kind = 'completed' AND NOT cache_hit").select(
+        F.col("result.analysis_id").alias("analysis_id"), "request_id", "request_fingerprint", "idempotency_key", F.col("result.share_token").alias("share_token"),
+        "consumer_id", "provider", "plan", F.col("result.request.address").alias("input_address"), "normalized_address",
+        F.when(found, F.col("lon")).alias("geocode_lon"), F.when(found, F.col("lat")).alias("geocode_lat"), "project_type", *[request(k) for k in ("target_sqft", "bedrooms", "proposed_height_ft")],
+        structure.alias("existing_structure"), F.to_json(F.struct("include_envelope", "near_transit")).alias("options"),
+        "jurisdiction_id", "jurisdiction_slug", "parcel_id", F.when(found, F.col("coverage_status")).alias("coverage_status"),
+        "feasibility_status", F.lit(None).cast("double").alias("score"), F.lit(C.ANALYSIS_VERSION).alias("analysis_version"),
+        F.to_json("result").alias("result_json"), F.lit(C.DISCLAIMER).alias("disclaimer"), "billable", F.col("billable").alias("billed"),
+        F.lit(False).alias("cache_hit"), F.col("requested_at").alias("created_at"),
     )
 
 
 def analysis_findings(results: DataFrame) -> DataFrame:
     """Rows of the findings table: rule findings in order, then overlay findings."""
-    done = results.where("kind = 'completed' AND feasibility_status IS NOT NULL")
+    done = results.where("kind = 'completed' AND feasibility_status IS NOT NULL AND NOT cache_hit")
     key = F.col("result.analysis_id").alias("analysis_id")
     rule = done.select(key, "request_id", "project_type", F.posexplode("findings").alias("sort_order", "f")).select(
         "analysis_id", "request_id", F.lit("constraint").alias("finding_type"), F.col("project_type").alias("project_path"),

@@ -131,6 +131,7 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(
         zid.alias("zone_id"), F.floor(F.col("tx") / 2).alias("jurisdiction_id"), code.alias("zone_code"),
         F.concat(F.lit("Block "), zid.cast("string")).alias("zone_name"), F.substring(code, 1, 1).alias("zone_category"),
+        F.when(zid % 3 != 0, F.concat(F.lit("Plan "), zid.cast("string"))).alias("general_plan"),
         F.expr(grid_box("tx * 4 - 0.5D", "ty * 4", "tx * 4 + 3.5D", "ty * 4 + 4")).alias("geom"), "n_parcels", F.lit("urn:gis:zoning").alias("source_url"), F.lit("zoning/0").alias("source_layer"),
         F.lit("high").alias("confidence"), F.lit("2024-01-15").cast("timestamp").alias("last_verified_at"),
     )

@@ -115,7 +115,7 @@ def path_reason(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r07_low_confidence", with_tables("SELECT request_id, low OR NOT geo AS low_confidence FROM site", **TABLES))
 def low_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    low = (F.col("geocode_confidence") == "low") | F.coalesce(F.col("result.parcel.provenance.confidence") == "low", F.lit(False))
+    low = (F.col("geocode_confidence") == "low") | F.coalesce(F.col("result.parcel.apn.provenance.confidence") == "low", F.lit(False))
     return results(spark, sf).select("request_id", low.alias("low_confidence"))
 
 
@@ -176,9 +176,60 @@ def overlay_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("io12_analyses", with_tables("""SELECT request_id, status AS feasibility_status, coalesce(status <> 'insufficient_data', false) AS billed, CASE WHEN placed THEN coverage_status END AS coverage_status,
-    CASE WHEN live THEN pid END AS parcel_id FROM done WHERE NOT placed OR live""", **TABLES))
+    CASE WHEN live THEN pid END AS parcel_id, CASE WHEN placed THEN jurisdiction_id END AS jurisdiction_id, CASE WHEN placed THEN round(done.u / 1024 - 124, 9) END AS geocode_lon, rq.address AS input_address, rq.target_sqft,
+    CASE WHEN existing_structure_type IN ('single_family', 'multifamily') THEN true END AS existing_structure, '{"include_envelope":' || done.include_envelope || ',"near_transit":' || done.near_transit || '}' AS options,
+    'direct' AS provider, false AS shared FROM done JOIN rq USING (request_id) WHERE NOT placed OR live""", **TABLES))
 def analyses(spark: SparkSession, sf: str) -> DataFrame:
-    return P.analyses(results(spark, sf), D.AS_OF).select("request_id", "feasibility_status", "billed", "coverage_status", "parcel_id")
+    return P.analyses(results(spark, sf)).select(
+        "request_id", "feasibility_status", "billed", "coverage_status", "parcel_id", "jurisdiction_id", F.round("geocode_lon", 9).alias("geocode_lon"), "input_address", "target_sqft",
+        "existing_structure", "options", "provider", F.col("share_token").isNotNull().alias("shared"),
+    )
+
+
+@query("r17_sourced_fields", with_tables("""SELECT request_id, pc.apn, CASE WHEN pid IS NOT NULL THEN 'parcels/' || pc.jurisdiction_id END AS parcel_layer, CASE WHEN pid IS NOT NULL THEN 'sqft' END AS lot_unit, done.zone_code,
+    CASE WHEN done.zone_code IS NOT NULL THEN 'Block ' || z.zone_id END AS zone_name, CASE WHEN z.zone_id % 3 <> 0 THEN 'Plan ' || z.zone_id END AS general_plan FROM done LEFT JOIN pc ON pc.parcel_id = pid
+    LEFT JOIN (SELECT parcel_id, first(zone_id ORDER BY units DESC, zone_code, zone_id) AS zone_id FROM pz GROUP BY 1) z ON z.parcel_id = pid WHERE live AND pid IS NOT NULL""", **TABLES))
+def sourced_fields(spark: SparkSession, sf: str) -> DataFrame:
+    p, z = F.col("result.parcel"), F.col("result.zoning")
+    return results(spark, sf).where("result.parcel.matched").select(
+        "request_id", p["apn"]["value"].alias("apn"), p["apn"]["provenance"]["source_layer"].alias("parcel_layer"), p["lot_size_sqft"]["unit"].alias("lot_unit"),
+        z["zone_code"]["value"].alias("zone_code"), z["zone_name"]["value"].alias("zone_name"), z["general_plan"]["value"].alias("general_plan"),
+    )
+
+
+_AGAIN = {
+    **TABLES,
+    "rqs": "SELECT event_id AS rid, user_id AS k, date_trunc('second', ts) AS t FROM events JOIN customer ON c_custkey = user_id",
+    "stq": """SELECT c_custkey AS k, TIMESTAMP '2024-01-03 05:00:00' + to_days(CAST(c_custkey % 20 AS INTEGER)) AS t, 'stored-' || c_custkey AS id,
+        CASE WHEN c_custkey % 2 = 0 THEN 'likely_feasible' ELSE 'insufficient_data' END AS st FROM customer WHERE c_custkey % 3 = 0""",
+    "cov": "SELECT rqs.*, stq.id AS sid, stq.st FROM rqs LEFT JOIN stq ON stq.k = rqs.k AND stq.t <= rqs.t AND stq.t > rqs.t - INTERVAL 24 HOUR",
+    "unc": "SELECT * FROM cov WHERE sid IS NULL",
+    "chain": """SELECT k, min(t) AS t FROM unc GROUP BY 1 UNION ALL SELECT c.k, (SELECT min(t) FROM unc WHERE unc.k = c.k AND unc.t >= c.t + INTERVAL 24 HOUR) AS t
+        FROM chain c WHERE (SELECT min(t) FROM unc WHERE unc.k = c.k AND unc.t >= c.t + INTERVAL 24 HOUR) IS NOT NULL""",
+    "anch": "SELECT chain.k, chain.t, min(unc.rid) AS arid FROM chain JOIN unc ON unc.k = chain.k AND unc.t = chain.t GROUP BY 1, 2",
+    "srv": """SELECT unc.rid, unc.k, CAST(NULL AS VARCHAR) AS sid, CAST(NULL AS VARCHAR) AS st, max(anch.t) AS since, bool_or(anch.arid = unc.rid) AS computed FROM unc JOIN anch ON anch.k = unc.k AND anch.t <= unc.t GROUP BY 1, 2
+        UNION ALL SELECT rid, k, sid, st, NULL, false FROM cov WHERE sid IS NOT NULL""",
+}
+
+
+@query("r17_reused_analyses", with_tables("""SELECT rid AS request_id, CASE WHEN sid IS NULL AND placed AND NOT live THEN 'unsupported_coverage' ELSE 'completed' END AS kind, coalesce(st, status) AS feasibility_status,
+    computed AND coalesce(status <> 'insufficient_data', false) AS billable, sid IS NOT NULL OR (NOT computed AND status IS NOT NULL) AS cache_hit,
+    CASE WHEN sid IS NOT NULL THEN sid WHEN placed AND NOT live THEN NULL ELSE strftime(since, '%Y-%m-%dT%H:%M:%S+00:00') END AS answered_by FROM srv JOIN done ON done.request_id = k""", recursive=True, **_AGAIN))
+def reused_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as its user's request, some answered from stored analyses, others by an earlier one of the batch."""
+    one = D.ask(spark, sf)
+    calls = D.table(spark, sf, "events").select("event_id", "user_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("requested_at"))
+    requests = one.join(calls, F.col("request_id") == F.col("user_id")).drop("request_id", "user_id").withColumnRenamed("event_id", "request_id")
+    k = F.col("request_id")
+    before = P.fingerprinted(one, D.AS_OF).where(k % 3 == 0).withColumn("_n", F.explode(F.array(F.lit(0), F.lit(1))))
+    status = F.when(F.col("_n") == 0, F.when(k % 2 == 0, "likely_feasible").otherwise("insufficient_data"))
+    at = F.timestamp_micros(F.unix_micros(F.lit("2024-01-03 05:00:00").cast("timestamp")) + ((k % 20) * 24 + F.col("_n") * 10) * 3_600_000_000)
+    stored = before.select(
+        F.concat(F.lit("stored-"), k.cast("string"), F.when(F.col("_n") == 1, "-open").otherwise("")).alias("analysis_id"), "request_fingerprint", at.alias("created_at"), status.alias("feasibility_status"),
+        F.lit("production").alias("coverage_status"), F.lit("somewhere").alias("jurisdiction_slug"),
+    ).withColumn("result_json", F.to_json(F.struct("analysis_id", "feasibility_status")))
+    out = P.answer(requests, D.refs(spark, sf), D.AS_OF, stored)
+    return out.select("request_id", "kind", "feasibility_status", "billable", "cache_hit", F.coalesce("result.freshness.generated_at", "result.analysis_id").alias("answered_by"))
 
 
 @query("a05_distinct_sources", with_tables("""SELECT done.request_id, 2 + CASE WHEN pid IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN done.zone_code IS NOT NULL THEN 1 ELSE 0 END + coalesce(ot.n, 0) + coalesce(fs.n, 0) AS sources,
