@@ -7,6 +7,7 @@ both engines. Each function reads its whole table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,30 @@ def parcels(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("area_sqft", F.expr(G.area_m2("geom")) * V.SQFT_PER_SQM_BULK)
 
 
+def odd_lots(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid's lots as an L, a box with a hole, or two boxes apart, by key; in grid units times ``scale``.
+
+    ``geom`` lies on the grid in degrees, ``planar`` is the same in metres at a size of 40 + p_size metres a unit.
+    """
+    p = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("parcel_id"), (F.col("p_partkey") % 64).alias("gx"), F.floor(F.col("p_partkey") / 64).alias("gy"), "p_size"
+    )
+    shapes = {  # polygons of rings, in eighths of a unit
+        0: [[[(0, 0), (7, 0), (7, 4), (4, 4), (4, 7), (0, 7)]]],
+        1: [[[(0, 0), (7, 0), (7, 7), (0, 7)], [(2, 2), (2, 4), (4, 4), (4, 2)]]],
+        2: [[[(0, 0), (2, 0), (2, 7), (0, 7)]], [[(4, 0), (7, 0), (7, 7), (4, 7)]]],
+    }
+
+    def shape(polygons: list, corner: Callable[[int, int], str]) -> str:
+        ring = lambda r: f"array({', '.join(corner(*c) for c in [*r, r[0]])})"
+        return f"CAST(array({', '.join('array(' + ', '.join(map(ring, g)) + ')' for g in polygons)}) AS {G.GEOM_T})"
+
+    on_grid = lambda i, j: grid_point(f"gx + {i / 8}D", f"gy + {j / 8}D")
+    in_metres = lambda i, j: G.point(f"{i / 8}D * (40 + p_size)", f"{j / 8}D * (40 + p_size)")
+    of_kind = lambda corner: "CASE parcel_id % 3 " + " ".join(f"WHEN {k} THEN {shape(v, corner)}" for k, v in shapes.items()) + " END"
+    return p.selectExpr("parcel_id", "gx div 8 AS jurisdiction_id", "p_size", f"{of_kind(on_grid)} AS geom", f"{of_kind(in_metres)} AS planar")
+
+
 def requests(spark: SparkSession, sf: str, customers: DataFrame | None = None) -> DataFrame:
     """Requests with the coordinates their address geocodes to in ``u, v, lon, lat``."""
     c, k = table(spark, sf, "customer") if customers is None else customers, F.col("c_custkey")
@@ -283,6 +308,10 @@ CTE: dict[str, str] = {
         CAST(p_partkey % 64 AS DOUBLE) AS gx, CAST(p_partkey // 64 AS DOUBLE) AS gy,
         CASE WHEN p_partkey % 5 = 0 THEN 0.75e0 ELSE 0.875e0 END AS wt, p_size,
         CASE WHEN p_size <= 2 THEN 'low' ELSE 'high' END AS confidence FROM part""",
+    # odd lots as sums of boxes: an L is a box less its notch, a hole is taken away, two parts are added
+    "ob": """SELECT p_partkey AS parcel_id, p_size, (p_partkey % 64) // 8 AS jurisdiction_id, b.s AS sign, p_partkey % 64 + b.a / 8e0 AS x1, p_partkey // 64 + b.b / 8e0 AS y1,
+        p_partkey % 64 + b.c / 8e0 AS x2, p_partkey // 64 + b.d / 8e0 AS y2 FROM part, (VALUES (0, 1, 0, 0, 7, 7), (0, -1, 4, 4, 7, 7), (1, 1, 0, 0, 7, 7), (1, -1, 2, 2, 4, 4),
+        (2, 1, 0, 0, 2, 7), (2, 1, 4, 0, 7, 7)) b(k, s, a, b, c, d) WHERE b.k = p_partkey % 3""",
     "rq": f"""SELECT c_custkey AS request_id, 'cust-' || c_nationkey AS consumer_id,
         (c_custkey * 7919 % 65536) / 1024e0 AS u, (c_custkey * 104729 % ((nrows + 1) * 1024)) / 1024e0 AS v,
         {_list(C.PROJECT_TYPES)}[c_custkey % 6 + 1] AS project_type, nullif(c_nationkey % 4, 0) AS bedrooms,

@@ -96,6 +96,34 @@ def inward_buffer_area(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("parcel_id", F.round(F.coalesce("inset_area_m2", F.lit(0.0)), 1).alias("inset_m2"))
 
 
+@query("g05_points_in_odd_lots", with_tables("""SELECT request_id, parcel_id FROM pt JOIN ob ON u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2 GROUP BY 1, 2
+  HAVING bool_or(sign = 1 AND u > x1 AND u < x2 AND v > y1 AND v < y2) AND NOT bool_or(sign = -1)"""))
+def points_in_odd_lots(spark: SparkSession, sf: str) -> DataFrame:
+    pts = D.located(spark, sf).select("request_id", "lon", "lat")
+    return spatial.points_in_polygons(pts, D.odd_lots(spark, sf), ["parcel_id"]).select("request_id", "parcel_id")
+
+
+@query("g08_overlap_of_odd_lots", with_tables("""SELECT parcel_id, zone_id, round(sum(sign * greatest(0e0, least(ob.x2, zn.x2) - greatest(ob.x1, zn.x1)) * greatest(0e0, least(ob.y2, zn.y2) - greatest(ob.y1, zn.y1))), 6) AS overlap_units
+  FROM ob JOIN zn ON ob.jurisdiction_id = zn.jurisdiction_id AND ob.x1 <= zn.x2 AND ob.x2 >= zn.x1 AND ob.y1 <= zn.y2 AND ob.y2 >= zn.y1 GROUP BY 1, 2"""))
+def overlap_of_odd_lots(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = spatial.match_zones(D.odd_lots(spark, sf).select("jurisdiction_id", "parcel_id", "geom"), D.layer(spark, sf, "zones"))
+    return pairs.select("parcel_id", "zone_id", F.round(F.col("overlap_area") * (1024.0 * 1024.0), 6).alias("overlap_units"))
+
+
+# what is left of an L rounds its reflex corner, what is left around a hole has four round corners
+_ODD = """SELECT parcel_id, round(CASE parcel_id % 3
+    WHEN 0 THEN power(0.875 * m - 2 * d, 2) - power(0.375 * m, 2) + d * d * (1 - pi() / 4)
+    WHEN 1 THEN power(0.875 * m - 2 * d, 2) - power(0.25 * m, 2) - m * d - pi() * d * d
+    ELSE (0.25 * m - 2 * d) * (0.875 * m - 2 * d) + (0.375 * m - 2 * d) * (0.875 * m - 2 * d) END, 6) AS inset_m2
+  FROM (SELECT p_partkey AS parcel_id, 40e0 + p_size AS m, 0.5e0 + p_partkey % 5 * 0.75e0 AS d FROM part)"""
+
+
+@query("g09_inset_of_odd_lots", _ODD)
+def inset_of_odd_lots(spark: SparkSession, sf: str) -> DataFrame:
+    out = envelope.eroded_areas(D.odd_lots(spark, sf), "planar", F.col("parcel_id") % 5 * 0.75 + 0.5)
+    return out.select("parcel_id", F.round("eroded", 6).alias("inset_m2"))
+
+
 @query("g10_cell_join_counts", with_tables("""SELECT zone_id, count(*) AS requests FROM pt JOIN zn ON u > x1 AND u < x2 AND v > y1 AND v < y2 GROUP BY 1"""))
 def cell_join_counts(spark: SparkSession, sf: str) -> DataFrame:
     pts = D.located(spark, sf).select("request_id", "lon", "lat")

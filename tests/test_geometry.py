@@ -142,10 +142,48 @@ def test_eroded_area_of_an_ell():
     pts = np.array([(0, 0), (10, 0), (10, 2), (2, 2), (2, 10), (0, 10), (0, 0)], float)
     e = np.hstack([pts[:-1], pts[1:]])
     want = 9 * 1 + 9 * 1 - 1 + (1 - math.pi / 4) * 0.25
-    assert envelope.eroded_area(e, 0.5) == pytest.approx(want, rel=2e-3)
+    assert envelope.eroded_area(e, 0.5) == pytest.approx(want, rel=1e-9)
     assert envelope.eroded_area(e, 5.0) == 0.0
 
 
+def ring_edges(*rings):
+    return np.array([[*a, *b] for r in rings for a, b in zip(r, r[1:] + r[:1])], dtype=float)
+
+
+def test_eroded_areas_in_closed_form():
+    w, h, a, b = 10, 8, 4, 3
+    ell, hole = [(0, 0), (w, 0), (w, b), (a, b), (a, h), (0, h)], [(3, 3), (6, 3), (6, 5), (3, 5)]
+    for d in (0.1, 0.5, 1.0, 1.4):
+        assert envelope.eroded_area(ring_edges(ell), d) == pytest.approx((w - 2 * d) * (h - 2 * d) - (w - a) * (h - b) + d * d * (1 - math.pi / 4), abs=1e-7)
+    for d in (0.1, 0.7, 1.2):
+        assert envelope.eroded_area(ring_edges([(0, 0), (w, 0), (w, h), (0, h)], hole), d) == pytest.approx((w - 2 * d) * (h - 2 * d) - (6 + 10 * d + math.pi * d * d), abs=1e-7)
+    two = [[(0, 0), (3, 0), (3, 8), (0, 8)], [(5, 0), (9, 0), (9, 8), (5, 8)]]
+    assert envelope.eroded_area(ring_edges(*two), 1.0) == pytest.approx(18, abs=1e-9)
+    assert envelope.eroded_area(ring_edges(ell), 5.0) == 0.0 and envelope.eroded_area(np.zeros((0, 4)), 1.0) == 0.0
+    assert envelope.eroded_area(ring_edges([(0, 0), (0, 0), (1, 1)]), 0.1) == 0.0
+
+
+@pytest.mark.parametrize("n", [7, 20, 60])
+def test_eroded_area_does_not_turn(n, monkeypatch):
+    """Turning or mirroring a lot, or looking at fewer pairs at a time, leaves its area; sampling agrees."""
+    ring, d = star(0, 0, 10, n)[:-1], 0.4
+    turned = lambda t, m: [(m * (x * math.cos(t) - y * math.sin(t)), x * math.sin(t) + y * math.cos(t)) for x, y in ring]
+    areas = [envelope.eroded_area(ring_edges(turned(t, m)), d) for t in (0.0, 0.3, math.pi / 2, 2.0) for m in (1, -1)]
+    assert max(areas) - min(areas) < 1e-7
+    monkeypatch.setattr(envelope, "PAIRS", 500)
+    assert envelope.eroded_area(ring_edges(ring), d) == pytest.approx(areas[0], abs=1e-9)
+    e, x = ring_edges(ring), (np.indices((400, 400)).reshape(2, -1).T + 0.5) / 20 - 10
+    inside, near = np.zeros(len(x), dtype=bool), np.full(len(x), np.inf)
+    for x1, y1, x2, y2 in e:
+        cross = (y1 > x[:, 1]) != (y2 > x[:, 1])
+        if y1 != y2:
+            inside ^= cross & (x[:, 0] < (x2 - x1) * (x[:, 1] - y1) / (y2 - y1) + x1)
+        t = np.clip(((x[:, 0] - x1) * (x2 - x1) + (x[:, 1] - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0, 1)
+        near = np.minimum(near, np.hypot(x[:, 0] - x1 - t * (x2 - x1), x[:, 1] - y1 - t * (y2 - y1)))
+    assert areas[0] == pytest.approx((inside & (near >= d)).sum() / 400, rel=0.02, abs=0.2)
+
+
+
 def test_condominium_stack_and_ties(spark):
     box = [(-122.0, 38.0), (-121.9999, 38.0), (-121.9999, 38.0001), (-122.0, 38.0001), (-122.0, 38.0)]
     p = frame(spark, [box] * 50, "parcel_id").selectExpr("parcel_id", "geom", "1L AS jurisdiction_id", "CAST(1000 - parcel_id AS string) AS apn")
