@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark import catalogs as C
@@ -10,10 +10,19 @@ from parcelspark.functions import values as V
 from parcelspark.operators.skew import latest_by
 
 FIELD_T = "struct<value:string,confidence:string,evidence:string>"
-ZONES_T = f"struct<zones:array<struct<zone_district:string,fields:map<string,{FIELD_T}>>>>"
+ZONES_T = "struct<zones:array<struct<zone_district:string,fields:map<string,string>>>>"
 RAW_ZONES_T = "struct<zones:array<map<string,string>>>"
 
 
+def value_kind(field: Column) -> Column:
+    """JSON type of the ``value`` member of a field's text; a number in quotes is a STRING."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(field), "$.value", "variant"))
+
+
+def is_number(kind: Column) -> Column:
+    return kind.startswith("BIGINT") | kind.startswith("DOUBLE") | kind.startswith("DECIMAL")
+
+
 def check_payloads(payloads: DataFrame) -> DataFrame:
     """Add ``problem``: why a document (``payload``) does not have the agreed shape, null if it
     does. Documents with a problem are rejected whole."""
@@ -26,13 +35,10 @@ def check_payloads(payloads: DataFrame) -> DataFrame:
     fields = F.transform(zones, lambda z: F.from_json(z["fields"], "map<string,string>"))
     bad_zone = F.exists(zones, lambda z: ~F.coalesce(keys(z) == F.array(F.lit("fields"), F.lit("zone_district")), F.lit(False)) | z["zone_district"].isNull())
     bad_fields = F.exists(fields, lambda f: ~F.coalesce(keys(f) == names, F.lit(False)))
-    kind = lambda v: F.schema_of_variant(F.try_parse_json(v))
-
     def bad_entry(k, v):
         m = F.from_json(v, "map<string,string>")
-        value = F.coalesce(kind(F.get_json_object(v, "$.value")), F.lit("VOID"))
-        is_num = value.startswith("BIGINT") | value.startswith("DOUBLE") | value.startswith("DECIMAL")
-        right = F.when(F.array_contains(numeric, k), is_num).otherwise(value == "BOOLEAN") | (value == "VOID")
+        value = F.coalesce(value_kind(v), F.lit("VOID"))
+        right = F.when(F.array_contains(numeric, k), is_number(value)).otherwise(value == "BOOLEAN") | (value == "VOID")
         shape = F.coalesce(keys(m) == F.array(F.lit("confidence"), F.lit("evidence"), F.lit("value")), F.lit(False))
         return ~shape | ~F.coalesce(m["confidence"].isin(C.CONFIDENCE), F.lit(False)) | m["evidence"].isNull() | ~right
 
@@ -53,14 +59,15 @@ def map_candidates(documents: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     d = documents.withColumn("z", F.explode(F.from_json("payload", ZONES_T)["zones"]))
     d = d.withColumn("zone_code", F.trim("z.zone_district")).where("zone_code <> ''")
-    f = d.select("jurisdiction_id", "section_id", "supported", "zone_code", F.explode("z.fields").alias("field_name", "f")).where("f.value IS NOT NULL")
+    f = d.select("jurisdiction_id", "section_id", "supported", "zone_code", F.explode("z.fields").alias("field_name", "_f"))
+    f = f.withColumns({"f": F.from_json("_f", FIELD_T), "_number": F.coalesce(is_number(value_kind(F.col("_f"))), F.lit(False))}).drop("_f").where("f.value IS NOT NULL")
     ops = F.coalesce(*[F.when(F.col("kind") == k, o) for k, o in C.KIND_OPERATOR.items()])
     cat = catalog.select("field_name", "dtype", "unit", ops.alias("operator"), F.explode("project_types").alias("project_type"))
     j = f.join(cat, "field_name").where(F.array_contains("supported", F.col("project_type")))
     known = F.col("f.confidence").isin(C.CONFIDENCE)
     rows = j.select(
         "jurisdiction_id", "section_id", "zone_code", "project_type", "field_name", F.col("f.value").alias("value"),
-        F.when(F.col("dtype") == "numeric", F.col("f.value").try_cast("double")).alias("value_numeric"), "unit", "operator",
+        F.when((F.col("dtype") == "numeric") & F.col("_number"), F.col("f.value").try_cast("double")).alias("value_numeric"), "unit", "operator",
         F.when(known, F.col("f.confidence")).otherwise("low").alias("confidence"), F.nullif(F.trim("f.evidence"), F.lit("")).alias("evidence"),
     )
     keys = ["jurisdiction_id", "section_id", "zone_code", "project_type"]

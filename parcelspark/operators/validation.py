@@ -111,6 +111,26 @@ def validate_rules(attrs: DataFrame, catalog: DataFrame, baselines: DataFrame) -
     ).drop("_num", "_want", "_got", "_must", "_case")
 
 
+def stored_values(attrs: DataFrame) -> DataFrame:
+    """Attributes with the ``value`` that validation compares: the stored JSON, not its numeric mirror."""
+    return attrs.select("rule_id", "field_name", V.parse_value(F.col("value_json")).alias("value"), "source_url")
+
+
+def counters(rules: DataFrame, attrs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``jurisdiction_id, rules, attributes, issues, more_restrictive`` of candidate rules (review pending).
+
+    Rules without attributes and attributes of fields outside the catalog count as seen.
+    """
+    pending = rules.where("review_status = 'pending'").select("rule_id", "jurisdiction_id")
+    seen = attrs.groupBy("rule_id").agg(F.count("*").alias("a"))
+    due = F.col("issue_type").isNotNull() & (F.col("flag") != C.MATCHES)
+    found = verdicts.groupBy("rule_id").agg(F.count_if(due).alias("i"), F.count_if(due & (F.col("flag") == C.RESTRICTIVE)).alias("m"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return pending.join(seen, "rule_id", "left").join(found, "rule_id", "left").groupBy("jurisdiction_id").agg(
+        F.count("*").alias("rules"), total("a", "attributes"), total("i", "issues"), total("m", "more_restrictive")
+    )
+
+
 def roll_up(verdicts: DataFrame) -> DataFrame:
     """Flag of each rule: the most severe of its attributes."""
     rank = F.coalesce(*[F.when(F.col("flag") == f, r) for f, r in FLAG_RANK.items()])

@@ -49,9 +49,15 @@ _VERS = {"ver0": _VER, "ver": _VER2}
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    raw = D.rule_attributes(spark, sf)
-    a = rules.resolved_attributes(raw).select("rule_id", "field_name", "value", F.col("source.source_url").alias("source_url"))
-    return W.validate_rules(a, C.field_catalog(spark), C.state_baselines(spark))
+    return W.validate_rules(W.stored_values(D.rule_attributes(spark, sf)), C.field_catalog(spark), C.state_baselines(spark))
+
+
+@query("r08_stored_json", with_tables("SELECT rule_id, field_name, flag, issue_type, severity FROM ver", ver0=_VER.replace("FROM atr JOIN", "FROM (SELECT * REPLACE (CASE WHEN rule_id % 2 = 0 THEN 2 * num ELSE num END AS num) FROM atr) atr JOIN"), ver=_VER2))
+def stored_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored text such as "24.0 sq ft" decides, whatever number stands in the mirror beside it."""
+    twice = F.concat(F.lit('"'), (F.col("value_numeric") * 2).cast("string"), F.lit(' sq ft"'))
+    a = D.rule_attributes(spark, sf).withColumn("value_json", F.when((F.col("rule_id") % 2 == 0) & F.col("value_numeric").isNotNull(), twice).otherwise(F.col("value_json")))
+    return W.validate_rules(W.stored_values(a), C.field_catalog(spark), C.state_baselines(spark)).select("rule_id", "field_name", "flag", "issue_type", "severity")
 
 
 @query("r08_verdicts", with_tables("SELECT rule_id, field_name, flag, issue_type, severity FROM ver", **_VERS))
@@ -107,9 +113,11 @@ _CAND = f"""SELECT rl.jurisdiction_id, rule_id AS section_id, rl.zone_code, pt A
     FROM atr JOIN rl USING (rule_id) JOIN (SELECT field_name, unnest(project_types) AS pt FROM ct) c USING (field_name) WHERE pt <> 'sb9_urban_lot_split'"""
 
 
-@query("r14_map_candidates", with_tables("""SELECT section_id, zone_code, project_type, field_name, num AS value_numeric, confidence, CASE WHEN bool_or(confidence = 'low') OVER (PARTITION BY section_id, project_type) THEN 'low' ELSE 'medium' END AS rule_confidence FROM cand""", cand=_CAND))
+@query("r14_map_candidates", with_tables("""SELECT section_id, zone_code, project_type, field_name, CASE WHEN section_id % 4 <> 2 THEN num END AS value_numeric, confidence, CASE WHEN bool_or(confidence = 'low') OVER (PARTITION BY section_id, project_type) THEN 'low' ELSE 'medium' END AS rule_confidence FROM cand""", cand=_CAND))
 def map_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return K.map_candidates(documents(spark, sf), C.field_catalog(spark)).select("section_id", "zone_code", "project_type", "field_name", "value_numeric", "confidence", "rule_confidence")
+    # a number in quotes is text, so it has no numeric mirror
+    quoted = F.when(F.col("section_id") % 4 == 2, F.regexp_replace("payload", '"value":([0-9.]+)', '"value":"$1"')).otherwise(F.col("payload"))
+    return K.map_candidates(documents(spark, sf).withColumn("payload", quoted), C.field_catalog(spark)).select("section_id", "zone_code", "project_type", "field_name", "value_numeric", "confidence", "rule_confidence")
 
 
 @query("r15_payload_check", with_tables("""SELECT rule_id AS section_id, CASE rule_id % 6 WHEN 1 THEN 'bad_document' WHEN 2 THEN 'bad_zone' WHEN 3 THEN 'bad_field_names' WHEN 4 THEN 'bad_field_value' WHEN 5 THEN 'bad_field_value' END AS problem FROM rl"""))
@@ -133,10 +141,15 @@ def version_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return K.version_candidates(c, D.zoning_rules(spark, sf)).select("section_id", "zone_code", "project_type", "action", F.col("new_version").cast("long").alias("new_version"), "is_current")
 
 
-@query("a10_validation_counters", with_tables("""SELECT rule_id % 8 AS jurisdiction_id, count(DISTINCT rule_id) AS rules, count(*) AS attributes, count(issue_type) AS issues, count(*) FILTER (WHERE flag = 'possibly_more_restrictive_than_state_baseline') AS more_restrictive FROM ver GROUP BY 1""", **_VERS))
+@query("a10_validation_counters", with_tables("""SELECT jurisdiction_id, count(*) AS rules, coalesce(sum(a), 0) + count(*) FILTER (WHERE rule_id % 3 = 0) AS attributes, coalesce(sum(i), 0) AS issues, coalesce(sum(m), 0) AS more_restrictive
+    FROM rl LEFT JOIN (SELECT rule_id, count(*) AS a, count(issue_type) AS i, count(*) FILTER (WHERE flag = 'possibly_more_restrictive_than_state_baseline') AS m FROM ver WHERE rule_id % 4 <> 1 GROUP BY 1) c USING (rule_id) WHERE review_status = 'pending' GROUP BY 1""", **_VERS))
 def validation_counters(spark: SparkSession, sf: str) -> DataFrame:
-    v = verdicts(spark, sf).groupBy("rule_id").agg(F.count("*").alias("a"), F.count("issue_type").alias("i"), F.count_if(F.col("flag") == C.RESTRICTIVE).alias("m"))
-    return v.groupBy((F.col("rule_id") % 8).alias("jurisdiction_id")).agg(F.count("*").alias("rules"), F.sum("a").alias("attributes"), F.sum("i").alias("issues"), F.sum("m").alias("more_restrictive"))
+    """Some rules have no attributes, some have one of a field that the catalog lacks."""
+    rules_ = D.zoning_rules(spark, sf)
+    a = W.stored_values(D.rule_attributes(spark, sf)).where("rule_id % 4 <> 1")
+    unknown = rules_.where("rule_id % 3 = 0").select("rule_id", F.lit("unlisted").alias("field_name"))
+    every = a.unionByName(unknown, allowMissingColumns=True)
+    return W.counters(rules_, every, W.validate_rules(every, C.field_catalog(spark), C.state_baselines(spark)))
 
 
 @query("a07_wide_rules", with_tables("SELECT rule_id, " + ", ".join(

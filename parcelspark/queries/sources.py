@@ -168,16 +168,26 @@ def raw_overlays(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("l01_load_zoning", with_tables("""SELECT CASE WHEN zone_id % 7 = 0 THEN 'failed' ELSE 'inserted' END AS outcome, CASE WHEN zone_id % 7 <> 0 THEN zone_code END AS zone_code, 'Z' || zone_id AS zone_name, CASE WHEN zone_id % 7 <> 0 THEN zone_code END AS zone_category FROM zn"""))
 def load_zoning(spark: SparkSession, sf: str) -> DataFrame:
-    f = D.zones(spark, sf).selectExpr("geom", "map_filter(map('zone_cmplt', IF(zone_id % 7 = 0, NULL, zone_code), 'ZONE_DESC', concat('Z', zone_id)), (k, v) -> v IS NOT NULL) AS props")
+    f = D.zones(spark, sf).selectExpr("geom", "map('zone_cmplt', IF(zone_id % 7 = 0, ' ', zone_code), 'ZONE', concat('other ', zone_code), 'ZONE_DESC', concat('Z', zone_id)) AS props")
     return S.load_zoning(f).select("outcome", "zone_code", "zone_name", "zone_category")
 
 
-@query("l02_load_parcels", f"SELECT p_partkey AS parcel_id, CASE WHEN p_partkey % 4 = 3 THEN 'failed' ELSE 'ok' END AS outcome, {_APN} AS apn, upper({_SITUS}) AS normalized_address FROM part")
+# one layer has APN, so no other name is read; the situs is SitusAddress
+@query("l02_load_parcels", """SELECT p_partkey AS parcel_id, CASE WHEN p_partkey % 4 = 1 THEN 'ok' ELSE 'failed' END AS outcome, CASE WHEN p_partkey % 4 = 1 THEN 'B' || p_partkey END AS apn,
+    CASE WHEN p_partkey % 4 = 0 THEN upper(p_partkey || ' main st') END AS normalized_address FROM part""")
 def load_parcels(spark: SparkSession, sf: str) -> DataFrame:
     out = S.load_parcels(raw_parcels(spark, sf))
     return out.select(F.element_at("raw_attributes", "OBJECTID").cast("long").alias("parcel_id"), "outcome", "apn", "normalized_address")
 
 
+@query("l02_load_parcels_by_layer", """SELECT p_partkey AS parcel_id, CASE WHEN p_partkey % 4 < 2 THEN 'ok' ELSE 'failed' END AS outcome, CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END || CASE WHEN p_partkey % 4 < 2 THEN p_partkey END AS apn,
+    CASE WHEN p_partkey % 4 = 0 THEN upper(p_partkey || ' main st') END AS normalized_address FROM part""")
+def load_parcels_by_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows as four layers: each has its own first name, a blank value of which is not made up for."""
+    out = S.load_parcels(raw_parcels(spark, sf).withColumn("layer", F.col("parcel_id") % 4), ["layer"])
+    return out.select(F.element_at("raw_attributes", "OBJECTID").cast("long").alias("parcel_id"), "outcome", "apn", "normalized_address")
+
+
 @query("l03_load_flood", with_tables("""SELECT CAST(overlay_id AS VARCHAR) AS raw_feature_id, CASE WHEN designation IS NULL THEN NULL WHEN overlay_id % 2 = 0 THEN designation || ' (FLOODWAY)' ELSE designation END AS designation FROM ov WHERE overlay_type = 'flood'"""))
 def load_flood(spark: SparkSession, sf: str) -> DataFrame:
     return S.load_flood(raw_overlays(spark, sf).where("overlay_type = 'flood'"), C.CALIFORNIA_BBOX).select("raw_feature_id", "designation")

@@ -58,6 +58,30 @@ def pick(props: Column, candidates: Sequence[str] | Column, strip: bool = True)
     return F.get(F.filter(found, full), F.lit(0))
 
 
+def schema_profile(features: DataFrame, layer: Sequence[str] = ()) -> DataFrame:
+    """Attribute names of each layer, lower-cased, with the number of rows that have them."""
+    names = features.select(*layer, F.explode(F.array_distinct(F.transform(F.map_keys("props"), F.lower))).alias("field"))
+    return names.groupBy(*layer, "field").agg(F.count("*").alias("present"))
+
+
+def resolve_fields(features: DataFrame, wanted: dict[str, Sequence[str]], layer: Sequence[str] = (), advertised: DataFrame | None = None) -> DataFrame:
+    """Add a column for each wanted field: the value of the first candidate that the *layer* has.
+
+    The choice is made once for a layer (``layer`` columns; none: all rows are one), from the names that its service
+    advertises (``advertised``: the layer columns and ``fields``) or else from those its rows have. A row in which the
+    chosen attribute is missing or blank has no value, whatever its other attributes hold.
+    """
+    if advertised is None:
+        known = schema_profile(features, layer).groupBy(*layer).agg(F.collect_set("field").alias("_have"))  # as wide as the layer
+    else:
+        known = advertised.select(*layer, F.transform("fields", F.lower).alias("_have"))
+    first = lambda names: F.get(F.filter(F.array(*[F.lit(n.lower()) for n in names]), lambda n: F.array_contains("_have", n)), F.lit(0))
+    chosen = known.select(*layer, F.struct(*[first(v).alias(k) for k, v in wanted.items()]).alias("_chosen"))
+    rows = features.join(chosen, [*layer], "left") if layer else features.withColumn("_chosen", chosen.select("_chosen").scalar())
+    value = lambda k: pick(F.col("props"), F.array(F.col(f"_chosen.{k}")))
+    return rows.withColumns({k: value(k) for k in wanted}).drop("_chosen")
+
+
 def map_fields(features: DataFrame, mapping: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Map every layer's attributes in one job: features (``slug``, ``kind``, ``props``) against a
     table of candidate names. City rows win over shared ``*`` rows."""
@@ -120,62 +144,63 @@ def with_designation(main: Column, detail: Column) -> Column:
     return F.when(F.nullif(main, F.lit("")).isNotNull() & F.nullif(detail, F.lit("")).isNotNull(), F.concat(main, F.lit(" ("), detail, F.lit(")"))).otherwise(main)
 
 
-def load_flood(features: DataFrame, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+def _bulk(*names: str, prefix: str = "") -> dict[str, Sequence[str]]:
+    return {f"_{n}": C.BULK_FIELDS[prefix + n] for n in names}
+
+
+def load_flood(features: DataFrame, bbox: tuple[float, float, float, float] | None = None, layer: Sequence[str] = ()) -> DataFrame:
     """Flood overlays, where given those that meet an envelope, designation ``ZONE (SUBTYPE)``."""
+    features = resolve_fields(features, _bulk("zone", "subtype", "id", prefix="flood_"), layer)
     p, b = F.col("props"), F.col("_b")
     boxed = features.withColumn("_b", F.expr(G.bbox(G.edges("geom"))))
     inside = features if bbox is None else boxed.where((b["xmax"] >= bbox[0]) & (b["xmin"] <= bbox[2]) & (b["ymax"] >= bbox[1]) & (b["ymin"] <= bbox[3]))
     return inside.select(
         F.lit("flood").alias("overlay_type"), F.lit("FEMA Flood Hazard Zone").alias("name"),
-        with_designation(pick(p, C.BULK_FIELDS["flood_zone"]), pick(p, C.BULK_FIELDS["flood_subtype"])).alias("designation"),
-        pick(p, C.BULK_FIELDS["flood_id"]).alias("raw_feature_id"), p.alias("raw_value"), "geom",
+        with_designation(F.col("_zone"), F.col("_subtype")).alias("designation"),
+        F.col("_id").alias("raw_feature_id"), p.alias("raw_value"), "geom",
         F.lit(None).cast("long").alias("jurisdiction_id"), F.lit("high").alias("confidence"), F.lit("current").alias("data_status"),
     )
 
 
 def load_fire(features: DataFrame) -> DataFrame:
     """Fire overlays of several layers (``layer``), designation ``CLASS (AREA)``."""
-    p = F.col("props")
-    return features.select(
+    return resolve_fields(features, _bulk("class", "area", "id", prefix="fire_"), ["layer"]).select(
         F.lit("fire").alias("overlay_type"), F.concat(F.lit("CAL FIRE FHSZ - "), F.col("layer")).alias("name"), "layer",
-        with_designation(pick(p, C.BULK_FIELDS["fire_class"]), pick(p, C.BULK_FIELDS["fire_area"])).alias("designation"),
-        pick(p, C.BULK_FIELDS["fire_id"]).alias("raw_feature_id"), p.alias("raw_value"), "geom",
+        with_designation(F.col("_class"), F.col("_area")).alias("designation"),
+        F.col("_id").alias("raw_feature_id"), F.col("props").alias("raw_value"), "geom",
         F.lit(None).cast("long").alias("jurisdiction_id"), F.lit("high").alias("confidence"), F.lit("current").alias("data_status"),
     )
 
 
-def load_zoning(features: DataFrame) -> DataFrame:
+def load_zoning(features: DataFrame, layer: Sequence[str] = ()) -> DataFrame:
     """City zoning; ``outcome`` is ``failed`` for rows without a code, which carry no district."""
-    p = F.col("props")
-    code = pick(p, C.BULK_FIELDS["zone_code"])
-    return features.select(
-        F.when(code.isNull(), "failed").otherwise("inserted").alias("outcome"), code.alias("zone_code"), pick(p, C.BULK_FIELDS["zone_name"]).alias("zone_name"),
-        pick(p, C.BULK_FIELDS["zone_category"]).alias("zone_category"), p.alias("raw_attributes"), "geom",
+    code = F.col("_zone_code")
+    return resolve_fields(features, _bulk("zone_code", "zone_name", "zone_category"), layer).select(
+        F.when(code.isNull(), "failed").otherwise("inserted").alias("outcome"), code.alias("zone_code"), F.col("_zone_name").alias("zone_name"),
+        F.col("_zone_category").alias("zone_category"), F.col("props").alias("raw_attributes"), "geom",
         F.lit("high").alias("confidence"), F.lit("current").alias("data_status"),
     )
 
 
-def load_parcels(features: DataFrame) -> DataFrame:
+def load_parcels(features: DataFrame, layer: Sequence[str] = ()) -> DataFrame:
     """City parcels; the stored address is the upper-cased situs, nothing more."""
-    p = F.col("props")
-    apn, situs = pick(p, C.BULK_FIELDS["apn"]), pick(p, C.BULK_FIELDS["situs"])
-    return features.select(
+    apn, situs = F.col("_apn"), F.col("_situs")
+    return resolve_fields(features, _bulk("apn", "situs"), layer).select(
         F.when(apn.isNull(), "failed").otherwise("ok").alias("outcome"), apn.alias("apn"), situs.alias("situs_address"), F.upper(situs).alias("normalized_address"),
-        p.alias("raw_attributes"), "geom", F.expr(G.centroid("geom")).alias("centroid"), (F.expr(G.area_m2("geom")) * 10.7639104167).alias("area_sqft"),
+        F.col("props").alias("raw_attributes"), "geom", F.expr(G.centroid("geom")).alias("centroid"), (F.expr(G.area_m2("geom")) * 10.7639104167).alias("area_sqft"),
     )
 
 
-def load_bootstrap_zoning(features: DataFrame, jurisdictions: DataFrame) -> DataFrame:
+def load_bootstrap_zoning(features: DataFrame, jurisdictions: DataFrame, layer: Sequence[str] = ()) -> DataFrame:
     """Statewide zoning for jurisdictions that are not in production; low authority, to review.
 
     Production jurisdictions have adopted zoning and are refused.
     """
-    p = F.col("props")
-    code = pick(p, C.BULK_FIELDS["bootstrap_code"])
-    allowed = features.join(jurisdictions.where("coverage_status = 'production'").select("jurisdiction_id"), "jurisdiction_id", "left_anti")
+    p, code = F.col("props"), F.col("_code")
+    allowed = resolve_fields(features, _bulk("code", "name", prefix="bootstrap_"), layer).join(jurisdictions.where("coverage_status = 'production'").select("jurisdiction_id"), "jurisdiction_id", "left_anti")
     marks = F.create_map(F.lit("_is_bootstrap"), F.lit("true"), F.lit("_authority_rank"), F.lit("5"))
     return allowed.select(
-        "jurisdiction_id", F.when(code.isNull(), "failed").otherwise("inserted").alias("outcome"), code.alias("zone_code"), pick(p, C.BULK_FIELDS["bootstrap_name"]).alias("zone_name"),
+        "jurisdiction_id", F.when(code.isNull(), "failed").otherwise("inserted").alias("outcome"), code.alias("zone_code"), F.col("_name").alias("zone_name"),
         F.lit("statewide_bootstrap").alias("zone_category"), F.map_concat(p, marks).alias("raw_attributes"), "geom",
         F.lit("low").alias("confidence"), F.lit("needs_review").alias("data_status"), F.lit(5).alias("authority_rank"),
     )
