@@ -24,6 +24,7 @@ random spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.textkit import chunks, flat
+from parcelspark.llm.textkit import chunks, flat, free_names
 from parcelspark.session import cut
 
 # fixed values: the patterns, and the alphabets in order of their symbols
@@ -121,6 +122,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def joint(spans: list[tuple]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts, ends = [], []
+    for a, b, *_ in sorted(spans):
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def meets(stretches: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    i = bisect_left(stretches[0], end) - 1  # the last that begins before the end
+    return i >= 0 and stretches[1][i] > start
+
+
 def _scan(batches: Iterator[pa.RecordBatch], names: list[str], models) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("at", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
     maybe = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("d", pa.float64()), ("tail", pa.int32())]))
@@ -129,9 +147,9 @@ def _scan(batches: Iterator[pa.RecordBatch], names: list[str], models) -> Iterat
             bases, others = [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text) if text else []
-                other = []
+                other, taken = [], joint(base)
                 for start, end, name in candidates(text or ""):
-                    if not any(a < end and start < b for a, b, _ in base):
+                    if not meets(taken, start, end):
                         run = text[start:end]
                         other.append({"start": start, "end": end, "stratum": f"{name}:{length_class(len(run))}", "d": d_of(run, name), "tail": tail_of(run, name, models.value[name])})
                 bases.append([{"start": a, "at": KINDS.index(k), "kind": k, "end": b} for a, b, k in base])
@@ -276,21 +294,41 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def replaced(text: str, spans: list[dict], mark: str) -> str:
+    """The text with the mark in place of each span; spans that overlap or are inside others count as one."""
+    pieces, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= at:
+            pieces += [text[at : s["start"]], mark]
+        at = max(at, s["end"])
+    return "".join([*pieces, text[at:]])
+
+
+def _redacted(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is their spans, without it."""
+    for whole in batches:
+        for batch in chunks(whole, "text"):
+            *rest, spans = batch.columns
+            names = batch.schema.names[:-1]
+            found = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(found):
+                texts, at = batch.column("text").to_pylist(), names.index("text")
+                for i in found.tolist():
+                    texts[i] = replaced(texts[i], spans[i].as_py(), mark)
+                rest[at] = pa.array(texts, rest[at].type)
+                if "n_chars" in names:
+                    n = names.index("n_chars")
+                    counts = rest[n].to_pylist()
+                    for i in found.tolist():
+                        counts[i] = len(texts[i])
+                    rest[n] = pa.array(counts, rest[n].type)
+            yield pa.RecordBatch.from_arrays(rest, names=names)
+
+
 def redact(documents: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataFrame:
-    """``documents`` with every found span replaced by ``mark``; n_chars follows the text, other columns stay."""
-    found = scan(documents, rate).where(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.first("spans").alias("_spans"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans")
-    both = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    text = F.col("text")
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))
-    step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-        F.struct(
-            F.concat(acc["done"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))).alias("done"),
-            s["end"].alias("at"),
-        )
-    )
-    end = lambda acc: F.concat(acc["done"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
-    new = both.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, end)))
-    if "n_chars" in documents.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(documents.dtypes)["n_chars"])))
-    return new.select(*documents.columns)
+    """``documents`` with every found span replaced by ``mark``; a column n_chars follows the text, other columns stay."""
+    id_, key, spans = free_names(documents.columns, "_id", "_key", "_spans")
+    found = scan(documents, rate).where(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.first("spans").alias(spans))
+    found = found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), spans)
+    both = documents.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left")
+    return both.select(*documents.columns, spans).mapInArrow(lambda it: _redacted(it, mark), documents.schema)

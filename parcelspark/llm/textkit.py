@@ -6,7 +6,7 @@ least 0x80, so a class of bytes decides for the whole character.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,17 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of those taken."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread each 64-bit value over all bits."""
     x = x ^ (x >> np.uint64(30))

@@ -50,10 +50,9 @@ def _byte_symbols() -> list[str]:
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that never joins words across a blank: each word is encoded once.
-
-    Where the tokenizer lower-cases and splits letters from marks, a word of Latin letters and marks behind it is encoded
-    as these two parts, straight by the tokenizer's model. Words are remembered in two generations of ``KEPT``.
+    """Ids of whole texts. A tokenizer that lower-cases and splits letters, marks and blanks apart never joins words across
+    a blank, so each word is encoded once: one of Latin letters and marks behind them as these two parts, straight by the
+    tokenizer's model. Words are remembered in two generations of ``KEPT``. Any other tokenizer encodes texts whole.
     """
 
     def __init__(self, tokenizer):
@@ -70,8 +69,9 @@ class WordEncoder:
         if found is None:
             found = self.old_parts.get(word)
             if found is None:
-                symbols = self.symbols
-                found = array("I", [t.id for t in self.tokenizer.model.tokenize("".join([symbols[b] for b in word.encode()]))]).tobytes()
+                symbols = self.symbols  # ASCII letters and marks stand for themselves
+                spelt = word if word.isascii() else "".join([symbols[b] for b in word.encode()])
+                found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
             if len(self.parts) >= KEPT:
                 self.old_parts, self.parts = self.parts, {}
             self.parts[word] = found
@@ -79,26 +79,32 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of new words among those remembered."""
-        ids, old, rest = self.ids, self.old, []
+        ids, old, rest, part = self.ids, self.old, [], self.part
         for w in words:
             found = old.get(w)
-            if found is None and self.apart and (m := _LATIN.fullmatch(w)):
-                letters, marks = m.groups()
-                found = self.part(letters.lower()) + self.part(marks) if marks else self.part(letters.lower())
+            if found is None:
+                if w.isascii() and w.isalpha():
+                    found = part(w.lower())
+                elif m := _LATIN.fullmatch(w):
+                    letters, marks = m.groups()
+                    found = part(letters.lower()) + part(marks) if marks else part(letters.lower())
             if found is None:
                 rest.append(w)
             else:
                 ids[w] = found
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            ids[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if rest:
+            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+                ids[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out = []
         for text in texts:
             if len(self.ids) >= KEPT:
                 self.old, self.ids = self.ids, {}
             words, ids = text.replace("\n", " ").split(" "), self.ids
-            new = {w for w in words if w not in ids}
+            new = set(words).difference(ids)
             if new:
                 self.learn(new)
             out.append(b"".join(map(ids.__getitem__, words)))

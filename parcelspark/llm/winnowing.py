@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm.bitmap import hash_bits, may_have
-from parcelspark.llm.textkit import ALNUM, Words, chunks
+from parcelspark.llm.textkit import ALNUM, Words, chunks, free_names
 from parcelspark.session import cut
 
 WINDOW = 13
@@ -135,5 +135,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, **how: int) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, all columns as they were."""
-    bad = decontaminate(documents, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    id_, key = free_names(documents.columns, "_id", "_key")
+    bad = decontaminate(documents, benchmark, **how).where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")

@@ -114,6 +114,14 @@ def test_words_as_whole_texts(definition):
         assert np.frombuffer(encode.encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizers_that_join_across_blanks():
+    """A tokenizer whose pieces begin with a blank encodes texts whole."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encode = tokenfile.encoder(f.read())
+    for text in ("two words  and\nlines", " x", "", "don't stop 12 34"):
+        assert np.frombuffer(encode.encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_file_cases(spark, awkward, none, definition):
     rows = tokenfile.read(tokenfile.write(awkward, definition, 2)).collect()
     assert len(rows) == awkward.count() and sum(r.n_tokens == 1 for r in rows) == 4
