@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as G
-from parcelspark.operators import envelope, layers, quadtree, spatial
+from parcelspark.operators import envelope, layers, quadtree, spatial, validity
 from parcelspark.queries import domain as D
 from parcelspark.queries.domain import with_tables
 from parcelspark.queries.registry import query
@@ -96,6 +96,18 @@ def inward_buffer_area(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("parcel_id", F.round(F.coalesce("inset_area_m2", F.lit(0.0)), 1).alias("inset_m2"))
 
 
+# boxes by key: as they are, crossed over, with a doubled part, with a part inside, with a hole touching its ring
+@query("g01_validity", """SELECT p_partkey AS parcel_id, p_partkey % 5 IN (1, 2, 4) AS crossing, p_partkey % 5 IN (2, 3) AS nested FROM part WHERE p_partkey % 5 <> 0""")
+def validity_of_lots(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda i, j: D.grid_point(f"p_partkey % 64 + {i / 8}D", f"p_partkey div 64 + {j / 8}D")
+    ring = lambda *c: f"array({', '.join(at(*p) for p in (*c, c[0]))})"
+    box, small = ring((0, 0), (7, 0), (7, 7), (0, 7)), ring((2, 2), (4, 2), (4, 4), (2, 4))
+    shapes = [f"array(array({box}))", f"array(array({ring((0, 0), (7, 7), (7, 0), (0, 7))}))", f"array(array({box}), array({ring((3, 3), (9, 3), (9, 9), (3, 9))}))", f"array(array({box}), array({small}))", f"array(array({box}, {ring((4, 4), (0, 2), (4, 2))}))"]
+    geom = "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN {g}" for k, g in enumerate(shapes)) + " END"
+    lots = D.table(spark, sf, "part").selectExpr("p_partkey AS parcel_id", f"CAST({geom} AS {G.GEOM_T}) AS geom").withColumn("digest", validity.digest("geom"))
+    return lots.join(validity.invalid(lots.select("digest", "geom")), "digest").select("parcel_id", "crossing", "nested")
+
+
 @query("g05_points_in_odd_lots", with_tables("""SELECT request_id, parcel_id FROM pt JOIN ob ON u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2 GROUP BY 1, 2
   HAVING bool_or(sign = 1 AND u > x1 AND u < x2 AND v > y1 AND v < y2) AND NOT bool_or(sign = -1)"""))
 def points_in_odd_lots(spark: SparkSession, sf: str) -> DataFrame:

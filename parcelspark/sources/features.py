@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelspark import catalogs as C
 from parcelspark.functions import geometry as G
+from parcelspark.operators.validity import review
 
 FEATURE_T = "struct<geometry:string,properties:map<string,string>>"
 PAGE_T = "features array<struct<geometry:string,properties:map<string,string>>>"
@@ -154,41 +155,41 @@ def load_flood(features: DataFrame, bbox: tuple[float, float, float, float] | No
     p, b = F.col("props"), F.col("_b")
     boxed = features.withColumn("_b", F.expr(G.bbox(G.edges("geom"))))
     inside = features if bbox is None else boxed.where((b["xmax"] >= bbox[0]) & (b["xmin"] <= bbox[2]) & (b["ymax"] >= bbox[1]) & (b["ymin"] <= bbox[3]))
-    return inside.select(
+    return review(inside.select(
         F.lit("flood").alias("overlay_type"), F.lit("FEMA Flood Hazard Zone").alias("name"),
         with_designation(F.col("_zone"), F.col("_subtype")).alias("designation"),
         F.col("_id").alias("raw_feature_id"), p.alias("raw_value"), "geom",
         F.lit(None).cast("long").alias("jurisdiction_id"), F.lit("high").alias("confidence"), F.lit("current").alias("data_status"),
-    )
+    ))
 
 
 def load_fire(features: DataFrame) -> DataFrame:
     """Fire overlays of several layers (``layer``), designation ``CLASS (AREA)``."""
-    return resolve_fields(features, _bulk("class", "area", "id", prefix="fire_"), ["layer"]).select(
+    return review(resolve_fields(features, _bulk("class", "area", "id", prefix="fire_"), ["layer"]).select(
         F.lit("fire").alias("overlay_type"), F.concat(F.lit("CAL FIRE FHSZ - "), F.col("layer")).alias("name"), "layer",
         with_designation(F.col("_class"), F.col("_area")).alias("designation"),
         F.col("_id").alias("raw_feature_id"), F.col("props").alias("raw_value"), "geom",
         F.lit(None).cast("long").alias("jurisdiction_id"), F.lit("high").alias("confidence"), F.lit("current").alias("data_status"),
-    )
+    ))
 
 
 def load_zoning(features: DataFrame, layer: Sequence[str] = ()) -> DataFrame:
     """City zoning; ``outcome`` is ``failed`` for rows without a code, which carry no district."""
     code = F.col("_zone_code")
-    return resolve_fields(features, _bulk("zone_code", "zone_name", "zone_category"), layer).select(
+    return review(resolve_fields(features, _bulk("zone_code", "zone_name", "zone_category"), layer).select(
         F.when(code.isNull(), "failed").otherwise("inserted").alias("outcome"), code.alias("zone_code"), F.col("_zone_name").alias("zone_name"),
         F.col("_zone_category").alias("zone_category"), F.col("props").alias("raw_attributes"), "geom",
         F.lit("high").alias("confidence"), F.lit("current").alias("data_status"),
-    )
+    ))
 
 
 def load_parcels(features: DataFrame, layer: Sequence[str] = ()) -> DataFrame:
     """City parcels; the stored address is the upper-cased situs, nothing more."""
     apn, situs = F.col("_apn"), F.col("_situs")
-    return resolve_fields(features, _bulk("apn", "situs"), layer).select(
+    return review(resolve_fields(features, _bulk("apn", "situs"), layer).select(
         F.when(apn.isNull(), "failed").otherwise("ok").alias("outcome"), apn.alias("apn"), situs.alias("situs_address"), F.upper(situs).alias("normalized_address"),
         F.col("props").alias("raw_attributes"), "geom", F.expr(G.centroid("geom")).alias("centroid"), (F.expr(G.area_m2("geom")) * 10.7639104167).alias("area_sqft"),
-    )
+    ))
 
 
 def load_bootstrap_zoning(features: DataFrame, jurisdictions: DataFrame, layer: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_geometry import frame, parity, star
 
 from parcelspark.functions import geometry as G
-from parcelspark.operators import layers, spatial
+from parcelspark.operators import layers, spatial, validity
 from parcelspark.operators import quadtree as Q
 from parcelspark.queries import domain as D
 
@@ -138,3 +138,21 @@ def test_builds_are_found_when_finished(spark, tmp_path):
     with pytest.raises(RuntimeError):
         layers.current(spark, f"test-{first}", build)
     assert layers.current(spark, f"test-{first}", build) == layers.current(spark, f"test-{first}", build) == calls[1]
+
+
+def test_validity(spark):
+    sq = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]
+    cases = {
+        "fine": [[sq]], "bow": [[[[0, 0], [4, 4], [4, 0], [0, 4], [0, 0]]]], "spike": [[[[0, 0], [4, 0], [4, 4], [4, 6], [4, 4], [0, 4], [0, 0]]]],
+        "pinch": [[[[0, 0], [2, 2], [4, 0], [4, 4], [2, 2], [0, 4], [0, 0]]]], "hole": [[sq, [[1, 1], [1, 2], [2, 2], [1, 1]]]], "out": [[sq, [[5, 5], [5, 6], [6, 6], [5, 5]]]],
+        "touch": [[sq, [[1, 1], [0, 2], [2, 2], [1, 1]]]], "two": [[sq], [[[6, 0], [8, 0], [8, 2], [6, 0]]]], "inside": [[sq], [[[1, 1], [2, 1], [2, 2], [1, 1]]]],
+        "over": [[sq], [[[3, 3], [6, 3], [6, 6], [3, 6], [3, 3]]]], "same": [[sq], [sq]], "island": [[sq, [[1, 1], [1, 3], [3, 3], [3, 1], [1, 1]]], [[[1.5, 1.5], [2, 1.5], [2, 2], [1.5, 1.5]]]],
+        "many": [[[[x, y] for x, y in star(100, 20, 3, 60)]]],
+    }
+    rows = [(k, json.dumps({"type": "MultiPolygon", "coordinates": v})) for k, v in cases.items()]
+    df = spark.createDataFrame(rows, "id string, g string").selectExpr("id", f"{G.from_geojson('g')} AS geom").withColumn("digest", validity.digest("geom"))
+    found = {r.id: (r.crossing, r.nested) for r in df.join(validity.invalid(df), "digest").collect()}
+    assert set(found) == {"bow", "spike", "pinch", "out", "touch", "inside", "over", "same", "island"}
+    assert {k for k, v in found.items() if v[0]} == {"bow", "spike", "pinch", "touch", "over", "same"} and found["inside"] == (False, True) and found["out"] == (False, True)
+    status = {r.id: r.data_status for r in validity.review(df.select("id", "geom").union(spark.createDataFrame([("none", None)], "id string, g string").selectExpr("id", f"{G.from_geojson('g')}"))).collect()}
+    assert {k for k, v in status.items() if v == "needs_review"} == {*found, "none"}
