@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from parcelspark.queries.scalars import _CLEAN, _SPACE
 from parcelspark.session import shared_dir
 from parcelspark.sources import features as S
 from parcelspark.sources import sections, sinks
+from parcelspark.sources.tables import Table
 
 PAGE = 500
 
@@ -138,6 +141,28 @@ def replace_scope(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.scope_replacement(d, fresh, "source")
 
 
+def _new_table(spark: SparkSession, scope: str) -> Table:
+    return Table(spark, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", scope)
+
+
+@query("io09_stored_upsert", f"WITH {_T}, {_B.format(pick='last')} SELECT jurisdiction_id, apn, coalesce(b.area, t.area) AS area FROM t FULL JOIN b USING (jurisdiction_id, apn)")
+def stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The upsert as a table that readers see before or after."""
+    t = _new_table(spark, "jurisdiction_id")
+    t.replace(_target(spark, sf))
+    t.upsert(_batch(spark, sf), ["jurisdiction_id", "apn"], ["l_orderkey", "l_linenumber", "area", "l_suppkey"])
+    return t.read()
+
+
+@query("io10_stored_replacement", "SELECT source, doc_id, n_chars FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) UNION ALL SELECT source, doc_id, -n_chars FROM documents JOIN labels USING (doc_id) WHERE toxic = 1")
+def stored_replacement(spark: SparkSession, sf: str) -> DataFrame:
+    t, d = _new_table(spark, "source"), D.table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    t.replace(d)
+    toxic = D.table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    t.replace(d.join(toxic, "doc_id", "left_semi").select("source", "doc_id", (-F.col("n_chars")).alias("n_chars")))
+    return t.read()
+
+
 @query("io11_append_if_absent", """WITH b AS (SELECT l_suppkey, l_partkey, substr(sha1('{"g":"' || l_partkey || '","x":["' || l_suppkey || '"]}'), 1, 24) AS k FROM lineitem)
     SELECT k AS feature_key, min(l_partkey) AS l_partkey FROM b WHERE k NOT IN (SELECT k FROM b WHERE l_suppkey % 2 = 0) GROUP BY 1""")
 def append_if_absent(spark: SparkSession, sf: str) -> DataFrame:
