@@ -65,7 +65,10 @@ def test_scene(spark):
     assert (side["value"], side["state_baseline"], side["compliance_flag"]) == (5.0, 4.0, C.RESTRICTIVE)
     assert side["provenance"]["source_section"] == "12.22"
     assert res["development_constraints"]["max_height_ft"]["value"] == 16.0
-    assert res["parcel"]["lot_size_sqft"] == 6500.0 and res["disclaimer"] == C.DISCLAIMER
+    # the answer's values carry their source
+    lot = res["parcel"]["lot_size_sqft"]
+    assert (lot["value"], lot["unit"], lot["provenance"]["source_title"]) == (6500.0, "sqft", "Parcel GIS layer") and res["disclaimer"] == C.DISCLAIMER
+    assert res["zoning"]["zone_code"]["value"] == "R1" and res["zoning"]["general_plan"] is None and res["share_token"] is None
     assert [(o["overlay_type"], o["status"]) for o in res["overlay_findings"]] == [("historic", "hit"), ("flood", "source_unavailable"), ("fire", "no_hit")]
     assert res["overlay_findings"][0]["raw_values"]["severity"] == "info"
     assert r[2]["kind"] == "unsupported_coverage" and r[2]["result"] is None and not r[2]["billable"] and r[2]["jurisdiction_slug"] == "oakland"
