@@ -146,6 +146,11 @@ def jurisdictions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def envelope(spark: SparkSession, sf: str) -> tuple[Column, Column, Column, Column]:
+    """Box of the county around the grid; the grid outgrows any fixed box as lots are added."""
+    return lon(F.lit(-1)), lat(F.lit(-1)), lon(F.lit(65)), lat(rows_of_grid(spark, sf) + 2)
+
+
 def zones(spark: SparkSession, sf: str) -> DataFrame:
     """One district per 4 x 4 block of parcels, shifted half a unit to the left."""
     t = table(spark, sf, "part").groupBy(

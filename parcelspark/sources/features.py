@@ -149,8 +149,8 @@ def _bulk(*names: str, prefix: str = "") -> dict[str, Sequence[str]]:
     return {f"_{n}": C.BULK_FIELDS[prefix + n] for n in names}
 
 
-def load_flood(features: DataFrame, bbox: tuple[float, float, float, float] | None = None, layer: Sequence[str] = ()) -> DataFrame:
-    """Flood overlays, where given those that meet an envelope, designation ``ZONE (SUBTYPE)``."""
+def load_flood(features: DataFrame, bbox: Sequence[float | Column] | None = None, layer: Sequence[str] = ()) -> DataFrame:
+    """Flood overlays, where given those that meet an envelope (numbers or columns), designation ``ZONE (SUBTYPE)``."""
     features = resolve_fields(features, _bulk("zone", "subtype", "id", prefix="flood_"), layer)
     p, b = F.col("props"), F.col("_b")
     boxed = features.withColumn("_b", F.expr(G.bbox(G.edges("geom"))))

@@ -61,3 +61,16 @@ def test_numbers_in_quotes_are_text(spark):
     got = {(r.section_id, r.value, r.value_numeric) for r in candidates.map_candidates(docs, C.field_catalog(spark)).collect()}
     assert got == {(0, "16", 16.0), (1, "16.5", 16.5), (2, "16", None), (4, "true", None)}
     assert {r.section_id: r.problem for r in candidates.check_payloads(docs).collect()} == {0: None, 1: None, 2: "bad_field_value", 3: None, 4: "bad_field_value"}
+
+
+def test_flood_beyond_california(spark, tmp_path):
+    # lots far down the grid stretch it north of 42.1 degrees; their flood overlays are loaded like any others
+    from parcelspark.queries import domain as D
+    from parcelspark.queries.sources import load_flood
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(0, 1), (64 * 12000, 1)], "p_partkey long, p_size int").write.parquet(f"{sf}/part.parquet")
+    spark.range(400).selectExpr("id AS s_suppkey").write.parquet(f"{sf}/supplier.parquet")
+    north = D.overlays(spark, sf).where("overlay_type = 'flood' AND geom[0][0][0].y > 42.1").count()
+    assert north > 0
+    assert {int(r.raw_feature_id) for r in load_flood(spark, sf).collect()} == set(range(0, 400, 5))
