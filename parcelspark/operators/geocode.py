@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.functions.text import normalize_address
+from parcelspark.operators.skew import dealt
 
 
 def geocode(requests: DataFrame, reference: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def geocode(requests: DataFrame, reference: DataFrame) -> DataFrame:
         "normalized_address", normalize_address(F.col("address"))
     )
     ref = reference.select("normalized_address", "lon", "lat", F.col("confidence").alias("_c"))
-    joined = req.join(ref, "normalized_address", "left")
+    joined = req.join(dealt(ref), "normalized_address", "left")
     return joined.withColumn("geocode_confidence", F.coalesce("_c", F.lit("low"))).drop("_c")
 
 

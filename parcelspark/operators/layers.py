@@ -4,9 +4,9 @@ A stored layer is a folder with three tables and a manifest written last:
 
 * ``features``: attributes, geometry and plain box columns, rows along a Z-order curve, so that row-group statistics skip
   what an envelope does not reach;
-* ``pieces``: partitioned by tile, bucketed and sorted by cell. Lookups start from the distinct cells asked for: where
-  these are few they are broadcast and prune tiles, where they are many they are dealt to the buckets' places. Stored
-  geometry is never shuffled;
+* ``pieces``: partitioned by tile, bucketed and sorted by cell. Lookups start from the cells asked for:
+  they are dealt to the buckets' places, so stored geometry is not shuffled; only a layer counted to have few pieces is
+  broadcast;
 * ``above``: the coarser cells over each piece's cell, for lookups by polygons larger than a piece.
 
 ``Layer.of`` files a table on the fly instead, for one lookup.
@@ -27,13 +27,21 @@ from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as G
 from parcelspark.operators import quadtree as Q
+from parcelspark.operators.skew import dealt, spread
 from parcelspark.session import shared_dir
 
 TILE_LEVEL = 2  # tiles of a quarter of a degree
 BUCKETS = 8
+FEW = 10_000  # pieces that may be broadcast
 METRES_PER_DEGREE = 110000.0  # at least so many metres are a degree of latitude
 
 
+def _measure(pieces: DataFrame) -> tuple[list[int], bool]:
+    """Levels in use, and whether the pieces are few."""
+    counts = {r.level: r["count"] for r in pieces.groupBy("level").count().collect()}
+    return sorted(counts) or [Q.COARSEST], sum(counts.values()) <= FEW
+
+
 def with_edges(df: DataFrame) -> DataFrame:
     """Add the ``edges`` and ``bbox`` every spatial lookup works on; rows without area go."""
     return df.where(F.size("geom") > 0).withColumn("edges", F.expr(G.edges("geom"))).withColumn("bbox", F.expr(G.bbox("edges")))
@@ -55,22 +63,26 @@ class Layer:
     levels: list[int]  # of the pieces; bounded by the quadtree's depth
     tile_level: int = TILE_LEVEL
     tolerance_m: float = 0.0
+    few: bool = False  # at most ``FEW`` pieces, counted
 
     @classmethod
     def of(cls, features: DataFrame, keep: list[str], *, tolerance_m: float = 0.0, areas: bool = False, tile_level: int = TILE_LEVEL) -> Layer:
         """File features with ``geom`` now; ``keep`` names the columns that lookups return."""
-        shaped = with_edges(features.select("geom", *keep))
+        shaped = with_edges(spread(features.select("geom", *keep)))
         cut = Q.pieces(shaped, *pads(tolerance_m), areas=areas, tile_level=tile_level)
-        return cls(cut, Q.ancestors(cut, tile_level), features, Q.EVERY_LEVEL, tile_level, tolerance_m)
+        levels, few = _measure(cut)
+        return cls(cut, Q.ancestors(cut, tile_level), features, levels, tile_level, tolerance_m, few)
 
     def points(self, points: DataFrame, on: list[str] | None = None, x: str = "lon", y: str = "lat") -> DataFrame:
         """Each point with each piece whose cell it lies in, and of the same ``on``."""
-        cells = Q.point_cells(points, self.levels, self.tile_level, x, y)
-        return cells.join(self.pieces, ["tile", "cell", *(on or [])]).drop("tile", "cell")
+        cells = Q.point_cells(spread(points), self.levels, self.tile_level, x, y)
+        pieces = self.pieces.hint("broadcast") if self.few else dealt(self.pieces)
+        return cells.join(pieces, ["tile", "cell", *(on or [])]).drop("tile", "cell")
 
     def polygons(self, polygons: DataFrame, on: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """Polygons (``edges``, ``bbox``) by the cells they may meet pieces in as ``p``, and the pieces as ``f``."""
-        return Q.polygon_cells(polygons, self.levels, self.above, self.tile_level).alias("p"), self.pieces.alias("f")
+        small = (lambda df: df.hint("broadcast")) if self.few else dealt
+        return Q.polygon_cells(polygons, self.levels, small(self.above), self.tile_level).alias("p"), small(self.pieces).alias("f")
 
     def within(self, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
         """Stored features whose box meets an envelope; the range predicates reach the scan."""
@@ -108,8 +120,8 @@ def store(folder: str, features: DataFrame, keep: list[str], *, filed: DataFrame
     writer.mode("overwrite").format("parquet").saveAsTable(name)
     pieces = spark.table(name)
     Q.ancestors(pieces, tile_level).write.parquet(f"{folder}/above")
-    levels = sorted(r.level for r in pieces.select("level").distinct().collect())
-    about = {"levels": levels, "tile_level": tile_level, "tolerance_m": tolerance_m, "buckets": buckets, "pieces": [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema]}
+    levels, few = _measure(pieces)
+    about = {"levels": levels, "few": few, "tile_level": tile_level, "tolerance_m": tolerance_m, "buckets": buckets, "pieces": [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema]}
     spark.range(1).select(F.lit(json.dumps(about)).alias("value")).write.text(f"{folder}/manifest")
     return open_layer(spark, folder)
 
@@ -137,7 +149,7 @@ def _open(spark: SparkSession, folder: str) -> Layer:
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (tile) CLUSTERED BY (cell) SORTED BY (cell) INTO {n} BUCKETS LOCATION '{folder}/pieces'")
         spark.catalog.recoverPartitions(name)
     read = spark.read.parquet
-    return Layer(spark.table(name), read(f"{folder}/above"), read(f"{folder}/features"), about["levels"], about["tile_level"], about["tolerance_m"])
+    return Layer(spark.table(name), read(f"{folder}/above"), read(f"{folder}/features"), about["levels"], about["tile_level"], about["tolerance_m"], about.get("few", False))
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> str:

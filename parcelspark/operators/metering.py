@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from parcelspark import catalogs as C
 from parcelspark.functions.text import lookup
+from parcelspark.operators.skew import dealt
 from parcelspark.session import cut
 
 DAY_US = 86_400_000_000
@@ -69,7 +70,7 @@ def monthly_quota(events: DataFrame) -> DataFrame:
     """
     month = F.date_trunc("month", "ts")
     first = _limit_rank(events.where("candidate AND monthly_quota IS NOT NULL"), ["consumer_id", month], "monthly_quota")
-    ranked = events.join(first, "event_id", "left")
+    ranked = events.join(dealt(first), "event_id", "left")
     within = F.col("rn") <= F.col("monthly_quota")
     return ranked.withColumn(
         "allowed", F.when(F.col("candidate"), F.col("monthly_quota").isNull() | F.coalesce(within, F.lit(False)))
@@ -83,7 +84,7 @@ def burst_limit(events: DataFrame) -> DataFrame:
     of zero or less means unlimited."""
     minute = F.floor(F.unix_micros("ts") / 60_000_000)
     first = _limit_rank(events.where("rate_limit > 0"), ["consumer_id", minute], "rate_limit")
-    ranked = events.join(first, "event_id", "left")
+    ranked = events.join(dealt(first), "event_id", "left")
     return ranked.withColumn("allowed", (F.col("rate_limit") <= 0) | F.coalesce(F.col("rn") <= F.col("rate_limit"), F.lit(False))).drop("rn")
 
 
@@ -115,16 +116,16 @@ def greedy_anchors(events: DataFrame, keys: Sequence[str], window_us: int) -> Da
     over = own.select(*keys, (F.col("_b") + 1).alias("_b"), F.when(F.col("_next") > F.col("_b") + 1, F.col("_next_low")).alias("_gap"))
     after = own.select(*keys, "_b", F.col("_next_low").alias("_after"))
     same = lambda a, c: [F.col(f"a.{k}").eqNullSafe(F.col(f"{c}.{k}")) for k in keys] + [F.col("a._b") == F.col(f"{c}._b")]
-    linked = inside.alias("a").join(over.alias("o"), same("a", "o"), "left").join(after.alias("f"), same("a", "f"), "left")
+    linked = inside.alias("a").join(dealt(over.alias("o")), same("a", "o"), "left").join(dealt(after.alias("f")), same("a", "f"), "left")
     jump = cut(linked.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.us").alias("us"), F.coalesce("_to", "_after", "_gap").alias("to")).where("to IS NOT NULL"))
     reached = cut(times.groupBy(*keys).agg(F.min("us").alias("anchor_us")))
     match = lambda a, c, x, y: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{c}.{k}")) for k in keys] + [F.col(f"{a}.{x}") == F.col(f"{c}.{y}")]
     while True:
-        new = cut(reached.alias("r").join(jump.alias("j"), match("r", "j", "anchor_us", "us")).select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("j.to").alias("anchor_us")))
+        new = cut(reached.alias("r").join(dealt(jump.alias("j")), match("r", "j", "anchor_us", "us")).select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("j.to").alias("anchor_us")))
         if new.isEmpty():
             return reached
         reached = reached.unionByName(new)
-        jump = cut(jump.alias("x").join(jump.alias("y"), match("x", "y", "to", "us")).select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.us").alias("us"), F.col("y.to").alias("to")))
+        jump = cut(jump.alias("x").join(dealt(jump.alias("y")), match("x", "y", "to", "us")).select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.us").alias("us"), F.col("y.to").alias("to")))
 
 
 def dedupe_replay(events: DataFrame, hours: float = C.DEDUPE_HOURS, key: str = "fingerprint") -> DataFrame:
@@ -134,9 +135,9 @@ def dedupe_replay(events: DataFrame, hours: float = C.DEDUPE_HOURS, key: str = "
     """
     anchors = greedy_anchors(events, [key], int(hours * 3_600_000_000)).select(F.col(key).alias("_k"), "anchor_us")
     at = events.withColumn("_us", F.unix_micros("ts"))
-    first = at.join(anchors, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_us") == F.col("anchor_us")), "left_semi")
+    first = at.join(dealt(anchors), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_us") == F.col("anchor_us")), "left_semi")
     computed = first.groupBy(key, "_us").agg(F.min("event_id").alias("event_id")).select("event_id", F.lit(False).alias("_h"))
-    return events.join(computed, "event_id", "left").withColumn("hit", F.coalesce("_h", F.lit(True))).drop("_h")
+    return events.join(dealt(computed), "event_id", "left").withColumn("hit", F.coalesce("_h", F.lit(True))).drop("_h")
 
 
 def idempotency(events: DataFrame, stored: str = "stored") -> DataFrame:
@@ -151,11 +152,11 @@ def idempotency(events: DataFrame, stored: str = "stored") -> DataFrame:
         F.min(F.struct("ts", "event_id", "fingerprint")).alias("_f")
     )
     earlier = F.struct("ts", "event_id") <= F.struct("_f.ts", "_f.event_id")
-    named = keyed.join(first, ["consumer_id", "idempotency_key"], "left").select(
+    named = keyed.join(dealt(first), ["consumer_id", "idempotency_key"], "left").select(
         "event_id",
         F.when(F.col("_f").isNull() | earlier, "fresh").when(F.col("fingerprint") == F.col("_f.fingerprint"), "replay").otherwise("conflict").alias("_o"),
     )
-    return events.join(named, "event_id", "left").withColumn("idempotency_outcome", F.coalesce("_o", F.lit("no_key"))).drop("_o")
+    return events.join(dealt(named), "event_id", "left").withColumn("idempotency_outcome", F.coalesce("_o", F.lit("no_key"))).drop("_o")
 
 
 GATE_STATE = "event_id long, decision string, billed boolean"

@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, to be dealt by key on both sides.
+
+    The planner knows a file's bytes on disk, not its rows in memory nor what an explode makes of them, and would pass such a
+    side through the driver while its file is small.
+    """
+    return df.hint("merge")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over as many tasks as a shuffle has, before work that is heavy for their size on disk."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Last row per key. An aggregate, so each task sends one row per key."""
     cols = [F.col(o) if isinstance(o, str) else o for o in order]

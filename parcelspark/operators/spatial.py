@@ -13,6 +13,7 @@ from parcelspark import catalogs as C
 from parcelspark.functions import geometry as G
 from parcelspark.operators import quadtree as Q
 from parcelspark.operators.layers import Layer, in_envelope, with_edges
+from parcelspark.operators.skew import dealt, spread
 
 TOLERANCE_M = 25.0  # fixed value: nearest-parcel radius
 
@@ -91,7 +92,7 @@ def polygon_pairs(probes: DataFrame, layer: Layer, on: list[str], probe_key: str
 
     ``keep`` must identify a feature. Areas of the probe's parts in each piece's cell add up.
     """
-    p = with_edges(probes.select(probe_key, "geom", *on))
+    p = with_edges(spread(probes.select(probe_key, "geom", *on)))
     if area:
         p = p.withColumn("parts", F.expr(G.convex_parts("geom")))
     p, f = layer.polygons(p.drop("geom"))
@@ -147,7 +148,7 @@ def complete_overlays(keys: DataFrame, hits: DataFrame, overlays: DataFrame, key
     all, ``source_unavailable`` where it was never loaded."""
     loaded = overlays.select("overlay_type").distinct().withColumn("loaded", F.lit(True))
     wanted = keys.select(*key).withColumn("overlay_type", F.explode(F.array(*[F.lit(t) for t in expected])))
-    missing = wanted.join(hits.select(*key, "overlay_type"), [*key, "overlay_type"], "left_anti")
+    missing = wanted.join(dealt(hits.select(*key, "overlay_type")), [*key, "overlay_type"], "left_anti")
     status = F.when(F.col("loaded"), "no_hit").otherwise("source_unavailable")
     absent = missing.join(loaded, "overlay_type", "left").withColumn("status", status).drop("loaded")
     return hits.withColumn("status", F.lit("hit")).unionByName(absent, allowMissingColumns=True)

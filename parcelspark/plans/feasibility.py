@@ -14,6 +14,7 @@ from parcelspark.functions import values as V
 from parcelspark.operators import envelope as E
 from parcelspark.operators import asof, geocode, metering, rules, spatial
 from parcelspark.operators.layers import Layer
+from parcelspark.operators.skew import dealt
 from parcelspark.session import cut
 
 SOURCE_T = (
@@ -59,14 +60,14 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
     )
     located = spatial.match_jurisdiction(points, refs.layer("jurisdictions")).join(jur, "jurisdiction_id")
     matched = spatial.match_parcel(located.where("coverage_status = 'production'"), refs.layer("parcels"))
-    placed = located.join(matched, ["jurisdiction_id", "lon", "lat"], "left").withColumn("place", place)
+    placed = located.join(dealt(matched), ["jurisdiction_id", "lon", "lat"], "left").withColumn("place", place)
     placed = cut(placed)
     live = placed.where("coverage_status = 'production'")
 
     used = live.where("parcel_id IS NOT NULL").select("parcel_id", "place").distinct()
     lots = refs.parcels.select(
         "jurisdiction_id", "parcel_id", "apn", "area_sqft", "geom", rules.source("Parcel GIS layer", have=set(refs.parcels.columns)).cast(SOURCE_T).alias("parcel_source")
-    ).join(used, "parcel_id")
+    ).join(dealt(used), "parcel_id")
     bare = live.where("parcel_id IS NULL").select("jurisdiction_id", "lon", "lat", "place")
 
     named = lambda pairs: pairs.withColumn("place", F.concat(F.lit("p:"), F.col("parcel_id").cast("string")))
@@ -75,14 +76,14 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
     )
     plan = F.col("general_plan") if "general_plan" in refs.zones.columns else F.lit(None).cast("string")
     zone_info = refs.zones.select("zone_id", "zone_name", plan.alias("general_plan"), rules.source("Zoning districts GIS layer", have=set(refs.zones.columns)).cast(SOURCE_T).alias("zone_source"))
-    zoned = cut(spatial.zone_choice(zone_pairs, ["place"])).join(zone_info, "zone_id")
+    zoned = cut(spatial.zone_choice(zone_pairs, ["place"])).join(dealt(zone_info), "zone_id")
 
     hits = named(spatial.match_overlays(lots, refs.layer("overlays"))).select("place", "overlay_id", "overlay_type").unionByName(
         spatial.overlays_at_points(bare.select("lon", "lat", "place"), refs.layer("overlays")).select("place", "overlay_id", "overlay_type")
     )
     over = overlay_lists(live.select("place").distinct(), cut(hits), refs.overlays)
     lot_info = lots.select("place", "apn", "area_sqft", F.expr(G.centroid("geom")).alias("centroid"), "parcel_source")
-    return cut(placed.join(lot_info, "place", "left").join(zoned, "place", "left").join(over, "place", "left").drop("place"))
+    return cut(placed.join(dealt(lot_info), "place", "left").join(dealt(zoned), "place", "left").join(dealt(over), "place", "left").drop("place"))
 
 
 def overlay_lists(keys: DataFrame, hits: DataFrame, overlays: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def overlay_lists(keys: DataFrame, hits: DataFrame, overlays: DataFrame) -> Data
         "overlay_id", raw.alias("raw"), F.coalesce(F.nullif("designation", F.lit("")), F.col("name")).alias("description"),
         rules.source(F.concat(F.col("overlay_type"), F.lit(" overlay GIS layer")), have=set(overlays.columns)).cast(SOURCE_T).alias("source"),
     )
-    rich = hits.join(info, "overlay_id")
+    rich = hits.join(dealt(info), "overlay_id")
     full = spatial.complete_overlays(keys, rich, overlays, ["place"])
     # Fixed value: description of a layer that was never loaded.
     gone = "Overlay layer has not been ingested; presence could not be determined."
@@ -165,7 +166,7 @@ def feasibility(requests: DataFrame, refs: Refs, as_of: str, path_sources: int |
     pts = spatial.distinct_points(req.where("_geo"))
     at = sites(pts, refs).withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
     # a failed geocode has no site: such rows pass beside the join, or all would meet at its null key
-    sited = req.where("_geo").join(at, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")), "left").drop("_lon", "_lat")
+    sited = req.where("_geo").join(dealt(at), (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")), "left").drop("_lon", "_lat")
     both = sited.unionByName(req.where("NOT _geo"), allowMissingColumns=True)
     both = both.withColumn("_live", F.coalesce(F.col("coverage_status") == "production", F.lit(False)))
 
@@ -188,10 +189,10 @@ def feasibility(requests: DataFrame, refs: Refs, as_of: str, path_sources: int |
     full = full.withColumn("inset_ft", F.when(want & F.col("parcel_id").isNotNull(), V.uniform_inset_ft(setback, setback, F.lit(None).cast("double"))))
     asked = full.where("inset_ft IS NOT NULL").select("parcel_id", "inset_ft").distinct()
     areas = E.inset_areas(
-        refs.parcels.select("parcel_id", "geom").join(asked, "parcel_id"), V.feet_to_meters(F.col("inset_ft"))
+        refs.parcels.select("parcel_id", "geom").join(dealt(asked), "parcel_id"), V.feet_to_meters(F.col("inset_ft"))
     ).select("parcel_id", "inset_ft", "inset_area_m2")
     # likewise requests without an envelope
-    full = full.where("inset_ft IS NOT NULL").join(cut(areas), ["parcel_id", "inset_ft"], "left").unionByName(full.where("inset_ft IS NULL"), allowMissingColumns=True)
+    full = full.where("inset_ft IS NOT NULL").join(dealt(cut(areas)), ["parcel_id", "inset_ft"], "left").unionByName(full.where("inset_ft IS NULL"), allowMissingColumns=True)
     return _assemble(full, path_sources)
 
 
@@ -323,12 +324,12 @@ def served(requests: DataFrame, stored: DataFrame, hours: float = C.DEDUPE_HOURS
     asking = cut(requests.select("request_id", F.col("request_fingerprint").alias("fingerprint"), F.unix_micros("requested_at").alias("us"), F.col("requested_at").alias("ts")))
     kept = stored.where("feasibility_status IS NOT NULL").select(F.col("request_fingerprint").alias("fingerprint"), F.unix_micros("created_at").alias("us"), "analysis_id")
     old = asof.latest_within(asking.drop("ts"), kept, ["fingerprint"], span, id="request_id").select("request_id", F.col("found.analysis_id").alias("analysis_id"))
-    past = cut(asking.join(old, "request_id", "left"))
+    past = cut(asking.join(dealt(old), "request_id", "left"))
     rest = past.where("analysis_id IS NULL").withColumnRenamed("request_id", "event_id").drop("analysis_id")
     fresh = cut(metering.dedupe_replay(rest, hours)).withColumnRenamed("event_id", "request_id")
     anchors = fresh.where("NOT hit").select("fingerprint", "us", F.col("request_id").alias("anchor_id"))
     new = asof.latest_within(fresh.where("hit").select("request_id", "fingerprint", "us"), anchors, ["fingerprint"], span, id="request_id")
-    linked = fresh.join(new, "request_id", "left").select("request_id", F.col("found.anchor_id").alias("anchor_id"), (~F.col("hit")).alias("computed"))
+    linked = fresh.join(dealt(new), "request_id", "left").select("request_id", F.col("found.anchor_id").alias("anchor_id"), (~F.col("hit")).alias("computed"))
     text = linked.schema["request_id"].dataType
     again = past.where("analysis_id IS NOT NULL").select("request_id", "analysis_id", F.lit(None).cast(text).alias("anchor_id"), F.lit(False).alias("computed"))
     return again.unionByName(linked, allowMissingColumns=True)
@@ -343,18 +344,18 @@ def answer(requests: DataFrame, refs: Refs, as_of: str, stored: DataFrame, hours
     """
     requests = fingerprinted(requests, as_of)
     how = cut(served(requests, stored, hours))
-    fresh = cut(feasibility(requests.join(how.where("computed").select("request_id"), "request_id", "left_semi"), refs, as_of, path_sources))
+    fresh = cut(feasibility(requests.join(dealt(how.where("computed").select("request_id")), "request_id", "left_semi"), refs, as_of, path_sources))
     own = ["request_id", "requested_at", "idempotency_key", "provider", "plan"]
     # repeats within the batch: the earlier request's row under the later one's id
-    pairs = how.where("NOT computed AND analysis_id IS NULL").select("request_id", "anchor_id").join(requests.select(*own), "request_id")
+    pairs = how.where("NOT computed AND analysis_id IS NULL").select("request_id", "anchor_id").join(dealt(requests.select(*own)), "request_id")
     told = fresh.drop("requested_at", "idempotency_key", "provider", "plan").withColumnRenamed("request_id", "anchor_id")
     hit = F.col("feasibility_status").isNotNull()
-    within = pairs.join(told, "anchor_id").withColumn("cache_hit", hit).withColumn("billable", F.lit(False)).select(*fresh.columns)
+    within = pairs.join(dealt(told), "anchor_id").withColumn("cache_hit", hit).withColumn("billable", F.lit(False)).select(*fresh.columns)
     # repeats of stored analyses: what was stored, as it was
     kept = stored.select("analysis_id", "feasibility_status", "coverage_status", "jurisdiction_slug", F.from_json("result_json", fresh.schema["result"].dataType).alias("result"))
-    found = how.where("analysis_id IS NOT NULL").select("request_id", "analysis_id").join(kept, "analysis_id")
+    found = how.where("analysis_id IS NOT NULL").select("request_id", "analysis_id").join(dealt(kept), "analysis_id")
     asked = requests.select(*own, "consumer_id", "request_fingerprint", "normalized_address", "project_type", "bedrooms", "near_transit", "existing_structure_type", "include_envelope")
-    before = found.drop("analysis_id").join(asked, "request_id").withColumns({"kind": F.lit("completed"), "billable": F.lit(False), "cache_hit": F.lit(True)})
+    before = found.drop("analysis_id").join(dealt(asked), "request_id").withColumns({"kind": F.lit("completed"), "billable": F.lit(False), "cache_hit": F.lit(True)})
     return fresh.unionByName(within).unionByName(before, allowMissingColumns=True)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelspark import catalogs as C
 from parcelspark.operators import layers, rules
+from parcelspark.operators.skew import dealt
 from parcelspark.plans import feasibility as P
 from parcelspark.queries import domain as D
 from parcelspark.queries.domain import with_tables
@@ -219,7 +220,7 @@ def reused_analyses(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as its user's request, some answered from stored analyses, others by an earlier one of the batch."""
     one = D.ask(spark, sf)
     calls = D.table(spark, sf, "events").select("event_id", "user_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("requested_at"))
-    requests = one.join(calls, F.col("request_id") == F.col("user_id")).drop("request_id", "user_id").withColumnRenamed("event_id", "request_id")
+    requests = one.join(dealt(calls), F.col("request_id") == F.col("user_id")).drop("request_id", "user_id").withColumnRenamed("event_id", "request_id")
     k = F.col("request_id")
     before = P.fingerprinted(one, D.AS_OF).where(k % 3 == 0).withColumn("_n", F.explode(F.array(F.lit(0), F.lit(1))))
     status = F.when(F.col("_n") == 0, F.when(k % 2 == 0, "likely_feasible").otherwise("insufficient_data"))

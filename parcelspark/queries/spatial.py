@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as G
 from parcelspark.operators import envelope, layers, quadtree, spatial, validity
+from parcelspark.operators.skew import dealt
 from parcelspark.queries import domain as D
 from parcelspark.queries.domain import with_tables
 from parcelspark.queries.registry import query
@@ -63,7 +64,7 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
 @query("g06_distance_m", with_tables("SELECT request_id, parcel_id, round(CASE WHEN odd OR d = 0 THEN 0 ELSE d END, 4) AS distance_m FROM gap WHERE odd OR d <= 60"))
 def distance_m(spark: SparkSession, sf: str) -> DataFrame:
     pts = spatial.match_jurisdiction(D.located(spark, sf).select("lon", "lat").distinct(), D.jurisdictions(spark, sf))
-    req = D.located(spark, sf).join(pts, ["lon", "lat"])
+    req = D.located(spark, sf).join(dealt(pts), ["lon", "lat"])
     filed = layers.Layer.of(D.parcels(spark, sf), ["jurisdiction_id", "parcel_id"], tolerance_m=60.0)
     pairs = filed.points(req, ["jurisdiction_id"])
     d = f"CASE WHEN {quadtree.covers_point()} THEN 0D ELSE {G.boundary_distance_m('edges', 'lon', 'lat')} END"
@@ -146,7 +147,7 @@ def cell_join_counts(spark: SparkSession, sf: str) -> DataFrame:
 def jurisdiction_of_point(spark: SparkSession, sf: str) -> DataFrame:
     req = D.located(spark, sf)
     hit = spatial.match_jurisdiction(spatial.distinct_points(req), D.layer(spark, sf, "jurisdictions"))
-    return req.join(hit, ["lon", "lat"], "left").select("request_id", "jurisdiction_id")
+    return req.join(dealt(hit), ["lon", "lat"], "left").select("request_id", "jurisdiction_id")
 
 
 @query("j02_parcel_of_point", with_tables("""SELECT request_id, parcel_id, CASE WHEN inside THEN 'st_contains' WHEN NOT inside THEN 'st_intersects' END AS match_method,
@@ -155,7 +156,7 @@ def parcel_of_point(spark: SparkSession, sf: str) -> DataFrame:
     req = D.located(spark, sf)
     pts = spatial.match_jurisdiction(spatial.distinct_points(req), D.layer(spark, sf, "jurisdictions"))
     hit = spatial.match_parcel(pts, D.layer(spark, sf, "parcels"))
-    return req.join(hit, ["lon", "lat"], "left").select("request_id", "parcel_id", "match_method", "match_tolerance_m", F.round("distance_m", 4).alias("distance_m"))
+    return req.join(dealt(hit), ["lon", "lat"], "left").select("request_id", "parcel_id", "match_method", "match_tolerance_m", F.round("distance_m", 4).alias("distance_m"))
 
 
 @query("j03_zones_of_parcel", with_tables("""SELECT parcel_id, first(zone_id ORDER BY units DESC, zone_code, zone_id) AS zone_id,
@@ -170,7 +171,7 @@ def zone_of_point(spark: SparkSession, sf: str) -> DataFrame:
     req = D.located(spark, sf).select("request_id", "lon", "lat")
     pts = spatial.match_jurisdiction(spatial.distinct_points(req), D.layer(spark, sf, "jurisdictions"))
     z = spatial.zones_at_points(pts, D.layer(spark, sf, "zones"))
-    return req.join(z, ["lon", "lat"]).select("request_id", "zone_id")
+    return req.join(dealt(z), ["lon", "lat"]).select("request_id", "zone_id")
 
 
 @query("j04_overlays_of_parcel", with_tables("SELECT parcel_id, overlay_type, count(*) AS features, min(overlay_id) AS first_id FROM po GROUP BY 1, 2"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.functions import text as T
 from parcelspark.operators import rules, versioning
-from parcelspark.operators.skew import latest_by, number_rows, top_per_key
+from parcelspark.operators.skew import dealt, latest_by, number_rows, top_per_key
 from parcelspark.queries import domain as D
 from parcelspark.queries.domain import with_tables
 from parcelspark.queries.registry import query
@@ -82,7 +82,7 @@ def nearest_parcels(spark: SparkSession, sf: str) -> DataFrame:
     req = D.located(spark, sf).select("request_id", "lon", "lat")
     pts = spatial.match_jurisdiction(spatial.distinct_points(req), D.jurisdictions(spark, sf))
     near = spatial.match_parcel(pts, D.parcels(spark, sf)).where("match_method = 'st_intersects'")
-    return req.join(near, ["lon", "lat"]).select("request_id", "parcel_id")
+    return req.join(dealt(near), ["lon", "lat"]).select("request_id", "parcel_id")
 
 
 @query("w05_top_entries", with_tables("SELECT jurisdiction_id, entry_id, CAST(row_number() OVER (PARTITION BY jurisdiction_id ORDER BY published_at DESC, entry_id) AS INTEGER) AS rn FROM cl QUALIFY rn <= 5"))

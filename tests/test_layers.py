@@ -156,3 +156,25 @@ def test_validity(spark):
     assert {k for k, v in found.items() if v[0]} == {"bow", "spike", "pinch", "touch", "over", "same"} and found["inside"] == (False, True) and found["out"] == (False, True)
     status = {r.id: r.data_status for r in validity.review(df.select("id", "geom").union(spark.createDataFrame([("none", None)], "id string, g string").selectExpr("id", f"{G.from_geojson('g')}"))).collect()}
     assert {k for k, v in status.items() if v == "needs_review"} == {*found, "none"}
+
+
+def test_sides_that_grow_are_not_broadcast(spark, monkeypatch):
+    from parcelspark.operators import geocode, layers
+    from parcelspark.queries import domain as D
+
+    monkeypatch.setattr(layers, "FEW", 10)
+    sf = "/root/testdata/sf0.001"
+    pairs = spatial.points_in_polygons(D.located(spark, sf).select("request_id", "lon", "lat"), D.odd_lots(spark, sf), ["parcel_id"])
+    asked = geocode.geocode(D.ask(spark, sf), D.geocodes(spark, sf))
+    for df in (pairs, asked):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filed_layers_use_only_their_levels(spark):
+    from parcelspark.operators import layers
+    from parcelspark.queries import domain as D
+
+    filed = layers.Layer.of(D.odd_lots(spark, "/root/testdata/sf0.001"), ["parcel_id"])
+    assert len(filed.levels) < 5 and filed.few
+    none = layers.Layer.of(D.odd_lots(spark, "/root/testdata/sf0.001").where("parcel_id < 0"), ["parcel_id"])
+    assert none.points(D.located(spark, "/root/testdata/sf0.001")).count() == 0
