@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from parcelspark.functions import geometry as G
 from parcelspark.functions import values as V
 
+REMEMBERED = 10_000  # shapes of a task whose area is kept
 PAIRS = 1 << 20  # pairs of curves, or of slabs and curves, looked at together
 
 
@@ -138,10 +139,20 @@ def _slabs(p: np.ndarray, q: np.ndarray, v: np.ndarray, along: np.ndarray, d: fl
 
 
 def _with_areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the last two columns, flat edge coordinates and distance, by the area left."""
+    """Replace the last two columns, flat edge coordinates and distance, by the area left; equal ones are measured once while remembered."""
+    known: dict[tuple[bytes, float], float] = {}
+
+    def area(e: np.ndarray, d: float) -> float:
+        key = (e.tobytes(), d)
+        if key not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[key] = eroded_area(e.reshape(-1, 4), d)
+        return known[key]
+
     for batch in batches:
         *rest, coords, dist = batch.columns
-        areas = [None if e.as_py() is None or d is None else eroded_area(np.asarray(e.values).reshape(-1, 4), d) for e, d in zip(coords, dist.to_pylist())]
+        areas = [None if not e.is_valid or d is None else area(np.asarray(e.values), d) for e, d in zip(coords, dist.to_pylist())]
         yield pa.RecordBatch.from_arrays([*rest, pa.array(areas, pa.float64())], names=[*batch.schema.names[:-2], "eroded"])
 
 

@@ -17,7 +17,7 @@ from parcelspark.functions import geometry as G
 from parcelspark.functions import values as V
 from parcelspark.functions.text import normalize_address
 from parcelspark.operators import layers, spatial
-from parcelspark.operators.skew import latest_by
+from parcelspark.operators.skew import latest_by, spread
 from parcelspark.plans.feasibility import Refs
 
 AS_OF = "2024-01-31 00:00:00"
@@ -61,7 +61,7 @@ def grid_box(x1: str, y1: str, x2: str, y2: str) -> str:
 
 
 def parcels(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_partkey", "p_size").select(
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size")).select(
         F.col("p_partkey").alias("parcel_id"), (F.col("p_partkey") % 64).alias("gx"),
         F.floor(F.col("p_partkey") / 64).alias("gy"), "p_size",
     )
@@ -80,7 +80,7 @@ def odd_lots(spark: SparkSession, sf: str) -> DataFrame:
 
     ``geom`` lies on the grid in degrees, ``planar`` is the same in metres at a size of 40 + p_size metres a unit.
     """
-    p = table(spark, sf, "part").select(
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size")).select(
         F.col("p_partkey").alias("parcel_id"), (F.col("p_partkey") % 64).alias("gx"), F.floor(F.col("p_partkey") / 64).alias("gy"), "p_size"
     )
     shapes = {  # polygons of rings, in eighths of a unit

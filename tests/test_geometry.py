@@ -190,3 +190,20 @@ def test_condominium_stack_and_ties(spark):
     pts = spark.createDataFrame([(1, -121.99995, 38.00005), (1, -122.00005, 38.00005), (1, -122.1, 38.0)], "jurisdiction_id long, lon double, lat double")
     got = {r["lon"]: (r["parcel_id"], r["match_method"]) for r in spatial.match_parcel(pts, p).collect()}
     assert got == {-121.99995: (0, "st_contains"), -122.00005: (0, "st_intersects")}
+
+
+def test_equal_lots_are_measured_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from parcelspark.operators import envelope as E
+
+    calls, real = [], E.eroded_area
+    monkeypatch.setattr(E, "eroded_area", lambda e, d: calls.append(d) or real(e, d))
+    monkeypatch.setattr(E, "REMEMBERED", 2)
+    shape = [0.0, 0.0, 8.0, 0.0, 8.0, 0.0, 8.0, 8.0, 8.0, 8.0, 4.0, 4.0, 4.0, 4.0, 0.0, 0.0]
+    dist = [1.0, 1.0, 0.5, None, 1.0, 2.0, 1.0]
+    batch = pa.record_batch([pa.array(range(8)), pa.array([shape] * 7 + [None]), pa.array([*dist, 1.0])], names=["k", "_e", "_d"])
+    got = next(E._with_areas(iter([batch]))).column("eroded").to_pylist()
+    assert got == [None if d is None else real(np.array(shape).reshape(-1, 4), d) for d in dist] + [None]
+    assert calls == [1.0, 0.5, 2.0, 1.0]  # the third shape makes room
