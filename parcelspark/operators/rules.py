@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelspark import catalogs as C
 from parcelspark.functions import values as V
 from parcelspark.operators.skew import latest_by
+from parcelspark.session import cut
 
 SOURCE_FIELDS = [
     "source_url", "source_title", "source_section", "source_layer", "retrieved_at",
@@ -121,11 +122,11 @@ def merge_rules(contexts: DataFrame, rules: DataFrame, attrs: DataFrame, baselin
     """
     keys = ["jurisdiction_id", "zone_code", "project_type"]
     rule = current_rules(rules).select("jurisdiction_id", "zone_key", "project_type", "rule_id")
-    ctx = contexts.select(*keys).distinct().withColumn("zone_key", F.upper("zone_code"))
-    local = (
-        ctx.where("zone_code IS NOT NULL").join(rule, ["jurisdiction_id", "zone_key", "project_type"])
-        .join(resolved_attributes(attrs), "rule_id").drop("zone_key")
-    )
+    ctx = cut(contexts.select(*keys).distinct()).withColumn("zone_key", F.upper("zone_code"))
+    used = cut(ctx.where("zone_code IS NOT NULL").join(rule, ["jurisdiction_id", "zone_key", "project_type"]).drop("zone_key"))
+    # attributes of rules that no context uses go before they are worked on
+    own = attrs.join(used.select("rule_id").distinct(), "rule_id", "left_semi")
+    local = used.join(resolved_attributes(own), "rule_id")
     base = ctx.drop("zone_key").join(baselines_by_project(baselines, as_of), "project_type")
     # the zone may be unknown, hence null-safe keys on the baseline side
     l, b = local.alias("l"), base.alias("b")

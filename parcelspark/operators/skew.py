@@ -18,8 +18,13 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over as many tasks as a shuffle has, before work that is heavy for their size on disk."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Rows dealt evenly over as many tasks as a shuffle has, before work that is heavy for their size on disk.
+
+    The planner moves conditions below a shuffle together with the work they rest on, which then is done in the few tasks
+    of the file; it moves none below a condition that depends on the task, which always holds.
+    """
+    even = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return even.where(F.spark_partition_id() >= 0)
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

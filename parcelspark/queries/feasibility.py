@@ -288,8 +288,8 @@ _ALL = {"ctx": f"SELECT jurisdiction_id, zone_code, project_type FROM (SELECT DI
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
-    r = D.refs(spark, sf)
-    return rules.merge_rules(contexts(spark, sf), r.rules, r.attributes, r.baselines, F.lit(D.AS_OF).cast("timestamp"))
+    # the rule tables alone: no lookup is made, so no layer is built
+    return rules.merge_rules(contexts(spark, sf), D.zoning_rules(spark, sf), D.rule_attributes(spark, sf), C.state_baselines(spark), F.lit(D.AS_OF).cast("timestamp"))
 
 
 @query("j09_merge_rules", with_tables("""SELECT jurisdiction_id, zone_code, project_type, field_name, CASE WHEN l_field IS NULL THEN 'state_baseline' ELSE 'local' END AS origin, flag AS compliance_flag FROM found""", **_ALL))
