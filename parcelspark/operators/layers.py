@@ -116,7 +116,8 @@ def store(folder: str, features: DataFrame, keep: list[str], *, filed: DataFrame
     clustered(features, buckets).write.parquet(f"{folder}/features")
     layer = Layer.of(spark.read.parquet(f"{folder}/features") if filed is None else filed, keep, tolerance_m=tolerance_m, areas=areas, tile_level=tile_level)
     name = _table(folder)
-    writer = layer.pieces.repartition(buckets, "cell").write.partitionBy("tile").bucketBy(buckets, "cell").sortBy("cell").option("path", f"{folder}/pieces")
+    # one task for each file, a tile's bucket, but not one for all files of a bucket
+    writer = layer.pieces.repartition("tile", F.pmod(F.hash("cell"), F.lit(buckets))).write.partitionBy("tile").bucketBy(buckets, "cell").sortBy("cell").option("path", f"{folder}/pieces")
     writer.mode("overwrite").format("parquet").saveAsTable(name)
     pieces = spark.table(name)
     Q.ancestors(pieces, tile_level).write.parquet(f"{folder}/above")

@@ -19,6 +19,7 @@ from parcelspark.functions.text import normalize_address
 from parcelspark.operators import layers, spatial
 from parcelspark.operators.skew import latest_by, spread
 from parcelspark.plans.feasibility import Refs
+from parcelspark.session import cut
 
 AS_OF = "2024-01-31 00:00:00"
 ZONE_CODES = ["R1", "RS", "RD1.5", "R3", "C2", "RAS4", "PF", "RE9"]
@@ -219,7 +220,8 @@ TILE_LEVEL = 4  # tiles of 64 parcels a side
 
 def _build(spark: SparkSession, sf: str, name: str, folder: str) -> None:
     keep = {"jurisdictions": spatial.JURISDICTION_KEEP, "parcels": spatial.PARCEL_KEEP, "zones": spatial.ZONE_KEEP, "overlays": spatial.OVERLAY_KEEP}[name]
-    features = {"jurisdictions": jurisdictions, "parcels": parcels, "zones": zones, "overlays": overlays}[name](spark, sf)
+    # written first: dealing along the curve samples them, and parcels are filed by shape too
+    features = cut({"jurisdictions": jurisdictions, "parcels": parcels, "zones": zones, "overlays": overlays}[name](spark, sf))
     if name == "parcels":
         layers.store(folder, features, keep, filed=spatial.parcel_shapes(features), tolerance_m=spatial.TOLERANCE_M, tile_level=TILE_LEVEL)
     else:

@@ -162,7 +162,7 @@ def parcel_of_point(spark: SparkSession, sf: str) -> DataFrame:
 @query("j03_zones_of_parcel", with_tables("""SELECT parcel_id, first(zone_id ORDER BY units DESC, zone_code, zone_id) AS zone_id,
   string_agg(DISTINCT zone_code, ',' ORDER BY zone_code) AS codes, count(DISTINCT zone_code) > 1 AS ambiguous FROM pz GROUP BY 1"""))
 def zones_of_parcel(spark: SparkSession, sf: str) -> DataFrame:
-    z = spatial.zone_choice(spatial.match_zones(D.layer(spark, sf, "parcels").features, D.layer(spark, sf, "zones")), ["parcel_id"])
+    z = spatial.zone_choice(spatial.match_zones(D.parcels(spark, sf), D.layer(spark, sf, "zones")), ["parcel_id"])
     return z.select("parcel_id", "zone_id", F.array_join("zone_codes", ",").alias("codes"), F.col("cross_zone_ambiguity").alias("ambiguous"))
 
 
@@ -176,7 +176,7 @@ def zone_of_point(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j04_overlays_of_parcel", with_tables("SELECT parcel_id, overlay_type, count(*) AS features, min(overlay_id) AS first_id FROM po GROUP BY 1, 2"))
 def overlays_of_parcel(spark: SparkSession, sf: str) -> DataFrame:
-    o = spatial.match_overlays(D.layer(spark, sf, "parcels").features, D.layer(spark, sf, "overlays"))
+    o = spatial.match_overlays(D.parcels(spark, sf), D.layer(spark, sf, "overlays"))
     return o.groupBy("parcel_id", "overlay_type").agg(F.count("*").alias("features"), F.min("overlay_id").alias("first_id"))
 
 
