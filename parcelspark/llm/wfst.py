@@ -93,6 +93,8 @@ class Transducer:
             if kind == BYTE:
                 self.bytes[int(p[3:5], 16)] = i
                 self.byte_of[i] = bytes([int(p[3:5], 16)])
+        # what the inverse writes for each id
+        self.raw = [self.byte_of[i] if i in self.byte_of else b"" if kind == CONTROL else p.encode() for i, (p, _, kind) in enumerate(model.pieces)]
         self.unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
         self.longest = max(map(len, self.id), default=1)
         self.side_by_side = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
@@ -248,9 +250,8 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The inverse transducer: marks become spaces, the one put in front is taken off, runs of bytes are UTF-8."""
-        pieces, byte_of = self.model.pieces, self.byte_of
-        raw = b"".join(byte_of[i] if i in byte_of else pieces[i][0].encode() if pieces[i][2] != CONTROL else b"" for i in ids)
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
