@@ -186,6 +186,25 @@ def meets_piece(p: str = "p", f: str = "f") -> str:
     return f"IF({f}.full, {in_full}, {cut})"
 
 
+def undivided(p: str = "p", f: str = "f") -> str:
+    """No boundary of the feature comes near a polygon of the piece's cell, which so is wholly inside or wholly outside.
+
+    All edges that meet the cell are held by the piece, so the boxes of its few edges decide.
+    """
+    inside = f"{p}.bbox.xmin >= {f}.x0 AND {p}.bbox.xmax < {f}.x0 + {f}.side AND {p}.bbox.ymin >= {f}.y0 AND {p}.bbox.ymax < {f}.y0 + {f}.side"
+    near = lambda e: (
+        f"greatest({e}.x1, {e}.x2) >= {p}.bbox.xmin AND least({e}.x1, {e}.x2) <= {p}.bbox.xmax "
+        f"AND greatest({e}.y1, {e}.y2) >= {p}.bbox.ymin AND least({e}.y1, {e}.y2) <= {p}.bbox.ymax"
+    )
+    return f"({inside} AND NOT exists({f}.edges, {G.fn(near)}))"
+
+
+def holds_start(p: str = "p", f: str = "f") -> str:
+    """An undivided polygon lies in the feature: its first corner does."""
+    x, y = (f"get({p}.edges, 0).{k}1" for k in "xy")
+    return f"({parity(f'{f}.', y)} != {G.ray_parity(f'{f}.edges', x, y)})"
+
+
 def near_piece(p: str = "p", f: str = "f") -> str:
     """The polygon's box meets the piece's cell, border included."""
     return f"{p}.bbox.xmin <= {f}.x0 + {f}.side AND {p}.bbox.xmax >= {f}.x0 AND {p}.bbox.ymin <= {f}.y0 + {f}.side AND {p}.bbox.ymax >= {f}.y0"

@@ -94,11 +94,13 @@ def polygon_pairs(probes: DataFrame, layer: Layer, on: list[str], probe_key: str
     """
     p = with_edges(spread(probes.select(probe_key, "geom", *on)))
     if area:
-        p = p.withColumn("parts", F.expr(G.convex_parts("geom")))
+        p = p.withColumns({"parts": F.expr(G.convex_parts("geom")), "area": F.expr(G.planar_area("geom"))})
     p, f = layer.polygons(p.drop("geom"))
     cond = " AND ".join(["p.cell = f.cell", "p.tile = f.tile", *[f"p.{c} = f.{c}" for c in on], Q.near_piece()])
-    shared = G.overlap_area("p.parts", "f.rings") if area else "0D"
-    seen = p.join(f, F.expr(cond)).selectExpr(f"p.{probe_key}", *[f"f.{k}" for k in keep], f"{shared} AS _a", f"{Q.meets_piece()} AS _hit")
+    # most pairs need no cutting: probes that no boundary comes near are in or out as a whole (null: cut them)
+    met = p.join(f, F.expr(cond)).selectExpr("p.*", *[f"f.{k} AS f_{k}" for k in keep], "struct(f.*) AS f", f"IF({Q.undivided()}, {Q.holds_start()}, NULL) AS _in").alias("p")
+    shared = f"CASE WHEN _in THEN p.area WHEN _in IS NULL THEN {G.overlap_area('p.parts', 'f.rings')} ELSE 0D END" if area else "0D"
+    seen = met.selectExpr(probe_key, *[f"f_{k} AS {k}" for k in keep], f"{shared} AS _a", f"coalesce(_in, {Q.meets_piece()}) AS _hit")
     return seen.groupBy(probe_key, *keep).agg(F.sum("_a").alias("overlap_area"), F.max("_hit").alias("_h")).where("_h").drop("_h")
 
 

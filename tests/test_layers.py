@@ -178,3 +178,17 @@ def test_filed_layers_use_only_their_levels(spark):
     assert len(filed.levels) < 5 and filed.few
     none = layers.Layer.of(D.odd_lots(spark, "/root/testdata/sf0.001").where("parcel_id < 0"), ["parcel_id"])
     assert none.points(D.located(spark, "/root/testdata/sf0.001")).count() == 0
+
+
+def test_undivided_probes_are_not_cut(spark, shapes):
+    """Probes that no boundary comes near get what cutting them gives."""
+    zones = frame(spark, shapes, "zone_id").withColumns({"zone_code": F.lit("R1"), "jurisdiction_id": F.lit(1)})
+    layer = spatial.zone_layer(zones)
+    lots = frame(spark, [star(-122 + RNG.uniform(-0.3, 0.3), 38 + RNG.uniform(-0.3, 0.3), 0.002, 6) for _ in range(80)], "parcel_id").withColumn("jurisdiction_id", F.lit(1))
+    p = spatial.with_edges(lots).withColumns({"parts": F.expr(G.convex_parts("geom")), "area": F.expr(G.planar_area("geom"))}).drop("geom")
+    p, f = layer.polygons(p)
+    pairs = p.join(f, F.expr(f"p.cell = f.cell AND p.tile = f.tile AND {Q.undivided()}")).selectExpr(
+        f"{Q.holds_start()} AS whole", f"{Q.meets_piece()} AS hit", f"{G.overlap_area('p.parts', 'f.rings')} AS cut", "p.area AS area"
+    ).collect()
+    assert {r.whole for r in pairs} == {True, False}
+    assert all(r.whole == r.hit and abs(r.cut - (r.area if r.whole else 0)) < 1e-15 for r in pairs)
