@@ -168,7 +168,8 @@ def feasibility(requests: DataFrame, refs: Refs, as_of: str, path_sources: int |
     # a failed geocode has no site: such rows pass beside the join, or all would meet at its null key
     sited = req.where("_geo").join(dealt(at), (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")), "left").drop("_lon", "_lat")
     both = sited.unionByName(req.where("NOT _geo"), allowMissingColumns=True)
-    both = both.withColumn("_live", F.coalesce(F.col("coverage_status") == "production", F.lit(False)))
+    # read by the rule contexts, the insets asked for and both halves of the last join, each of which planned and made it anew
+    both = cut(both.withColumn("_live", F.coalesce(F.col("coverage_status") == "production", F.lit(False))))
 
     ctx_keys = ["jurisdiction_id", "zone_code", "project_type"]
     contexts = both.where("_live").select(*ctx_keys).distinct()

@@ -143,3 +143,10 @@ def test_late_rows_are_counted(spark, tmp_path):
 def test_keyword_and_url_parts(spark):
     r = spark.range(1).select(T.code_url_parts(F.lit("https://x.y/codes/la/latest/lapz/0-0-0-1?q=1")).alias("u"), T.matches_keywords(F.lit("New Accessory Dwelling Units")).alias("k"), T.matches_keywords(F.lit("Parking")).alias("n")).first()
     assert tuple(r["u"]) == ("la", "lapz", "0-0-0-1") and r["k"] and not r["n"]
+
+
+def test_sites_are_joined_once(spark):
+    """What is read several times is stored, so the last plan holds neither the requests' nor the geocodes' table."""
+    q = ask(spark, [(1, "1 North Main Street", "detached_adu", None, True), (6, "nowhere at all", "jadu", None, None)])
+    plan = feasibility(q, scene(spark), NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "LogicalRDD" not in plan and "LocalRelation" not in plan
