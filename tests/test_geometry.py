@@ -207,3 +207,11 @@ def test_equal_lots_are_measured_once(monkeypatch):
     got = next(E._with_areas(iter([batch]))).column("eroded").to_pylist()
     assert got == [None if d is None else real(np.array(shape).reshape(-1, 4), d) for d in dist] + [None]
     assert calls == [1.0, 0.5, 2.0, 1.0]  # the third shape makes room
+
+
+def test_distance_is_measured_once(spark):
+    """The limit on the distance is no second measurement below the first."""
+    from parcelspark.queries import spatial as queries
+
+    text = queries.distance_m(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("<= 60.0") == 1 and not any("exists(edges" in line and ("Join" in line or "Filter" in line) for line in text.split("\n"))
