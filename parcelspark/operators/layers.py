@@ -68,8 +68,7 @@ class Layer:
     @classmethod
     def of(cls, features: DataFrame, keep: list[str], *, tolerance_m: float = 0.0, areas: bool = False, tile_level: int = TILE_LEVEL) -> Layer:
         """File features with ``geom`` now; ``keep`` names the columns that lookups return."""
-        shaped = with_edges(spread(features.select("geom", *keep)))
-        cut = Q.pieces(shaped, *pads(tolerance_m), areas=areas, tile_level=tile_level)
+        cut = _pieces(features, keep, tolerance_m, areas, tile_level)
         levels, few = _measure(cut)
         return cls(cut, Q.ancestors(cut, tile_level), features, levels, tile_level, tolerance_m, few)
 
@@ -89,6 +88,11 @@ class Layer:
         return in_envelope(self.features, xmin, ymin, xmax, ymax)
 
 
+def _pieces(features: DataFrame, keep: list[str], tolerance_m: float, areas: bool, tile_level: int) -> DataFrame:
+    shaped = with_edges(spread(features.select("geom", *keep)))
+    return Q.pieces(shaped, *pads(tolerance_m), areas=areas, tile_level=tile_level)
+
+
 def in_envelope(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
     """Features whose stored box (plain columns ``xmin`` to ``ymax``) meets an envelope."""
     return df.where((F.col("xmax") >= xmin) & (F.col("xmin") <= xmax) & (F.col("ymax") >= ymin) & (F.col("ymin") <= ymax))
@@ -114,9 +118,10 @@ def store(folder: str, features: DataFrame, keep: list[str], *, filed: DataFrame
     """
     spark = features.sparkSession
     clustered(features, buckets).write.parquet(f"{folder}/features")
-    layer = Layer.of(spark.read.parquet(f"{folder}/features") if filed is None else filed, keep, tolerance_m=tolerance_m, areas=areas, tile_level=tile_level)
+    # counted once, as stored
+    filing = _pieces(spark.read.parquet(f"{folder}/features") if filed is None else filed, keep, tolerance_m, areas, tile_level)
     name = _table(folder)
-    writer = layer.pieces.repartition(buckets, "cell").write.partitionBy("tile").bucketBy(buckets, "cell").sortBy("cell").option("path", f"{folder}/pieces")
+    writer = filing.repartition(buckets, "cell").write.partitionBy("tile").bucketBy(buckets, "cell").sortBy("cell").option("path", f"{folder}/pieces")
     writer.mode("overwrite").format("parquet").saveAsTable(name)
     pieces = spark.table(name)
     Q.ancestors(pieces, tile_level).write.parquet(f"{folder}/above")

@@ -58,7 +58,8 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
             F.lit("high").alias("confidence"), F.lit("current").alias("data_status"), F.lit(None).cast("string").alias("snapshot_hash"),
         ).cast(SOURCE_T).alias("jurisdiction_source"),
     )
-    located = spatial.match_jurisdiction(points, refs.layer("jurisdictions")).join(jur, "jurisdiction_id")
+    # stages that several joins read are written: a plan holds them once, and the driver plans, sends and compiles them once
+    located = cut(spatial.match_jurisdiction(points, refs.layer("jurisdictions")).join(jur, "jurisdiction_id"))
     matched = spatial.match_parcel(located.where("coverage_status = 'production'"), refs.layer("parcels"))
     placed = located.join(dealt(matched), ["jurisdiction_id", "lon", "lat"], "left").withColumn("place", place)
     placed = cut(placed)
@@ -68,6 +69,7 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
     lots = refs.parcels.select(
         "jurisdiction_id", "parcel_id", "apn", "area_sqft", "geom", rules.source("Parcel GIS layer", have=set(refs.parcels.columns)).cast(SOURCE_T).alias("parcel_source")
     ).join(dealt(used), "parcel_id")
+    lots = cut(lots)
     bare = live.where("parcel_id IS NULL").select("jurisdiction_id", "lon", "lat", "place")
 
     named = lambda pairs: pairs.withColumn("place", F.concat(F.lit("p:"), F.col("parcel_id").cast("string")))
@@ -81,7 +83,7 @@ def sites(points: DataFrame, refs: Refs) -> DataFrame:
     hits = named(spatial.match_overlays(lots, refs.layer("overlays"))).select("place", "overlay_id", "overlay_type").unionByName(
         spatial.overlays_at_points(bare.select("lon", "lat", "place"), refs.layer("overlays")).select("place", "overlay_id", "overlay_type")
     )
-    over = overlay_lists(live.select("place").distinct(), cut(hits), refs.overlays)
+    over = cut(overlay_lists(live.select("place").distinct(), cut(hits), refs.overlays))
     lot_info = lots.select("place", "apn", "area_sqft", F.expr(G.centroid("geom")).alias("centroid"), "parcel_source")
     return cut(placed.join(dealt(lot_info), "place", "left").join(dealt(zoned), "place", "left").join(dealt(over), "place", "left").drop("place"))
 
@@ -162,7 +164,8 @@ def feasibility(requests: DataFrame, refs: Refs, as_of: str, path_sources: int |
     now = F.lit(as_of).cast("timestamp")
     req = geocode.geocode(fingerprinted(requests, as_of), refs.geocodes)
     good = F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col("geocode_confidence").isin("high", "medium")
-    req = req.withColumn("_geo", F.coalesce(good, F.lit(False)))
+    # read by the points and by both halves of the next join
+    req = cut(req.withColumn("_geo", F.coalesce(good, F.lit(False))))
     pts = spatial.distinct_points(req.where("_geo"))
     at = sites(pts, refs).withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
     # a failed geocode has no site: such rows pass beside the join, or all would meet at its null key

@@ -1,6 +1,7 @@
 """Sources, sinks, streams and the feasibility job on small made scenes."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from parcelspark import catalogs as C
 from parcelspark.functions import geometry as G
 from parcelspark.functions import text as T
+from parcelspark.plans import feasibility as P
 from parcelspark.plans.feasibility import Refs, feasibility
-from parcelspark.session import shared_dir
+from parcelspark.session import cut, shared_dir
 from parcelspark.sources import features, sinks
 from parcelspark.streaming import jobs as J
 
@@ -150,3 +152,15 @@ def test_sites_are_joined_once(spark):
     q = ask(spark, [(1, "1 North Main Street", "detached_adu", None, True), (6, "nowhere at all", "jadu", None, None)])
     plan = feasibility(q, scene(spark), NOW)._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" in plan and "LogicalRDD" not in plan and "LocalRelation" not in plan
+
+
+def test_no_stage_is_planned_twice(spark, monkeypatch):
+    """Stages read by several joins are stored: no plan of the job holds the geocodes twice, or as many joins as with its inputs in it."""
+    plans = []
+    monkeypatch.setattr(P, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    refs = scene(spark)
+    refs.geocodes = refs.geocodes.withColumn("lon", F.col("lon") + F.expr("length(uuid()) - 36"))
+    q = ask(spark, [(1, "1 North Main Street", "detached_adu", None, True), (6, "nowhere at all", "jadu", None, None)])
+    last = feasibility(q, refs, NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert [p.count("uuid(") for p in [*plans, last] if "uuid(" in p] == [1]
+    assert max(len(re.findall(r"\bJoin ", p)) for p in plans) <= 5

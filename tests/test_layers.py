@@ -192,3 +192,10 @@ def test_undivided_probes_are_not_cut(spark, shapes):
     ).collect()
     assert {r.whole for r in pairs} == {True, False}
     assert all(r.whole == r.hit and abs(r.cut - (r.area if r.whole else 0)) < 1e-15 for r in pairs)
+
+
+def test_stored_pieces_are_counted_once(spark, shapes, tmp_path, monkeypatch):
+    seen, measure = [], layers._measure
+    monkeypatch.setattr(layers, "_measure", lambda pieces: seen.append(1) or measure(pieces))
+    layer = layers.store(f"{tmp_path}/one", frame(spark, shapes, "zone_id").withColumns({"zone_code": F.lit("R1"), "jurisdiction_id": F.lit(1)}), spatial.ZONE_KEEP)
+    assert len(seen) == 1 and layer.levels == measure(layer.pieces)[0]
